@@ -166,9 +166,10 @@ w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x60
 places AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
 hits AS ({phrases}),
 b AS (SELECT r, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY r),
-t AS (SELECT * FROM (VALUES {values}) v(label, tokens)),
-lines AS (SELECT r, list_distinct(regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS lw FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM base)),
-m AS (SELECT r, label, len(list_intersect(tokens, lw)) / len(tokens) AS score FROM lines, t WHERE len(list_intersect(tokens, lw)) >= {THRESHOLD} * len(tokens) - 1e-9),
+t AS (SELECT label, len(tokens) AS n, unnest(tokens) AS token FROM (VALUES {values}) v(label, tokens)),
+lines AS (SELECT r, l, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS l FROM base)),
+lw AS (SELECT DISTINCT r, l, unnest(regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS token FROM lines),
+m AS (SELECT r, label, count(*) / any_value(n) AS score FROM lw JOIN t USING (token) GROUP BY r, l, label HAVING count(*) >= {THRESHOLD} * any_value(n) - 1e-9),
 ml AS (SELECT r, max(score) AS score FROM m GROUP BY r),
 al AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM m UNION ALL SELECT r, label FROM hits) GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
