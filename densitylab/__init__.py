@@ -1,0 +1 @@
+"""Marker-density phenotype-prediction analytics on Spark DataFrames."""
