@@ -17,7 +17,7 @@ def pairs(spark: SparkSession, budgets: Sequence[int], strategies: Sequence[str]
     for s in strategies:
         rows += [("adjacent", s, a, s, b) for a, b in zip(budgets, budgets[1:])]
         rows.append(("full_vs_sparse", s, budgets[0], s, budgets[-1]))
-    rows += [("strategy", strategies[0], b, strategies[1], b) for b in budgets[:-1]]
+    rows += [("strategy", strategies[0], b, s, b) for s in strategies[1:] for b in budgets[:-1]]
     kinds = "pair int, kind string, reference_strategy string, reference_budget int, candidate_strategy string, candidate_budget int"
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], kinds)
 
