@@ -9,7 +9,8 @@ are cut into ranges of ``per_shard``; each shard is a file of records of a fixed
 stride, so record ``slot`` stands at byte ``(slot mod per_shard) * stride`` of
 shard ``slot div per_shard``, and reading resumes from a slot alone.
 
-A shard is written under a temporary name and then renamed; a task that runs
+Shards are written in GROUPS ranges one after another, so that the shuffle files
+of one range are gone before the next begins.  A shard is written under a temporary name and then renamed; a task that runs
 again writes the same bytes.  A writing task holds one record at a time.
 
 Defined results: a null or empty text is the end id alone; repeated rows and
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from . import textvec as tv
-from .common import documents, in_slices, staged
+from .common import documents, in_slices, release, staged
 
-LENGTH, PER_SHARD, ROUNDS = 2048, 2048, 6
+LENGTH, PER_SHARD, ROUNDS, GROUPS = 2048, 2048, 6, 3
 
 
 def _step(x: np.ndarray, half: int, key: int) -> np.ndarray:
@@ -156,23 +157,29 @@ def write_shards(docs: DataFrame, folder: str, key: int = 20240229, length: int
     tasks, sizes = np.array([t for t, _ in counts], np.int64), np.array([n for _, n in counts], np.int64)
     before, total = np.cumsum(sizes) - sizes, int(sizes.sum())
 
-    def place(batches):
-        for batch in batches:
-            own = np.searchsorted(tasks, batch.column(0).to_numpy())
-            slot = permute(before[own] + batch.column(1).to_numpy(), total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), batch.column(2), batch.column(3), batch.column(4)], names=["slot", "body", "crc32", "pieces"])
+    def place(lo: int, hi: int):
+        def run(batches):
+            for batch in batches:
+                own = np.searchsorted(tasks, batch.column(0).to_numpy())
+                slot = permute(before[own] + batch.column(1).to_numpy(), total, key)
+                out = pa.RecordBatch.from_arrays([pa.array(slot), batch.column(2), batch.column(3), batch.column(4)], names=["slot", "body", "crc32", "pieces"])
+                yield out.filter(pa.array((slot >= lo) & (slot < hi)))
+
+        return run
 
     n_shards = max(1, -(-total // per_shard))
-    _, root = pafs.FileSystem.from_uri(folder)
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    placed = made.mapInArrow(place, "slot bigint, body binary, crc32 bigint, pieces array<struct<doc_id: bigint, start: bigint, length: bigint, offset: bigint>>")
-    dealt = placed.repartition(n_shards, F.col("slot").cast("bigint") - F.pmod("slot", F.lit(per_shard))).sortWithinPartitions("slot")
-    table = staged(dealt.mapInArrow(_write(folder, length, per_shard), "slot bigint, crc32 bigint, pieces array<struct<doc_id: bigint, start: bigint, length: bigint, offset: bigint>>"), "slots")
+    rows = "slot bigint, body binary, crc32 bigint, pieces array<struct<doc_id: bigint, start: bigint, length: bigint, offset: bigint>>"
+    table, groups = None, max(1, min(GROUPS, n_shards))
+    for g in range(groups):
+        first, last = g * n_shards // groups, (g + 1) * n_shards // groups
+        placed = made.mapInArrow(place(first * per_shard, last * per_shard), rows)
+        dealt = placed.repartition(last - first, F.expr(f"slot div {per_shard}")).sortWithinPartitions("slot")
+        own = staged(dealt.mapInArrow(_write(folder, length, per_shard), rows.replace("body binary, ", "")), f"slots-{g}")
+        table = own if table is None else table.unionAll(own)
     with fs.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps({"sequences": total, "length": length, "per_shard": per_shard, "dtype": "<u2", "key": key, "shards": n_shards if total else 0}).encode())
-    from .common import release
-
     release(made)
     one = table.select("slot", "crc32", F.explode("pieces").alias("p"))
     return one.select(
