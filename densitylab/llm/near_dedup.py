@@ -196,25 +196,27 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, shingl
     base = documents(docs, "doc_id", "text")
     named = base.filter("doc_id is not null and text is not null").select("doc_id", "text")
     signed = staged(named.mapInArrow(_signatures(shingle, bands, rows), "id bigint, same1 bigint, same2 bigint, keys array<bigint>"), "signatures")
-    nodes = signed.groupBy("same1", "same2").agg(F.min("id").alias("node"), F.max("id").alias("hi"))
+    # written, as other aggregates below, so that joins have plain exchanges, which Spark splits where a key is hot
+    nodes = staged(signed.groupBy("same1", "same2").agg(F.min("id").alias("node"), F.max("id").alias("hi")), "nodes")
     links = staged(
         signed.select("id", "same1", "same2").join(nodes.filter("node < hi"), ["same1", "same2"]).filter("id > node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct(), "twins"
     )
     # the bands of one document for each distinct word sequence
     firsts = signed.join(nodes.select("same1", "same2", F.col("node").alias("id")), ["same1", "same2", "id"], "left_semi")
     banded = firsts.select("id", F.explode("keys").alias("key"))
-    crowd = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
+    crowd = staged(banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key"), "crowd")
     member = staged(banded.join(crowd, "key").select("key", "id").distinct(), "members")
     involved = member.select(F.col("id").alias("doc_id")).distinct()
     texts = staged(named.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "id"), "texts")
-    release(signed)
+    release(signed, crowd)
     label, turn, tried = None, 0, None
     while True:
         turn += 1
         at = member.withColumn("c", F.col("id")) if label is None else member.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
         groups = at.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key", "n")
+        groups = staged(groups, f"groups-{turn}")
         live = staged(at.join(groups, "key"), f"open-{turn}")
-        release(member)
+        release(member, groups)
         if live.isEmpty():
             break
         # the hub: the member that meets most others in the buckets still open

@@ -156,14 +156,15 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     groups = digests.groupBy("key").agg(F.min("rank").alias("owner"), F.max("rank").alias("hi")).filter("owner < hi")
     copies = staged(digests.join(groups, "key").filter("rank > owner").select("rank", "tk").distinct(), "copies")
     anchors = texts.mapInArrow(_anchor_batches(window, seed), "h bigint, rank bigint, tk int, at int")
-    shared = anchors.groupBy("h").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).filter("lo < hi").select("h")
+    # written, so that the join below has a plain exchange on both sides, which Spark splits where a key is hot
+    shared = staged(anchors.groupBy("h").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).filter("lo < hi").select("h"), "shared")
     seeds = staged(anchors.join(shared, "h").groupBy("rank", "tk").agg(F.collect_list("at").alias("seeds")), "seeds")
     # a copy's windows all start in its least document too, so it is no source and needs no windows
     held = texts.join(seeds, ["rank", "tk"]).join(copies, ["rank", "tk"], "left_anti").select("rank", "tk", "text", "seeds")
     windows = staged(held.mapInArrow(_window_batches(window, seed), "w bigint, rank bigint, tk int, at int"), "windows")
-    owners = windows.groupBy("w").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).filter("lo < hi").select("w", "lo")
+    owners = staged(windows.groupBy("w").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).filter("lo < hi").select("w", "lo"), "owners")
     places = staged(windows.join(owners, "w").filter("lo < rank").groupBy("rank", "tk").agg(F.collect_set("at").alias("places")), "places")
-    release(seeds, windows)
+    release(shared, seeds, windows, owners)
     return copies, places
 
 
