@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """event_type, hour, n, total; on a stream, hours close once the watermark has passed them."""
-    seen = events.withWatermark("ts", late) if events.isStreaming else events
+    seen = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     out = seen.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select("event_type", F.col("w.start").alias("hour"), "n", "total")
 
