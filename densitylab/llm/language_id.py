@@ -123,7 +123,7 @@ def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",
     """``columns`` of documents with lang_pred and score."""
     cols = documents(docs, *dict.fromkeys((*columns, "text")))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cols.schema)
-    limit = max(1 << 16, (4 << 20) // max(1, len(model.langs) // 8))
+    limit = max(1 << 16, (1 << 20) // max(1, len(model.langs) // 8))
 
     def run(batches):
         for batch in in_slices(batches, limit=limit):

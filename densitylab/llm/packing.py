@@ -90,7 +90,7 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 def _pieces(path: str, capacity: int, part: int, with_ids: bool):
     def run(batches):
         encode = tk.encoder(path).encode
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, limit=tk.SLICE_BYTES):
             rows = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 ids = np.append(ids, np.uint32(tk.END)).astype("<u4")

@@ -15,7 +15,9 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
-_CACHE_SIZE = 1_000_000
+#: Texts encoded at once; new pieces are learned once a slice.
+SLICE_BYTES = 3 << 20
+_CACHE_SIZE = 600_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

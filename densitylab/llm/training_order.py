@@ -91,7 +91,7 @@ def _sequences(path: str, length: int):
             kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), piece]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["task", "number", "body", "crc32", "pieces"])
 
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, limit=tk.SLICE_BYTES):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 ids = np.append(ids, np.uint32(tk.END))
