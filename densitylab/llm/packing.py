@@ -87,9 +87,9 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         k += max(1, min(math.ceil(k * (most - capacity) / capacity / 2), k))
 
 
-def _pieces(path: str, capacity: int, part: int, with_ids: bool):
+def _pieces(path: str, capacity: int, part: int, with_ids: bool, cache: int):
     def run(batches):
-        encode = tk.encoder(path).encode
+        encode = tk.encoder(path, cache).encode
         for batch in in_slices(batches, limit=tk.SLICE_BYTES):
             rows = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
@@ -151,13 +151,13 @@ def _packed(capacity: int, chunk: int):
 
 
 def pack_documents(
-    docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, chunk: int = CHUNK, part: int = PART, with_ids: bool = True, partitions: int | None = None
+    docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, chunk: int = CHUNK, part: int = PART, with_ids: bool = True, partitions: int | None = None, cache: int = tk.CACHE
 ) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, ids (null without ``with_ids``), sequence_id, offset."""
     spark = docs.sparkSession
     texts = documents(docs, "doc_id", "text")
     kinds = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids array<int>"
-    cut = texts.mapInArrow(_pieces(path or tk.vocabulary_path(), capacity, part, with_ids), kinds)
+    cut = texts.mapInArrow(_pieces(path or tk.vocabulary_path(), capacity, part, with_ids, cache), kinds)
     if partitions is None:
         partitions = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(texts.select("doc_id").count() / chunk)))
     dealt = cut.repartition(partitions, F.xxhash64("doc_id", "start", "ids_crc32", F.pmod(F.col("doc_tokens"), F.lit(64))))

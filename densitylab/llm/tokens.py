@@ -16,8 +16,9 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 #: Texts encoded at once; new pieces are learned once a slice.
-SLICE_BYTES = 3 << 20
-_CACHE_SIZE = 600_000
+SLICE_BYTES = 4 << 20
+#: Pieces of which a worker keeps the ids, about 250 bytes each.
+CACHE = 1_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -34,6 +35,7 @@ class Encoder:
         self.plain = re.compile(r"[\t\n\r -~¡-įĲ-ňŊ-ž]*").fullmatch
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªºµß-öø-ž]+|[0-9²³¹¼-¾]|[!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷]+").findall
         self.number: dict[str, int] = {}
+        self.cache = CACHE
         self._reset()
         spec = self.tokenizer.to_str()
         self.fast = '"Lowercase"' in spec and "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in spec
@@ -67,7 +69,7 @@ class Encoder:
         """Ids of each text; null and empty texts have none.  Meant for batches of a few MB."""
         slow = [i for i, t in enumerate(texts) if t and not (self.fast and self.plain(t) and "<|" not in t)]
         whole = dict(zip(slow, self.tokenizer.encode_batch([texts[i] for i in slow], add_special_tokens=False))) if slow else {}
-        if len(self.number) > _CACHE_SIZE:
+        if len(self.number) > self.cache:
             self._reset()
         split, get = self.split, self.number.get
         pieces = [() if i in whole or not t else split(t.lower()) for i, t in enumerate(texts)]
@@ -92,8 +94,9 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """One for each worker process."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].cache = cache
     return _ENCODERS[path]
