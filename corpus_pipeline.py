@@ -46,7 +46,8 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, with_ids=False).drop("ids")
+    # the workers also serve the stages before, so they keep fewer pieces
+    return packing.pack_documents(docs, with_ids=False, cache=600_000).drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
