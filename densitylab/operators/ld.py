@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -55,10 +56,61 @@ def pair_r2(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return joined.select("a", "b", "chrom", "za", "zb").mapInArrow(run, "a int, b int, chrom string, r2 double")
 
 
+def window_r2(vec: DataFrame, variants: DataFrame, kept: DataFrame, trains: dict[str, Sequence[int]], window: int, rows: int = 256) -> DataFrame:
+    """fit_id, a, b, chrom, r2 of all local pairs of the markers that each fit keeps.
+
+    ``kept``: fit_id, marker_idx.  Genotypes are shuffled once, to their bin and the one before, for all fits;
+    a bin's task compares ``rows`` markers with ``rows`` others at a time, and pairs carry no genotypes.
+    """
+    at = {f: np.asarray(t, np.int64) for f, t in trains.items()}
+    fits = kept.groupBy("marker_idx").agg(F.collect_list("fit_id").alias("fits"))
+    v = variants.select("marker_idx", "chrom", "pos").join(fits, "marker_idx").join(vec.select("marker_idx", "g"), "marker_idx")
+    own = F.floor(F.col("pos") / window)
+    dealt = v.select("marker_idx", "chrom", "pos", "fits", "g", F.inline(F.array(F.struct(own.alias("bin"), F.lit(True).alias("own")), F.struct((own - 1).alias("bin"), F.lit(False).alias("own")))))
+
+    def unit(g: pa.ListArray, which: np.ndarray, train: np.ndarray) -> np.ndarray:
+        x = g.take(pa.array(which)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(which), -1)[:, train]
+        known = ~np.isnan(x)
+        x = np.where(known, x, 0.0)
+        z = np.where(known, x - (x.sum(1) / np.maximum(known.sum(1), 1))[:, None], 0.0)
+        size = np.linalg.norm(z, axis=1, keepdims=True)
+        return z / np.where(size == 0, 1, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by([("pos", "ascending"), ("marker_idx", "ascending")]).combine_chunks()
+        marker, pos, first = (t.column(c).to_numpy() for c in ("marker_idx", "pos", "own"))
+        g = t.column("g").combine_chunks()
+        g = g.chunk(0) if isinstance(g, pa.ChunkedArray) else g
+        chrom, holds = t.column("chrom")[0].as_py(), [set(x) for x in t.column("fits").to_pylist()]
+        for fit, train in at.items():
+            mine = np.flatnonzero([fit in x for x in holds])
+            left = mine[first[mine]]
+            for i in range(0, len(left), rows):
+                a = left[i : i + rows]
+                za = unit(g, a, train)
+                near = mine[(pos[mine] > pos[a[0]]) & (pos[mine] <= pos[a[-1]] + window)]
+                for j in range(0, len(near), rows):
+                    b = near[j : j + rows]
+                    gap = pos[b][None, :] - pos[a][:, None]
+                    p, q = np.nonzero((gap > 0) & (gap <= window))
+                    r = (za @ unit(g, b, train).T)[p, q]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([fit] * len(p), pa.string()), pa.array(marker[a[p]], pa.int32()), pa.array(marker[b[q]], pa.int32()), pa.array([chrom] * len(p), pa.string()), pa.array(np.clip(r * r, 0, 1))],
+                        names=["fit_id", "a", "b", "chrom", "r2"],
+                    )
+
+    return dealt.groupBy("chrom", "bin").applyInArrow(run, "fit_id string, a int, b int, chrom string, r2 double")
+
+
+def _fit(df: DataFrame) -> list[str]:
+    return [c for c in ("fit_id",) if c in df.columns]
+
+
 def summary(variants: DataFrame, r2: DataFrame, threshold: float) -> DataFrame:
-    """Chrom, local_pairs, mean_r2 (null without pairs), high_ld_pairs."""
-    s = r2.groupBy("chrom").agg(F.count("*").alias("local_pairs"), F.avg("r2").alias("mean_r2"), F.count_if(F.col("r2") >= threshold).alias("high_ld_pairs"))
-    return variants.select("chrom").distinct().join(s, "chrom", "left").na.fill(0, ["local_pairs", "high_ld_pairs"])
+    """[fit_id,] chrom, local_pairs, mean_r2 (null without pairs), high_ld_pairs; by fit where ``r2`` has fits."""
+    by = [*_fit(r2), "chrom"]
+    s = r2.groupBy(*by).agg(F.count("*").alias("local_pairs"), F.avg("r2").alias("mean_r2"), F.count_if(F.col("r2") >= threshold).alias("high_ld_pairs"))
+    return variants.select(*by).distinct().join(s, by, "left").na.fill(0, ["local_pairs", "high_ld_pairs"])
 
 
 def cover(ids: np.ndarray, rank: np.ndarray, edges: list[tuple[int, int]]) -> list[int]:
@@ -87,32 +139,41 @@ def cover(ids: np.ndarray, rank: np.ndarray, edges: list[tuple[int, int]]) -> li
 
 
 def greedy_cover(variants: DataFrame, kept: DataFrame, order: DataFrame, r2: DataFrame, threshold: float) -> DataFrame:
-    """marker_idx of the representatives; chromosomes are independent and run in parallel."""
-    nodes = variants.select("marker_idx", "chrom").join(kept.select("marker_idx"), "marker_idx", "left_semi").join(order, "marker_idx").select("chrom", "marker_idx", "rank", F.lit(None).cast("int").alias("b"))
-    edges = r2.filter(F.col("r2") >= threshold).select("chrom", F.col("a").alias("marker_idx"), F.lit(None).cast("int").alias("rank"), "b")
+    """[fit_id,] marker_idx of the representatives; fits and chromosomes are independent and run in parallel."""
+    by = _fit(kept)
+    nodes = variants.select("marker_idx", "chrom").join(kept.select(*by, "marker_idx"), "marker_idx").join(order.select("marker_idx", "rank"), "marker_idx").select(*by, "chrom", "marker_idx", "rank", F.lit(None).cast("int").alias("b"))
+    edges = r2.filter(F.col("r2") >= threshold).select(*by, "chrom", F.col("a").alias("marker_idx"), F.lit(None).cast("int").alias("rank"), "b")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         node = part[part["b"].isna()]
         edge = part[part["b"].notna()]
         pairs = list(zip(edge["marker_idx"].astype(int), edge["b"].astype(int)))
-        return pd.DataFrame({"marker_idx": cover(node["marker_idx"].to_numpy(), node["rank"].to_numpy(), pairs)}, dtype="int32")
+        out = pd.DataFrame({"marker_idx": cover(node["marker_idx"].to_numpy(), node["rank"].to_numpy(), pairs)}, dtype="int32")
+        return out.assign(**{c: part[c].iloc[0] for c in by})[[*by, "marker_idx"]]
+
+    return nodes.unionByName(edges).groupBy(*by, "chrom").applyInPandas(run, ", ".join([*(f"{c} string" for c in by), "marker_idx int"]))
 
-    return nodes.unionByName(edges).groupBy("chrom").applyInPandas(run, "marker_idx int")
 
+def coverage(variants: DataFrame, chosen: DataFrame, edges: DataFrame, width: int, panels: Sequence[tuple[str, str, int]] = ()) -> DataFrame:
+    """Markers, occupied and all bins, span, median and longest spacing, high-LD pairs, by chromosome.
 
-def coverage(variants: DataFrame, chosen: DataFrame, edges: DataFrame, width: int) -> DataFrame:
-    """Markers, occupied and all bins, span, median and longest spacing, high-LD pairs, by chromosome."""
+    With ``panels`` (fit_id, strategy, budget), ``chosen`` has these columns and ``edges`` has fit_id, and there are rows for every panel.
+    """
+    keys = ["fit_id", "strategy", "budget"] if panels else []
+    by = [*keys, "chrom"]
     bins = F.floor(F.col("pos") / width)
     every = variants.groupBy("chrom").agg(F.count_distinct(bins).alias("catalog_bins"))
-    held = variants.join(chosen.select("marker_idx"), "marker_idx", "left_semi")
-    gaps = held.withColumn("gap", F.col("pos") - F.lag("pos").over(Window.partitionBy("chrom").orderBy("pos")))
-    own = gaps.groupBy("chrom").agg(
+    if panels:
+        every = every.select("*", F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, p)]) for p in panels])))
+    held = variants.join(chosen.select(*keys, "marker_idx"), "marker_idx")
+    gaps = held.withColumn("gap", F.col("pos") - F.lag("pos").over(Window.partitionBy(*by).orderBy("pos")))
+    own = gaps.groupBy(*by).agg(
         F.count("*").alias("markers"),
         F.count_distinct(bins).alias("occupied_bins"),
         (F.max("pos") - F.min("pos")).alias("span_bp"),
         F.median("gap").alias("median_spacing_bp"),
         F.max("gap").alias("max_spacing_bp"),
     )
-    both = edges.join(chosen.select(F.col("marker_idx").alias("a")), "a", "left_semi").join(chosen.select(F.col("marker_idx").alias("b")), "b", "left_semi")
-    high = both.groupBy("chrom").agg(F.count("*").alias("high_ld_pairs"))
-    return every.join(own, "chrom", "left").join(high, "chrom", "left").na.fill(0, ["markers", "occupied_bins", "span_bp", "high_ld_pairs"])
+    both = edges.join(chosen.select(*keys, F.col("marker_idx").alias("a")), [*keys[:1], "a"]).join(chosen.select(*keys, F.col("marker_idx").alias("b")), [*keys, "b"])
+    high = both.groupBy(*by).agg(F.count("*").alias("high_ld_pairs"))
+    return every.join(own, by, "left").join(high, by, "left").na.fill(0, ["markers", "occupied_bins", "span_bp", "high_ld_pairs"])

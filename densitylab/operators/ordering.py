@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,17 +11,20 @@ from ..functions.scalars import bin_number, salted_digest, tabbed_digest
 from .validate import density as check_density
 
 
-def _ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
-    """Rank from 0 in the whole table, by ranges: positions inside a range plus the sizes of those before it.
+def _ranked(df: DataFrame, *order, name: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
+    """Rank from 0 in the whole table, or in each value of ``keys``, by ranges: positions inside a range plus the sizes of those before it.
 
     No task sees more than a range, so a catalogue of any size is ranked.
     """
-    key = F.struct(*order)
+    key = F.struct(*keys, *order)
     parts = df.withColumn("_key", key).repartitionByRange(F.col("_key")).withColumn("_part", F.spark_partition_id())
     inside = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(before.select("_part", "_before"), "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("int")).drop("_key", "_part", "_at", "_before")
+    out = inside.join(before.select("_part", "_before"), "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("int")).drop("_key", "_part", "_at", "_before")
+    if not keys:
+        return out
+    return out.join(out.groupBy(*keys).agg(F.min(name).alias("_first")), list(keys)).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
 
 
 def hash_order(variants: DataFrame, salt: str) -> DataFrame:
@@ -66,6 +71,9 @@ def tiers(order: DataFrame, budgets: list[int]) -> DataFrame:
 
 
 def representatives_first(physical: DataFrame, representatives: DataFrame, kept: DataFrame) -> DataFrame:
-    """Representatives, then other kept markers, then the rest, each in physical order."""
-    marked = physical.join(representatives.select("marker_idx", F.lit(0).alias("r")), "marker_idx", "left").join(kept.select("marker_idx", F.lit(1).alias("q")), "marker_idx", "left")
-    return _ranked(marked.select("marker_idx", F.coalesce("r", "q", F.lit(2)).alias("class"), F.col("rank").alias("physical")), "class", "physical").select("marker_idx", "rank")
+    """Representatives, then other kept markers, then the rest, each in physical order; by fit where ``physical`` has fits."""
+    keys = [c for c in ("fit_id",) if c in physical.columns]
+    on = [*keys, "marker_idx"]
+    marked = physical.join(representatives.select(*on, F.lit(0).alias("r")), on, "left").join(kept.select(*on, F.lit(1).alias("q")), on, "left")
+    marked = marked.select(*on, F.coalesce("r", "q", F.lit(2)).alias("class"), F.col("rank").alias("physical"))
+    return _ranked(marked, "class", "physical", keys=keys).select(*on, "rank")

@@ -7,8 +7,10 @@ and stay inside the row, without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +75,56 @@ def vec_eligible(vec: DataFrame, train: Sequence[int], call: float = 0.95, maf:
     return _filtered(vec_counts(vec, train), call, maf, mac).select("marker_idx", "mean", "p", "call_rate", "mac")
 
 
+def strips(batches: Iterator[pa.RecordBatch], column: int, limit: int = 32 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of batches with their dosages as doubles (missing: NaN) of about ``limit`` bytes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        step = max(1, limit // (8 * max(1, len(batch.column(column)[0]))))
+        for lo in range(0, batch.num_rows, step):
+            part = batch.slice(lo, step)
+            yield part, part.column(column).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+
+
+def fit_counts(vec: DataFrame, trains: dict[str, Sequence[int]]) -> DataFrame:
+    """fit_id and the columns of ``counts`` for all fits at once: one scan, no shuffle.
+
+    Training positions travel with the function, so plans stay small however many samples there are.
+    """
+    at = {f: np.asarray(t, np.int64) for f, t in trains.items()}
+
+    def run(batches):
+        for part, g in strips(batches, 1):
+            for fit, train in at.items():
+                x = g[:, train]
+                known = ~np.isnan(x)
+                called, x = known.sum(1), np.where(known, x, 0.0)
+                total = x.sum(1)
+                mean = total / np.maximum(called, 1)
+                spread = (np.where(known, x - mean[:, None], 0.0) ** 2).sum(1) / np.maximum(called, 1)
+                flat = np.where(known, x, np.inf).min(1, initial=np.inf) == np.where(known, x, -np.inf).max(1, initial=-np.inf)
+                none = called == 0
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([fit] * len(part)),
+                        part.column(0),
+                        pa.array(called, pa.int64()),
+                        pa.array(np.full(len(part), len(train)), pa.int64()),
+                        pa.array(total),
+                        pa.array(mean, mask=none),
+                        pa.array(np.where(flat, 0.0, spread), mask=none),
+                    ],
+                    names=["fit_id", "marker_idx", "called", "rows", "total", "mean", "variance"],
+                )
+
+    return vec.select("marker_idx", "g").mapInArrow(run, "fit_id string, marker_idx int, called bigint, rows bigint, total double, mean double, variance double")
+
+
+def fit_eligible(vec: DataFrame, trains: dict[str, Sequence[int]], call: float = 0.95, maf: float = 0.05, mac: int = 0) -> DataFrame:
+    """A1 for all fits."""
+    return _filtered(fit_counts(vec, trains), call, maf, mac).select("fit_id", "marker_idx", "mean", "p", "call_rate", "mac")
+
+
 def kernel_scale(qc: DataFrame) -> DataFrame:
     """A4: sum of 2 p (1 - p), by fit where there are several."""
     keys = ["fit_id"] if "fit_id" in qc.columns else []

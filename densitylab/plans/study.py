@@ -85,15 +85,6 @@ def _fits(study: Study, table: list[tuple[str, list[str], list[str]]]) -> list[k
     return [ke.Fit(f, tuple(at[s] for s in train), tuple(at[s] for s in test)) for f, train, test in table]
 
 
-def _each(fits: list[ke.Fit], make) -> DataFrame:
-    """Statistics of every fit, one below the other, named by fit."""
-    out = None
-    for f in fits:
-        own = make(f).withColumn("fit_id", F.lit(f.fit_id))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
 def _solve_dual(study: Study, fits: list[ke.Fit], blocks: DataFrame, tiers: Sequence[int | str], sizes: dict, alphas: dict[str, list[float]], schema: str, inner: bool) -> DataFrame:
     """Runs every density and penalty of a fit; tier t of a kernel is what density t adds to the one before."""
     table, y = {f.fit_id: f for f in fits}, study.y
@@ -124,7 +115,7 @@ def run_densities(study: Study, config: DensityConfig, outer: dict[str, int], in
     """A: predictions, metrics, tuning, omitted, qc.  Statistics come from each fit's training rows alone."""
     table = fo.fit_table(outer, inner)
     fits = _fits(study, table)
-    stats = _each(fits, lambda f: qc.vec_eligible(study.vec, f.train, config.min_call_rate, config.min_maf, config.min_mac)).cache()
+    stats = qc.fit_eligible(study.vec, {f.fit_id: f.train for f in fits}, config.min_call_rate, config.min_maf, config.min_mac).cache()
     order = ordering.hash_order(study.variants, config.hash_salt)
     numbered = sorted([d for d in config.densities if d != "all"]) + (["all"] if "all" in config.densities else [])
     from pyspark.sql import Window
@@ -230,37 +221,36 @@ def run_ladder(study: Study, config: LadderConfig, outer: dict[str, int]) -> dic
         train = sorted(s for s in outer if outer[s] != f)
         inner[f] = dict(zip(train, fo.balanced_groups_local([of[s] for s in train], config.inner_folds, config.seed, f"inner:{f}:full").tolist()))
     fits = _fits(study, fo.fit_table(outer, inner))
+    trains = {f.fit_id: f.train for f in fits}
     physical = ordering.physical_order(study.variants, config.seed, config.bin_bp).cache()
-    close = ld.local_pairs(study.variants, config.ld_window_bp).cache()
-    budgets, parts, covers, summaries = sorted(config.budgets), [], [], []
+    budgets = sorted(config.budgets)
     full = budgets[-1]
-    for f in fits:
-        s = qc.vec_counts(study.vec, f.train)
-        mean = F.coalesce("mean", F.lit(0.0))
-        keep = (F.col("called") / F.col("rows") >= config.call_rate_min) & (F.least(mean / 2, 1 - mean / 2) >= config.maf_min) & (F.coalesce("variance", F.lit(0.0)) > 0)
-        stat = s.select("marker_idx", mean.alias("mean"), keep.alias("keep")).cache()
-        kept = stat.filter("keep")
-        orders = {"physical": physical}
-        if "ld" in config.strategies:
-            good = study.variants.join(kept.select("marker_idx"), "marker_idx", "left_semi")
-            mine = close.join(kept.select(F.col("marker_idx").alias("a")), "a", "left_semi").join(kept.select(F.col("marker_idx").alias("b")), "b", "left_semi")
-            r2 = ld.pair_r2(mine.select("a", "b", "chrom"), ld.unit_vectors(study.vec, kept, list(f.train))).cache()
-            reps = ld.greedy_cover(study.variants, kept, physical, r2, config.ld_r2)
-            orders["ld"] = ordering.representatives_first(physical, reps, kept)
-            if f.fit_id.startswith("outer"):
-                summaries.append(ld.summary(good, r2, config.ld_r2).withColumn("fit_id", F.lit(f.fit_id)))
-        for number, name in enumerate(config.strategies):
-            steps = budgets if name == config.strategies[0] else budgets[:-1]
-            own = ordering.tiers(orders[name], steps).join(kept, "marker_idx")
-            place = F.coalesce(*[F.when(F.col("tier") == b, F.lit(number * 100 + i)) for i, b in enumerate(steps)])
-            parts.append(own.select(F.lit(f.fit_id).alias("fit_id"), "marker_idx", "mean", F.lit(1.0).alias("scale"), place.alias("tier")))
-            if f.fit_id.startswith("outer") and "ld" in orders:
-                for b in budgets:
-                    chosen = ordering.prefix_then_qc(orders[name], kept, b)
-                    covers.append(ld.coverage(study.variants, chosen, r2.filter(F.col("r2") >= config.ld_r2).select("a", "b", "chrom"), config.bin_bp).select(F.lit(f.fit_id).alias("fit_id"), F.lit(name).alias("strategy"), F.lit(b).alias("budget"), "*"))
-    marked = parts[0]
-    for p in parts[1:]:
-        marked = marked.unionByName(p)
+    mean = F.coalesce("mean", F.lit(0.0))
+    keep = (F.col("called") / F.col("rows") >= config.call_rate_min) & (F.least(mean / 2, 1 - mean / 2) >= config.maf_min) & (F.coalesce("variance", F.lit(0.0)) > 0)
+    kept = qc.fit_counts(study.vec, trains).filter(keep).select("fit_id", "marker_idx", mean.alias("mean")).cache()
+    each = physical.withColumn("fit_id", F.explode(F.array(*map(F.lit, trains))))
+    orders, cover, summary = {"physical": each}, None, None
+    if "ld" in config.strategies:
+        r2 = ld.window_r2(study.vec, study.variants, kept, trains, config.ld_window_bp).cache()
+        reps = ld.greedy_cover(study.variants, kept, physical, r2, config.ld_r2)
+        orders["ld"] = ordering.representatives_first(each, reps, kept).cache()
+        outermost = F.col("fit_id").startswith("outer")
+        good = study.variants.join(kept.filter(outermost).select("fit_id", "marker_idx"), "marker_idx")
+        summary = ld.summary(good, r2.filter(outermost), config.ld_r2)
+        ranked = None
+        for name in config.strategies:
+            own = orders[name].filter(outermost).select("fit_id", F.lit(name).alias("strategy"), "marker_idx", "rank", F.explode(F.array(*map(F.lit, budgets))).alias("budget"))
+            ranked = own if ranked is None else ranked.unionByName(own)
+        chosen = ranked.filter(F.col("rank") < F.col("budget")).join(kept.select("fit_id", "marker_idx"), ["fit_id", "marker_idx"], "left_semi")
+        panels = [(f.fit_id, name, b) for f in fits if f.fit_id.startswith("outer") for name in config.strategies for b in budgets]
+        cover = ld.coverage(study.variants, chosen, r2.filter(outermost & (F.col("r2") >= config.ld_r2)).select("fit_id", "a", "b", "chrom"), config.bin_bp, panels)
+    marked = None
+    for number, name in enumerate(config.strategies):
+        steps = budgets if name == config.strategies[0] else budgets[:-1]
+        own = ordering.tiers(orders[name], steps).join(kept, ["fit_id", "marker_idx"])
+        place = F.coalesce(*[F.when(F.col("tier") == b, F.lit(number * 100 + i)) for i, b in enumerate(steps)])
+        own = own.select("fit_id", "marker_idx", "mean", F.lit(1.0).alias("scale"), place.alias("tier"))
+        marked = own if marked is None else marked.unionByName(own)
     marked = marked.cache()
     counts = {(r.fit_id, r.tier): r.n for r in marked.groupBy("fit_id", "tier").agg(F.count("*").alias("n")).collect()}
     sums = {f"{name}:{b}": [number * 100 + j for j in range(i + 1)] for number, name in enumerate(config.strategies) for i, b in enumerate(budgets) if not (number and b == full)}
@@ -273,13 +263,7 @@ def run_ladder(study: Study, config: LadderConfig, outer: dict[str, int]) -> dic
     for name in config.strategies[1:]:  # the full panel is the same fit
         pred = pred.unionByName(pred.filter((F.col("strategy") == config.strategies[0]) & (F.col("budget") == full)).withColumn("strategy", F.lit(name)))
 
-    def joined(frames):
-        out = frames[0] if frames else None
-        for x in frames[1:]:
-            out = out.unionByName(x)
-        return out
-
-    return {"predictions": pred, "metrics": metrics.ladder_metrics(pred), "tuning": tuning, "coverage": joined(covers), "ld": joined(summaries), "blocks": blocks}
+    return {"predictions": pred, "metrics": metrics.ladder_metrics(pred), "tuning": tuning, "coverage": cover, "ld": summary, "blocks": blocks}
 
 
 def run_encodings(study: Study, outer: dict[str, int], inner_folds: int = 4, seed: int = 101, rhos: Sequence[float] = (1e-4, 1e-2, 1.0), bounds: tuple[float, float] = (1e-6, 1e4), residual: float = 1e-8) -> dict[str, DataFrame]:
@@ -290,13 +274,9 @@ def run_encodings(study: Study, outer: dict[str, int], inner_folds: int = 4, see
         train = sorted(s for s in outer if outer[s] != f)
         inner[f] = dict(zip(train, fo.balanced_groups_local(train, inner_folds, seed, f"legacy-inner:{f}").tolist()))
     fits = _fits(study, fo.fit_table(outer, inner))
-    parts = None
-    for f in fits:
-        at = F.array(*[F.lit(i + 1) for i in f.train])
-        own = study.vec.select("marker_idx", F.explode(F.transform(at, lambda i: F.element_at("g", i))).alias("g"))
-        s = qc.scaler(own)
-        rows = s.select(F.lit(f.fit_id).alias("fit_id"), "marker_idx", "mean", F.inline(F.array(F.struct(F.lit(1.0).alias("scale"), F.lit(0).alias("tier")), F.struct(F.col("scale"), F.lit(1).alias("tier")))))
-        parts = rows if parts is None else parts.unionByName(rows)
+    stats = qc.fit_counts(study.vec, {f.fit_id: f.train for f in fits})
+    scale = F.when(F.col("variance") > 0, F.sqrt("variance")).otherwise(1.0)
+    parts = stats.select("fit_id", "marker_idx", "mean", F.inline(F.array(F.struct(F.lit(1.0).alias("scale"), F.lit(0).alias("tier")), F.struct(scale.alias("scale"), F.lit(1).alias("tier")))))
     sums = {"GBLUP-centered": [0], "Ridge-standardized": [1]}
     n = study.variants.count()
     markers = {f.fit_id: dict.fromkeys(sums, n) for f in fits}

@@ -144,3 +144,31 @@ def test_contracts(spark):
     s = spark.createDataFrame([("a", "g", 0), ("b", "g", 1)], "sample_id string, group_id string, outer_fold int")
     with pytest.raises(validate.ContractError, match="Groups"):
         validate.check_splits(s, s)
+
+
+def test_statistics_of_all_fits_at_once(spark):
+    x = np.random.default_rng(5).integers(0, 3, (9, 12)).astype(float)
+    x[:, 4], x[2, 1] = np.nan, np.nan
+    trains = {"a": [0, 1, 2, 5], "b": list(range(9))}
+    names = ("called", "rows", "total", "mean", "variance")
+    got = {(r.fit_id, r.marker_idx): [r[n] for n in names] for r in qc.fit_counts(vec(spark, x), trains).collect()}
+    for fit, train in trains.items():
+        for r in qc.vec_counts(vec(spark, x), train).collect():
+            one, other = got[fit, r.marker_idx], [r[n] for n in names]
+            assert [v is None for v in one] == [v is None for v in other]
+            assert np.allclose([v or 0 for v in one], [v or 0 for v in other])
+
+
+def test_window_r2_equals_the_join(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (20, 30)).astype(float)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    v = spark.createDataFrame([(i, "12"[i % 2], int(p)) for i, p in enumerate(rng.integers(1, 400, 30))], "marker_idx int, chrom string, pos bigint")
+    train = [0, 3, 4, 8, 9, 12, 17, 19]
+    kept = qc.vec_counts(vec(spark, x), train).filter("variance > 0 and marker_idx <> 7")
+    for window in (1, 60, 1000):
+        want = {(r.a, r.b): r.r2 for r in ld.pair_r2(ld.local_pairs(v.join(kept, "marker_idx", "left_semi"), window), ld.unit_vectors(vec(spark, x), kept, train)).collect()}
+        rows = ld.window_r2(vec(spark, x), v, kept.select(F.lit("f").alias("fit_id"), "marker_idx"), {"f": train, "none": [1, 2]}, window, rows=3).collect()
+        got = {(r.a, r.b): r.r2 for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
