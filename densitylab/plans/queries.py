@@ -314,6 +314,27 @@ def unmatched_traits(spark, sf_dir):
     return align(samples.filter("cast(sample_id as bigint) % 2 = 0"), p, "price")[1].distinct()
 
 
+@query("SELECT c_mktsegment AS group_id, count(*) AS n, round(avg(o_totalprice), 6) AS mean_value FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice IS NOT NULL GROUP BY c_mktsegment")
+def trait_alignment_whole(spark, sf_dir):
+    """``trait_alignment`` over every order and every customer."""
+    from .study import align
+
+    samples = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("sample_id"), F.col("c_mktsegment").alias("group_id"))
+    raw = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("sample_id"), F.col("o_totalprice").cast("string").alias("raw"))
+    matched, _ = align(samples, raw.withColumn("trait_id", F.lit("price")).withColumn("value", sc.number_or_null(F.col("raw"))), "price")
+    return matched.groupBy("group_id").agg(F.count("*").alias("n"), _r(F.avg("value"), "mean_value", 6))
+
+
+@query("SELECT DISTINCT doc_id::VARCHAR AS sample_id FROM documents ANTI JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL")
+def unmatched_traits_whole(spark, sf_dir):
+    """``unmatched_traits`` over every document: those that have a length but no label."""
+    from .study import align
+
+    samples = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("sample_id"))
+    raw = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), F.col("n_chars").cast("string").alias("raw"))
+    return align(samples, raw.withColumn("trait_id", F.lit("chars")).withColumn("value", sc.number_or_null(F.col("raw"))), "chars")[1].distinct()
+
+
 @query(
     """SELECT 'repeated_phenotype' AS rule, count(*) AS violations FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)
 UNION ALL SELECT 'bad_variant', count(*) FROM variant WHERE pos > 5000000

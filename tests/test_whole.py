@@ -1,0 +1,27 @@
+"""Queries over whole tables against brute force and their SQL."""
+
+from collections import defaultdict
+
+import pytest
+
+from densitylab.plans import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet").collect()
+
+
+def test_traits_reach_every_order_and_customer(spark):
+    segment, prices = {c.c_custkey: c.c_mktsegment for c in rows(spark, "customer")}, defaultdict(list)
+    orders = rows(spark, "orders")
+    for o in orders:
+        if o.o_custkey in segment:
+            prices[segment[o.o_custkey]].append(o.o_totalprice)
+    got = {r.group_id: r for r in queries.QUERIES["trait_alignment_whole"](spark, SF).collect()}
+    assert {g: r.n for g, r in got.items()} == {g: len(p) for g, p in prices.items()} and sum(r.n for r in got.values()) == len(orders)
+    assert all(got[g].mean_value == pytest.approx(sum(p) / len(p), abs=1e-5) for g, p in prices.items())
+    labelled = {r.doc_id for r in rows(spark, "labels")}
+    want = {str(d.doc_id) for d in rows(spark, "documents") if d.n_chars is not None and d.doc_id is not None and d.doc_id not in labelled}
+    assert want and {r.sample_id for r in queries.QUERIES["unmatched_traits_whole"](spark, SF).collect()} == want
