@@ -11,6 +11,9 @@ its documents and in more than SHARE of them.  Only boilerplate lines go back to
 their documents; a document is depleted, and rejected, if more than HALF of its
 words stand on such lines.
 
+``clean`` removes boilerplate lines: by the same limits.  A document is depleted if less
+than HALF of its words are left.  Lines without a word stay.
+
 Defined results: a null or empty text has no words, so it fails the base rule.
 A null source is a host of its own.  Each row counts as a document; equal rows
 get equal results.  Extra columns are ignored.
@@ -101,10 +104,8 @@ def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE)
     return frequent, lines
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, half: float = HALF) -> DataFrame:
-    """doc_id, n_words, the base figures, base_failed, n_boilerplate (words on boilerplate lines), kept."""
-    base = documents(docs, "doc_id", "source", "text")
-    text = F.coalesce("text", F.lit(""))
+def _figures(base: DataFrame, text: Column, *more: Column) -> DataFrame:
+    """doc_id, rk, the base figures and base_failed of a text, and more columns."""
 
     def figures(words: Column) -> Column:
         lines = lines_of(text)
@@ -115,9 +116,15 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, half:
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         )
 
-    own = base.select("doc_id", row_key().alias("rk"), let(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), figures).alias("f"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"))
-    own = own.select("doc_id", "rk", "f.n_words", "f.word_chars", "n_symbols", "f.n_dup_lines", "f.n_repeat_words")
-    own = own.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
+    own = base.select("doc_id", row_key().alias("rk"), let(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), figures).alias("f"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"), *more)
+    own = own.select("doc_id", "rk", "f.n_words", "f.word_chars", "n_symbols", "f.n_dup_lines", "f.n_repeat_words", *[c for c in own.columns if c not in ("doc_id", "rk", "f", "n_symbols")])
+    return own.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
+
+
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, half: float = HALF) -> DataFrame:
+    """doc_id, n_words, the base figures, base_failed, n_boilerplate (words on boilerplate lines), kept."""
+    base = documents(docs, "doc_id", "source", "text")
+    own = _figures(base, F.coalesce("text", F.lit("")))
     frequent, lines = boilerplate(docs, min_docs, share)
     frequent = staged(frequent, "lines")
     # rows with an equal key are equal rows; the words of one of them are taken
@@ -132,6 +139,25 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, half:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_boilerplate")
 
 
+def clean(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, half: float = HALF) -> DataFrame:
+    """doc_id, n_words, the base figures, base_failed, n_left (words left), kept, clean_text (null for a null text)."""
+    base = documents(docs, "doc_id", "source", "text")
+    frequent = staged(boilerplate(base, min_docs, share)[0], "lines")
+    lines = base.filter("text is not null").select(
+        "doc_id", row_key().alias("rk"), F.coalesce("source", F.lit("\0")).alias("host"), F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(normal(x))))).alias("h")
+    )
+    # rows with an equal key are equal rows and have the same set
+    found = lines.join(frequent, ["host", "h"]).groupBy("doc_id", "rk").agg(F.collect_set("h").alias("hs"))
+    found = staged(found.select(F.col("doc_id").alias("d2"), F.col("rk").alias("rk2"), "hs"), "gone")
+    keyed = base.withColumn("rk", row_key())
+    both = keyed.join(found.hint("merge"), keyed["doc_id"].eqNullSafe(F.col("d2")) & (F.col("rk") == F.col("rk2")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(_WORD) & F.array_contains("hs", F.xxhash64(normal(x))))), "\n")
+    own = _figures(both, F.coalesce("text", F.lit("")), F.when(F.col("hs").isNull(), F.col("text")).otherwise(left).alias("clean_text"), F.col("hs").isNull().alias("whole"))
+    own = own.withColumn("n_left", F.when(F.col("whole"), F.col("n_words")).otherwise(F.regexp_count("clean_text", F.lit(_WORD)).cast("bigint")))
+    kept = ~F.col("base_failed") & (F.col("n_left") >= half * F.col("n_words"))
+    return own.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", kept.alias("kept"), "clean_text")
+
+
 ORACLE_SQL = f"""
 WITH base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, text IS NOT NULL AS there FROM documents),
 words AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM base),

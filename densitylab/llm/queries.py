@@ -29,6 +29,11 @@ def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op4_line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_rules.clean(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_left", "kept", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_toxicity,
         op3_decontamination,
         op4_line_rules,
+        op4_line_removal,
         op5_packing,
         op6_license_scan,
         op7_language_id,
