@@ -11,7 +11,9 @@ its documents and in more than SHARE of them.  Only boilerplate lines go back to
 their documents; a document is depleted, and rejected, if more than HALF of its
 words stand on such lines.
 
-``clean`` removes boilerplate lines: by the same limits.  A document is depleted if less
+``clean`` removes boilerplate lines: a line goes if it stands in at least
+MIN_DOCS documents of its host, however large that is, or on a small host in at
+least FEW documents and more than MOST of them.  A document is depleted if less
 than HALF of its words are left.  Lines without a word stay.
 
 Defined results: a null or empty text has no words, so it fails the base rule.
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import documents, staged
 
 MIN_DOCS, SHARE, HALF = 20, 0.01, 0.5
+FEW, MOST = 3, 0.5
 MIN_WORDS, MAX_REPEAT = 20, 30
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -139,10 +142,20 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, half:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_boilerplate")
 
 
-def clean(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, half: float = HALF) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, few: int = FEW, most: float = MOST) -> DataFrame:
+    """host and hash of the lines that ``clean`` removes."""
+    base = documents(docs, "source", "text").filter("text is not null").select(F.coalesce("source", F.lit("\0")).alias("host"), "text")
+    hashes = base.select("host", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(normal(x))))).alias("h"))
+    counts = hashes.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min(few, min_docs))
+    total = base.groupBy("host").agg(F.count("*").alias("n_host"))
+    by_share = (F.col("n") >= few) & (F.col("n") > most * F.col("n_host"))
+    return counts.join(total, "host").filter((F.col("n") >= min_docs) | by_share).select("host", "h")
+
+
+def clean(docs: DataFrame, min_docs: int = MIN_DOCS, few: int = FEW, most: float = MOST, half: float = HALF) -> DataFrame:
     """doc_id, n_words, the base figures, base_failed, n_left (words left), kept, clean_text (null for a null text)."""
     base = documents(docs, "doc_id", "source", "text")
-    frequent = staged(boilerplate(base, min_docs, share)[0], "lines")
+    frequent = staged(frequent_lines(base, min_docs, few, most), "lines")
     lines = base.filter("text is not null").select(
         "doc_id", row_key().alias("rk"), F.coalesce("source", F.lit("\0")).alias("host"), F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(normal(x))))).alias("h")
     )
@@ -176,3 +189,21 @@ f AS (SELECT doc_id, n_words::BIGINT AS n_words, word_chars, len(regexp_extract_
 j AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_boilerplate <= {HALF} * n_words AS kept, n_boilerplate FROM j
 """
+
+#: Of ``clean``, with the digest of its text.
+CLEAN_SQL = f"""
+WITH base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, text IS NOT NULL AS there FROM documents),
+words AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM base),
+w AS (SELECT r, ws, len(ws) AS n_words FROM words),
+win AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM words)),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT r, sum(least(8, coalesce(nxt - i, 8)))::BIGINT AS n_repeat_words FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM dup) GROUP BY r),
+lines AS (SELECT r, host, there, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS l FROM base),
+norm AS (SELECT *, CASE WHEN there AND regexp_matches(line, '[^\\x20\\x09-\\x0D]') THEN trim(lower(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) END AS nl FROM lines),
+hosts AS (SELECT host, count(*) AS n_host FROM base WHERE there GROUP BY host),
+freq AS (SELECT host, nl FROM (SELECT host, nl, count(DISTINCT r) AS n FROM norm WHERE nl IS NOT NULL GROUP BY host, nl) JOIN hosts USING (host) WHERE n >= {MIN_DOCS} OR n >= {FEW} AND n > {MOST} * n_host),
+rest AS (SELECT r, string_agg(line, chr(10) ORDER BY l) AS clean FROM norm ANTI JOIN freq USING (host, nl) GROUP BY r),
+f AS (SELECT doc_id, n_words::BIGINT AS n_words, len(regexp_extract_all(coalesce(clean, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_left, coalesce(clean, '') AS clean, n_words < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {MAX_REPEAT} * n_words AS base_failed
+ FROM base JOIN w USING (r) LEFT JOIN cov USING (r) LEFT JOIN rest USING (r))
+SELECT doc_id, n_words, n_left, NOT base_failed AND n_left >= {HALF} * n_words AS kept, sha256(clean) AS clean_sha256 FROM f
+"""

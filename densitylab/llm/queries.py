@@ -112,6 +112,7 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": _DECONTAMINATION,
     "op4_line_rules": line_rules.ORACLE_SQL,
+    "op4_line_removal": line_rules.CLEAN_SQL,
     "op6_license_scan": license_scan.ORACLE_SQL,
     "op9_substring_dedup": _SUBSTRING,
 }

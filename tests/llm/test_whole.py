@@ -24,3 +24,14 @@ def test_boilerplate_lines_are_removed(spark):
     assert got[25].clean_text == body(25) and (got[25].n_words, got[25].n_left) == (75, 30) and not got[25].kept and got[0].kept
     assert got[26].clean_text is None and got[27].clean_text == "" and got[28].clean_text == "Home | About"
     assert line_rules.clean(spark.createDataFrame(rows, KINDS)).count() == len(rows)
+
+
+def test_frequent_lines_at_every_host_size(spark):
+    rows = [(i, body(i) + ("\nhot footer" if i < 20 else ""), "hot") for i in range(2500)]
+    rows += [(3000 + i, body(i) + "\nsmall footer", "small") for i in range(19)]
+    rows += [(4000 + i, body(i) + "\npair footer", "pair") for i in range(2)]
+    rows += [(5000 + i, body(i) + ("\nhalf footer" if i < 5 else ""), "half") for i in range(10)]
+    got = cleaned(spark, rows)
+    cut = Counter(s for i, t, s in rows if got[i].clean_text != t)
+    assert cut == {"hot": 20, "small": 19}
+    assert all(got[i].clean_text == body(i) for i in range(20))
