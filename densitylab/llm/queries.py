@@ -42,6 +42,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents")).drop("matches")
 
 
+def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"), wrapped=True).drop("matches")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.train(docs)).withColumn("held_out", F.coalesce(language_id.held_out(), F.lit(False)))
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_line_removal,
         op5_packing,
         op6_license_scan,
+        op6_license_notices,
         op7_language_id,
         op8_near_duplicates,
         op9_substring_dedup,
@@ -114,5 +119,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_rules": line_rules.ORACLE_SQL,
     "op4_line_removal": line_rules.CLEAN_SQL,
     "op6_license_scan": license_scan.ORACLE_SQL,
+    "op6_license_notices": license_scan.WRAPPED_SQL,
     "op9_substring_dedup": _SUBSTRING,
 }

@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from densitylab.llm import line_rules
+from densitylab.llm import license_scan, line_rules
 
 KINDS = "doc_id bigint, text string, source string"
 
@@ -35,3 +35,20 @@ def test_frequent_lines_at_every_host_size(spark):
     cut = Counter(s for i, t, s in rows if got[i].clean_text != t)
     assert cut == {"hot": 20, "small": 19}
     assert all(got[i].clean_text == body(i) for i in range(20))
+
+
+def test_wrapping_splits_no_notice(spark):
+    notices = {
+        "bsd": ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that"],
+        "mpl-2": ["# This Source Code Form is subject to the terms of the Mozilla Public", "# License, v. 2.0. If a copy"],
+        "isc": ["Permission to use, copy, modify, and/or distribute this software for any", "", "purpose with or without fee is hereby granted, provided"],
+    }
+    rows = [(label, "head line\n" + "\n".join(lines) + "\ntail") for label, lines in notices.items()]
+    rows += [(f"{label}/words", "\n".join(license_scan.TEMPLATES[label].split())) for label in license_scan.TEMPLATES]
+    rows += [("far", "redistribution and use in source and binary forms with or without\n" + "filler words here " * 10 + "\nmodification are permitted"), ("none", None)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    got = {rows[r.doc_id][0]: r for r in license_scan.scan(docs, wrapped=True).collect()}
+    assert all(label in got[label].labels.split(",") and got[label].score == 1 for label in notices)
+    assert all(label in got[f"{label}/words"].labels.split(",") for label in license_scan.TEMPLATES)
+    assert got["far"].labels == "" and got["far"].score == 0 and got["none"].labels == "" and got["none"].n_words == 0
+    assert 1 in {m.block for m in got["bsd"].matches}
