@@ -3,11 +3,11 @@
 Links are pairs of texts whose sets of five-word shingles have a Jaccard
 index of at least 0.8.
 
-ProbMinHash: every distinct shingle of weight w (1 + ln of its count) starts a
-Poisson process of rate w, seeded by its hash; each arrival falls on one of
+ProbMinHash: every distinct shingle of weight w (here 1, since links are judged
+on sets; counts play no part) starts a Poisson process of rate w, seeded by its hash; each arrival falls on one of
 ``m`` registers, and a register keeps the shingle that arrives first.  Two
 documents agree in a register with a probability equal to the probability
-Jaccard index of their weighted shingles; with all counts 1 that is the Jaccard
+Jaccard index of their weighted shingles; with weights 1 that is the Jaccard
 index itself.  Arrivals later than a time at which all registers are almost
 surely full are never drawn; the few documents with a register left empty draw
 on to a later time, so stopping early changes no register.
@@ -116,8 +116,8 @@ def _signatures(k: int, bands: int, rows: int):
         for batch in in_slices(batches):
             ids = batch.column(0).to_numpy()
             for w in tv.words(batch.column(1)):
-                d, h, n = shingles_of(w, k)
-                reg = probminhash(d, h, 1.0 + np.log(n), w.n_docs, m)
+                d, h, _ = shingles_of(w, k)
+                reg = probminhash(d, h, np.ones(len(h)), w.n_docs, m)
                 keys = np.zeros((w.n_docs, bands), np.uint64)
                 with np.errstate(over="ignore"):
                     for r in range(rows):

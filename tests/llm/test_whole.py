@@ -2,7 +2,9 @@
 
 from collections import Counter
 
-from densitylab.llm import license_scan, line_rules
+import pyarrow as pa
+
+from densitylab.llm import license_scan, line_rules, near_dedup
 
 KINDS = "doc_id bigint, text string, source string"
 
@@ -52,3 +54,12 @@ def test_wrapping_splits_no_notice(spark):
     assert all(label in got[f"{label}/words"].labels.split(",") for label in license_scan.TEMPLATES)
     assert got["far"].labels == "" and got["far"].score == 0 and got["none"].labels == "" and got["none"].n_words == 0
     assert 1 in {m.block for m in got["bsd"].matches}
+
+
+def test_repeated_passages_change_no_band():
+    one, two = ([f"{c}{i}" for i in range(30)] for c in "ab")
+    texts = [" ".join([*one * k, *one[:4], *two, *two[:4]]) for k in (1, 2, 50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int64()), pa.array(texts)], names=["id", "text"])
+    (got,) = near_dedup._signatures(near_dedup.SHINGLE, near_dedup.BANDS, near_dedup.ROWS)(iter([batch]))
+    keys = got.column(3).to_pylist()
+    assert len(keys) == 3 and keys[0] == keys[1] == keys[2]
