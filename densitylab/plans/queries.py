@@ -386,6 +386,20 @@ def vec_counts(spark, sf_dir):
     return qc.vec_counts(vec, range(n)).select("marker_idx", _r("mean", "mean"), F.col("rows").alias("n"))
 
 
+@query()
+def gram_entries_whole(spark, sf_dir):
+    """``gram_entries`` over every pair of training samples."""
+    train = _train(spark, sf_dir)
+    return kernel.gram_entries(train, qc.eligible(train)).select("i", "j", _r("k", "k", 6))
+
+
+@query("SELECT marker_idx, round(mean, 8) AS mean, n FROM stats", _BASE)
+def vec_counts_whole(spark, sf_dir):
+    """``vec_counts`` over every training row."""
+    n = _train(spark, sf_dir).select("sample_idx").distinct().count()
+    return qc.vec_counts(_vec(spark, sf_dir), range(n)).select("marker_idx", _r("mean", "mean"), F.col("rows").alias("n"))
+
+
 def _density_run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     s, labels = fx.study(spark, sf_dir)
     outer = {i: min(f, 4) for i, f in zip(s.ids, (x % 5 for x in labels))}
