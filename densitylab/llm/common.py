@@ -31,17 +31,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def columns(df: DataFrame, kinds: dict[str, T.DataType]) -> DataFrame:
+    """The named columns, cast; one that is missing is null.
+
+    A name is taken as it is written, else the first that differs from it in case alone, and
+    columns are picked by position, so that extra columns of clashing names do no harm.
+    """
+    at = {}
+    for name in kinds:
+        same = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+        at[name] = same[0] if same else None
+    numbered = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return numbered.select(*[(F.lit(None) if at[n] is None else F.col(f"_{at[n]}")).cast(kind).alias(n) for n, kind in kinds.items()])
+
+
 def documents(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns of documents, by position-free name; extra columns go."""
+    """Only the named columns of documents; extra columns go."""
     kinds = {f.name: f.dataType for f in DOCUMENT}
-    return df.select(*[df[n].cast(kinds[n]).alias(n) if n in df.columns else F.lit(None).cast(kinds[n]).alias(n) for n in names])
+    return columns(df, {n: kinds[n] for n in names})
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share."""
+    """The folder in spark.checkpoint.dir, which all executors share; a session inside one machine may do without."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="densitylab-")  # only for local sessions that name none
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="densitylab-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -125,3 +141,20 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         if not changed:
             release(both)
             return now
+
+
+def merged(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """``label`` (node, component) after links (a, b): only components that a link joins are looked at again."""
+    if label is None:
+        return None if links.isEmpty() else components(links)
+    of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    edges = named.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).filter("a <> b").distinct()
+    edges = staged(edges, "joined")
+    if edges.isEmpty():
+        return label
+    new = components(edges)
+    moved = label.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    out = staged(moved.unionAll(new.join(label.select("node"), "node", "left_anti").select("node", "component")), "label")
+    release(edges, label, new)
+    return out

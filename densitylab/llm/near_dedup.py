@@ -16,24 +16,26 @@ Banding: ``bands`` hashes of ``rows`` registers.  Texts with equal words are
 one node from the start.
 
 Verification is exact and makes no pairs within a bucket.  All members of a
-bucket are compared with one member, the hub, that meets most others.  Two
-further members A, B in different components can be linked only if
+bucket are compared with one text, the hub: one row a member.  Let R be the
+shingles that most of a hub's members (and the hub) hold, D(A) = A ^ R, and
+the slack of A be |D(A)| - c |A| with c = (1 - t) / (1 + t).  Since A and B are
+linked if |A ^ B| <= c (|A| + |B|):
 
-* they share a shingle that the hub lacks; then one lies among the first
-  (1 - t)|A| + 1 such shingles of A in hash order, and of B (prefix filter).
-  These shingles, with the hub, are the buckets of the next round; or
-* they share none: then |A & B| <= |hub| - max(missing A, missing B), which
-  leaves only B shorter than the hub, joined on sizes.
+* members whose slacks sum to 0 or less are linked for sure, so the member of least
+  slack is linked to all that any such link could join;
+* in any other link D(A) and D(B) share at least half the sum of the slacks, so
+  each holds a shared one in its prefix: the first of D when a text's own differences
+  come first and common ones last.  Members with the same difference in their
+  prefixes are the buckets of the next round.
 
-From the second round on, members of different components are compared directly
-in a bucket of at most DIRECT members, a linear number of pairs; a larger one
-gets a hub again and is split by what the hub lacks.  A bucket never holds the
-hubs it came from, so rounds end; they stop when each bucket is in a component.
+Near copies with edits of their own share no difference, so a group ends after one
+comparison a member.  A bucket never holds the hub it came from, so rounds end; they
+stop when each bucket is in one component.
 
 Defined results: class_id is the least doc_id of the component.  A text of
 fewer words than a shingle is one shingle; a text without words (null, empty)
-is alone.  Rows that repeat a doc_id are one document and give one row; its
-least text stands for it where texts are compared.  Rows with a null doc_id
+is alone.  Rows that repeat a doc_id are one document and give one row; it has
+the links of all its texts.  Rows with a null doc_id
 give one row each, alone, with null class_id.  Extra columns are ignored.
 """
 
@@ -41,16 +43,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import components, documents, in_slices, release, staged
+from .common import documents, in_slices, merged, release, staged
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
-#: From the second round on, buckets of so many members are compared directly.
-DIRECT = 512
 
 
 def shingles_of(w: tv.Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,51 +144,138 @@ def _signatures(k: int, bands: int, rows: int):
 
 
 def _compare(k: int, t: float):
-    """(a, hub, texts) -> sizes, whether linked, and A's first shingles that the hub lacks."""
+    """(id, hub, n, text_a, text_b) -> size of A, whether linked, and the shingles that only A or only the hub has."""
 
     def run(batches):
         for batch in in_slices(batches, "text_a"):
-            sides = []
-            for c in (2, 3):
-                own = []
-                for w in tv.words(batch.column(c)):
-                    d, h, _ = shingles_of(w, k)
-                    cut = np.searchsorted(d, np.arange(w.n_docs + 1))
-                    own += [h[cut[i] : cut[i + 1]] for i in range(w.n_docs)]
-                sides.append(own)
-            size, hub_size, missing, linked, lacks = [], [], [], [], []
-            for a, b in zip(*sides):
-                shared = np.intersect1d(a, b, assume_unique=True)
-                size.append(len(a))
-                hub_size.append(len(b))
-                missing.append(len(b) - len(shared))
-                linked.append(len(shared) >= t * (len(a) + len(b) - len(shared)) - 1e-9)
-                lacks.append(np.setdiff1d(a, b, assume_unique=True)[: int((1 - t) * len(a) + 1e-9) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(hub_size, pa.int64()), pa.array(missing, pa.int64()), pa.array(linked, pa.bool_()), pa.array(lacks, pa.list_(pa.int64()))],
-                names=["id", "hub", "size", "hub_size", "missing", "linked", "lacks"],
-            )
+            left: list[np.ndarray] = []
+            for w in tv.words(batch.column(3)):
+                d, h, _ = shingles_of(w, k)
+                cut = np.searchsorted(d, np.arange(w.n_docs + 1))
+                left += [h[cut[i] : cut[i + 1]] for i in range(w.n_docs)]
+            rows, before = [], None
+            for n, a, text in zip(batch.column(2).to_pylist(), left, batch.column(4).to_pylist()):
+                if text != before:  # rows of a hub follow each other
+                    (w,) = tv.words(pa.array([text], pa.string()))
+                    h, before = shingles_of(w, k)[1], text
+                plus, minus = np.setdiff1d(a, h, assume_unique=True), np.setdiff1d(h, a, assume_unique=True)
+                linked = len(a) - len(plus) >= t * (len(a) + len(minus)) - 1e-9
+                if n < 2:  # nobody else was compared with this hub
+                    plus, minus = plus[:0], minus[:0]
+                rows.append((len(a), linked, plus.view(np.int64), minus.view(np.int64)))
+            kinds = (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(v, kind) for v, kind in zip(zip(*rows), kinds))], names=["id", "hub", "n", "size", "linked", "plus", "minus"])
 
     return run
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, k: int, t: float) -> DataFrame:
-    """``pairs``: id, hub."""
-    left = pairs.join(texts.select("id", F.col("text").alias("text_a")), "id")
-    both = left.join(texts.select(F.col("id").alias("hub"), F.col("text").alias("text_b")), "hub")
-    out = "id bigint, hub bigint, size bigint, hub_size bigint, missing bigint, linked boolean, lacks array<bigint>"
-    return both.select("id", "hub", "text_a", "text_b").mapInArrow(_compare(k, t), out)
+#: Members of a hub that one task compares.
+SPREAD = 128
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, k: int, t: float, turn: int) -> DataFrame:
+    """``pairs``: id, hub.  A hub's members, and itself where it has several, are dealt over as many places as they need."""
+    counts = staged(pairs.groupBy("hub").agg(F.count("*").alias("n")), f"hubs-{turn}")
+    places = F.expr(f"(n + {SPREAD - 1}) div {SPREAD}")
+    hubs = counts.join(texts.select(F.col("id").alias("hub"), F.col("text").alias("text_b")), "hub").select("hub", "text_b", F.explode(F.sequence(F.lit(0).cast("bigint"), places - 1)).alias("place"))
+    every = pairs.join(counts, "hub").select("id", "hub", "n").unionAll(counts.filter("n > 1").select(F.col("hub").alias("id"), "hub", "n"))
+    left = every.withColumn("place", F.pmod(F.xxhash64("id"), places)).join(texts.select("id", F.col("text").alias("text_a")), "id")
+    both = left.join(hubs, ["hub", "place"]).select("id", "hub", "n", "text_a", "text_b")
+    met = staged(both.mapInArrow(_compare(k, t), "id bigint, hub bigint, n bigint, size bigint, linked boolean, plus array<bigint>, minus array<bigint>"), f"met-{turn}")
+    release(counts)
+    return met
+
+
+_PART = "hub bigint, id bigint, size bigint, own bigint, rest array<bigint>, d bigint, most bigint"
+
+
+def _against_most(batches):
+    """Differences from R instead of the hub: ``own`` ones first, then the shared ones by frequency."""
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            shared = {x["e"]: x["df"] for x in r["shared"] or []}
+            flipped = {x["e"]: r["rows"] - x["df"] for x in r["flipped"] or []}
+            own = r["n_diff"] - len(shared)
+            rest = [(df, e) for e, df in shared.items() if e not in flipped] + [(df, e) for e, df in flipped.items() if e not in shared]
+            rows.append((r["hub"], r["id"], r["size"], own, [e for _, e in sorted(rest)], own + len(rest), r["most"]))
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] + [pa.int64()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=["hub", "id", "size", "own", "rest", "d", "most"])
 
 
-def _unshared(met: DataFrame, t: float) -> DataFrame:
-    """Pairs (id, hub) that may be linked though they share nothing that their hub lacks."""
-    g = 1.0 + 1.0 / t  # index >= t  <=>  |A| + |B| <= g * |A & B|
-    far = met.filter("not linked").select("hub", F.col("id").alias("a"), "size", "missing", (g * (F.col("hub_size") - F.col("missing")) - F.col("size") + 1e-6).alias("most"))
-    near = met.filter("size < hub_size").select("hub", F.col("id").alias("b"), F.col("size").alias("size_b"), (g * (F.col("hub_size") - F.col("missing")) + 1e-6).alias("both"))
-    far = far.join(near.groupBy("hub").agg(F.min("size_b").alias("least")), "hub").filter("most >= least")
-    near = near.join(far.groupBy("hub").agg(F.max("most").alias("top")), "hub").filter("size_b <= top")
-    hit = far.join(near, "hub").filter("a <> b and size_b <= most and size + size_b <= both")
-    return hit.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("hub")).distinct()
+def _children(met: DataFrame, within: DataFrame | None, t: float, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(links, members): sure links a, b; and key, id of members of one hub that share a difference in their prefixes, of which a pair could be linked."""
+    c = (1 - t) / (1 + t)
+    groups = met.filter("n > 1").groupBy("hub").agg(F.count("*").alias("rows"), F.max("size").alias("most"), F.count_if(~F.col("linked")).alias("u"))
+    groups = staged(groups.filter("u > 0").drop("u"), f"open-{turn}")
+    # a comparison is named by what was compared, as a repeated id can have several texts
+    apart = F.concat("plus", F.transform("minus", lambda x: F.xxhash64(x, F.lit(-1)))).alias("diff")
+    found = staged(met.join(groups, "hub").select("hub", "id", "size", "rows", "most", apart).withColumn("v", F.xxhash64("size", "diff")), f"found-{turn}")
+    each = found.select("hub", "id", "v", "rows", F.explode("diff").alias("e"))
+    shared = staged(each.groupBy("hub", "e").agg(F.count("*").alias("df"), F.max("rows").alias("rows")).filter("df > 1"), f"shared-{turn}")
+    flipped = staged(shared.filter("2 * df > rows").groupBy("hub").agg(F.collect_list(F.struct("df", "e")).alias("flipped")), f"flipped-{turn}")  # at most two texts' shingles
+    lists = each.join(shared.select("hub", "e", "df"), ["hub", "e"]).groupBy("hub", "id", "v").agg(F.collect_list(F.struct("df", "e")).alias("shared"))
+    wide = found.select("hub", "id", "v", "size", "rows", "most", F.size("diff").alias("n_diff")).join(lists, ["hub", "id", "v"], "left").join(flipped, "hub", "left")
+    placed = staged(wide.mapInArrow(_against_most, _PART), f"part-{turn}")
+    part = placed.withColumn("slack", F.col("d") - c * F.col("size"))
+    least = staged(part.groupBy("hub").agg(F.min(F.struct("slack", "id")).alias("x")).select("hub", (-F.col("x.slack")).alias("room"), F.col("x.id").alias("nearest")), f"least-{turn}")
+    part = part.join(least, "hub").withColumn("u", F.col("slack") > F.col("room") + 1e-9)
+    links = staged(part.filter("not u and id <> nearest").select(F.col("id").alias("a"), F.col("nearest").alias("b")).distinct(), f"sure-{turn}")
+    prefix = lambda need: F.greatest(F.lit(0), F.col("d") - F.greatest(F.lit(1), need) + 1)
+    short = F.when(F.col("u"), prefix(F.ceil(F.col("slack") - 1e-9))).otherwise(prefix(F.floor((F.col("slack") + F.col("room")) / 2 + 1e-9) + 1))
+    far = F.when(F.col("u"), prefix(F.ceil(F.col("slack") - c * F.least(F.col("size") / t, F.col("most")) - 1e-9))).otherwise(F.lit(0))
+    part = part.filter("id <> hub").withColumn("short", short).withColumn("far", F.greatest("short", far))
+    cells = part.select("hub", "id", "u", "slack", "own", "short", F.posexplode(F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.col("far") - F.col("own")).cast("int"))).alias("i", "e"))
+    cells = cells.select("hub", "id", F.xxhash64("hub", "e").alias("key"), "u", "slack", (F.col("own") + F.col("i") < F.col("short")).alias("near"))
+    if within is not None:  # only pairs of one bucket count
+        cells = cells.withColumnRenamed("key", "e").join(within, ["hub", "id"]).withColumn("key", F.xxhash64("key", "e"))
+    cells = staged(cells.select("key", "id", "u", "slack", "near"), f"cells-{turn}")
+    # of a linked pair the one of less slack has the difference in its short prefix, and the other has more than the room
+    fits = cells.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.expr("min(slack) filter (where near) as least"), F.expr("max(slack) filter (where u) as most"))
+    fits = staged(fits.filter("lo < hi and least <= most").select("key", "least"), f"fits-{turn}")
+    out = staged(cells.join(fits, "key").filter("near or slack >= least").select("key", "id").distinct(), f"members-{turn}")
+    release(groups, found, shared, flipped, placed, least, cells, fits)
+    return links, out
+
+
+def _stars(live: DataFrame, first: bool) -> DataFrame:
+    """key, hub of every bucket.
+
+    The hub meets most others.  At first it need not be a member: buckets of a group of near copies
+    share its middle, namely the best member of the buckets that most of their members are in.
+    """
+    score = live.groupBy("id").agg(F.sum("n").alias("score"))
+    best = live.join(score, "id").groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("top"))
+    if not first:
+        return best.select("key", (-F.col("top.neg")).alias("hub"))
+    best = staged(best, "best")
+    reach = staged(live.join(best, "key").groupBy("id").agg(F.max("top").alias("top")), "reach")
+    votes = live.join(reach, "id").groupBy("key", "top").agg(F.count("*").alias("votes"))
+    return votes.groupBy("key").agg(F.max(F.struct("votes", "top")).alias("t")).select("key", (-F.col("t.top.neg")).alias("hub"))
+
+
+def link_buckets(member: DataFrame, texts: DataFrame, label: DataFrame | None, shingle: int, threshold: float) -> DataFrame | None:
+    """``label`` (node, component) after all links inside buckets (``member``: key, id); ``texts``: id, text."""
+    turn = 0
+    while True:
+        turn += 1
+        at = member.withColumn("c", F.col("id")) if label is None else member.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        marks = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+        groups = at.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), *marks).filter("lo < hi")
+        if turn > 1:  # one of the buckets with the same members
+            groups = groups.groupBy("n", "x1", "x2").agg(F.min("key").alias("key"))
+        groups = staged(groups.select("key", "n"), f"groups-{turn}")
+        live = staged(member.join(groups, "key"), f"live-{turn}")
+        release(member, groups)
+        if live.isEmpty():
+            break
+        pairs = staged(live.join(staged(_stars(live, turn == 1), f"stars-{turn}"), "key").filter("id <> hub").select("key", "id", "hub"), f"pairs-{turn}")
+        met = _compared(pairs.select("id", "hub").distinct(), texts, shingle, threshold, turn)
+        label = merged(label, met.filter("linked").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+        sure, member = _children(met, None if turn == 1 else pairs, threshold, turn)
+        label = merged(label, sure)
+        release(met, live, pairs, sure)
+    return label
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -198,55 +285,24 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, shingl
     signed = staged(named.mapInArrow(_signatures(shingle, bands, rows), "id bigint, same1 bigint, same2 bigint, keys array<bigint>"), "signatures")
     # written, as other aggregates below, so that joins have plain exchanges, which Spark splits where a key is hot
     nodes = staged(signed.groupBy("same1", "same2").agg(F.min("id").alias("node"), F.max("id").alias("hi")), "nodes")
-    links = staged(
-        signed.select("id", "same1", "same2").join(nodes.filter("node < hi"), ["same1", "same2"]).filter("id > node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct(), "twins"
-    )
+    twins = signed.select("id", "same1", "same2").join(nodes.filter("node < hi"), ["same1", "same2"]).filter("id > node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    label = merged(None, staged(twins.distinct(), "twins"))
     # the bands of one document for each distinct word sequence
     firsts = signed.join(nodes.select("same1", "same2", F.col("node").alias("id")), ["same1", "same2", "id"], "left_semi")
     banded = firsts.select("id", F.explode("keys").alias("key"))
     crowd = staged(banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key"), "crowd")
     member = staged(banded.join(crowd, "key").select("key", "id").distinct(), "members")
     involved = member.select(F.col("id").alias("doc_id")).distinct()
-    texts = staged(named.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "id"), "texts")
-    release(signed, crowd)
-    label, turn, tried = None, 0, None
-    while True:
-        turn += 1
-        at = member.withColumn("c", F.col("id")) if label is None else member.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        groups = at.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key", "n")
-        groups = staged(groups, f"groups-{turn}")
-        live = staged(at.join(groups, "key"), f"open-{turn}")
-        release(member, groups)
-        if live.isEmpty():
-            break
-        # the hub: the member that meets most others in the buckets still open
-        star = live if turn == 1 else live.filter(F.col("n") > DIRECT)
-        score = star.groupBy("id").agg(F.sum("n").alias("score"))
-        best = star.join(score, "id").groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("hub"))
-        pairs = staged(star.join(best, "key").filter("id <> hub").select("key", "id", "hub"), f"stars-{turn}")
-        met = staged(_compared(pairs.select("id", "hub").distinct(), texts, shingle, threshold), f"met-{turn}")
-        rest = _unshared(met, threshold)
-        if turn > 1:
-            one, two = live.filter(F.col("n") <= DIRECT), live.filter(F.col("n") <= DIRECT).select("key", F.col("id").alias("hub"), F.col("c").alias("d"))
-            rest = rest.unionAll(one.join(two, "key").filter("id > hub and c <> d").select("id", "hub")).distinct()
-        if tried is not None:
-            rest = rest.join(tried, ["id", "hub"], "left_anti")
-        rest = staged(rest, f"rest-{turn}")
-        tried = rest if tried is None else tried.unionAll(rest)
-        found = met.filter("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-        found = found.unionAll(_compared(rest, texts, shingle, threshold).filter("linked").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-        links = links.unionAll(staged(found, f"links-{turn}"))
-        label = components(links)
-        lacking = met.select("id", "hub", F.explode("lacks").alias("s"))
-        within = pairs.select("id", "hub").distinct() if turn == 1 else pairs
-        keyed = [F.xxhash64("hub", "s")] if turn == 1 else [F.xxhash64("key", "hub", "s")]
-        member = staged(lacking.join(within, ["id", "hub"]).select(keyed[0].alias("key"), "id").distinct(), f"members-{turn}")
-        release(met, live, pairs)
-    if label is None:
-        label = components(links)
+    several = named.join(involved, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+    texts = staged(several.select(F.col("doc_id").alias("id"), "text"), "texts")
+    release(signed, nodes, crowd)
+    label = link_buckets(member, texts, label, shingle, threshold)
+    release(texts)
     ids = base.filter("doc_id is not null").select("doc_id").distinct()
+    alone = base.filter("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(True).alias("kept"))
+    if label is None:
+        return ids.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(True).alias("kept")).unionAll(alone)
+    sizes = staged(label.groupBy(F.col("component").alias("class_id")).agg(F.count("*").alias("class_size")), "sizes")
     classed = ids.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
-    sizes = label.groupBy(F.col("component").alias("class_id")).agg(F.count("*").alias("class_size"))
     out = classed.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    alone = base.filter("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(True).alias("kept"))
     return out.unionAll(alone)

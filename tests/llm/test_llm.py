@@ -236,13 +236,11 @@ def near_truth(texts):
     return {i: find(i) for i in ids}
 
 
-def test_near_duplicates_equal_brute_force(spark, docs, empty, monkeypatch):
+def test_near_duplicates_equal_brute_force(spark, docs, empty):
     truth = near_truth({r.doc_id: r.text for r in docs.collect() if r.doc_id is not None})
-    for direct in (near_dedup.DIRECT, 1):
-        monkeypatch.setattr(near_dedup, "DIRECT", direct)
-        rows = near_dedup.near_duplicate_classes(docs).collect()
-        assert {r.doc_id: r.class_id for r in rows if r.doc_id is not None} == truth
-        assert [r.class_id for r in rows if r.doc_id is None] == [None] and len(rows) == len(truth) + 1
+    rows = near_dedup.near_duplicate_classes(docs).collect()
+    assert {r.doc_id: r.class_id for r in rows if r.doc_id is not None} == truth
+    assert [r.class_id for r in rows if r.doc_id is None] == [None] and len(rows) == len(truth) + 1
     assert near_dedup.near_duplicate_classes(empty).count() == 0
 
 
