@@ -42,7 +42,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"), columns=COLUMNS).filter("n_hit = 0").select(*COLUMNS)
+    return decontaminate.without_leaks(docs, decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark")), COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

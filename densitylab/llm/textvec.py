@@ -19,6 +19,8 @@ CHUNK_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
+#: Another base, for a second hash that agrees by chance no more often than the first.
+OTHER = np.uint64(0xA0761D6478BD642F)
 _TAB = np.random.default_rng(0x5EED).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -99,7 +101,7 @@ class Words:
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), np.diff(self.ptr))
 
-    def grams(self, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, k: int, salt: int = 0, base: np.uint64 = _GRAM) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on, and whether they lie in one document."""
         n = len(self.hash)
         m = max(0, n - k + 1)
@@ -108,7 +110,7 @@ class Words:
         if m:
             acc = np.full(m, np.uint64(salt + k))
             for j in range(k):
-                acc = acc * _GRAM + self.hash[j : j + m]
+                acc = acc * base + self.hash[j : j + m]
             out[:m] = mix64(acc)
             ends = np.repeat(self.ptr[1:], np.diff(self.ptr))
             ok[:m] = np.arange(m) + k <= ends[:m]

@@ -105,15 +105,15 @@ def test_chain_learns_and_is_out_of_fold(spark):
     assert toxicity.train(d, labels.limit(0)) is None and toxicity.score(d, None).filter("toxic").isEmpty()
 
 
-def test_leaks_equal_brute_force(spark, docs, empty):
+def test_leaks_equal_brute_force(spark, docs, empty, monkeypatch):
     texts = {r.doc_id: r.text for r in docs.collect()}
     w = low_words(texts[9])
-    items = [(3, " ".join(w[2:14])), (20, " ".join(w[20:24]).upper()), (100, "zz yy"), (7, None), (8, "!?"), (5, texts[11]), (3, " ".join(w[2:14]))]
-    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    items = [("3", " ".join(w[2:14])), ("q-20", " ".join(w[20:24]).upper()), ("100", "zz yy"), ("7", None), ("8", "!?"), ("5", texts[11]), ("3", " ".join(w[2:14])), (None, " ".join(w[30:34]))]
+    bench = spark.createDataFrame([(*x, "extra") for x in items], "item_id string, text string, TEXT string")
     for block in (decontaminate.BLOCK_BYTES, 60):
-        old, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, block
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
         rows = decontaminate.report(decontaminate.find_leaks(docs, bench)).collect()
-        decontaminate.BLOCK_BYTES = old
+        assert len(rows) == docs.count()
         for r in rows:
             own, hit, ids = low_words(texts[r.doc_id] if r.doc_id is not None else texts[7]), set(), set()
             for item, t in items:
@@ -124,10 +124,32 @@ def test_leaks_equal_brute_force(spark, docs, empty):
                             hit.update(range(i, i + len(win)))
                             ids.add(item)
             assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(own), len(hit), len(ids), bool(hit))
-            assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+            assert r.items_sha256 == hashlib.sha256(",".join(sorted(x for x in ids if x is not None)).encode()).hexdigest()
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
-    near = decontaminate.near_matches(docs, [f"{w[5]} {w[8]} {w[6]}"], slop=2).filter("doc_id = 9").count()
-    assert near >= 1
+    leaks = decontaminate.find_leaks(docs, bench)
+    left = decontaminate.without_leaks(docs, leaks, ("doc_id", "text")).count()
+    assert left == leaks.filter("n_hit = 0").count() < docs.count()
+
+
+def test_proximity_equals_brute_force(spark, docs):
+    w = low_words(docs.filter("doc_id = 9").first().text)
+    phrases = [f"{w[5]} {w[8]} {w[6]}", "go go", f"{w[0]} nowhere", "", f"{w[40]} {w[1]}"]
+    for slop in (2, 60):
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.phrase, r.position) for r in decontaminate.near_matches(docs, phrases, slop).collect())
+        want = []
+        for r in docs.collect():
+            own = low_words(r.text)
+            for p in phrases:
+                terms, span = set(p.split()), len(p.split()) + slop
+                hits = [[i for i in range(len(own)) if own[i] == t and all(t2 in own[max(0, i - span) : i + span + 1] for t2 in terms)] for t in sorted(terms)]
+                if terms and all(hits):
+                    want.append((r.doc_id, p, hits))
+        found = {}
+        for null, i, p, at in got:
+            found.setdefault((None if null else i, p), set()).add(at)
+        # a place of any one word of the phrase at which the others are near
+        assert set(found) == {(i, p) for i, p, _ in want}
+        assert all(any(found[i, p] <= set(h) for h in hits) for i, p, hits in want)
 
 
 def test_line_rules_equal_brute_force(spark, docs, empty):
@@ -272,6 +294,10 @@ def test_substrings_equal_brute_force(spark, docs, empty):
         if r.doc_id is not None:
             assert SPACE.findall(r.kept_text or "") == kept[r.doc_id] and r.n_removed == len(words[r.doc_id]) - len(kept[r.doc_id])
             assert (r.kept_text is None) == (texts[r.doc_id] is None)
+            own = words[r.doc_id]
+            cut = {k for x in r.repeats for k in range(x["first"], x["last"] + 1)}
+            assert [x for k, x in enumerate(own) if k not in cut] == kept[r.doc_id] and len(cut) == r.n_removed
+            assert all(x["last"] - x["first"] >= 12 for x in r.repeats)
         else:
             assert r.n_removed == r.n_words
     assert substring_dedup.remove_repeats(empty).count() == 0
