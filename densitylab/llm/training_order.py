@@ -9,9 +9,11 @@ are cut into ranges of ``per_shard``; each shard is a file of records of a fixed
 stride, so record ``slot`` stands at byte ``(slot mod per_shard) * stride`` of
 shard ``slot div per_shard``, and reading resumes from a slot alone.
 
-Shards are written in GROUPS ranges one after another, so that the shuffle files
-of one range are gone before the next begins.  A shard is written under a temporary name and then renamed; a task that runs
-again writes the same bytes.  A writing task holds one record at a time.
+Slots are dealt to the writing tasks by ranges of shards, so every task writes as
+many, one after another.  This is done in GROUPS ranges of all slots, so that the
+shuffle files of one are gone before the next begins.  A shard is written under a
+temporary name and then renamed; a task that runs again writes the same bytes.  A
+writing task holds one record at a time.
 
 Defined results: a null or empty text is the end id alone; repeated rows and
 null ids are kept; an empty table gives no shards.  Extra columns are ignored.
@@ -34,7 +36,9 @@ from . import tokens as tk
 from . import textvec as tv
 from .common import documents, in_slices, release, staged
 
-LENGTH, PER_SHARD, ROUNDS, GROUPS = 2048, 2048, 6, 3
+LENGTH, PER_SHARD, ROUNDS, GROUPS = 2048, 2048, 6, 2
+#: Shards that a writing task may have beyond one for each of the shuffle's partitions.
+PER_TASK = 8
 
 
 def _step(x: np.ndarray, half: int, key: int) -> np.ndarray:
@@ -175,7 +179,9 @@ def write_shards(docs: DataFrame, folder: str, key: int = 20240229, length: int
     for g in range(groups):
         first, last = g * n_shards // groups, (g + 1) * n_shards // groups
         placed = made.mapInArrow(place(first * per_shard, last * per_shard), rows)
-        dealt = placed.repartition(last - first, F.expr(f"slot div {per_shard}")).sortWithinPartitions("slot")
+        n_tasks = min(last - first, max(int(spark.conf.get("spark.sql.shuffle.partitions")), (last - first) // PER_TASK))
+        task = F.expr(f"cast((slot div {per_shard} - {first}) * {n_tasks} div {last - first} as int)")
+        dealt = placed.repartitionById(n_tasks, task).sortWithinPartitions("slot")
         own = staged(dealt.mapInArrow(_write(folder, length, per_shard), rows.replace("body binary, ", "")), f"slots-{g}")
         table = own if table is None else table.unionAll(own)
     with fs.open_output_stream(f"{root}/manifest.json") as f:
