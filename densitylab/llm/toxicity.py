@@ -7,13 +7,16 @@ sees earlier ones as unsure as they are on new texts.  The data mark only whethe
 a text is toxic; the earlier categories are weak labels, toxic texts with a word
 of the category's seed list, and the last category is the mark itself.
 
-Training takes at most about MAX_TRAIN labelled documents by hash, whose
-distinct word hashes come to the driver; only those stay whose share among toxic
-texts differs from that among others by Z standard errors or more.  Scoring takes every word of every text.
+Training takes a sample by hash of at most about MAX_TRAIN labelled documents and
+MAX_BYTES of text, whose distinct word hashes come to the driver; only those stay
+whose share among toxic texts differs from that among others by Z standard errors
+or more.  Models that predict a fold choose their words, too, without its rows.
+Scoring takes every word of every text.
 
 Defined results: a text without words (null, empty) has no words to weigh and
 gets the models' biases.  Without labels every probability is 0.  A doc_id with
-several labels uses the greatest.  Repeated rows get equal results.  Extra columns are ignored.
+several labels uses the greatest, one with several texts is learned by the least.
+Repeated rows get equal results.  A null doc_id isn't held out.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import documents, in_slices
+from .common import documents, in_slices, labelled
 
 BUCKETS = 1 << 22
-MAX_TRAIN, MIN_DOCS, FOLDS, THRESHOLD = 12_000, 4, 3, 0.3
+MAX_TRAIN, MAX_BYTES, MIN_DOCS, FOLDS, THRESHOLD = 12_000, 64 << 20, 4, 3, 0.3
 BEGINNING, Z = 6, 3.5
 
 # Seed words of the weakly labelled categories.
@@ -40,7 +43,7 @@ CHAIN = [*SEEDS, "toxic"]
 
 
 def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
 def _bucket(words: list[str]) -> list[int]:
@@ -67,7 +70,7 @@ def _sum(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 class Logistic:
-    """L2-regularised, over the presence of words and a few dense columns; Nesterov steps."""
+    """L2-regularised, over the presence of words and a few dense columns; Adam steps of falling size."""
 
     def fit(self, index: np.ndarray, begin: np.ndarray, dense: np.ndarray, y: np.ndarray, size: int, l2: float = 2e-4, rounds: int = 150, rate: float = 0.5) -> Logistic:
         row = np.repeat(np.arange(len(y)), np.diff(begin))
@@ -117,24 +120,34 @@ class Chain:
         return p
 
 
-def fit_chain(buckets: np.ndarray, begin: np.ndarray, marks: np.ndarray, fold: np.ndarray) -> Chain:
-    """marks: documents x categories of 0/1, in the chain's order."""
+def vocabulary(buckets: np.ndarray, begin: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Words whose share differs between the two classes of these rows."""
     words, at, count = np.unique(buckets, return_inverse=True, return_counts=True)
-    y = marks[:, -1]
     n, hit = y.sum(), np.bincount(at, np.repeat(y, np.diff(begin)), len(words))
-    p = count / len(y)
+    p = count / max(len(y), 1)
     error = np.sqrt(p * (1 - p) * (1 / max(n, 1) + 1 / max(len(y) - n, 1))) + 1e-9
     gap = np.abs(hit / max(n, 1) - (count - hit) / max(len(y) - n, 1))
-    chain = Chain(words[(count >= MIN_DOCS) & (gap >= Z * error)], [])
-    index, begin = chain.restrict(buckets, begin)
-    size, before = len(chain.vocabulary), np.zeros((len(marks), 0))
+    return words[(count >= MIN_DOCS) & (gap >= Z * error)]
+
+
+def fit_chain(buckets: np.ndarray, begin: np.ndarray, marks: np.ndarray, fold: np.ndarray) -> Chain:
+    """marks: documents x categories of 0/1, in the chain's order."""
+    toxic = marks[:, -1]
+    chain = Chain(vocabulary(buckets, begin, toxic), [])
+    index, at = chain.restrict(buckets, begin)
+    parts = []
+    for f in range(FOLDS):
+        train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        if len(train) and len(test):
+            seen = _rows(buckets, begin, train)
+            own = Chain(vocabulary(*seen, toxic[train]), [])
+            parts.append((train, test, own.restrict(*seen), own.restrict(*_rows(buckets, begin, test)), len(own.vocabulary)))
+    before = np.zeros((len(marks), 0))
     for y in marks.T:
-        chain.models.append(Logistic().fit(index, begin, before, y, size))
+        chain.models.append(Logistic().fit(index, at, before, y, len(chain.vocabulary)))
         unseen = np.zeros(len(y))
-        for f in range(FOLDS):
-            train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            if len(test) and len(train):
-                unseen[test] = Logistic().fit(*_rows(index, begin, train), before[train], y[train], size).predict(*_rows(index, begin, test), before[test])
+        for train, test, seen, new, size in parts:
+            unseen[test] = Logistic().fit(*seen, before[train], y[train], size).predict(*new, before[test])
         before = np.column_stack([before, unseen])
     return chain
 
@@ -145,13 +158,8 @@ def _bags(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(words.astype(np.int32)))], names=["doc_id", "y", "words"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain | None:
-    marks = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["toxic"].cast("int").alias("y")).filter("doc_id is not null and y is not null")
-    marks = marks.filter(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
-    n = marks.count()
-    if n > max_train:
-        marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
-    rows = documents(docs, "doc_id", "text").join(marks, "doc_id").select("doc_id", "text", "y")
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Chain | None:
+    rows = labelled(docs, labels, "toxic", held_out(), max_train, max_bytes).select("doc_id", "text", "y")
     got = rows.mapInArrow(_bags, "doc_id bigint, y int, words array<int>").toArrow().sort_by("doc_id").combine_chunks()
     if not got.num_rows:
         return None
