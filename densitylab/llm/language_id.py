@@ -3,20 +3,21 @@
 Features are hashed character 2- and 3-grams of the lower-cased text.  Counts by
 language and bucket come from a sample of at most about ``max_train`` labelled
 documents, taken by hash; they are summed in the tasks first.  The matrix of log
-probabilities (languages x BUCKETS, both bounded) goes to every task, which sums
-the rows of a slice's grams by document in numpy.
+probabilities goes to every task, which sums the rows of a slice's grams by document
+in numpy.  It has at most CELLS numbers: of more than CELLS / BUCKETS languages,
+which the sample bounds, each has fewer buckets.  score is the posterior probability.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0.
 Ties go to the alphabetically first language.  Without any labelled document
-every text is ``und``.  Repeated rows get equal results.  Extra columns are ignored.
+every text is ``und``.  Repeated rows get equal results.  A null doc_id isn't held
+out.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +25,16 @@ from .common import documents, in_slices
 
 BUCKETS = 1 << 15
 MAX_TRAIN = 20_000
-#: Grams that count towards the score: longer texts are not surer than so many grams make them.
-SURE = 60
-MAX_LANGUAGES = 500
+CELLS = 1 << 24
 
-_letter = re.compile(r"[^\W\d_]").search
+_letter = regex.compile(r"\p{L}").search
 
 
 def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all grams, and where each text's grams begin; bucket 0 is that of separators."""
     low = [(t or "").lower().replace("\0", " ") for t in texts]
     points = np.frombuffer("\0".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -48,7 +47,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         out[1, :-2] = two[:-1] * np.uint32(0xC2B2AE3D) + points[2:] * np.uint32(0x27D4EB2F)
     out ^= out >> np.uint32(15)
     out *= np.uint32(0x2C1B3C6D)
-    out = (out >> np.uint32(12)) % np.uint32(BUCKETS - 1) + np.uint32(1)
+    out = (out >> np.uint32(12)) % np.uint32(buckets - 1) + np.uint32(1)
     crosses = cut.copy()
     crosses[:-1] |= cut[1:]
     crosses[-1:] = True
@@ -59,20 +58,34 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def _count(batches):
-    total: dict[str, np.ndarray] = {}
-    n_docs: dict[str, int] = {}
-    for batch in in_slices(batches):
-        langs = batch.column(0).to_pylist()
-        for lang in sorted(set(langs)):
-            out, _ = grams([t for t, own in zip(batch.column(1).to_pylist(), langs) if own == lang])
-            own = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            own += np.bincount(out.ravel(), minlength=BUCKETS)
-            n_docs[lang] = n_docs.get(lang, 0) + langs.count(lang)
-    for lang, own in total.items():
-        own[0] = n_docs[lang]  # the separators' bucket carries the number of documents
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "n"])
+def _count(buckets: int):
+    def run(batches):
+        total: dict[str, np.ndarray] = {}
+        n_docs: dict[str, int] = {}
+
+        def rows():
+            for lang, own in total.items():
+                own[0] = n_docs[lang]  # the separators' bucket carries the number of documents
+                at = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bucket", "n"])
+            total.clear()
+            n_docs.clear()
+
+        for batch in in_slices(batches):
+            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            of: dict[str, list[str]] = {}
+            for lang, text in zip(langs, texts):
+                of.setdefault(lang, []).append(text)
+            for lang in sorted(of):
+                out, _ = grams(of[lang], buckets)
+                own = total.setdefault(lang, np.zeros(buckets, np.int64))
+                own += np.bincount(out.ravel(), minlength=buckets)
+                n_docs[lang] = n_docs.get(lang, 0) + len(of[lang])
+                if len(total) >= 256:
+                    yield from rows()
+        yield from rows()
+
+    return run
 
 
 class Model:
@@ -88,11 +101,10 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.langs or not texts:
             return ["und"] * len(texts), [0.0] * len(texts)
-        out, begin = grams(texts)
-        n = np.maximum(np.add.reduceat((out > 0).sum(0), begin[:-1]), 1)
+        out, begin = grams(texts, self.log.shape[1])
         # a text's separator stands at its end, so no text has an empty run
         like = np.stack([np.add.reduceat(row[out[0]].astype(np.float64) + row[out[1]], begin[:-1]) for row in self.log], 1)
-        fit = like / n[:, None] * np.minimum(n, SURE)[:, None] + self.prior
+        fit = like + self.prior
         fit -= fit.max(1, keepdims=True)
         p = np.exp(fit)
         p /= p.sum(1, keepdims=True)
@@ -106,12 +118,12 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     n = rows.select("lang").count()
     if n > max_train:  # by hash, so the same rows whatever the partitions
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; the matrix has no bound")
-    names = sorted(r.lang for r in langs)
-    table = rows.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(names), BUCKETS), np.int64)
+    names = sorted(r.lang for r in rows.select("lang").distinct().collect())  # no more than the sample has rows
+    buckets = BUCKETS
+    while len(names) * buckets > CELLS:
+        buckets //= 2
+    table = rows.select("lang", "text").mapInArrow(_count(buckets), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = np.zeros((len(names), buckets), np.int64)
     got = table.toArrow()
     if got.num_rows:
         row = np.searchsorted(np.array(names), got.column("lang").to_numpy(zero_copy_only=False).astype(str))
