@@ -7,13 +7,15 @@ a = softmax(w . (tanh(h V) * sigmoid(h U))), and scores the weighted sum of the
 h with a logistic unit.  Only documents have labels; the weights of passages are
 learned through them.
 
-Training takes a sample of at most about MAX_TRAIN labelled documents by hash,
-and of each at most MAX_PASSAGES evenly spread passages; it runs on the driver
-over an array of that bound.  Scoring takes every passage of every text.
+Training takes a sample by hash of at most about MAX_TRAIN labelled documents and
+MAX_BYTES of text, with every passage of them; it runs on the driver over an array
+of that bound, SIZE floats for every PASSAGE words.  Scoring takes every passage of
+every text.
 
 Defined results: a text without words (null, empty) gets the score of a bag
 with one passage of zeros.  Without labels every score is 0.5.  A doc_id with
-several labels uses the greatest.  Repeated rows get equal results.  Extra columns are ignored.
+several labels uses the greatest, one with several texts is learned by the least.
+Repeated rows get equal results.  A null doc_id isn't held out.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import documents, in_slices
+from .common import documents, in_slices, labelled
 
 PASSAGE, HIDDEN, GATE = 64, 24, 16
-MAX_TRAIN, MAX_PASSAGES, THRESHOLD = 8000, 48, 0.3
+MAX_TRAIN, MAX_BYTES, THRESHOLD = 8000, 32 << 20, 0.3
 SIZE = 128 + 1 + 4
 
 
 def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
 def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,8 +126,9 @@ class Model:
         return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ g, "d": np.array([g.sum()])}
 
     def fit(self, x: np.ndarray, begin: np.ndarray, y: np.ndarray, epochs: int = 25, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, seed: int = 11) -> Model:
-        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-2)
-        x = self.scaled(x)
+        self.mean = x.mean(0, dtype=float)
+        square = sum((np.square(x[lo : lo + 8192], dtype=float).sum(0) for lo in range(0, len(x), 8192)), np.zeros(x.shape[1])) / len(x)
+        self.scale = np.maximum(np.sqrt(np.maximum(square - self.mean**2, 0)), 1e-2)
         size, r, k = np.diff(begin), np.random.default_rng(seed), 0
         m = {n: np.zeros_like(v) for n, v in self.p.items()}
         v = {n: np.zeros_like(q) for n, q in self.p.items()}
@@ -138,7 +141,7 @@ class Model:
                 at = np.cumsum(own)
                 rows = np.repeat(begin[docs] - (at - own), own) + np.arange(at[-1])
                 k += 1
-                for n, g in self.gradient(x[rows], np.r_[0, at], y[docs]).items():
+                for n, g in self.gradient(self.scaled(x[rows]), np.r_[0, at], y[docs]).items():
                     g = g + decay * self.p[n]
                     m[n] += 0.1 * (g - m[n])
                     v[n] += 0.001 * (g * g - v[n])
@@ -149,25 +152,17 @@ class Model:
 def _bags(batches):
     for batch in in_slices(batches):
         x, begin = passages(batch.column(1))
-        rows = []
-        for lo, hi in zip(begin, begin[1:]):
-            pick = np.arange(lo, hi) if hi - lo <= MAX_PASSAGES else lo + np.arange(MAX_PASSAGES) * (hi - lo) // MAX_PASSAGES
-            rows.append(x[pick].tobytes())
+        rows = [x[lo:hi].tobytes() for lo, hi in zip(begin, begin[1:])]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["doc_id", "y", "bag"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
-    marks = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["quality"].cast("int").alias("y")).filter("doc_id is not null and y is not null")
-    marks = marks.filter(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
-    n = marks.count()
-    if n > max_train:
-        marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
-    rows = documents(docs, "doc_id", "text").join(marks, "doc_id").select("doc_id", "text", "y")
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Model | None:
+    rows = labelled(docs, labels, "quality", held_out(), max_train, max_bytes).select("doc_id", "text", "y")
     got = rows.mapInArrow(_bags, "doc_id bigint, y int, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending")])
     if not got.num_rows:
         return None
     bags = [np.frombuffer(b, np.float32).reshape(-1, SIZE) for b in got.column("bag").to_pylist()]
-    return Model().fit(np.concatenate(bags).astype(float), np.r_[0, np.cumsum([len(b) for b in bags])], got.column("y").to_numpy().astype(float))
+    return Model().fit(np.concatenate(bags), np.r_[0, np.cumsum([len(b) for b in bags])], got.column("y").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: Model | None, columns: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
