@@ -17,8 +17,8 @@ VOCABULARY = "word_bpe_49k.json"
 END = 2
 #: Texts encoded at once; new pieces are learned once a slice.
 SLICE_BYTES = 4 << 20
-#: Pieces of which a worker keeps the ids, about 250 bytes each.
-CACHE = 1_000_000
+#: Pieces of which a worker keeps the ids, about 250 bytes each; longer ones than LONGEST aren't kept.
+CACHE, LONGEST = 1_000_000, 64
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -75,6 +75,12 @@ class Encoder:
         pieces = [() if i in whole or not t else split(t.lower()) for i, t in enumerate(texts)]
         known = self.number.keys()
         new = set().union(*pieces) - known
+        long = {p for p in new if len(p) > LONGEST}
+        if long:  # their texts go to the tokenizer whole
+            for i, own in enumerate(pieces):
+                if not long.isdisjoint(own):
+                    whole[i], pieces[i] = self.tokenizer.encode(texts[i], add_special_tokens=False), ()
+            new = set().union(*pieces) - known
         if new:
             self._learn(list(new))
         out: list[np.ndarray] = []
