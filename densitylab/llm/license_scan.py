@@ -1,9 +1,8 @@
 """License scan as an exact set-similarity join (operator 6), DataFrame functions only.
 
-Text blocks are lines, or with ``wrapped`` each line with the words after it, as
-many as a template has words less one, so that no wrapping splits a notice.
-A block meets a template if it holds at least THRESHOLD
-of the template's distinct words.  Tokens are ordered by their frequency in the
+Text blocks are lines, each with the words after it, as many as a template has words
+less one, so that no wrapping splits a notice.  A block meets a template if it holds
+at least THRESHOLD of the template's distinct words.  Tokens are ordered by their frequency in the
 whole corpus, rarest first (only the templates' own tokens can be shared, so only
 they are counted).  With o the overlap that a template T needs:
 
@@ -59,8 +58,8 @@ TEMPLATES = {
 
 
 def folded(text: Column) -> Column:
-    """A-Z in lower case; other capitals are no part of a phrase or template, whatever becomes of them."""
-    return F.lower(text)
+    """A-Z in lower case, and no other letter."""
+    return F.translate(text, _UPPER, _LOWER)
 
 
 def words_of(low: Column) -> Column:
@@ -101,37 +100,29 @@ def _places(joined: Column, phrase: str, label: str) -> Column:
     return F.when(joined.contains(f" {phrase} "), let(sizes, starts)).otherwise(F.array().cast(_PLACES))
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (block number, label, score)."""
+def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (line number, label, score)."""
     rules = prefixes(token_order(docs), threshold)
     rare = sorted({t for *_, p in rules for t in p})
     rules_column = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, t)).alias("tokens"), F.lit(o).alias("need"), F.array(*map(F.lit, p)).alias("prefix"), F.lit(len(TEMPLATES[label].split()) - 1).alias("after")) for label, t, o, p in rules])
 
-    def meets(block: Column) -> Column:
-        """(label, score) of the templates that a block's distinct words meet."""
-
-        def first(t: Column) -> Column:  # place in T, from 1, of the rarest shared token of its prefix
-            return F.array_position(t["tokens"], F.element_at(F.array_intersect(t["prefix"], block), 1))
-
-        passed = F.filter(rules_column, lambda t: (F.size(block) >= t["need"]) & F.arrays_overlap(t["prefix"], block) & (first(t) + t["need"] - 1 <= F.size(t["tokens"])))
-        scored = F.transform(passed, lambda t: F.struct(t["label"].alias("label"), (F.size(F.array_intersect(t["tokens"], block)) / F.size(t["tokens"])).alias("score")))
-        return F.filter(scored, lambda s: s["score"] >= threshold - 1e-9)
-
-    def wrapped_meets(words: Column, begin: Column, n: Column) -> Column:
-        """The same of a line of n words and those after it, for each template its own number."""
+    def meets(words: Column, begin: Column, n: Column) -> Column:
+        """(label, score) of the templates met by a line of n words and those after it, for each template its own number."""
 
         def score(t: Column) -> Column:
-            return let(
-                F.array_distinct(F.slice(words, begin + 1, n + t["after"])),
-                lambda b: F.when((F.size(b) >= t["need"]) & F.arrays_overlap(t["prefix"], b), F.size(F.array_intersect(t["tokens"], b)) / F.size(t["tokens"])).otherwise(F.lit(0.0)),
-            )
+            def of(block: Column) -> Column:
+                first = F.array_position(t["tokens"], F.element_at(F.array_intersect(t["prefix"], block), 1))  # place in T, from 1, of the rarest shared token
+                passed = (F.size(block) >= t["need"]) & F.arrays_overlap(t["prefix"], block) & (first + t["need"] - 1 <= F.size(t["tokens"]))
+                return F.when(passed, F.size(F.array_intersect(t["tokens"], block)) / F.size(t["tokens"])).otherwise(F.lit(0.0))
+
+            return let(F.array_distinct(F.slice(words, begin + 1, n + t["after"])), of)
 
         scored = F.transform(rules_column, lambda t: F.struct(t["label"].alias("label"), score(t).alias("score")))
         return F.filter(scored, lambda s: s["score"] >= threshold - 1e-9)
 
     longest = max(len(t.split()) for t in TEMPLATES.values()) - 1
 
-    def wrapped_blocks(low: Column, words: Column) -> Column:
+    def blocks(low: Column, words: Column) -> Column:
         line_of = F.flatten(F.transform(F.split(low, "\n"), lambda x, i: F.array_repeat(i, F.size(words_of(x)))))
 
         def from_lines(line: Column) -> Column:
@@ -139,12 +130,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, wrapped: bool = False) -
             return let(starts, lambda at: F.transform(at, lambda p, k: F.struct(p.alias("begin"), (F.coalesce(F.get(at, k + 1), F.size(line)) - p).alias("n"), F.get(line, p).alias("block"))))
 
         near = F.filter(let(line_of, from_lines), lambda x: F.arrays_overlap(F.slice(words, x["begin"] + 1, x["n"] + longest), F.array(*map(F.lit, rare))))
-        return F.flatten(F.transform(near, lambda x: F.transform(wrapped_meets(words, x["begin"], x["n"]), lambda s: F.struct(x["block"].alias("block"), s["label"].alias("label"), s["score"].alias("score")))))
-
-    def blocks(low: Column) -> Column:
-        words = F.transform(F.split(low, "\n"), lambda x, i: F.struct(F.array_distinct(words_of(x)).alias("w"), i.alias("block")))
-        near = F.filter(words, lambda b: F.arrays_overlap(b["w"], F.array(*map(F.lit, rare))))
-        return F.flatten(F.transform(near, lambda b: F.transform(meets(b["w"]), lambda s: F.struct(b["block"].alias("block"), s["label"].alias("label"), s["score"].alias("score")))))
+        return F.flatten(F.transform(near, lambda x: F.transform(meets(words, x["begin"], x["n"]), lambda s: F.struct(x["block"].alias("block"), s["label"].alias("label"), s["score"].alias("score")))))
 
     empty = F.array().cast("array<struct<block: int, label: string, score: double>>")
 
@@ -159,7 +145,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, wrapped: bool = False) -
         heads = F.arrays_overlap(words, F.array(*map(F.lit, ["mit", "apache", "nc"])))
         return F.struct(
             F.size(words).cast("bigint").alias("n_words"),
-            F.when(near, wrapped_blocks(low, words) if wrapped else blocks(low)).otherwise(empty).alias("matches"),
+            F.when(near, blocks(low, words)).otherwise(empty).alias("matches"),
             F.when(heads, let(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), places)).otherwise(F.array().cast(_PLACES)).alias("base"),
         )
 
@@ -181,36 +167,29 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, wrapped: bool = False) -
     )
 
 
-def _oracle(wrapped: bool = False) -> str:
-    values = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in TEMPLATES.items())
+def _oracle() -> str:
+    values = ", ".join(f"('{label}', {len(t.split()) - 1}, {sorted(set(t.split()))})" for label, t in TEMPLATES.items())
     phrases = " UNION ALL ".join(
         f"SELECT r, i - 1 AS word, '{label}' AS label FROM places WHERE array_to_string(ws[i:i + {len(p.split()) - 1}], ' ') = '{p}'" for p, label in PHRASES.items()
     )
-    sql = f"""
+    return f"""
 WITH base AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM base),
 places AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
 hits AS ({phrases}),
 b AS (SELECT r, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY r),
-t AS (SELECT label, len(tokens) AS n, unnest(tokens) AS token FROM (VALUES {values}) v(label, tokens)),
+v AS (SELECT * FROM (VALUES {values}) v(label, after, tokens)),
+t AS (SELECT label, len(tokens) AS n, unnest(tokens) AS token FROM v),
 lines AS (SELECT r, l, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS l FROM base)),
-lw AS (SELECT DISTINCT r, l, unnest(regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS token FROM lines),
-m AS (SELECT r, label, count(*) / any_value(n) AS score FROM lw JOIN t USING (token) GROUP BY r, l, label HAVING count(*) >= {THRESHOLD} * any_value(n) - 1e-9),
+span AS (SELECT r, l, n, sum(n) OVER (PARTITION BY r ORDER BY l) - n AS begin FROM (SELECT r, l, len(regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS n FROM lines)),
+lw AS (SELECT DISTINCT r, l, v.label AS kind, unnest(ws[(begin + 1)::BIGINT:(begin + n + v.after)::BIGINT]) AS token FROM span JOIN w USING (r), v WHERE n > 0),
+m AS (SELECT r, label, count(*) / any_value(n) AS score FROM lw JOIN t ON t.token = lw.token AND t.label = lw.kind GROUP BY r, l, label HAVING count(*) >= {THRESHOLD} * any_value(n) - 1e-9),
 ml AS (SELECT r, max(score) AS score FROM m GROUP BY r),
 al AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM m UNION ALL SELECT r, label FROM hits) GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
 coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0)::DOUBLE END AS score
 FROM w LEFT JOIN b USING (r) LEFT JOIN ml USING (r) LEFT JOIN al USING (r)
 """
-    if not wrapped:
-        return sql
-    after = ", ".join(f"('{label}', {len(t.split()) - 1})" for label, t in TEMPLATES.items())
-    own = f"""span AS (SELECT r, l, n, sum(n) OVER (PARTITION BY r ORDER BY l) - n AS begin FROM (SELECT r, l, len(regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS n FROM lines)),
-lw AS (SELECT DISTINCT r, l, a.label AS kind, unnest(ws[(begin + 1)::BIGINT:(begin + n + a.after)::BIGINT]) AS token FROM span JOIN w USING (r), (VALUES {after}) a(label, after) WHERE n > 0),
-m AS (SELECT r, label, count(*) / any_value(n) AS score FROM lw JOIN t ON t.token = lw.token AND t.label = lw.kind GROUP BY r, l, label HAVING count(*) >= {THRESHOLD} * any_value(n) - 1e-9),
-"""
-    return sql[: sql.index("lw AS (")] + own + sql[sql.index("ml AS (") :]
 
 
 ORACLE_SQL = _oracle()
-WRAPPED_SQL = _oracle(wrapped=True)

@@ -3,22 +3,19 @@
 Base rules look at one text: symbols, repeated lines, words in repeated
 EIGHT-word windows.  They are computed inside the row, so no word is shuffled.
 
-Line frequency: each text's distinct normalised lines (lower case, white space
-runs as one blank) are hashed to 64 bits and counted per host (``source``) by an
-aggregation with partial counts, so a line in every document of a hot host is one
-row a task.  A line is boilerplate on a host if it stands in at least MIN_DOCS of
-its documents and in more than SHARE of them.  Only boilerplate lines go back to
-their documents; a document is depleted, and rejected, if more than HALF of its
-words stand on such lines.
-
-``clean`` removes boilerplate lines: a line goes if it stands in at least
-MIN_DOCS documents of its host, however large that is, or on a small host in at
-least FEW documents and more than MOST of them.  A document is depleted if less
-than HALF of its words are left.  Lines without a word stay.
+Line frequency: each document's distinct normalised lines (lower case, white space
+runs as one blank) are hashed to 64 bits, once a document, and counted per host
+(``source``) by an aggregation with partial counts, so a line in every document of a
+hot host is one row a task.  A line is boilerplate if it stands in at least MIN_DOCS
+documents of its host, however large that is, or on a small host in at least FEW
+documents and more than MOST of them.  Only boilerplate lines go back to their
+documents.  ``clean`` removes them from the text and rejects a document, as depleted,
+if less than HALF of its words are left.  Lines without a word stay.
 
 Defined results: a null or empty text has no words, so it fails the base rule.
-A null source is a host of its own.  Each row counts as a document; equal rows
-get equal results.  Extra columns are ignored.
+A null source is a host of its own.  Rows of one doc_id are one document, and rows
+of a null doc_id are one for each text.  Equal rows get equal results.  Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, staged
 
-MIN_DOCS, SHARE, HALF = 20, 0.01, 0.5
-FEW, MOST = 3, 0.5
+MIN_DOCS, FEW, MOST, HALF = 20, 3, 0.5, 0.5
 MIN_WORDS, MAX_REPEAT = 20, 30
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -91,20 +87,13 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "source", "text")
 
 
-def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(frequent, lines): host and hash of boilerplate lines; each document's distinct lines with their words."""
-    base = documents(docs, "doc_id", "source", "text").filter("text is not null")
-    lines = base.select(
-        F.col("doc_id"),
-        row_key().alias("rk"),
-        F.coalesce("source", F.lit("\0")).alias("host"),
-        F.explode(F.transform(lines_of(F.col("text")), lambda x: F.struct(F.xxhash64(normal(x)).alias("h"), F.size(F.regexp_extract_all(x, F.lit(_WORD), F.lit(0))).alias("w")))).alias("line"),
-    ).select("doc_id", "rk", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    hashes = base.select(F.coalesce("source", F.lit("\0")).alias("host"), F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(normal(x))))).alias("h"))
-    total = base.groupBy(F.coalesce("source", F.lit("\0")).alias("host")).agg(F.count("*").alias("n_host"))
-    counts = hashes.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    frequent = counts.join(total, "host").filter(F.col("n") > share * F.col("n_host")).select("host", "h")
-    return frequent, lines
+def _document() -> Column:
+    """Names a row's document on its host: the doc_id, or the text where that is null."""
+    return F.struct(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("t"))
+
+
+def _host() -> Column:
+    return F.coalesce("source", F.lit("\0"))
 
 
 def _figures(base: DataFrame, text: Column, *more: Column) -> DataFrame:
@@ -124,30 +113,12 @@ def _figures(base: DataFrame, text: Column, *more: Column) -> DataFrame:
     return own.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, half: float = HALF) -> DataFrame:
-    """doc_id, n_words, the base figures, base_failed, n_boilerplate (words on boilerplate lines), kept."""
-    base = documents(docs, "doc_id", "source", "text")
-    own = _figures(base, F.coalesce("text", F.lit("")))
-    frequent, lines = boilerplate(docs, min_docs, share)
-    frequent = staged(frequent, "lines")
-    # rows with an equal key are equal rows; the words of one of them are taken
-    place = lines.join(frequent, ["host", "h"]).groupBy("doc_id", "rk", "h").agg(F.max("w").alias("w"), F.count("*").alias("k"))
-    copies = base.filter("text is not null").groupBy("doc_id", row_key().alias("rk")).agg(F.count("*").alias("copies")).filter("copies > 1")
-    lost = place.join(copies.withColumnRenamed("doc_id", "d2"), (F.col("d2").eqNullSafe(F.col("doc_id"))) & (copies["rk"] == place["rk"]), "left")
-    lost = lost.groupBy(place["doc_id"], place["rk"]).agg(F.sum(F.expr("w * k div coalesce(copies, 1)")).alias("gone"))
-    lost = lost.select(F.col("doc_id").alias("d2"), F.col("rk").alias("rk2"), "gone")
-    out = own.join(lost, own["doc_id"].eqNullSafe(F.col("d2")) & (F.col("rk") == F.col("rk2")), "left")
-    out = out.withColumn("n_boilerplate", F.coalesce("gone", F.lit(0)).cast("bigint"))
-    kept = ~F.col("base_failed") & (F.col("n_boilerplate") <= half * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_boilerplate")
-
-
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, few: int = FEW, most: float = MOST) -> DataFrame:
-    """host and hash of the lines that ``clean`` removes."""
-    base = documents(docs, "source", "text").filter("text is not null").select(F.coalesce("source", F.lit("\0")).alias("host"), "text")
-    hashes = base.select("host", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(normal(x))))).alias("h"))
-    counts = hashes.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min(few, min_docs))
-    total = base.groupBy("host").agg(F.count("*").alias("n_host"))
+    """host and hash of the boilerplate lines."""
+    base = documents(docs, "doc_id", "source", "text").filter("text is not null")
+    hashes = base.select(_host().alias("host"), _document().alias("d"), F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(normal(x))))).alias("h"))
+    counts = hashes.distinct().groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min(few, min_docs))
+    total = base.select(_host().alias("host"), _document().alias("d")).distinct().groupBy("host").agg(F.count("*").alias("n_host"))
     by_share = (F.col("n") >= few) & (F.col("n") > most * F.col("n_host"))
     return counts.join(total, "host").filter((F.col("n") >= min_docs) | by_share).select("host", "h")
 
@@ -157,7 +128,7 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, few: int = FEW, most: float
     base = documents(docs, "doc_id", "source", "text")
     frequent = staged(frequent_lines(base, min_docs, few, most), "lines")
     lines = base.filter("text is not null").select(
-        "doc_id", row_key().alias("rk"), F.coalesce("source", F.lit("\0")).alias("host"), F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(normal(x))))).alias("h")
+        "doc_id", row_key().alias("rk"), _host().alias("host"), F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(normal(x))))).alias("h")
     )
     # rows with an equal key are equal rows and have the same set
     found = lines.join(frequent, ["host", "h"]).groupBy("doc_id", "rk").agg(F.collect_set("h").alias("hs"))
@@ -171,39 +142,22 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, few: int = FEW, most: float
     return own.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", kept.alias("kept"), "clean_text")
 
 
+#: Of ``clean``, with the digest of its text.
 ORACLE_SQL = f"""
-WITH base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, text IS NOT NULL AS there FROM documents),
+WITH base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, 'null ' || text) AS d, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, text IS NOT NULL AS there FROM documents),
 words AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM base),
 w AS (SELECT r, ws, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars FROM words),
 win AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM words)),
 dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
 cov AS (SELECT r, sum(least(8, coalesce(nxt - i, 8)))::BIGINT AS n_repeat_words FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM dup) GROUP BY r),
-lines AS (SELECT r, doc_id, host, there, line FROM (SELECT r, doc_id, host, there, unnest(string_split(text, chr(10))) AS line FROM base) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-dl AS (SELECT r, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM lines GROUP BY r),
-norm AS (SELECT r, host, trim(lower(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS nl, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS lw FROM lines WHERE there),
-hosts AS (SELECT host, count(*) AS n_host FROM base WHERE there GROUP BY host),
-freq AS (SELECT host, nl FROM (SELECT host, nl, count(DISTINCT r) AS n FROM norm GROUP BY host, nl) JOIN hosts USING (host) WHERE n >= {MIN_DOCS} AND n > {SHARE} * n_host),
-gone AS (SELECT r, sum(lw)::BIGINT AS n_boilerplate FROM norm JOIN freq USING (host, nl) GROUP BY r),
-f AS (SELECT doc_id, n_words::BIGINT AS n_words, word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
- coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_boilerplate, 0) AS n_boilerplate FROM base JOIN w USING (r) LEFT JOIN cov USING (r) LEFT JOIN dl USING (r) LEFT JOIN gone USING (r)),
-j AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM f)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_boilerplate <= {HALF} * n_words AS kept, n_boilerplate FROM j
-"""
-
-#: Of ``clean``, with the digest of its text.
-CLEAN_SQL = f"""
-WITH base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, text IS NOT NULL AS there FROM documents),
-words AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM base),
-w AS (SELECT r, ws, len(ws) AS n_words FROM words),
-win AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM words)),
-dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
-cov AS (SELECT r, sum(least(8, coalesce(nxt - i, 8)))::BIGINT AS n_repeat_words FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM dup) GROUP BY r),
-lines AS (SELECT r, host, there, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS l FROM base),
+lines AS (SELECT r, d, host, there, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS l FROM base),
+dl AS (SELECT r, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
 norm AS (SELECT *, CASE WHEN there AND regexp_matches(line, '[^\\x20\\x09-\\x0D]') THEN trim(lower(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) END AS nl FROM lines),
-hosts AS (SELECT host, count(*) AS n_host FROM base WHERE there GROUP BY host),
-freq AS (SELECT host, nl FROM (SELECT host, nl, count(DISTINCT r) AS n FROM norm WHERE nl IS NOT NULL GROUP BY host, nl) JOIN hosts USING (host) WHERE n >= {MIN_DOCS} OR n >= {FEW} AND n > {MOST} * n_host),
+hosts AS (SELECT host, count(DISTINCT d) AS n_host FROM base WHERE there GROUP BY host),
+freq AS (SELECT host, nl FROM (SELECT host, nl, count(DISTINCT d) AS n FROM norm WHERE nl IS NOT NULL GROUP BY host, nl) JOIN hosts USING (host) WHERE n >= {MIN_DOCS} OR n >= {FEW} AND n > {MOST} * n_host),
 rest AS (SELECT r, string_agg(line, chr(10) ORDER BY l) AS clean FROM norm ANTI JOIN freq USING (host, nl) GROUP BY r),
-f AS (SELECT doc_id, n_words::BIGINT AS n_words, len(regexp_extract_all(coalesce(clean, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_left, coalesce(clean, '') AS clean, n_words < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {MAX_REPEAT} * n_words AS base_failed
- FROM base JOIN w USING (r) LEFT JOIN cov USING (r) LEFT JOIN rest USING (r))
-SELECT doc_id, n_words, n_left, NOT base_failed AND n_left >= {HALF} * n_words AS kept, sha256(clean) AS clean_sha256 FROM f
+f AS (SELECT doc_id, n_words::BIGINT AS n_words, word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+ len(regexp_extract_all(coalesce(clean, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_left, coalesce(clean, '') AS clean FROM base JOIN w USING (r) LEFT JOIN cov USING (r) LEFT JOIN dl USING (r) LEFT JOIN rest USING (r)),
+j AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_left >= {HALF} * n_words AS kept, n_left, sha256(clean) AS clean_sha256 FROM j
 """

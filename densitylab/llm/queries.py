@@ -26,12 +26,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.judge(read(spark, sf_dir, "documents"))
-
-
-def op4_line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_rules.clean(read(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_words", "n_left", "kept", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"))
+    return cut.withColumn("clean_sha256", F.sha2(F.coalesce("clean_text", F.lit("")), 256)).drop("clean_text")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +38,9 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents")).drop("matches")
 
 
-def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(read(spark, sf_dir, "documents"), wrapped=True).drop("matches")
-
-
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return language_id.predict(docs, language_id.train(docs)).withColumn("held_out", F.coalesce(language_id.held_out(), F.lit(False)))
+    return language_id.predict(docs, language_id.train(docs)).withColumn("held_out", language_id.held_out())
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +56,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality_mil.train(docs, read(spark, sf_dir, "labels"))
-    return quality_mil.score(docs, model).withColumn("held_out", F.coalesce(quality_mil.held_out(), F.lit(False)))
+    return quality_mil.score(docs, model).withColumn("held_out", quality_mil.held_out())
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_toxicity,
         op3_decontamination,
         op4_line_rules,
-        op4_line_removal,
         op5_packing,
         op6_license_scan,
-        op6_license_notices,
         op7_language_id,
         op8_near_duplicates,
         op9_substring_dedup,
@@ -117,8 +107,6 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": _DECONTAMINATION,
     "op4_line_rules": line_rules.ORACLE_SQL,
-    "op4_line_removal": line_rules.CLEAN_SQL,
     "op6_license_scan": license_scan.ORACLE_SQL,
-    "op6_license_notices": license_scan.WRAPPED_SQL,
     "op9_substring_dedup": _SUBSTRING,
 }
