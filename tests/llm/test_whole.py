@@ -28,6 +28,13 @@ def test_boilerplate_lines_are_removed(spark):
     assert line_rules.clean(spark.createDataFrame(rows, KINDS)).count() == len(rows)
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(1, f"{body(i)}\nsame footer", "s") for i in range(30)] + [(i, body(i), "s") for i in range(2, 40)]
+    rows += [(None, f"{body(k % 2)}\nnull footer", "n") for k in range(30)]
+    got = line_rules.clean(spark.createDataFrame(rows, KINDS)).collect()
+    assert sorted(r.clean_text or "" for r in got) == sorted(t for _, t, _ in rows)
+
+
 def test_frequent_lines_at_every_host_size(spark):
     rows = [(i, body(i) + ("\nhot footer" if i < 20 else ""), "hot") for i in range(2500)]
     rows += [(3000 + i, body(i) + "\nsmall footer", "small") for i in range(19)]
@@ -49,7 +56,7 @@ def test_wrapping_splits_no_notice(spark):
     rows += [(f"{label}/words", "\n".join(license_scan.TEMPLATES[label].split())) for label in license_scan.TEMPLATES]
     rows += [("far", "redistribution and use in source and binary forms with or without\n" + "filler words here " * 10 + "\nmodification are permitted"), ("none", None)]
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
-    got = {rows[r.doc_id][0]: r for r in license_scan.scan(docs, wrapped=True).collect()}
+    got = {rows[r.doc_id][0]: r for r in license_scan.scan(docs).collect()}
     assert all(label in got[label].labels.split(",") and got[label].score == 1 for label in notices)
     assert all(label in got[f"{label}/words"].labels.split(",") for label in license_scan.TEMPLATES)
     assert got["far"].labels == "" and got["far"].score == 0 and got["none"].labels == "" and got["none"].n_words == 0
