@@ -1,7 +1,9 @@
-"""Dense solvers that run inside one task, per fit."""
+"""Solvers of ridge systems: dense ones for one task, and conjugate gradients that only ask for products with the kernel."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Generator
+
 import numpy as np
 
 
@@ -27,21 +29,24 @@ def primal_ridge(z: np.ndarray, z_new: np.ndarray, y: np.ndarray, alpha: float,
     return level + z_new @ (np.linalg.solve(left, z.T @ (y - level)) / scale)
 
 
-def conjugate_grid(kernel: np.ndarray, y: np.ndarray, ratios: list[float], residual: float = 1e-8, most: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, relative residuals and steps for (K + n r I) a = y - mean, all penalties r at once.
+Solved = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
-    Conjugate gradients with the diagonal as preconditioner.  A column stops at a
-    tenth of the limit; the true residuals are computed afterwards and judged.
+def conjugate(diagonal: np.ndarray, y: np.ndarray, shift: np.ndarray, residual: float = 1e-8, most: int = 2000) -> Generator[np.ndarray, np.ndarray, Solved]:
+    """Weights, relative residuals and steps for (K + c I) a = y - mean, all shifts c at once.
+
+    Yields directions d, one column a system that isn't done, and is sent K d; the kernel may be anywhere.
+    The diagonal is the preconditioner.  A column stops at a tenth of the limit; the true
+    residuals are computed afterwards and judged.
     """
-    n = len(y)
+    n, shift = len(y), np.asarray(shift, float)
     target = y - y.mean()
     size = np.linalg.norm(target)
-    shift = n * np.asarray(ratios, float)
     if np.any(~np.isfinite(shift)) or np.any(shift <= 0):
         raise SolverError("penalties must be positive and finite")
     if size == 0:
         return np.zeros((n, len(shift))), np.zeros(len(shift)), np.zeros(len(shift), int)
-    inverse = 1.0 / (np.diag(kernel)[:, None] + shift)
+    inverse = 1.0 / (diagonal[:, None] + shift)
     a = np.zeros((n, len(shift)))
     r = np.repeat(target[:, None], len(shift), axis=1)
     d = inverse * r
@@ -51,7 +56,7 @@ def conjugate_grid(kernel: np.ndarray, y: np.ndarray, ratios: list[float], resid
         if not active.any():
             break
         k = np.flatnonzero(active)
-        q = kernel @ d[:, k] + shift[k] * d[:, k]
+        q = (yield d[:, k]) + shift[k] * d[:, k]
         bend = (d[:, k] * q).sum(0)
         if np.any(bend <= 0) or not np.all(np.isfinite(bend)):
             raise SolverError("the system isn't positive definite")
@@ -64,12 +69,26 @@ def conjugate_grid(kernel: np.ndarray, y: np.ndarray, ratios: list[float], resid
         d[:, k] = s + fresh / rho[k] * d[:, k]
         rho[k] = fresh
         active[k] = np.linalg.norm(r[:, k], axis=0) > 0.1 * residual * size
-    true = np.linalg.norm(target[:, None] - kernel @ a - shift * a, axis=0) / size
-    if np.any(true > residual):
+    true = np.linalg.norm(target[:, None] - (yield a) - shift * a, axis=0) / size
+    if not np.all(true <= residual):
         raise SolverError(f"residual {true.max():.3g} is over {residual:.3g}")
     return a, true, steps
 
 
+def driven(solver: Generator[np.ndarray, np.ndarray, Solved], multiply: Callable[[np.ndarray], np.ndarray]) -> Solved:
+    try:
+        d = next(solver)
+        while True:
+            d = solver.send(multiply(d))
+    except StopIteration as end:
+        return end.value
+
+
+def conjugate_grid(kernel: np.ndarray, y: np.ndarray, ratios: list[float], residual: float = 1e-8, most: int = 2000) -> Solved:
+    """``conjugate`` for (K + n r I) a = y - mean with a kernel at hand, all penalties r at once."""
+    return driven(conjugate(np.diag(kernel), y, len(y) * np.asarray(ratios, float), residual, most), lambda d: kernel @ d)
+
+
 def jittered_cholesky(kernel: np.ndarray, first: float = 1e-10, last: float = 1e-4) -> tuple[np.ndarray, float] | None:
     """Factor of the kernel plus the least workable jitter (x mean diagonal, by tens), or None."""
     level, jitter = np.trace(kernel) / len(kernel), 0.0

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,23 +37,30 @@ def group_out(samples: DataFrame, group: str = "group_id") -> DataFrame:
     names = samples.select(group).distinct()
     if names.filter(F.col(group).isNull() | (F.trim(F.col(group).cast("string")) == "")).count() or names.count() < 2:
         raise ContractError("at least two groups with a name are needed")
-    number = names.withColumn("fold", F.dense_rank().over(Window.orderBy(group)) - 1)  # groups are few: one row each
-    return samples.join(F.broadcast(number), group).select("sample_id", group, "fold")
+    number = names.withColumn("fold", F.dense_rank().over(Window.orderBy(group)) - 1)  # a fold each, so they are few
+    return samples.join(number, group).select("sample_id", group, "fold")
 
 
 def balanced_groups(samples: DataFrame, k: int, seed: int, context: str, group: str = "group_id") -> DataFrame:
-    """Groups by falling size, then digest, each to the least loaded fold (the first of equals)."""
+    """Groups by falling size, then digest, each to the least loaded fold (the first of equals).
+
+    The order is made in ranges and the deal is one pass over group sizes in that order, with k loads in hand.
+    """
     sizes = samples.groupBy(group).agg(F.count("*").alias("n")).withColumn("h", tabbed_digest(seed, context, F.col(group)))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "h", F.col(group).alias("g"))))
-    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), k).alias("loads"), F.array().cast("array<struct<g: string, fold: int>>").alias("out"))
+    ordered = sizes.orderBy(F.desc("n"), "h", group).select(F.col(group).cast("string").alias(group), "n").coalesce(1)
 
-    def deal(state, x):
-        fold = F.array_position(state["loads"], F.array_min(state["loads"])).cast("int")
-        loads = F.transform(state["loads"], lambda v, i: F.when(i + 1 == fold, v - x["neg"]).otherwise(v))
-        return F.struct(loads.alias("loads"), F.concat(state["out"], F.array(F.struct(x["g"].cast("string").alias("g"), (fold - 1).alias("fold")))).alias("out"))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = [(0, f) for f in range(k)]  # a heap: least load first, then the first fold
+        for batch in batches:
+            folds = []
+            for n in batch.column(1).to_pylist():
+                load, fold = loads[0]
+                heapq.heapreplace(loads, (load + n, fold))
+                folds.append(fold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folds, pa.int32())], names=[group, "fold"])
 
-    plan = sizes.agg(F.aggregate(ordered, start, deal)["out"].alias("o")).select(F.inline("o"))
-    return samples.join(plan.withColumnRenamed("g", group), group).select("sample_id", group, "fold")
+    plan = ordered.mapInArrow(deal, f"{group} string, fold int")
+    return samples.join(plan, group).select("sample_id", group, "fold")
 
 
 def balanced_groups_local(groups: list[str], k: int, seed: int, context: str) -> np.ndarray:
@@ -64,13 +74,16 @@ def balanced_groups_local(groups: list[str], k: int, seed: int, context: str) ->
     return np.array([fold[str(g)] for g in groups])
 
 
-def fit_table(outer: dict[str, int], inner: dict[int, dict[str, int]]) -> list[tuple[str, list[str], list[str]]]:
-    """C4: (fit_id, training ids, test ids) for outer/f and inner/f/i, ids sorted."""
+def fit_table(outer: dict[str, int], inner: dict[int, dict[str, int]], only: Sequence[int] | None = None) -> list[tuple[str, list[str], list[str]]]:
+    """C4: (fit_id, training ids, test ids) for outer/f and inner/f/i, ids sorted; of the outer folds ``only``, if given."""
     out = []
-    for f in sorted(set(outer.values())):
+    for f in sorted(set(outer.values())) if only is None else only:
         train = sorted(s for s, g in outer.items() if g != f)
         out.append((f"outer/{f}", train, sorted(s for s, g in outer.items() if g == f)))
         for i in sorted(set(inner.get(f, {}).values())):
             own = inner[f]
             out.append((f"inner/{f}/{i}", sorted(s for s in train if own[s] != i), sorted(s for s in train if own[s] == i)))
+    for fit, train, test in out:
+        if len(train) < 2 or not test:
+            raise ContractError(f"{fit} has {len(train)} training and {len(test)} test samples")
     return out

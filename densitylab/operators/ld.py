@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -113,29 +112,32 @@ def summary(variants: DataFrame, r2: DataFrame, threshold: float) -> DataFrame:
     return variants.select(*by).distinct().join(s, by, "left").na.fill(0, ["local_pairs", "high_ld_pairs"])
 
 
-def cover(ids: np.ndarray, rank: np.ndarray, edges: list[tuple[int, int]]) -> list[int]:
-    """Greedy representatives: whoever has most uncovered neighbours, ties by rank."""
-    near: dict[int, set[int]] = {int(i): set() for i in ids}
-    for a, b in edges:
-        near[a].add(b)
-        near[b].add(a)
-    place = {int(i): int(r) for i, r in zip(ids, rank)}
-    queue = [(-len(s), place[i], i) for i, s in near.items()]
-    heapq.heapify(queue)
-    chosen: list[int] = []
-    left = set(near)
-    while queue:
-        count, tie, i = heapq.heappop(queue)
-        if i not in left:
-            continue
-        gain = len(near[i] & left)
-        if gain < -count:  # its neighbours were covered meanwhile
-            heapq.heappush(queue, (-gain, tie, i))
-            continue
-        chosen.append(i)
-        left -= near[i]
-        left.discard(i)
-    return chosen
+def cover(ids: np.ndarray, rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Representatives by most uncovered neighbours, ties by rank; ``a`` and ``b`` are the ends of the edges.
+
+    Whoever beats all others within two steps is taken: nobody who could cover its neighbours comes
+    before it, as counts only fall.  So all such markers of a round are taken at once, and the
+    result is that of taking one after another.
+    """
+    by_rank = np.argsort(rank, kind="stable")
+    ids, n = ids[by_rank], len(ids)
+    in_order = np.argsort(ids)
+    at = lambda x: in_order[np.searchsorted(ids, x, sorter=in_order)]
+    left, right = (at(np.r_[a, b]), at(np.r_[b, a])) if len(a) else (np.zeros(0, np.int64),) * 2
+    alive, chosen = np.ones(n, bool), np.zeros(n, bool)
+    while alive.any():
+        live = alive[left] & alive[right]
+        left, right = left[live], right[live]
+        score = np.where(alive, np.bincount(left, minlength=n) * n + np.arange(n, 0, -1), 0)
+        near = score.copy()
+        np.maximum.at(near, left, score[right])
+        best = near.copy()
+        np.maximum.at(best, left, near[right])
+        taken = alive & (best == score)
+        chosen |= taken
+        alive &= ~taken
+        alive[right[taken[left]]] = False
+    return ids[chosen]
 
 
 def greedy_cover(variants: DataFrame, kept: DataFrame, order: DataFrame, r2: DataFrame, threshold: float) -> DataFrame:
@@ -147,8 +149,7 @@ def greedy_cover(variants: DataFrame, kept: DataFrame, order: DataFrame, r2: Dat
     def run(part: pd.DataFrame) -> pd.DataFrame:
         node = part[part["b"].isna()]
         edge = part[part["b"].notna()]
-        pairs = list(zip(edge["marker_idx"].astype(int), edge["b"].astype(int)))
-        out = pd.DataFrame({"marker_idx": cover(node["marker_idx"].to_numpy(), node["rank"].to_numpy(), pairs)}, dtype="int32")
+        out = pd.DataFrame({"marker_idx": cover(node["marker_idx"].to_numpy(np.int64), node["rank"].to_numpy(np.int64), edge["marker_idx"].to_numpy(np.int64), edge["b"].to_numpy(np.int64))}, dtype="int32")
         return out.assign(**{c: part[c].iloc[0] for c in by})[[*by, "marker_idx"]]
 
     return nodes.unionByName(edges).groupBy(*by, "chrom").applyInPandas(run, ", ".join([*(f"{c} string" for c in by), "marker_idx int"]))

@@ -17,7 +17,8 @@ def _ranked(df: DataFrame, *order, name: str = "rank", keys: Sequence[str] = ())
     No task sees more than a range, so a catalogue of any size is ranked.
     """
     key = F.struct(*keys, *order)
-    parts = df.withColumn("_key", key).repartitionByRange(F.col("_key")).withColumn("_part", F.spark_partition_id())
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed count, so both branches see the same ranges
+    parts = df.withColumn("_key", key).repartitionByRange(ranges, F.col("_key")).withColumn("_part", F.spark_partition_id())
     inside = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

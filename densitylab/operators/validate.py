@@ -93,6 +93,51 @@ def uneven_predictions(pred: DataFrame, ids: DataFrame, keys: Sequence[str]) ->
     return got.join(F.broadcast(n)).filter("n <> want or d <> want")
 
 
+def check_predictions(pred: DataFrame, ids: DataFrame, keys: Sequence[str]) -> None:
+    """Finite values, and every id once in each workflow."""
+    bad = F.lit(False)
+    for c in ("y", "prediction", "train_mean"):
+        bad = bad | F.col(c).isNull() | ~finite(F.col(c))
+    none_of(pred.filter(bad).select("sample_id"), "Predictions must be finite")
+    if pred.isEmpty():
+        raise ContractError("no predictions")
+    none_of(uneven_predictions(pred, ids, keys), "Prediction coverage mismatch")
+
+
+def disjoint_groups(fold_of: dict[str, int], members: Sequence[tuple[str, int]]) -> None:
+    """No group stands on both sides of a split."""
+    split = sorted({g for g, i in members if fold_of[g] != i})
+    if split:
+        raise ContractError(f"Groups across inner folds: {', '.join(split[:3])}")
+
+
+def no_empty_panels(markers: dict[tuple[str, str], int]) -> None:
+    """Every panel has a marker."""
+    empty = sorted(k for k, n in markers.items() if not n)
+    if empty:
+        raise ContractError(f"Empty marker panel: {empty[0]}")
+
+
+def check_cohort(splits: DataFrame, folds: int | None = None) -> None:
+    """Development and sealed samples share neither an id nor a group; outer folds are 0 .. folds - 1."""
+    none_of(splits.filter("partition not in ('development', 'sealed')"), "Unknown partition")
+    dev, sealed = splits.filter("partition = 'development'"), splits.filter("partition = 'sealed'")
+    none_of(overlap(dev, sealed, "sample_id"), "Cohort mismatch")
+    none_of(overlap(dev, sealed, "group_id"), "Sealed group overlap")
+    none_of(split_groups(dev), "Groups across folds")
+    if folds is not None:
+        none_of(dev.filter(~F.coalesce(F.col("outer_fold").between(0, folds - 1), F.lit(False))), f"Folds are 0 to {folds - 1}")
+        if dev.select("outer_fold").distinct().count() != folds:
+            raise ContractError(f"not every one of {folds} folds has samples")
+
+
+def same_digests(found: dict[str, str], recorded: dict[str, str]) -> None:
+    """Files are those that were recorded."""
+    wrong = sorted(n for n, d in recorded.items() if found.get(n) != d)
+    if wrong:
+        raise ContractError(f"Input identity mismatch: {', '.join(wrong)}")
+
+
 def positive(values: Sequence[float], what: str) -> None:
     import math
 

@@ -46,11 +46,16 @@ def phenotype(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("sample_idx"), (10 * (1.4 * e["embedding"][5].cast("double") - 0.9 * e["embedding"][35].cast("double"))).alias("y"))
 
 
-def study(spark: SparkSession, sf_dir: str, samples: int | None = None) -> tuple[Study, list[int]]:
-    """The whole table as a study, and each sample's label."""
-    rows = dosage(spark, sf_dir).groupBy("sample_idx", "label").agg(F.array_sort(F.collect_list(F.struct("marker_idx", "g"))).alias("v")).join(phenotype(spark, sf_dir), "sample_idx").orderBy("sample_idx").toPandas()
-    g = np.array([[np.nan if c["g"] is None else c["g"] for c in v] for v in rows["v"]])
-    vec = spark.createDataFrame([(j, [None if np.isnan(x) else int(x) for x in g[:, j]]) for j in range(g.shape[1])], "marker_idx int, g array<tinyint>")
-    ids = [f"{i:06d}" for i in rows["sample_idx"]]
-    groups = [f"b{i // 5:05d}" for i in rows["sample_idx"]]
-    return Study(ids, rows["y"].to_numpy(), vec.repartition(8).cache(), variants(spark).cache(), groups), rows["label"].astype(int).tolist()
+def vectors(long: DataFrame) -> DataFrame:
+    """marker_vec of sample_idx, marker_idx, g: dosages in sample order."""
+    ordered = F.array_sort(F.collect_list(F.struct("sample_idx", "g")))
+    return long.groupBy("marker_idx").agg(ordered.alias("v")).select("marker_idx", F.transform("v", lambda x: x["g"].cast("tinyint")).alias("g"))
+
+
+def study(spark: SparkSession, sf_dir: str) -> tuple[Study, list[int]]:
+    """The whole table as a study, and each sample's label; dosages stay in tasks."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_idx"), "label").join(phenotype(spark, sf_dir), "sample_idx").orderBy("sample_idx").collect()  # one sample a row
+    ids = [f"{r.sample_idx:06d}" for r in rows]
+    groups = [f"b{r.sample_idx // 5:05d}" for r in rows]
+    vec = vectors(dosage(spark, sf_dir).select("sample_idx", "marker_idx", "g")).cache()
+    return Study(ids, np.array([r.y for r in rows]), vec, variants(spark).cache(), groups), [int(r.label) for r in rows]

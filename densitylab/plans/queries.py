@@ -11,6 +11,7 @@ from ..functions import scalars as sc
 from ..operators import compare, diagnostics, folds, kernel, ld, metrics, ordering, qc, validate
 from ..sources import readers
 from . import fixtures as fx
+from . import study
 from .study import DensityConfig, LadderConfig, run_densities, run_encodings, run_ladder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +23,8 @@ def query(sql: str | None = None, views: tuple[str, ...] = ()):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = ("WITH " + ",\n".join(views) + "\n" if views else "") + sql.strip()
+            own = ",\n".join(views)
+            ORACLE[f.__name__] = (f"WITH {'RECURSIVE ' * ('RECURSIVE ' in own)}" + own.replace("RECURSIVE ", "") + "\n" if views else "") + sql.strip()
         return f
 
     return add
@@ -108,16 +110,15 @@ r2 AS (SELECT a, b, chrom, least(greatest(power(d / (p.s * q.s), 2), 0), 1) AS r
 
 def _vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """marker_vec of the training rows, in sample order."""
-    ordered = F.array_sort(F.collect_list(F.struct("sample_idx", "g")))
-    return _train(spark, sf_dir).groupBy("marker_idx").agg(ordered.alias("v")).select("marker_idx", F.transform("v", lambda x: x["g"].cast("tinyint")).alias("g"))
+    return fx.vectors(_train(spark, sf_dir))
 
 
 def _r2_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     train = _train(spark, sf_dir)
     kept = qc.eligible(train)
-    pairs = ld.local_pairs(fx.variants(spark).join(kept.select("marker_idx"), "marker_idx", "left_semi"), 1_000_000)
     n = train.select("sample_idx").distinct().count()
-    return ld.pair_r2(pairs, ld.unit_vectors(_vec(spark, sf_dir), kept, list(range(n)))), kept
+    r2 = ld.window_r2(_vec(spark, sf_dir), fx.variants(spark), kept.select(F.lit("all").alias("fit_id"), "marker_idx"), {"all": range(n)}, 1_000_000)
+    return r2.drop("fit_id"), kept
 
 
 @query("SELECT a, b, chrom, round(r2, 8) AS r2 FROM r2", (*_BASE, _QC, _V, _R2))
@@ -134,13 +135,23 @@ def ld_chrom_summary(spark, sf_dir):
     return s.select("chrom", "local_pairs", _r("mean_r2", "mean_r2"), "high_ld_pairs")
 
 
-@query()
+_COVER = """RECURSIVE edge AS (SELECT a AS m, b AS o FROM r2 WHERE r2 >= 0.001 UNION ALL SELECT b, a FROM r2 WHERE r2 >= 0.001),
+node AS (SELECT qc.marker_idx AS m, rank, coalesce(list(o) FILTER (o IS NOT NULL), []) AS near FROM qc JOIN phys USING (marker_idx) LEFT JOIN edge ON edge.m = qc.marker_idx GROUP BY ALL),
+step AS (SELECT NULL::INTEGER AS pick, (SELECT list(m) FROM node) AS left_
+ UNION ALL SELECT x.m, list_filter(left_, lambda v: v <> x.m AND NOT list_contains(x.near, v))
+ FROM (SELECT left_, arg_min({'m': m, 'near': near}, {'d': -len(list_intersect(near, left_)), 'r': rank}) AS x FROM step JOIN node ON list_contains(left_, m) GROUP BY left_))"""
+
+
+@query("SELECT pick AS marker_idx FROM step WHERE pick IS NOT NULL", (*_BASE, _QC, _V, _PHYS, _R2, _COVER))
 def ld_greedy_cover(spark, sf_dir):
     r2, kept = _r2_frame(spark, sf_dir)
     return ld.greedy_cover(fx.variants(spark), kept, ordering.physical_order(fx.variants(spark), 101, 1_000_000), r2, 0.001)
 
 
-@query()
+@query(
+    """SELECT marker_idx, (row_number() OVER (ORDER BY CASE WHEN marker_idx IN (SELECT pick FROM step WHERE pick IS NOT NULL) THEN 0 WHEN marker_idx IN (SELECT marker_idx FROM qc) THEN 1 ELSE 2 END, rank) - 1)::INTEGER AS rank FROM phys""",
+    (*_BASE, _QC, _V, _PHYS, _R2, _COVER),
+)
 def ld_order(spark, sf_dir):
     r2, kept = _r2_frame(spark, sf_dir)
     physical = ordering.physical_order(fx.variants(spark), 101, 1_000_000)
@@ -177,7 +188,15 @@ def random_folds(spark, sf_dir):
     return folds.random_folds(fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id")), 5, 7)
 
 
-@query()
+@query(
+    """SELECT vec_id::VARCHAR AS sample_id, 'b' || (vec_id // 7)::VARCHAR AS group_id, fold::INTEGER AS fold FROM embeddings JOIN deal ON 'b' || (vec_id // 7)::VARCHAR = g""",
+    (
+        "RECURSIVE sizes AS (SELECT 'b' || (vec_id // 7)::VARCHAR AS g, count(*) AS n FROM embeddings GROUP BY 1)",
+        "line AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, sha256(concat_ws(chr(9), '101', 'full', g)), g) AS i FROM sizes)",
+        """deal AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS g, [0::BIGINT, 0, 0, 0] AS loads, NULL::BIGINT AS fold
+ UNION ALL SELECT l.i, l.g, list_transform([1, 2, 3, 4], lambda f: d.loads[f] + CASE WHEN f = list_position(d.loads, list_min(d.loads)) THEN l.n ELSE 0 END), list_position(d.loads, list_min(d.loads)) - 1 FROM deal d JOIN line l ON l.i = d.i + 1)""",
+    ),
+)
 def lpt_group_folds(spark, sf_dir):
     e = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), F.concat(F.lit("b"), F.expr("cast(vec_id div 7 as string)")).alias("group_id"))
     return folds.balanced_groups(e, 4, 101, "full")
@@ -185,11 +204,15 @@ def lpt_group_folds(spark, sf_dir):
 
 @query(
     """SELECT i, j, round(sum(x.z * y.z), 6) AS k FROM (SELECT sample_idx AS i, marker_idx, z FROM small) x JOIN (SELECT sample_idx AS j, marker_idx, z FROM small) y USING (marker_idx) WHERE i <= j GROUP BY i, j""",
-    (*_BASE, _QC, "small AS (SELECT sample_idx, marker_idx, coalesce(g - mean, 0) AS z FROM train JOIN qc USING (marker_idx) WHERE label = 1)"),
+    (*_BASE, _QC, "small AS (SELECT sample_idx, marker_idx, coalesce(g - mean, 0) AS z FROM train JOIN qc USING (marker_idx))"),
 )
 def gram_entries(spark, sf_dir):
+    """Kernel blocks of all training samples, as rows."""
     train = _train(spark, sf_dir)
-    return kernel.gram_entries(train.filter("label = 1"), qc.eligible(train)).select("i", "j", _r("k", "k", 6))
+    names = [r.sample_idx for r in train.select("sample_idx").distinct().orderBy("sample_idx").collect()]
+    fit = kernel.Fit("all", tuple(range(len(names))), ())
+    stats = qc.eligible(train).select(F.lit("all").alias("fit_id"), "marker_idx", "mean", F.lit(1.0).alias("scale"), F.lit(0).alias("tier"))
+    return kernel.gram_entries(kernel.kernel_blocks(_vec(spark, sf_dir), stats, [fit]), fit, names).select("i", "j", _r("k", "k", 6))
 
 
 @query(
@@ -204,10 +227,16 @@ def gram_entries(spark, sf_dir):
     ),
 )
 def krr_density2(spark, sf_dir):
-    d = fx.dosage(spark, sf_dir).filter("marker_idx in (5, 35)")
-    wide = d.groupBy("sample_idx", "label").agg(F.max(F.when(F.col("marker_idx") == 5, F.col("g"))).alias("g1"), F.max(F.when(F.col("marker_idx") == 35, F.col("g"))).alias("g2"))
-    wide = wide.join(fx.phenotype(spark, sf_dir), "sample_idx").withColumn("train", F.col("label") != 0)
-    return kernel.two_marker_ridge(wide, 0.5).select("sample_idx", _r("y", "y"), _r("prediction", "prediction", 6))
+    """The blocks, the divisor and the solver of the density study on a panel of two markers, which has a closed form."""
+    s, labels = fx.study(spark, sf_dir)
+    fit = kernel.Fit("outer/0", tuple(i for i, x in enumerate(labels) if x), tuple(i for i, x in enumerate(labels) if not x))
+    two = s.vec.filter("marker_idx in (5, 35)")
+    stats = qc.fit_eligible(two, {fit.fit_id: fit.train}, 0, 0).cache()
+    scale = qc.kernel_scale(stats).first().scale
+    blocks = kernel.kernel_blocks(two, stats.select("fit_id", "marker_idx", "mean", F.lit(1.0).alias("scale"), F.lit(0).alias("tier")), [fit])
+    solved = study.solve(s, [fit], blocks, {"2": [0]}, {fit.fit_id: {"2": study.Panel(2, scale)}}, {f"{fit.fit_id}|2": [0.5]}, False)
+    people = spark.createDataFrame([(i, int(name), float(v)) for i, (name, v) in enumerate(zip(s.ids, s.y))], "position int, sample_idx bigint, y double")
+    return solved.join(people, "position").select("sample_idx", _r("y", "y"), _r("prediction", "prediction", 6))
 
 
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,54 +314,21 @@ def bootstrap_seeded(spark, sf_dir):
     return compare.decision(compare.bootstrap(sums, compare.seeded_draws(sums, 1, 100, 11)))
 
 
-def _traits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    samples = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("sample_id"), F.col("c_mktsegment").alias("group_id"))
-    raw = fx.table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").cast("string").alias("sample_id"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("NA")).otherwise(F.col("o_totalprice").cast("string")).alias("raw"))
-    return samples, raw.withColumn("trait_id", F.lit("price")).withColumn("value", sc.number_or_null(F.col("raw")))
-
-
-_TRAITS = (
-    "s AS (SELECT c_custkey::VARCHAR AS sample_id, c_mktsegment AS group_id FROM customer WHERE c_custkey % 2 = 0)",
-    "p AS (SELECT o_custkey::VARCHAR AS sample_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS value FROM orders WHERE o_orderkey % 7 = 0)",
-)
-
-
-@query("SELECT group_id, count(*) AS n, round(avg(value), 6) AS mean_value FROM s JOIN p USING (sample_id) WHERE value IS NOT NULL GROUP BY group_id", _TRAITS)
-def trait_alignment(spark, sf_dir):
-    from .study import align
-
-    samples, p = _traits(spark, sf_dir)
-    matched, _ = align(samples.filter("cast(sample_id as bigint) % 2 = 0"), p, "price")
-    return matched.groupBy("group_id").agg(F.count("*").alias("n"), _r(F.avg("value"), "mean_value", 6))
-
-
-@query("SELECT DISTINCT sample_id FROM p WHERE value IS NOT NULL AND sample_id NOT IN (SELECT sample_id FROM s)", _TRAITS)
-def unmatched_traits(spark, sf_dir):
-    from .study import align
-
-    samples, p = _traits(spark, sf_dir)
-    return align(samples.filter("cast(sample_id as bigint) % 2 = 0"), p, "price")[1].distinct()
-
-
 @query("SELECT c_mktsegment AS group_id, count(*) AS n, round(avg(o_totalprice), 6) AS mean_value FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice IS NOT NULL GROUP BY c_mktsegment")
-def trait_alignment_whole(spark, sf_dir):
-    """``trait_alignment`` over every order and every customer."""
-    from .study import align
-
+def trait_alignment(spark, sf_dir):
+    """Every order's value at its customer."""
     samples = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("sample_id"), F.col("c_mktsegment").alias("group_id"))
     raw = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("sample_id"), F.col("o_totalprice").cast("string").alias("raw"))
-    matched, _ = align(samples, raw.withColumn("trait_id", F.lit("price")).withColumn("value", sc.number_or_null(F.col("raw"))), "price")
+    matched, _ = study.align(samples, raw.withColumn("trait_id", F.lit("price")).withColumn("value", sc.number_or_null(F.col("raw"))), "price")
     return matched.groupBy("group_id").agg(F.count("*").alias("n"), _r(F.avg("value"), "mean_value", 6))
 
 
 @query("SELECT DISTINCT doc_id::VARCHAR AS sample_id FROM documents ANTI JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL")
-def unmatched_traits_whole(spark, sf_dir):
-    """``unmatched_traits`` over every document: those that have a length but no label."""
-    from .study import align
-
+def unmatched_traits(spark, sf_dir):
+    """Documents that have a length but no label."""
     samples = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("sample_id"))
     raw = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sample_id"), F.col("n_chars").cast("string").alias("raw"))
-    return align(samples, raw.withColumn("trait_id", F.lit("chars")).withColumn("value", sc.number_or_null(F.col("raw"))), "chars")[1].distinct()
+    return study.align(samples, raw.withColumn("trait_id", F.lit("chars")).withColumn("value", sc.number_or_null(F.col("raw"))), "chars")[1].distinct()
 
 
 @query(
@@ -341,9 +337,9 @@ UNION ALL SELECT 'bad_variant', count(*) FROM variant WHERE pos > 5000000
 UNION ALL SELECT 'bad_id', count(*) FROM customer WHERE trim(c_mktsegment) <> c_mktsegment OR c_mktsegment = ''
 UNION ALL SELECT 'split_group', count(*) FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey % 2) > 1)
 UNION ALL SELECT 'uncovered', count(*) FROM (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))
-UNION ALL SELECT 'unordered_variant', 0
-UNION ALL SELECT 'bad_dosage', 0""",
-    (_V,),
+UNION ALL SELECT 'unordered_variant', count(*) FROM (SELECT p, lag(p) OVER (PARTITION BY chrom ORDER BY marker_idx) AS before FROM (SELECT *, pos - CASE WHEN marker_idx % 5 = 3 THEN 900000 ELSE 0 END AS p FROM variant)) WHERE before >= p
+UNION ALL SELECT 'bad_dosage', count(*) FROM dosage WHERE 2 * g > 2""",
+    (_V, _D),
 )
 def validation_report(spark, sf_dir):
     o, c, v = fx.table(spark, sf_dir, "orders"), fx.table(spark, sf_dir, "customer"), fx.variants(spark)
@@ -354,8 +350,8 @@ def validation_report(spark, sf_dir):
         "bad_id": validate.bad_ids(c, "c_mktsegment"),
         "split_group": validate.split_groups(o.withColumn("f", F.col("o_orderkey") % 2), "o_custkey", "f"),
         "uncovered": validate.uncovered(c.select(F.col("c_custkey").alias("sample_id")), o.select(F.col("o_custkey").alias("sample_id")).distinct()),
-        "unordered_variant": validate.unordered_variants(v),
-        "bad_dosage": validate.bad_dosages(fx.dosage(spark, sf_dir)),
+        "unordered_variant": validate.unordered_variants(v.withColumn("pos", F.when(F.col("marker_idx") % 5 == 3, F.col("pos") - 900_000).otherwise(F.col("pos")))),
+        "bad_dosage": validate.bad_dosages(fx.dosage(spark, sf_dir).withColumn("g", 2 * F.col("g"))),
     }
     out = None
     for rule, bad in found.items():
@@ -374,28 +370,9 @@ def parse_fold_metrics(spark, sf_dir):
     return p.select("fold", _r("mse", "mse", 10), "rmse", "pcc", "mae")
 
 
-@query(
-    "SELECT marker_idx, round(avg(g), 8) AS mean, n FROM (SELECT marker_idx, g, count(*) OVER (PARTITION BY marker_idx) AS n FROM train WHERE label = 3 OR label = 4) GROUP BY marker_idx, n",
-    (_D, _TRAIN),
-)
+@query("SELECT marker_idx, round(mean, 8) AS mean, n FROM stats", _BASE)
 def vec_counts(spark, sf_dir):
     """Statistics inside marker_vec rows equal the grouped ones."""
-    d = _train(spark, sf_dir).filter("label in (3, 4)")
-    n = d.select("sample_idx").distinct().count()
-    vec = d.groupBy("marker_idx").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "g"))).alias("v")).select("marker_idx", F.transform("v", lambda x: x["g"].cast("tinyint")).alias("g"))
-    return qc.vec_counts(vec, range(n)).select("marker_idx", _r("mean", "mean"), F.col("rows").alias("n"))
-
-
-@query()
-def gram_entries_whole(spark, sf_dir):
-    """``gram_entries`` over every pair of training samples."""
-    train = _train(spark, sf_dir)
-    return kernel.gram_entries(train, qc.eligible(train)).select("i", "j", _r("k", "k", 6))
-
-
-@query("SELECT marker_idx, round(mean, 8) AS mean, n FROM stats", _BASE)
-def vec_counts_whole(spark, sf_dir):
-    """``vec_counts`` over every training row."""
     n = _train(spark, sf_dir).select("sample_idx").distinct().count()
     return qc.vec_counts(_vec(spark, sf_dir), range(n)).select("marker_idx", _r("mean", "mean"), F.col("rows").alias("n"))
 

@@ -1,8 +1,9 @@
 """The three studies: marker densities, the density ladder, and the two encodings (A, B1, B2).
 
 All fits of a study, outer and inner, every density and penalty, are rows of one
-plan: statistics of each fit, its markers by tier, kernel blocks summed over
-tiers, and one task a fit that solves the whole penalty grid.
+plan: statistics of each fit, its markers by tier, and kernel blocks summed over
+tiers.  Where the kernels of a fit fit a task, that task solves the whole penalty
+grid; larger ones stay in blocks, and conjugate gradients ask for products with them.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.linear import conjugate_grid, dual_ridge
+from ..functions.linear import conjugate, conjugate_grid, dual_ridge
 from ..operators import folds as fo
 from ..operators import kernel as ke
-from ..operators import ld, metrics, ordering, qc
+from ..operators import diagnostics, ld, metrics, ordering, qc
 from ..operators import validate as va
 
 _ERRORS = "fit_id string, workflow string, penalty_idx int, penalty double, n bigint, sse double, markers int, capped boolean"
-_ROWS = "fit_id string, workflow string, penalty double, position int, prediction double, train_mean double, markers int"
+_ROWS = "fit_id string, workflow string, penalty double, position int, prediction double, train_mean double, markers int, scale double, residual double, steps int"
+#: Relative residual of direct solutions found by conjugate gradients.
+EXACT = 1e-11
 
 
 @dataclass(frozen=True)
@@ -85,36 +88,116 @@ def _fits(study: Study, table: list[tuple[str, list[str], list[str]]]) -> list[k
     return [ke.Fit(f, tuple(at[s] for s in train), tuple(at[s] for s in test)) for f, train, test in table]
 
 
-def _solve_dual(study: Study, fits: list[ke.Fit], blocks: DataFrame, tiers: Sequence[int | str], sizes: dict, alphas: dict[str, list[float]], schema: str, inner: bool) -> DataFrame:
-    """Runs every density and penalty of a fit; tier t of a kernel is what density t adds to the one before."""
-    table, y = {f.fit_id: f for f in fits}, study.y
+@dataclass(frozen=True)
+class Panel:
+    """What a fit knows of a workflow: markers, the kernel's divisor (None: its mean diagonal), whether capped."""
+
+    markers: int
+    scale: float | None = None
+    capped: bool = False
+
+
+def _rows_of(f: ke.Fit, flow: str, grid: Sequence[float], panel: Panel, scale: float, y: np.ndarray, p: np.ndarray, true: np.ndarray, steps: np.ndarray, inner: bool) -> list[tuple]:
+    train, test = np.array(f.train), np.array(f.test)
+    if not np.isfinite(p).all():
+        raise va.ContractError("predictions aren't finite")
+    if inner:
+        return [(f.fit_id, flow, i, float(c), len(test), float(((y[test] - p[:, i]) ** 2).sum()), panel.markers, panel.capped) for i, c in enumerate(grid)]
+    mean = float(y[train].mean())
+    return [(f.fit_id, flow, float(c), int(s), float(v), mean, panel.markers, scale, float(true[i]), int(steps[i])) for i, c in enumerate(grid) for s, v in zip(test, p[:, i])]
+
+
+def _scale_of(panel: Panel, trace: float, n: int) -> float:
+    scale = trace / n if panel.scale is None else panel.scale
+    if not scale > 0:
+        raise va.ContractError("the kernel has no variance")
+    return float(scale)
+
+
+def solve(study: Study, fits: list[ke.Fit], blocks: DataFrame, sums: dict[str, list[int]], panels: dict[str, dict[str, Panel]], penalties: dict[str, list[float]], inner: bool, residual: float | None = None) -> DataFrame:
+    """Errors (inner) or predictions of every fit, workflow and penalty.
+
+    ``sums``: workflow -> tiers that make up its kernel.  With a residual, penalties are
+    multiples of the training samples and solved by conjugate gradients; without one they are added as they are.
+    """
+    table, y, schema = {f.fit_id: f for f in fits}, study.y, _ERRORS if inner else _ROWS
+    kind = "inner/" if inner else "outer/"
+    blocks = blocks.filter(F.col("fit_id").startswith(kind))
+    if not ke.dense([f for f in fits if f.fit_id.startswith(kind)], len({t for ts in sums.values() for t in ts})):
+        return _solve_apart(study, table, blocks, sums, panels, penalties, inner, residual, schema)
 
     def body(fit_id: str, parts: dict[int, np.ndarray]) -> pd.DataFrame:
-        f = table[fit_id]
-        train, test, rows, total = np.array(f.train), np.array(f.test), [], None
-        for t, density in enumerate(tiers):
-            if t in parts:
-                total = parts[t] if total is None else total + parts[t]
-            info = sizes[fit_id][t]
-            if info is None or total is None:
+        f, rows = table[fit_id], []
+        n, own = len(f.train), y[np.array(f.train)]
+        for flow, tiers in sums.items():
+            grid, panel, have = penalties.get(f"{fit_id}|{flow}", []), panels[fit_id].get(flow), [parts[t] for t in tiers if t in parts]
+            if not grid or panel is None or not have:
                 continue
-            markers, scale, capped = info
-            k, cross = total[: len(train)] / scale, total[len(train) :] / scale
-            for i, alpha in enumerate(alphas.get(f"{fit_id}|{density}", [])):
-                p = dual_ridge(k, cross, y[train], alpha)
-                if inner:
-                    rows.append((fit_id, str(density), i, alpha, len(test), float(((y[test] - p) ** 2).sum()), markers, capped))
-                else:
-                    rows += [(fit_id, str(density), alpha, int(s), float(v), float(y[train].mean()), markers) for s, v in zip(test, p)]
+            total = sum(have[1:], have[0])
+            scale = _scale_of(panel, np.trace(total[:n]), n)
+            k, cross = total[:n] / scale, total[n:] / scale
+            if residual is None:
+                p, true, steps = np.stack([dual_ridge(k, cross, own, c) for c in grid], 1), np.zeros(len(grid)), np.zeros(len(grid), int)
+            else:
+                a, true, steps = conjugate_grid(k, own, grid, residual)
+                p = own.mean() + cross @ a
+            rows += _rows_of(f, flow, grid, panel, scale, y, p, true, steps, inner)
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return ke.with_fit("fit_id", schema, body)(blocks)
 
 
-def run_densities(study: Study, config: DensityConfig, outer: dict[str, int], inner: dict[int, dict[str, int]]) -> dict[str, DataFrame]:
+def _solve_apart(study: Study, table: dict[str, ke.Fit], blocks: DataFrame, sums, panels, penalties, inner: bool, residual: float | None, schema: str) -> DataFrame:
+    """``solve`` for kernels that no task can hold: one outer fold's fits at a time, a pass over their blocks a step.
+
+    The driver has the vectors of one fold's systems: training samples x workflows x penalties.
+    """
+    spark, y, rows = blocks.sparkSession, study.y, []
+    folds = sorted({k.split("|")[0].split("/")[1] for k, grid in penalties.items() if grid}, key=int)
+    for fold in folds:
+        own = blocks.filter(F.split("fit_id", "/")[1] == fold)
+        diagonal, live, facts = ke.diagonals(own), {}, {}
+        for fit_id in sorted({f for f, _ in diagonal}):
+            f = table[fit_id]
+            n, level = len(f.train), y[np.array(f.train)]
+            for flow, tiers in sums.items():
+                grid, panel, have = penalties.get(f"{fit_id}|{flow}", []), panels[fit_id].get(flow), [t for t in tiers if (fit_id, t) in diagonal]
+                if not grid or panel is None or not have:
+                    continue
+                d = sum(diagonal[fit_id, t] for t in have)
+                scale = _scale_of(panel, d.sum(), n)
+                shift = np.asarray(grid, float) * (1 if residual is None else n)
+                solver = conjugate(d / scale, level, shift, EXACT if residual is None else residual)
+                facts[fit_id, flow] = f, grid, panel, scale, have
+                live[fit_id, flow] = solver, next(solver, None)
+        done = {}
+        for key, (_, d) in list(live.items()):
+            if d is None:  # a constant phenotype has no system
+                n, k = len(facts[key][0].train), len(facts[key][1])
+                done[key] = np.zeros((n, k)), np.zeros(k), np.zeros(k, int)
+                del live[key]
+        while live:
+            got = ke.products(own, {key: (facts[key][4], d) for key, (_, d) in live.items()})
+            for key, (solver, _) in list(live.items()):
+                f, _, _, scale, _ = facts[key]
+                try:
+                    live[key] = solver, solver.send(got[key][: len(f.train)] / scale)
+                except StopIteration as end:
+                    done[key] = end.value
+                    del live[key]
+        if not done:
+            continue
+        cross = ke.products(own, {key: (facts[key][4], a) for key, (a, _, _) in done.items()})
+        for key, (_, true, steps) in done.items():
+            f, grid, panel, scale, _ = facts[key]
+            p = y[np.array(f.train)].mean() + cross[key][len(f.train) :] / scale
+            rows += _rows_of(f, key[1], grid, panel, scale, y, p, true, steps, inner)
+    return spark.createDataFrame(rows, schema)
+
+
+def run_densities(study: Study, config: DensityConfig, outer: dict[str, int], inner: dict[int, dict[str, int]], only: Sequence[int] | None = None) -> dict[str, DataFrame]:
     """A: predictions, metrics, tuning, omitted, qc.  Statistics come from each fit's training rows alone."""
-    table = fo.fit_table(outer, inner)
-    fits = _fits(study, table)
+    fits = _fits(study, fo.fit_table(outer, inner, only))
     stats = qc.fit_eligible(study.vec, {f.fit_id: f.train for f in fits}, config.min_call_rate, config.min_maf, config.min_mac).cache()
     order = ordering.hash_order(study.variants, config.hash_salt)
     numbered = sorted([d for d in config.densities if d != "all"]) + (["all"] if "all" in config.densities else [])
@@ -128,25 +211,26 @@ def run_densities(study: Study, config: DensityConfig, outer: dict[str, int], in
     for f in fits:
         if not eligible.get(f.fit_id):
             raise va.ContractError(f"no eligible marker in {f.fit_id}")
-    sizes: dict[str, list] = {}
+    sums = {str(d): list(range(i + 1)) for i, d in enumerate(numbered)}
+    panels: dict[str, dict[str, Panel]] = {}
     omitted = []
     for f in fits:
         own, n, c = {r.tier: r for r in weights if r.fit_id == f.fit_id}, 0, 0.0
-        sizes[f.fit_id] = []
+        panels[f.fit_id] = {}
         for t, d in enumerate(numbered):
             n, c = n + (own[t].n if t in own else 0), c + (own[t].c if t in own else 0.0)
             use, capped = ordering.availability(eligible[f.fit_id], d, f.fit_id.startswith("outer"))
             if use is None:
                 omitted.append((f.fit_id, str(d), eligible[f.fit_id]))
-            sizes[f.fit_id].append(None if use is None else (n, c, capped))
+            else:
+                panels[f.fit_id][str(d)] = Panel(n, c, capped)
     blocks = ke.kernel_blocks(study.vec, marked.select("fit_id", "marker_idx", "mean", "scale", "tier"), fits).cache()
     spark = study.vec.sparkSession
-    inner_fits = [f for f in fits if f.fit_id.startswith("inner")]
-    grid = {f"{f.fit_id}|{d}": list(config.alphas) for f in inner_fits for d in numbered}
-    errors = _solve_dual(study, fits, blocks.filter(F.col("fit_id").startswith("inner")), numbered, sizes, grid, _ERRORS, True).withColumn("fold", F.split("fit_id", "/")[1].cast("int"))
+    grid = {f"{f.fit_id}|{w}": list(config.alphas) for f in fits if f.fit_id.startswith("inner") for w in sums}
+    errors = solve(study, fits, blocks, sums, panels, grid, True).withColumn("fold", F.split("fit_id", "/")[1].cast("int"))
     tuning = metrics.best_penalty(metrics.pooled_sse(errors, "fold", "workflow"), "fold", "workflow").cache()
     chosen = {f"outer/{r.fold}|{r.workflow}": [r.penalty] for r in tuning.collect()}
-    solved = _solve_dual(study, fits, blocks.filter(F.col("fit_id").startswith("outer")), numbered, sizes, chosen, _ROWS, False)
+    solved = solve(study, fits, blocks, sums, panels, chosen, False)
     people = spark.createDataFrame([(i, s, float(v), g) for i, (s, v, g) in enumerate(zip(study.ids, study.y, study.groups or [""] * len(study.ids)))], "position int, sample_id string, y double, group_id string")
     pred = solved.join(people, "position").select("sample_id", "group_id", F.split("fit_id", "/")[1].cast("int").alias("fold"), F.col("workflow").alias("density"), "markers", "y", "prediction", "train_mean", F.col("penalty").alias("alpha"))
     both = metrics.with_mean_model(pred)
@@ -154,73 +238,53 @@ def run_densities(study: Study, config: DensityConfig, outer: dict[str, int], in
     return {"predictions": pred, "metrics": table_of, "tuning": tuning, "omitted": spark.createDataFrame(omitted, "fit_id string, density string, eligible int"), "qc": stats}
 
 
+def _nested_search(study: Study, fits, blocks, sums, panels, rhos: Sequence[float], bounds: tuple[float, float], residual: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M2-M4: (predictions, tuning, search).
 
-
-def _solve_grid(study: Study, fits: list[ke.Fit], blocks: DataFrame, sums: dict[str, list[int]], markers: dict, rhos: dict[str, list[float]], residual: float, inner: bool) -> DataFrame:
-    """``sums``: workflow -> tiers that make up its kernel."""
-    table, y = {f.fit_id: f for f in fits}, study.y
-    schema = _ERRORS if inner else _ROWS
-
-    def body(fit_id: str, parts: dict[int, np.ndarray]) -> pd.DataFrame:
-        f, rows = table[fit_id], []
-        train, test = np.array(f.train), np.array(f.test)
-        for flow, tiers in sums.items():
-            grid = rhos.get(f"{fit_id}|{flow}", [])
-            have = [parts[t] for t in tiers if t in parts]
-            if not grid or not have:
-                continue
-            total = sum(have[1:], have[0])
-            level = np.trace(total[: len(train)]) / len(train)
-            if level <= 0:
-                raise va.ContractError("the kernel has no variance")
-            a, _, _ = conjugate_grid(total[: len(train)] / level, y[train], grid, residual)
-            p = y[train].mean() + total[len(train) :] / level @ a
-            if not np.isfinite(p).all():
-                raise va.ContractError("predictions aren't finite")
-            count = markers[fit_id][flow]
-            for i, rho in enumerate(grid):
-                if inner:
-                    rows.append((fit_id, flow, i, rho, len(test), float(((y[test] - p[:, i]) ** 2).sum()), count, False))
-                else:
-                    rows += [(fit_id, flow, rho, int(s), float(v), float(y[train].mean()), count) for s, v in zip(test, p[:, i])]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return ke.with_fit("fit_id", schema, body)(blocks)
-
-
-def _nested_search(study: Study, fits, blocks, sums, markers, rhos: Sequence[float], bounds: tuple[float, float], residual: float) -> tuple[DataFrame, DataFrame]:
-    """M2-M4: inner errors over a grid that grows by tens while an optimum stands at its border; then the chosen outer fits."""
-    inner, outer = [f for f in fits if f.fit_id.startswith("inner")], [f for f in fits if f.fit_id.startswith("outer")]
-    flows, grid, errors = list(sums), sorted(rhos), None
-    fresh = grid
+    Each outer fold has a grid of its own, which all its workflows share.  It grows by tens, and
+    never beyond the bounds, while an optimum stands at an end that isn't the bound; kernels
+    don't depend on the penalty, so only new penalties are ever solved.
+    """
+    flows, folds = list(sums), sorted({int(f.fit_id.split("/")[1]) for f in fits if f.fit_id.startswith("inner")})
+    grids = {f: sorted(float(r) for r in rhos) for f in folds}
+    fresh, errors = dict(grids), None
     while True:
-        want = {f"{f.fit_id}|{w}": list(fresh) for f in inner for w in flows}
-        new = _solve_grid(study, inner, blocks.filter(F.col("fit_id").startswith("inner")), sums, markers, want, residual, True).cache()
+        want = {f.fit_id + "|" + w: fresh[g] for f in fits if f.fit_id.startswith("inner") and (g := int(f.fit_id.split("/")[1])) in fresh for w in flows}
+        new = solve(study, [f for f in fits if int(f.fit_id.split("/")[1]) in fresh], blocks, sums, panels, want, True, residual).cache()
         errors = new if errors is None else errors.unionByName(new)
-        ordered = errors.withColumn("fold", F.split("fit_id", "/")[1].cast("int")).withColumn("penalty_idx", F.array_position(F.array(*map(F.lit, grid)), F.col("penalty")).cast("int"))
-        tuning = metrics.best_penalty(metrics.pooled_sse(ordered, "fold", "workflow"), "fold", "workflow").cache()
-        best = tuning.collect()
-        grown = []
-        if any(r.penalty == grid[0] for r in best) and grid[0] / 10 >= bounds[0] * (1 - 1e-9):
-            grown.append(grid[0] / 10)
-        if any(r.penalty == grid[-1] for r in best) and grid[-1] * 10 <= bounds[1] * (1 + 1e-9):
-            grown.append(grid[-1] * 10)
-        if not grown:  # kernels don't depend on the penalty, so only new ones are ever solved
+        ordered = errors.withColumn("fold", F.split("fit_id", "/")[1].cast("int")).withColumn("penalty_idx", F.lit(0))  # on ties the least penalty
+        sse = metrics.pooled_sse(ordered, "fold", "workflow")
+        tuning = metrics.best_penalty(sse, "fold", "workflow").cache()
+        best, fresh = tuning.collect(), {}
+        for f in folds:
+            grid, own = grids[f], {r.penalty for r in best if r.fold == f}
+            grown = [max(bounds[0], grid[0] / 10)] if grid[0] in own and grid[0] > bounds[0] else []
+            grown += [min(bounds[1], grid[-1] * 10)] if grid[-1] in own and grid[-1] < bounds[1] else []
+            if grown:
+                fresh[f], grids[f] = grown, sorted([*grid, *grown])
+        if not fresh:
             break
-        fresh, grid = grown, sorted([*grid, *grown])
     chosen = {f"outer/{r.fold}|{r.workflow}": [r.penalty] for r in best}
-    return _solve_grid(study, outer, blocks.filter(F.col("fit_id").startswith("outer")), sums, markers, chosen, residual, False), tuning
+    search = sse.select("fold", "workflow", "penalty", (F.col("sse") / F.col("n")).alias("inner_mse"))
+    return solve(study, fits, blocks, sums, panels, chosen, False, residual), tuning, search
 
 
-def run_ladder(study: Study, config: LadderConfig, outer: dict[str, int]) -> dict[str, DataFrame]:
-    """B1: physical and LD-aware panels at rising budgets; the full panel is fitted once for both."""
+def _fit_records(solved: DataFrame, tuning: DataFrame) -> DataFrame:
+    """A row an outer fit: what was chosen and how it was solved."""
+    own = solved.select(F.split("fit_id", "/")[1].cast("int").alias("fold"), "workflow", "markers", "scale", "residual", "steps").distinct()
+    return tuning.join(own, ["fold", "workflow"])
+
+
+def run_ladder(study: Study, config: LadderConfig, outer: dict[str, int], only: Sequence[int] | None = None) -> dict[str, DataFrame]:
+    """B1: physical and LD-aware panels at rising budgets; the full panel is fitted once for both.  ``only``: outer folds to run."""
     spark = study.vec.sparkSession
     of = dict(zip(study.ids, study.groups))
     inner = {}
-    for f in sorted(set(outer.values())):
+    for f in sorted(set(outer.values())) if only is None else only:
         train = sorted(s for s in outer if outer[s] != f)
         inner[f] = dict(zip(train, fo.balanced_groups_local([of[s] for s in train], config.inner_folds, config.seed, f"inner:{f}:full").tolist()))
-    fits = _fits(study, fo.fit_table(outer, inner))
+        va.disjoint_groups({of[s]: i for s, i in inner[f].items()}, [(of[s], i) for s, i in inner[f].items()])
+    fits = _fits(study, fo.fit_table(outer, inner, only))
     trains = {f.fit_id: f.train for f in fits}
     physical = ordering.physical_order(study.variants, config.seed, config.bin_bp).cache()
     budgets = sorted(config.budgets)
@@ -254,34 +318,41 @@ def run_ladder(study: Study, config: LadderConfig, outer: dict[str, int]) -> dic
     marked = marked.cache()
     counts = {(r.fit_id, r.tier): r.n for r in marked.groupBy("fit_id", "tier").agg(F.count("*").alias("n")).collect()}
     sums = {f"{name}:{b}": [number * 100 + j for j in range(i + 1)] for number, name in enumerate(config.strategies) for i, b in enumerate(budgets) if not (number and b == full)}
-    markers = {f.fit_id: {w: sum(counts.get((f.fit_id, t), 0) for t in ts) for w, ts in sums.items()} for f in fits}
+    panels = {f.fit_id: {w: Panel(sum(counts.get((f.fit_id, t), 0) for t in ts)) for w, ts in sums.items()} for f in fits}
+    va.no_empty_panels({(f, w): p.markers for f, own in panels.items() for w, p in own.items()})
     blocks = ke.kernel_blocks(study.vec, marked, fits).cache()
-    solved, tuning = _nested_search(study, fits, blocks, sums, markers, config.rhos, config.rho_bounds, config.residual)
+    solved, tuning, search = _nested_search(study, fits, blocks, sums, panels, config.rhos, config.rho_bounds, config.residual)
+    solved = solved.cache()
     people = spark.createDataFrame([(i, s, float(v), g) for i, (s, v, g) in enumerate(zip(study.ids, study.y, study.groups))], "position int, sample_id string, y double, group_id string")
     flow = F.split("workflow", ":")
     pred = solved.join(people, "position").select("sample_id", "group_id", F.split("fit_id", "/")[1].cast("int").alias("fold"), flow[0].alias("strategy"), flow[1].cast("int").alias("budget"), F.col("markers").alias("actual_markers"), "y", "prediction", "train_mean")
     for name in config.strategies[1:]:  # the full panel is the same fit
         pred = pred.unionByName(pred.filter((F.col("strategy") == config.strategies[0]) & (F.col("budget") == full)).withColumn("strategy", F.lit(name)))
-
-    return {"predictions": pred, "metrics": metrics.ladder_metrics(pred), "tuning": tuning, "coverage": cover, "ld": summary, "blocks": blocks}
+    outers = [f for f in fits if f.fit_id.startswith("outer")]
+    near = None
+    if ke.dense(outers, len({t for ts in sums.values() for t in ts})):
+        own = blocks.filter(F.col("fit_id").startswith("outer"))
+        near = diagnostics.against_full(own, {f.fit_id: len(f.train) for f in outers}, sums, f"{config.strategies[0]}:{full}")
+    return {"predictions": pred, "metrics": metrics.ladder_metrics(pred), "tuning": tuning, "search": search, "fits": _fit_records(solved, tuning), "coverage": cover, "ld": summary, "diagnostics": near, "blocks": blocks}
 
 
-def run_encodings(study: Study, outer: dict[str, int], inner_folds: int = 4, seed: int = 101, rhos: Sequence[float] = (1e-4, 1e-2, 1.0), bounds: tuple[float, float] = (1e-6, 1e4), residual: float = 1e-8) -> dict[str, DataFrame]:
+def run_encodings(study: Study, outer: dict[str, int], inner_folds: int = 4, seed: int = 101, rhos: Sequence[float] = (1e-4, 1e-2, 1.0), bounds: tuple[float, float] = (1e-6, 1e4), residual: float = 1e-8, only: Sequence[int] | None = None) -> dict[str, DataFrame]:
     """B2: centred and standardised encodings of all markers, each kernel divided by its mean diagonal."""
     spark = study.vec.sparkSession
     inner = {}
-    for f in sorted(set(outer.values())):
+    for f in sorted(set(outer.values())) if only is None else only:
         train = sorted(s for s in outer if outer[s] != f)
         inner[f] = dict(zip(train, fo.balanced_groups_local(train, inner_folds, seed, f"legacy-inner:{f}").tolist()))
-    fits = _fits(study, fo.fit_table(outer, inner))
+    fits = _fits(study, fo.fit_table(outer, inner, only))
     stats = qc.fit_counts(study.vec, {f.fit_id: f.train for f in fits})
     scale = F.when(F.col("variance") > 0, F.sqrt("variance")).otherwise(1.0)
     parts = stats.select("fit_id", "marker_idx", "mean", F.inline(F.array(F.struct(F.lit(1.0).alias("scale"), F.lit(0).alias("tier")), F.struct(scale.alias("scale"), F.lit(1).alias("tier")))))
     sums = {"GBLUP-centered": [0], "Ridge-standardized": [1]}
     n = study.variants.count()
-    markers = {f.fit_id: dict.fromkeys(sums, n) for f in fits}
+    panels = {f.fit_id: dict.fromkeys(sums, Panel(n)) for f in fits}
     blocks = ke.kernel_blocks(study.vec, parts, fits).cache()
-    solved, tuning = _nested_search(study, fits, blocks, sums, markers, rhos, bounds, residual)
+    solved, tuning, search = _nested_search(study, fits, blocks, sums, panels, rhos, bounds, residual)
+    solved = solved.cache()
     people = spark.createDataFrame([(i, s, float(v)) for i, (s, v) in enumerate(zip(study.ids, study.y))], "position int, sample_id string, y double")
     pred = solved.join(people, "position").select("sample_id", F.split("fit_id", "/")[1].cast("int").alias("fold"), F.col("workflow").alias("model"), "y", "prediction", "train_mean", F.col("penalty").alias("rho"))
-    return {"predictions": pred, "metrics": metrics.pooled_and_by_fold(pred, ["model"]), "tuning": tuning}
+    return {"predictions": pred, "metrics": metrics.pooled_and_by_fold(pred, ["model"]), "tuning": tuning, "search": search, "fits": _fit_records(solved, tuning)}

@@ -63,9 +63,23 @@ def test_availability():
 def test_ld_edges_cross_bins(spark):
     v = spark.createDataFrame([(0, "1", 990), (1, "1", 1010), (2, "1", 5000), (3, "1", 6000)], "marker_idx int, chrom string, pos bigint")
     assert [(r.a, r.b) for r in ld.local_pairs(v, 100).collect()] == [(0, 1)]
-    assert sorted(ld.cover(np.array([0, 1, 2]), np.array([0, 1, 2]), [(0, 1)])) == [0, 2]
-    near = {(0, 1), (1, 2), (2, 3), (3, 4)}
-    assert ld.cover(np.arange(5), np.arange(5), list(near)) == [1, 3]
+    assert sorted(ld.cover(np.array([0, 1, 2]), np.array([0, 1, 2]), np.array([0]), np.array([1]))) == [0, 2]
+    assert ld.cover(np.arange(5), np.arange(5), np.arange(4), np.arange(1, 5)).tolist() == [1, 3]
+
+
+def test_cover_equals_one_after_another():
+    r = np.random.default_rng(1)
+    for n, m in ((1, 0), (12, 10), (40, 60), (40, 200), (60, 59)):
+        ids, rank = r.permutation(1000)[:n], r.permutation(n)
+        pairs = sorted({tuple(sorted(p)) for p in r.integers(0, n, (m, 2)).tolist() if p[0] != p[1]})
+        left, want = set(range(n)), set()
+        while left:
+            near = {i: {x + y - i for x, y in pairs if i in (x, y) and x + y - i in left} for i in left}
+            i = min(left, key=lambda v: (-len(near[v]), rank[v]))
+            want.add(int(ids[i]))
+            left -= near[i] | {i}
+        a, b = (ids[[p[k] for p in pairs]] if pairs else np.zeros(0, np.int64) for k in (0, 1))
+        assert set(ld.cover(ids, rank, a, b).tolist()) == want
 
 
 def test_folds(spark):
@@ -82,14 +96,18 @@ def test_folds(spark):
         folds.group_out(spark.createDataFrame([("a", "x"), ("b", "x")], "sample_id string, group_id string"))
 
 
-def test_kernel_and_solvers_agree_with_dense(spark):
+@pytest.mark.parametrize(("rows", "strip"), [(512, 1 << 18), (5, 7)])
+def test_kernel_and_solvers_agree_with_dense(spark, monkeypatch, rows, strip):
+    monkeypatch.setattr(kernel, "ROWS", rows)
+    monkeypatch.setattr(kernel, "STRIP", strip)
     rng = np.random.default_rng(2)
     x = rng.integers(0, 3, (24, 31)).astype(float)
     x[0, :3] = np.nan
     train, test, y = tuple(range(17)), tuple(range(17, 24)), rng.normal(size=24) + 5
     stats = qc.vec_eligible(vec(spark, x), train, 0.5, 0.0).withColumn("fit_id", F.lit("f")).withColumn("scale", F.lit(1.0)).withColumn("tier", F.col("marker_idx") % 2)
     blocks = kernel.kernel_blocks(vec(spark, x).repartition(3), stats.select("fit_id", "marker_idx", "mean", "scale", "tier"), [kernel.Fit("f", train, test)]).toPandas()
-    k = sum(np.frombuffer(r.rows).reshape(-1, r.cols) for r in blocks.itertuples())
+    assert max(len(r.rows) for r in blocks.itertuples()) <= 8 * rows * 17
+    k = sum(np.concatenate([np.frombuffer(r.rows).reshape(-1, r.cols) for r in own.sort_values("part").itertuples()]) for _, own in blocks.groupby("tier"))
     kept = sorted(r.marker_idx for r in stats.collect())
     z = np.nan_to_num(x[:, kept] - np.nanmean(x[list(train)][:, kept], axis=0))
     assert np.allclose(k, z @ z[:17].T)

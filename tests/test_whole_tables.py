@@ -19,12 +19,12 @@ def test_traits_reach_every_order_and_customer(spark):
     for o in orders:
         if o.o_custkey in segment:
             prices[segment[o.o_custkey]].append(o.o_totalprice)
-    got = {r.group_id: r for r in queries.QUERIES["trait_alignment_whole"](spark, SF).collect()}
+    got = {r.group_id: r for r in queries.QUERIES["trait_alignment"](spark, SF).collect()}
     assert {g: r.n for g, r in got.items()} == {g: len(p) for g, p in prices.items()} and sum(r.n for r in got.values()) == len(orders)
     assert all(got[g].mean_value == pytest.approx(sum(p) / len(p), abs=1e-5) for g, p in prices.items())
     labelled = {r.doc_id for r in rows(spark, "labels")}
     want = {str(d.doc_id) for d in rows(spark, "documents") if d.n_chars is not None and d.doc_id is not None and d.doc_id not in labelled}
-    assert want and {r.sample_id for r in queries.QUERIES["unmatched_traits_whole"](spark, SF).collect()} == want
+    assert want and {r.sample_id for r in queries.QUERIES["unmatched_traits"](spark, SF).collect()} == want
 
 
 def test_gram_and_counts_reach_every_training_row(spark):
@@ -36,8 +36,8 @@ def test_gram_and_counts_reach_every_training_row(spark):
             means[r.marker_idx].append(r.g)
             if r.marker_idx in stats:
                 z[r.sample_idx][r.marker_idx] = r.g - stats[r.marker_idx]
-    got = {(r.i, r.j): r.k for r in queries.QUERIES["gram_entries_whole"](spark, SF).collect()}
+    got = {(r.i, r.j): r.k for r in queries.QUERIES["gram_entries"](spark, SF).collect()}
     assert set(got) == {(i, j) for i in ids for j in ids if i <= j}
     assert all(k == pytest.approx(sum(v * z[j].get(m, 0) for m, v in z[i].items()), abs=1e-5) for (i, j), k in got.items())
-    counts = {r.marker_idx: r for r in queries.QUERIES["vec_counts_whole"](spark, SF).collect()}
+    counts = {r.marker_idx: r for r in queries.QUERIES["vec_counts"](spark, SF).collect()}
     assert {m: (r.n, r.mean) for m, r in counts.items()} == {m: (len(ids), pytest.approx(sum(v) / len(v), abs=1e-7)) for m, v in means.items()}
