@@ -1,47 +1,105 @@
-"""Command line: demo, run, ladder, encodings."""
+"""Command line: demo, run, ladder, encodings, report."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import platform
+import resource
+import sys
+import time
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scalars import number_or_null, variant_id
+from .functions.scalars import number_or_null, variant_id, zero_based
+from .operators import compare, metrics
 from .operators import folds as fo
 from .operators import validate as va
 from .plans.study import DensityConfig, LadderConfig, Study, align, run_densities, run_encodings, run_ladder
 from .sources import readers, sinks
 
+REPLICATES = 2000
+
+
+def _phenotypes(spark: SparkSession, path: str, trait: str) -> DataFrame:
+    pheno = readers.tsv(spark, path, ["accession_id", "trait_id", "value"]).filter(F.col("trait_id") == trait)
+    pheno = pheno.select(F.col("accession_id").alias("sample_id"), "trait_id", number_or_null(F.col("value")).alias("value"))
+    va.check_phenotypes(pheno)
+    return pheno
 
-def load(spark: SparkSession, folder: str, trait: str) -> Study:
-    """A study from samples.tsv, variants.tsv, phenotypes.tsv and genotypes.npy, all checked."""
-    from pyspark.sql import Window
 
-    lines = lambda df, by: df.withColumn(by, F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)  # noqa: E731  sidecars are small and positional
-    samples = lines(readers.tsv(spark, f"{folder}/samples.tsv", ["accession_id", "genetic_group"]).coalesce(1), "sample_idx").select(F.col("accession_id").alias("sample_id"), F.col("genetic_group").alias("group_id"), "sample_idx").cache()
+def load(spark: SparkSession, folder: str, trait: str) -> Study:
+    """A study from samples.tsv, variants.tsv, phenotypes.tsv and genotypes.npy (samples x markers), all checked."""
+    samples = readers.numbered(readers.tsv(spark, f"{folder}/samples.tsv", ["accession_id", "genetic_group"]), "sample_idx").select(F.col("accession_id").alias("sample_id"), F.col("genetic_group").alias("group_id"), "sample_idx").cache()
+    if samples.isEmpty():
+        raise va.ContractError("no samples")
     va.check_samples(samples)
-    raw = lines(readers.tsv(spark, f"{folder}/variants.tsv", ["chromosome", "position", "ref", "alt"]).coalesce(1), "marker_idx")
-    variants = raw.select(F.col("marker_idx").cast("int").alias("marker_idx"), F.col("chromosome").alias("chrom"), F.col("position").cast("bigint").alias("pos"), "ref", "alt")
+    raw = readers.numbered(readers.tsv(spark, f"{folder}/variants.tsv", ["chromosome", "position", "ref", "alt"]), "marker_idx")
+    variants = raw.select("marker_idx", F.col("chromosome").alias("chrom"), F.col("position").cast("bigint").alias("pos"), "ref", "alt")
     variants = variants.withColumn("marker_id", variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"))).cache()
     va.check_variants(variants)
-    pheno = readers.tsv(spark, f"{folder}/phenotypes.tsv", ["accession_id", "trait_id", "value"]).filter(F.col("trait_id") == trait)
-    pheno = pheno.select(F.col("accession_id").alias("sample_id"), "trait_id", number_or_null(F.col("value")).alias("value"))
-    va.check_phenotypes(pheno)
-    matched, unmatched = align(samples, pheno, trait)
+    matched, unmatched = align(samples, _phenotypes(spark, f"{folder}/phenotypes.tsv", trait), trait)
     rows = matched.orderBy("sample_idx").collect()
     if len(rows) < 12:
         raise va.ContractError(f"{len(rows)} samples have genotypes and values; 12 are needed")
-    shape = np.load(f"{folder}/genotypes.npy", mmap_mode="r").shape
-    if shape != (samples.count(), variants.count()):
-        raise va.ContractError(f"genotypes of shape {shape} don't fit the manifests")
+    raw_genotypes = np.load(f"{folder}/genotypes.npy", mmap_mode="r")
+    va.array_contract(raw_genotypes, (samples.count(), variants.count()))
     sinks.log.info("%d matched, %d unmatched", len(rows), unmatched.count())
     vec = readers.npy(spark, f"{folder}/genotypes.npy", 1, [r.sample_idx for r in rows]).cache()
     return Study([r.sample_id for r in rows], np.array([r.value for r in rows]), vec, variants, [r.group_id for r in rows])
 
 
+def load_cohort(spark: SparkSession, folder: str, trait: str, folds: int | None = None) -> tuple[Study, dict[str, int]]:
+    """The development samples of a partitioned cohort, and their outer folds.
+
+    splits.tsv, samples.tsv, variants.tsv and dosages.npy (markers x samples).  Labels and dosages of sealed samples
+    are never read.  Files must have the digests in source_manifest.json, if there is one.
+    """
+    manifest = Path(folder) / "source_manifest.json"
+    if manifest.exists():
+        recorded = {Path(a["path"]).name: a["sha256"] for a in json.loads(manifest.read_text())["artifacts"]}
+        recorded = {n: d for n, d in recorded.items() if (Path(folder) / n).exists()}
+        va.same_digests({n: sinks.digest(f"{folder}/{n}") for n in recorded}, recorded)
+    splits = readers.tsv(spark, f"{folder}/splits.tsv", ["accession_id", "group_id", "partition", "outer_fold"])
+    splits = splits.select(F.col("accession_id").alias("sample_id"), "group_id", "partition", F.col("outer_fold").try_cast("int").alias("outer_fold"))
+    va.check_samples(splits)
+    va.check_cohort(splits, folds)
+    labels = readers.development_labels(_phenotypes(spark, f"{folder}/phenotypes.tsv", trait).filter("value is not null"), splits)
+    places = readers.tsv(spark, f"{folder}/samples.tsv", ["normalized_id", "sample_index"]).select(F.col("normalized_id").alias("sample_id"), F.col("sample_index").cast("int").alias("sample_idx"))
+    va.none_of(va.repeated(places, "sample_id"), "Repeated ids")
+    dev = splits.filter("partition = 'development'")
+    rows = dev.join(places, "sample_id", "left").join(labels.select("sample_id", "value"), "sample_id", "left").orderBy("sample_id").collect()
+    lacking = [r.sample_id for r in rows if r.sample_idx is None or r.value is None]
+    if lacking:
+        raise va.ContractError(f"{len(lacking)} development samples lack genotypes or a value, {lacking[0]} first")
+    raw = readers.numbered(readers.tsv(spark, f"{folder}/variants.tsv", ["CHROM", "POS"]), "marker_idx")
+    variants = raw.select("marker_idx", F.col("CHROM").alias("chrom"), F.col("POS").cast("bigint").alias("pos")).cache()
+    va.array_contract(np.load(f"{folder}/dosages.npy", mmap_mode="r"), (variants.count(), places.count()))
+    vec = readers.npy(spark, f"{folder}/dosages.npy", 0, [r.sample_idx for r in rows]).cache()
+    study = Study([r.sample_id for r in rows], np.array([r.value for r in rows]), vec, variants, [r.group_id for r in rows])
+    return study, {r.sample_id: r.outer_fold for r in rows}
+
+
+def load_wide(spark: SparkSession, genotypes: str, phenotypes: str, folds: str, trait: str) -> tuple[Study, dict[str, int]]:
+    """Complete samples of a wide genotype table, a phenotype table and folds numbered from 1."""
+    samples, vec = readers.wide_parquet(spark, genotypes)
+    va.check_samples(samples)
+    labels = readers.phenotypes_of(spark, phenotypes, trait, samples)
+    va.none_of(va.repeated(labels, "sample_id"), "Repeated phenotype")
+    split = readers.csv(spark, folds, ["sample_id", "fold"]).select("sample_id", zero_based(F.col("fold")).alias("outer_fold"))
+    va.check_splits(samples, split)
+    rows = samples.join(labels, "sample_id", "left").join(split, "sample_id").orderBy("sample_idx").collect()
+    if any(r.value is None or not np.isfinite(r.value) for r in rows):
+        raise va.ContractError("every sample needs a finite value")
+    n = vec.count()
+    variants = spark.range(n).select(F.col("id").cast("int").alias("marker_idx"))
+    return Study([r.sample_id for r in rows], np.array([r.value for r in rows]), vec.cache(), variants), {r.sample_id: r.outer_fold for r in rows}
+
+
 def outer_and_inner(spark: SparkSession, study: Study, config: DensityConfig, protocol: str, splits: str | None) -> tuple[dict, dict]:
     frame = lambda ids, groups: spark.createDataFrame(list(zip(ids, groups)), "sample_id string, group_id string")
     as_dict = lambda df: {r.sample_id: r.fold for r in df.select("sample_id", "fold").collect()}
@@ -61,10 +119,90 @@ def outer_and_inner(spark: SparkSession, study: Study, config: DensityConfig, pr
     return outer, inner
 
 
-def _save(frames: dict[str, DataFrame], out: Path) -> None:
+def _save(frames: dict[str, DataFrame | None], out: Path) -> None:
     for name, df in frames.items():
-        if df is not None and name != "blocks":
-            df.write.mode("errorifexists").parquet(str(out / name))
+        if df is not None:
+            df.write.mode("overwrite").parquet(str(out / name))
+
+
+def _cost(began: float, **more) -> dict:
+    """Seconds since ``began`` and the driver's greatest memory."""
+    return {**more, "seconds": time.perf_counter() - began, "driver_peak_rss_bytes": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024}
+
+
+def by_fold(out: Path, outer: dict[str, int], run: Callable[[list[int]], dict[str, DataFrame]], profile: bool) -> None:
+    """Outer folds one after another, each complete in its folder before the next; those that are complete are left alone."""
+    for f in [0] if profile else sorted(set(outer.values())):
+        own = out / f"fold_{f}"
+        if (own / "complete.json").exists():
+            sinks.log.info("fold %d is complete", f)
+            continue
+        began = time.perf_counter()
+        _save(run([f]), own)
+        test = sum(v == f for v in outer.values())
+        sinks.write_json(_cost(began, status="complete", fold=f, train_samples=len(outer) - test, test_samples=test), str(own / "complete.json"))
+
+
+def _gathered(spark: SparkSession, out: Path, name: str, folds: list[int]) -> DataFrame:
+    lacking = [f for f in folds if not (out / f"fold_{f}" / "complete.json").exists()]
+    if lacking:
+        raise va.ContractError(f"Incomplete outer fold {lacking[0]}")
+    return spark.read.parquet(*[str(out / f"fold_{f}" / name) for f in folds])
+
+
+def report(spark: SparkSession, out: str, published: dict[str, str] | None = None, replicates: int = REPLICATES) -> None:
+    """Pooled metrics, comparisons, costs and a page of text from the folds of ``ladder`` or ``encodings``."""
+    folder = Path(out)
+    identity = json.loads((folder / "identity.json").read_text())
+    outer = json.loads((folder / "splits.json").read_text())["outer"]
+    folds, ids = sorted(set(outer.values())), spark.createDataFrame([(s,) for s in outer], "sample_id string")
+    pred = _gathered(spark, folder, "predictions", folds).cache()
+    ladder = identity["command"] == "ladder"
+    keys = ["strategy", "budget"] if ladder else ["model"]
+    va.check_predictions(pred, ids, keys)
+    _save({"predictions": pred, "search": _gathered(spark, folder, "search", folds), "fits": _gathered(spark, folder, "fits", folds)}, folder)
+    frames: dict[str, DataFrame] = {}
+    if ladder:
+        frames["metrics"] = metrics.ladder_metrics(pred)
+        rows = [(r.strategy, r.budget) for r in frames["metrics"].select("strategy", "budget").collect()]
+        names = [s for s in ("physical", "ld") if any(s == x for x, _ in rows)]
+        wanted = compare.pairs(spark, sorted({b for _, b in rows}), names)
+        errors = compare.paired_errors(pred, wanted).cache()
+        sums = compare.group_sums(errors).cache()
+        limits = compare.decision(compare.bootstrap(sums, compare.seeded_draws(sums, wanted.count(), replicates, identity["config"]["seed"])))
+        frames["comparisons"] = wanted.join(compare.paired_summary(errors), "pair").join(limits, "pair").orderBy("pair")
+    else:
+        frames["metrics"] = metrics.pooled_and_by_fold(pred, keys)
+        theirs = None
+        for name, path in (published or {}).items():
+            figures = readers.published_folds(spark.read.text(path, wholetext=True)).cache()
+            own = frames["metrics"].filter("fold is not null")
+            sizes = own.select("fold", "n").distinct()
+            one = metrics.weighted_comparison(own, figures, sizes).select(F.lit(name).alias("reference"), "*")
+            theirs = one if theirs is None else theirs.unionByName(one)
+        if theirs is not None:
+            frames["historical"] = theirs
+    _save(frames, folder)
+    sinks.write_json([json.loads((folder / f"fold_{f}" / "complete.json").read_text()) for f in folds], str(folder / "costs.json"))
+    notes = ["Penalties come from inner folds of training samples alone.", "Intervals draw whole groups within outer folds; predictions are fixed."]
+    tables = [sinks.markdown(spark.read.parquet(str(folder / n)), n, notes if n == "metrics" else ()) for n in frames]
+    (folder / "report.md").write_text("\n".join(tables), encoding="utf-8")
+    sinks.write_json({"status": "complete", "samples": len(outer), "outer_folds": len(folds)}, str(folder / "complete.json"))
+
+
+def _density_study(spark: SparkSession, a: argparse.Namespace, given: dict) -> int:
+    config = DensityConfig(**{k: v for k, v in given.items() if k in DensityConfig.__dataclass_fields__})
+    if Path(a.out).exists():
+        raise FileExistsError(a.out)
+    began = time.perf_counter()
+    study = load(spark, a.data, a.trait)
+    outer, inner = outer_and_inner(spark, study, config, a.protocol, a.splits)
+    frames = run_densities(study, config, outer, inner, [0] if a.profile else None)
+    out = sinks.new_folder(a.out)  # after the inputs have passed, so that a bad one doesn't block the next try
+    sinks.write_json({"outer": outer, "inner": {str(k): v for k, v in inner.items()}}, str(out / "splits.json"))
+    _save(frames, out)
+    sinks.write_json(_cost(began, command="run", trait=a.trait, samples=len(study.ids), status="complete"), str(out / "run.json"))
+    return 0
 
 
 def main(args: list[str] | None = None) -> int:
@@ -73,37 +211,56 @@ def main(args: list[str] | None = None) -> int:
     sub.add_parser("demo").add_argument("--out", required=True)
     for name in ("run", "ladder", "encodings"):
         p = sub.add_parser(name)
-        p.add_argument("--data", required=True)
         p.add_argument("--trait", required=True)
-        p.add_argument("--out", required=True)
+        p.add_argument("--out", required=True, help="ladder and encodings go on in a folder of the same run")
         p.add_argument("--config")
-        p.add_argument("--protocol", choices=["iid", "group"], default="iid")
-        p.add_argument("--splits")
         p.add_argument("--profile", action="store_true", help="fold 0 alone")
+        p.add_argument("--data", required=name != "encodings", help="folder of the study; a partitioned cohort if it has dosages.npy")
+        if name != "encodings":
+            p.add_argument("--protocol", choices=["iid", "group"], default="iid")
+            p.add_argument("--splits")
+        else:
+            p.add_argument("--genotypes", help="wide Parquet file")
+            p.add_argument("--phenotypes", help="Parquet file")
+            p.add_argument("--folds", help="CSV file of sample_id, fold")
+    p = sub.add_parser("report")
+    p.add_argument("--out", required=True)
+    p.add_argument("--published", action="append", default=[], metavar="NAME=FILE")
     a = parser.parse_args(args)
     if a.command == "demo":
         readers.write_demo(a.out)
         return 0
-    out = sinks.new_folder(a.out)
     spark = SparkSession.builder.getOrCreate()
-    study = load(spark, a.data, a.trait)
+    if a.command == "report":
+        report(spark, a.out, dict(p.split("=", 1) for p in a.published))
+        return 0
     given = readers.config(a.config) if a.config else {}
-    config = DensityConfig(**{k: v for k, v in given.items() if k in DensityConfig.__dataclass_fields__})
-    outer, inner = outer_and_inner(spark, study, config, a.protocol, a.splits)
-    sinks.write_json({"outer": outer, "inner": {str(k): v for k, v in inner.items()}}, str(out / "splits.json"))
-    if a.profile:  # the other folds' samples stay training rows of fold 0
-        outer = {s: (0 if f == 0 else 1) for s, f in outer.items()}
     if a.command == "run":
-        inner = inner if not a.profile else {f: inner.get(0, {}) if f == 0 else {s: i % 2 for i, s in enumerate(sorted(x for x in outer if outer[x] == 0))} for f in (0, 1)}
-        frames = run_densities(study, config, outer, inner)
-    elif a.command == "ladder":
-        frames = run_ladder(study, LadderConfig(**{k: v for k, v in given.items() if k in LadderConfig.__dataclass_fields__}), outer)
+        return _density_study(spark, a, given)
+    if a.command == "ladder":
+        config = LadderConfig(**{k: v for k, v in given.items() if k in LadderConfig.__dataclass_fields__})
+        if (Path(a.data) / "dosages.npy").exists():
+            study, outer = load_cohort(spark, a.data, a.trait)
+        else:
+            study = load(spark, a.data, a.trait)
+            outer, _ = outer_and_inner(spark, study, DensityConfig(seed=config.seed, outer_folds=given.get("outer_folds", 10)), a.protocol, a.splits)
+        settings, run = {**config.__dict__}, lambda only: run_ladder(study, config, outer, only)
     else:
-        frames = run_encodings(study, outer)
-    if a.profile:
-        frames = {k: v.filter("fold = 0") if "fold" in v.columns else v for k, v in frames.items() if v is not None}
-    _save(frames, out)
-    sinks.write_json({"command": a.command, "trait": a.trait, "samples": len(study.ids), "status": "complete"}, str(out / "run.json"))
+        if a.data:
+            study = load(spark, a.data, a.trait)
+            outer, _ = outer_and_inner(spark, study, DensityConfig(outer_folds=given.get("outer_folds", 10)), "iid", None)
+        else:
+            study, outer = load_wide(spark, a.genotypes, a.phenotypes, a.folds, a.trait)
+        settings = {k: given[k] for k in ("inner_folds", "seed", "rhos", "bounds", "residual") if k in given}
+        run = lambda only: run_encodings(study, outer, **settings, only=only)
+    out = sinks.resume(a.out, {"command": a.command, "trait": a.trait, "config": settings, "outer": sinks.text_digest(json.dumps(outer, sort_keys=True))})
+    if not (out / "splits.json").exists():
+        sinks.write_json({"outer": outer}, str(out / "splits.json"))
+        sinks.write_json({"python": sys.version, "numpy": np.__version__, "spark": spark.version, "machine": platform.machine()}, str(out / "environment.json"))
+        _save({"catalog": study.variants}, out)
+    by_fold(out, outer, run, a.profile)
+    if not a.profile:
+        report(spark, a.out)
     return 0
 
 

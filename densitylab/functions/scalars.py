@@ -32,10 +32,6 @@ def centred(g: Column, mean: Column) -> Column:
     return F.coalesce(g - mean, F.lit(0.0))
 
 
-def standardised(g: Column, mean: Column, sd: Column) -> Column:
-    return (g - mean) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
-
-
 def minor_frequency(p: Column) -> Column:
     return F.least(p, 1 - p)
 
@@ -44,10 +40,6 @@ def minor_count(total: Column, called: Column) -> Column:
     return F.least(total, 2 * called - total)
 
 
-def clipped_square(r: Column) -> Column:
-    return F.least(F.greatest(r * r, F.lit(0.0)), F.lit(1.0))
-
-
 def number_or_null(raw: Column) -> Column:
     """A phenotype's text as a double; missing tokens are null, other text is an error."""
     text = F.trim(raw)

@@ -70,17 +70,6 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).distinct().join(b.select(key), key, "left_semi")
 
 
-def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
-    return [c for c in required if c not in df.columns]
-
-
-def incomplete_grid(df: DataFrame, markers: int, samples: int) -> DataFrame:
-    """Markers without exactly one row for each sample position."""
-    seen = df.groupBy("marker_idx").agg(F.count("*").alias("n"), F.count_distinct("sample_idx").alias("d"))
-    holes = df.sparkSession.range(markers).select(F.col("id").cast("int").alias("marker_idx")).join(seen, "marker_idx", "left_anti")
-    return seen.filter((F.col("n") != samples) | (F.col("d") != samples)).select("marker_idx").unionAll(holes)
-
-
 def not_nested(small: DataFrame, large: DataFrame) -> DataFrame:
     """Markers of a smaller panel that the larger one lacks."""
     return small.select("marker_idx").join(large.select("marker_idx"), "marker_idx", "left_anti")
@@ -131,6 +120,14 @@ def check_cohort(splits: DataFrame, folds: int | None = None) -> None:
             raise ContractError(f"not every one of {folds} folds has samples")
 
 
+def array_contract(array, shape: tuple[int, int]) -> None:
+    """V6: a matrix of numbers of the shape that the manifests give."""
+    if array.dtype.kind not in "fiu":
+        raise ContractError(f"genotypes of type {array.dtype} aren't numbers")
+    if array.shape != shape:
+        raise ContractError(f"genotypes of shape {array.shape} don't fit the manifests, {shape}")
+
+
 def same_digests(found: dict[str, str], recorded: dict[str, str]) -> None:
     """Files are those that were recorded."""
     wrong = sorted(n for n, d in recorded.items() if found.get(n) != d)

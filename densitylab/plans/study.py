@@ -39,6 +39,8 @@ class DensityConfig:
     min_maf: float = 0.05
     min_mac: int = 0
     hash_salt: str = "canonical-v1"
+    #: M5: first and last exponent, step and hard cap of a grid that grows instead of ``alphas``.
+    alpha_log10: Sequence[float] | None = None
 
     def __post_init__(self):
         va.positive(list(self.alphas), "alphas")
@@ -226,11 +228,18 @@ def run_densities(study: Study, config: DensityConfig, outer: dict[str, int], in
                 panels[f.fit_id][str(d)] = Panel(n, c, capped)
     blocks = ke.kernel_blocks(study.vec, marked.select("fit_id", "marker_idx", "mean", "scale", "tier"), fits).cache()
     spark = study.vec.sparkSession
-    grid = {f"{f.fit_id}|{w}": list(config.alphas) for f in fits if f.fit_id.startswith("inner") for w in sums}
-    errors = solve(study, fits, blocks, sums, panels, grid, True).withColumn("fold", F.split("fit_id", "/")[1].cast("int"))
-    tuning = metrics.best_penalty(metrics.pooled_sse(errors, "fold", "workflow"), "fold", "workflow").cache()
-    chosen = {f"outer/{r.fold}|{r.workflow}": [r.penalty] for r in tuning.collect()}
-    solved = solve(study, fits, blocks, sums, panels, chosen, False)
+    if config.alpha_log10:
+        first, last, step, cap = config.alpha_log10
+        exponents = np.arange(round((last - first) / step) + 1) * step + first
+        growth = [10 ** (step * i) for i in range(1, 5)]
+        solved, tuning, _ = _nested_search(study, fits, blocks, sums, panels, (10**exponents).tolist(), (10**-cap, 10**cap), None, growth)
+    else:
+        grid = {f"{f.fit_id}|{w}": list(config.alphas) for f in fits if f.fit_id.startswith("inner") for w in sums}
+        errors = solve(study, fits, blocks, sums, panels, grid, True).withColumn("fold", F.split("fit_id", "/")[1].cast("int"))
+        errors = spark.createDataFrame(errors.collect(), errors.schema)  # a row a fit, density and penalty
+        tuning = metrics.best_penalty(metrics.pooled_sse(errors, "fold", "workflow"), "fold", "workflow")
+        chosen = {f"outer/{r.fold}|{r.workflow}": [r.penalty] for r in tuning.collect()}
+        solved = solve(study, fits, blocks, sums, panels, chosen, False)
     people = spark.createDataFrame([(i, s, float(v), g) for i, (s, v, g) in enumerate(zip(study.ids, study.y, study.groups or [""] * len(study.ids)))], "position int, sample_id string, y double, group_id string")
     pred = solved.join(people, "position").select("sample_id", "group_id", F.split("fit_id", "/")[1].cast("int").alias("fold"), F.col("workflow").alias("density"), "markers", "y", "prediction", "train_mean", F.col("penalty").alias("alpha"))
     both = metrics.with_mean_model(pred)
@@ -238,28 +247,30 @@ def run_densities(study: Study, config: DensityConfig, outer: dict[str, int], in
     return {"predictions": pred, "metrics": table_of, "tuning": tuning, "omitted": spark.createDataFrame(omitted, "fit_id string, density string, eligible int"), "qc": stats}
 
 
-def _nested_search(study: Study, fits, blocks, sums, panels, rhos: Sequence[float], bounds: tuple[float, float], residual: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _nested_search(study: Study, fits, blocks, sums, panels, rhos: Sequence[float], bounds: tuple[float, float], residual: float | None, growth: Sequence[float] = (10.0,)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """M2-M4: (predictions, tuning, search).
 
-    Each outer fold has a grid of its own, which all its workflows share.  It grows by tens, and
-    never beyond the bounds, while an optimum stands at an end that isn't the bound; kernels
-    don't depend on the penalty, so only new penalties are ever solved.
+    Each outer fold has a grid of its own, which all its workflows share.  It grows by the
+    factors in ``growth``, and never beyond the bounds, while an optimum stands at an end that
+    isn't the bound; kernels don't depend on the penalty, so only new penalties are ever solved.
     """
     flows, folds = list(sums), sorted({int(f.fit_id.split("/")[1]) for f in fits if f.fit_id.startswith("inner")})
     grids = {f: sorted(float(r) for r in rhos) for f in folds}
-    fresh, errors = dict(grids), None
+    fresh, errors = dict(grids), []
     while True:
         want = {f.fit_id + "|" + w: fresh[g] for f in fits if f.fit_id.startswith("inner") and (g := int(f.fit_id.split("/")[1])) in fresh for w in flows}
-        new = solve(study, [f for f in fits if int(f.fit_id.split("/")[1]) in fresh], blocks, sums, panels, want, True, residual).cache()
-        errors = new if errors is None else errors.unionByName(new)
-        ordered = errors.withColumn("fold", F.split("fit_id", "/")[1].cast("int")).withColumn("penalty_idx", F.lit(0))  # on ties the least penalty
+        new = solve(study, [f for f in fits if int(f.fit_id.split("/")[1]) in fresh], blocks, sums, panels, want, True, residual)
+        errors += new.collect()  # a row a fit, workflow and penalty
+        known = blocks.sparkSession.createDataFrame(errors, _ERRORS)
+        ordered = known.withColumn("fold", F.split("fit_id", "/")[1].cast("int")).withColumn("penalty_idx", F.lit(0))  # on ties the least penalty
         sse = metrics.pooled_sse(ordered, "fold", "workflow")
-        tuning = metrics.best_penalty(sse, "fold", "workflow").cache()
+        tuning = metrics.best_penalty(sse, "fold", "workflow")
         best, fresh = tuning.collect(), {}
         for f in folds:
             grid, own = grids[f], {r.penalty for r in best if r.fold == f}
-            grown = [max(bounds[0], grid[0] / 10)] if grid[0] in own and grid[0] > bounds[0] else []
-            grown += [min(bounds[1], grid[-1] * 10)] if grid[-1] in own and grid[-1] < bounds[1] else []
+            grown = {max(bounds[0], grid[0] / g) for g in growth} if grid[0] in own and grid[0] > bounds[0] else set()
+            grown |= {min(bounds[1], grid[-1] * g) for g in growth} if grid[-1] in own and grid[-1] < bounds[1] else set()
+            grown = sorted(grown)
             if grown:
                 fresh[f], grids[f] = grown, sorted([*grid, *grown])
         if not fresh:
@@ -293,7 +304,7 @@ def run_ladder(study: Study, config: LadderConfig, outer: dict[str, int], only:
     keep = (F.col("called") / F.col("rows") >= config.call_rate_min) & (F.least(mean / 2, 1 - mean / 2) >= config.maf_min) & (F.coalesce("variance", F.lit(0.0)) > 0)
     kept = qc.fit_counts(study.vec, trains).filter(keep).select("fit_id", "marker_idx", mean.alias("mean")).cache()
     each = physical.withColumn("fit_id", F.explode(F.array(*map(F.lit, trains))))
-    orders, cover, summary = {"physical": each}, None, None
+    orders, cover, summary, chosen = {"physical": each}, None, None, None
     if "ld" in config.strategies:
         r2 = ld.window_r2(study.vec, study.variants, kept, trains, config.ld_window_bp).cache()
         reps = ld.greedy_cover(study.variants, kept, physical, r2, config.ld_r2)
@@ -333,7 +344,7 @@ def run_ladder(study: Study, config: LadderConfig, outer: dict[str, int], only:
     if ke.dense(outers, len({t for ts in sums.values() for t in ts})):
         own = blocks.filter(F.col("fit_id").startswith("outer"))
         near = diagnostics.against_full(own, {f.fit_id: len(f.train) for f in outers}, sums, f"{config.strategies[0]}:{full}")
-    return {"predictions": pred, "metrics": metrics.ladder_metrics(pred), "tuning": tuning, "search": search, "fits": _fit_records(solved, tuning), "coverage": cover, "ld": summary, "diagnostics": near, "blocks": blocks}
+    return {"predictions": pred, "metrics": metrics.ladder_metrics(pred), "tuning": tuning, "search": search, "fits": _fit_records(solved, tuning), "coverage": cover, "ld": summary, "panels": chosen, "diagnostics": near}
 
 
 def run_encodings(study: Study, outer: dict[str, int], inner_folds: int = 4, seed: int = 101, rhos: Sequence[float] = (1e-4, 1e-2, 1.0), bounds: tuple[float, float] = (1e-6, 1e4), residual: float = 1e-8, only: Sequence[int] | None = None) -> dict[str, DataFrame]:

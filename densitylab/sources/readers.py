@@ -42,6 +42,18 @@ def csv(spark: SparkSession, path: str, required: Sequence[str] = ()) -> DataFra
     return delimited(spark, path, required, ",")
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Rows of a file numbered from 0 in its order: their place in their partition after the sizes of those before, one number a partition."""
+    at = F.monotonically_increasing_id()
+    sizes = df.select(F.shiftright(at, 33).alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()
+    first, before = {}, 0
+    for r in sorted(sizes, key=lambda r: r.part):
+        first[r.part], before = before, before + r.n
+    starts = F.create_map(*[F.lit(x) for part, n in first.items() for x in (part, n)]) if first else F.lit(None).cast("map<bigint,int>")
+    out = df.withColumn("_at", at)
+    return out.withColumn(name, (starts[F.shiftright("_at", 33)] + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")).drop("_at")
+
+
 def column_blocks(n: int, size: int) -> list[tuple[int, int]]:
     if size < 1:
         raise SourceError("a block holds a column at least")
@@ -75,13 +87,12 @@ def npy(spark: SparkSession, path: str, marker_axis: int = 1, samples: Sequence[
     def run(batches):
         raw = np.load(path, mmap_mode="r", allow_pickle=False)
         for batch in batches:
-            for lo in batch.column(0).to_pylist():
-                hi = min(shape[marker_axis], lo + block)
+            for lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
                 strip = raw[lo:hi] if marker_axis == 0 else raw[:, lo:hi].T
                 yield _dosage_rows(np.arange(lo, hi), np.ascontiguousarray(strip if pick is None else strip[:, pick]))
 
-    starts = -(-shape[marker_axis] // block)
-    return spark.range(0, starts * block, block, max(1, starts)).mapInArrow(run, MARKER_VEC)
+    strips = column_blocks(shape[marker_axis], block)
+    return spark.createDataFrame(strips, "lo bigint, hi bigint").repartition(max(1, len(strips))).mapInArrow(run, MARKER_VEC)
 
 
 def wide_parquet(spark: SparkSession, path: str, block: int = 1024) -> tuple[DataFrame, DataFrame]:
@@ -129,10 +140,6 @@ def config(path: str) -> dict:
     return tomllib.loads(text) if path.endswith(".toml") else json.loads(text)
 
 
-def json_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
-
-
 def published_folds(text: DataFrame, folds: int = 10) -> DataFrame:
     """fold, mse, rmse, pcc, mae from lines like ``PCC per fold: [0.7, np.float64(0.71), ...]``.
 
@@ -166,11 +173,10 @@ def vcf(spark: SparkSession, path: str, contigs: Sequence[str] = ("1", "2", "3",
 def demo_arrays(seed: int = 20260922, n: int = 60, p: int = 160) -> dict:
     """The synthetic study: homozygous dosages with 2 % missing, three groups, five chromosomes, one trait of two markers."""
     rng = np.random.default_rng(seed)
-    # the draws' order fixes the study: frequencies, dosages, noise, gaps
+    # the draws' order fixes the study: frequencies, dosages, noise, gaps; effects are multiplied in single precision
     frequency = rng.uniform(0.08, 0.5, p)
-    x = 2.0 * rng.binomial(1, frequency, size=(n, p))
-    noise = rng.normal(size=n)
-    y = 1.4 * x[:, 5] - 0.9 * x[:, 35] + noise
+    x = (2 * rng.binomial(1, frequency, size=(n, p))).astype(np.float32)
+    y = 1.4 * x[:, 5] - 0.9 * x[:, 35] + rng.normal(size=n)
     x[rng.random((n, p)) < 0.02] = np.nan
     per = p // 5
     return {
@@ -184,7 +190,8 @@ def demo_arrays(seed: int = 20260922, n: int = 60, p: int = 160) -> dict:
 def write_demo(folder: str) -> None:
     d, out = demo_arrays(), Path(folder)
     out.mkdir(parents=True)
-    np.save(out / "genotypes.npy", d["genotypes"].astype(np.float32))
+    np.save(out / "genotypes.npy", d["genotypes"])
+    (out / "dataset.json").write_text(json.dumps({"synthetic": True, "seed": 20260922}, indent=2) + "\n", encoding="utf-8")
     for name, head in (("samples", "accession_id\tgenetic_group"), ("variants", "chromosome\tposition\tref\talt"), ("phenotypes", "accession_id\ttrait_id\tvalue")):
         with io.open(out / f"{name}.tsv", "w", encoding="utf-8") as f:
             f.write("\n".join([head, *("\t".join(map(str, r)) for r in d[name])]) + "\n")

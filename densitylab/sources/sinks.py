@@ -54,8 +54,8 @@ def resume(path: str, identity: dict) -> Path:
     return out
 
 
-def finished(folder: Path, fold: int) -> bool:
-    return (folder / f"fold={fold}" / "_SUCCESS").exists()
+def text_digest(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
 def digest(path: str, chunk: int = 1 << 20) -> str:
