@@ -24,7 +24,7 @@ DOCUMENT = T.StructType(
 )
 
 #: Shuffle files go with the query that made them; batches to Python stay small where texts are long.
-_WHILE_STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+_WHILE_STAGING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,8 +73,8 @@ def forget(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back.
+def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """``df`` written to the shared folder, with the writer's ``options``, and read back.
 
     It cuts lineage with files that outlive executors, and Spark drops the
     shuffle files behind it at once.  The files go when the driver exits.
@@ -85,7 +85,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     for k, v in _WHILE_STAGING.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -1,7 +1,7 @@
 """Benchmark decontamination over a positional inverted index (operator 3).
 
 ``build_index`` stores the corpus's postings once, sharded by document: a row holds
-the postings of about 1 MB of texts, every token with the sorted positions where it
+the postings of about SLICE_BYTES of texts, every token with the sorted positions where it
 stands, and the documents' borders.  Texts aren't needed after that.
 
 Test items come to the driver in blocks of at most BLOCK_BYTES, one after another,
@@ -41,6 +41,14 @@ from .common import documents, in_slices, staged
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
 
+#: Bytes of text behind a row of postings, which are about three times as many.
+SLICE_BYTES = 1 << 18
+#: Rows of postings are large: pages and row groups are small, and their sizes are looked at after every row, not every 100.
+_GROUPS = {
+    "parquet.block.size": str(8 << 20),
+    "parquet.enable.dictionary": "false",
+    **{f"parquet.{unit}.size.row.check.{end}": "1" for unit in ("page", "block") for end in ("min", "max")},
+}
 _INDEX = "docs array<struct<doc_id: bigint, key: bigint, n_words: bigint>>, ptr binary, term binary, begin binary, place binary"
 _HITS = "doc_id bigint, key bigint, items array<int>, spans array<struct<first: bigint, last: bigint>>"
 
@@ -144,7 +152,7 @@ class Block:
 
 
 def _index(batches):
-    for batch in in_slices(batches):
+    for batch in in_slices(batches, limit=SLICE_BYTES):
         ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for w in tv.words(batch.column(2)):
             s, n = Shard.of(w), np.diff(w.ptr).tolist()
@@ -156,7 +164,7 @@ def _index(batches):
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index of all documents."""
     texts = documents(docs, "doc_id", "text").select("doc_id", text_key().alias("key"), "text")
-    return staged(texts.mapInArrow(_index, _INDEX), "postings")
+    return staged(texts.mapInArrow(_index, _INDEX), "postings", **_GROUPS)
 
 
 def _shards(batches) -> Iterator[tuple[list[dict], Shard]]:
@@ -179,7 +187,7 @@ def frequencies(index: DataFrame, tokens: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["i", "n"])
 
-    got = index.select("term", "begin").mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    got = staged(index.select("term", "begin").mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")), "frequencies").toArrow()
     out = np.zeros(len(tokens), np.int64)
     out[got.column("i").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -261,8 +269,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
 
 def without_leaks(docs: DataFrame, leaks: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """``columns`` of the documents without a hit."""
-    hit = leaks.filter("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
+    """``columns`` of the documents without a hit.
+
+    The names of those with one are written first, so that Spark knows their size: it moves texts only if they are many.
+    """
+    hit = staged(leaks.filter("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct(), "hit")
     own = documents(docs, *dict.fromkeys((*columns, "doc_id", "text")))
     return own.join(hit, own["doc_id"].eqNullSafe(F.col("_d")) & (text_key() == F.col("_k")), "left_anti").select(*columns)
 
