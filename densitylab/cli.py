@@ -255,9 +255,11 @@ def main(args: list[str] | None = None) -> int:
         run = lambda only: run_encodings(study, outer, **settings, only=only)
     out = sinks.resume(a.out, {"command": a.command, "trait": a.trait, "config": settings, "outer": sinks.text_digest(json.dumps(outer, sort_keys=True))})
     if not (out / "splits.json").exists():
-        sinks.write_json({"outer": outer}, str(out / "splits.json"))
         sinks.write_json({"python": sys.version, "numpy": np.__version__, "spark": spark.version, "machine": platform.machine()}, str(out / "environment.json"))
-        _save({"catalog": study.variants}, out)
+        sinks.write_tsv(study.variants.orderBy("marker_idx"), str(out / "marker_catalog.tsv"), mode="overwrite")
+        rows = spark.createDataFrame([(s, f) for s, f in outer.items()], "sample_id string, outer_fold int")
+        sinks.write_tsv(rows.orderBy("sample_id"), str(out / "outer_splits.tsv"), mode="overwrite")
+        sinks.write_json({"outer": outer}, str(out / "splits.json"))  # last, so that a run that stopped before writes all of them again
     by_fold(out, outer, run, a.profile)
     if not a.profile:
         report(spark, a.out)

@@ -86,10 +86,6 @@ def hashed_replicates(sums: DataFrame, replicates: int, seed: int) -> DataFrame:
     return j.groupBy("pair", "rep").agg((F.sum("d") / F.sum("n")).alias("delta_mse"), F.try_divide(-F.sum("d"), F.nullif(F.sum("b"), F.lit(0.0))).alias("gain"))
 
 
-def hashed_bootstrap(sums: DataFrame, replicates: int, seed: int) -> DataFrame:
-    return _intervals(hashed_replicates(sums, replicates, seed))
-
-
 def decision(intervals: DataFrame, sesoi: float = 0.01) -> DataFrame:
     """What the interval of the relative gain says against the least gain of interest."""
     lo, hi = F.col("relative_gain_ci95")[0], F.col("relative_gain_ci95")[1]

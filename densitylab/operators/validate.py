@@ -121,7 +121,9 @@ def check_cohort(splits: DataFrame, folds: int | None = None) -> None:
 
 
 def array_contract(array, shape: tuple[int, int]) -> None:
-    """V6: a matrix of numbers of the shape that the manifests give."""
+    """V5, V6: a matrix of numbers of the shape that the manifests give, which aren't empty."""
+    if 0 in shape:
+        raise ContractError("empty manifest")
     if array.dtype.kind not in "fiu":
         raise ContractError(f"genotypes of type {array.dtype} aren't numbers")
     if array.shape != shape:

@@ -15,16 +15,11 @@ from pyspark.sql import functions as F
 log = logging.getLogger("densitylab")
 
 
-def write_tsv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
+def write_tsv(df: DataFrame, path: str, columns: Sequence[str] | None = None, mode: str = "errorifexists") -> None:
     """Columns in the given order; an existing folder is an error.  An empty table without named columns is one too."""
     if columns is None and df.isEmpty():
         raise ValueError("an empty table has no columns to write by")
-    df.select(*(columns or df.columns)).write.mode("errorifexists").csv(path, sep="\t", header=True)
-
-
-def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
-    w = df.write.mode("errorifexists")
-    (w.partitionBy(partition) if partition else w).parquet(path)
+    df.select(*(columns or df.columns)).write.mode(mode).csv(path, sep="\t", header=True)
 
 
 def write_json(value: object, path: str) -> None:

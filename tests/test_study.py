@@ -181,6 +181,9 @@ def test_ladder_resumes_and_reports(spark, tmp_path, monkeypatch):
     pred = spark.read.parquet(str(out / "predictions"))
     assert pred.count() == 28 * 4 and spark.read.parquet(str(out / "comparisons")).count() == 5
     assert {"physical", "ld"} == {r.strategy for r in spark.read.parquet(str(out / "metrics")).collect()}
+    catalog, dealt = readers.tsv(spark, str(out / "marker_catalog.tsv")).collect(), readers.tsv(spark, str(out / "outer_splits.tsv")).collect()
+    assert [int(r.marker_idx) for r in catalog] == list(range(20)) and catalog[0].asDict() == {"marker_idx": "0", "chrom": "1", "pos": "1000"}
+    assert {r.sample_id: int(r.outer_fold) for r in dealt} == json.loads((out / "splits.json").read_text())["outer"]
     assert len(json.loads((out / "costs.json").read_text())) == 2 and "comparisons" in (out / "report.md").read_text()
     assert spark.read.parquet(str(out / "fits")).filter("residual > 1e-8").count() == 0
     assert {r.marker_idx for r in spark.read.parquet(str(out / "fold_0/panels")).collect()} <= set(range(20))
@@ -260,6 +263,30 @@ def test_sources(spark, tmp_path):
     assert readers.tsv(spark, str(tmp_path / "t.tsv"), ["a"]).first().b == ""
     with pytest.raises(readers.SourceError):
         readers.tsv(spark, str(tmp_path / "t.tsv"), ["c"])
+    (tmp_path / "t.csv").write_text("sample_id,fold\na,1\nb,\n")
+    assert [tuple(r) for r in readers.csv(spark, str(tmp_path / "t.csv"), ["sample_id", "fold"]).collect()] == [("a", "1"), ("b", "")]
+
+
+def test_configuration_and_labels(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"seed": 3, "rhos": [0.1, 1]}')
+    (tmp_path / "c.toml").write_text("seed = 3\nrhos = [0.1, 1]\n")
+    assert readers.config(str(tmp_path / "c.json")) == readers.config(str(tmp_path / "c.toml")) == {"seed": 3, "rhos": [0.1, 1]}
+    spark.createDataFrame([("a", 0.1, 5.0), ("b", None, 6.0), ("c", 3.0, 7.0)], "acid string, protein double, oil double").write.parquet(str(tmp_path / "p"))
+    ids = spark.createDataFrame([("a",), ("b",), ("z",)], "sample_id string")
+    got = readers.phenotypes_of(spark, str(tmp_path / "p"), "protein", ids)
+    assert {r.sample_id: r.value for r in got.collect()} == {"a": float(np.float32(0.1)), "b": None}
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    assert "protein" in scan and "oil" not in scan
+    labels = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "sample_id string, value double")
+    splits = spark.createDataFrame([("a", "development"), ("b", "sealed")], "sample_id string, partition string")
+    assert [tuple(r) for r in readers.development_labels(labels, splits).collect()] == [("a", 1.0)]
+
+
+def test_arrays_fit_their_manifests():
+    validate.array_contract(np.zeros((2, 3), np.int8), (2, 3))
+    for array, shape, said in ((np.zeros((2, 3)), (3, 2), "shape"), (np.full((2, 3), "x"), (2, 3), "numbers"), (np.zeros((2, 0)), (2, 0), "empty manifest")):
+        with pytest.raises(validate.ContractError, match=said):
+            validate.array_contract(array, shape)
 
 
 def test_sinks(spark, tmp_path):
@@ -273,6 +300,14 @@ def test_sinks(spark, tmp_path):
     assert sinks.cached_digest(str(tmp_path / "r/identity.json"), {**d, "sha256": "known"})["sha256"] == "known"
     assert sinks.folder_digests(spark, str(tmp_path / "r")).first().sha256 == d["sha256"]
     assert "| n |" in sinks.markdown(spark.range(1).select(F.col("id").alias("n")), "t")
+    table = spark.createDataFrame([(1, "a b", None)], "n int, s string, x double")
+    sinks.write_tsv(table, str(tmp_path / "t"), ["s", "n", "x"])
+    back = readers.tsv(spark, str(tmp_path / "t"))
+    assert back.columns == ["s", "n", "x"] and tuple(back.first()) == ("a b", "1", "")
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.write_tsv(table, str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="empty"):
+        sinks.write_tsv(table.limit(0), str(tmp_path / "u"))
 
 
 def test_queries_have_matching_oracles(spark):
