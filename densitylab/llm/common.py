@@ -121,12 +121,6 @@ def labelled(docs: DataFrame, labels: DataFrame, mark: str, held: Column, most:
     return out.filter(share("bytes", size / total)) if total > size else out
 
 
-def arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def in_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the column's strings take about ``limit`` bytes each."""
     from . import textvec as tv
