@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: thin wrappers with production parameters."""
+"""The registered queries of the operators: thin wrappers with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, line_rules, near_dedup, packing, quality_mil, substring_dedup, toxicity, training_order
+from . import decontaminate, heap_lloyd, importance, language_id, license_scan, line_rules, near_dedup, packing, posting_lists, quality_mil, substring_dedup, toxicity, training_order
 from .common import new_path, read
 
 
@@ -59,6 +59,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.score(docs, model).withColumn("held_out", quality_mil.held_out())
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_heap_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = heap_lloyd.compress(read(spark, sf_dir, "embeddings"))
+    return heap_lloyd.with_label_error(coded).drop("label").withColumn("codebooks_sha256", F.lit(heap_lloyd.digest(books)))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_duplicates,
         op9_substring_dedup,
         op10_quality,
+        op11_nearest,
+        op12_heap_codes,
+        op13_importance,
         pipeline,
     )
 }
@@ -109,4 +125,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_rules": line_rules.ORACLE_SQL,
     "op6_license_scan": license_scan.ORACLE_SQL,
     "op9_substring_dedup": _SUBSTRING,
+    "op12_heap_codes": heap_lloyd.ORACLE_SQL,
 }
