@@ -19,6 +19,7 @@ from .functions.scalars import number_or_null, variant_id, zero_based
 from .operators import compare, metrics
 from .operators import folds as fo
 from .operators import validate as va
+from .operators.stage import Stage
 from .plans.study import DensityConfig, LadderConfig, Study, align, run_densities, run_encodings, run_ladder
 from .sources import readers, sinks
 
@@ -53,21 +54,30 @@ def load(spark: SparkSession, folder: str, trait: str) -> Study:
     return Study([r.sample_id for r in rows], np.array([r.value for r in rows]), vec, variants, [r.group_id for r in rows])
 
 
-def load_cohort(spark: SparkSession, folder: str, trait: str, folds: int | None = None) -> tuple[Study, dict[str, int]]:
+#: Files of a study's folder, without and with partitions; those of a cohort that its manifest must list.
+FILES = {False: ["samples.tsv", "variants.tsv", "phenotypes.tsv", "genotypes.npy"], True: ["splits.tsv", "samples.tsv", "variants.tsv", "phenotypes.tsv", "dosages.npy"]}
+LISTED = ["splits.tsv", "samples.tsv", "variants.tsv"]
+
+
+def load_cohort(spark: SparkSession, folder: str, trait: str, folds: int | None = None, sizes: dict[str, int] | None = None) -> tuple[Study, dict[str, int]]:
     """The development samples of a partitioned cohort, and their outer folds.
 
     splits.tsv, samples.tsv, variants.tsv and dosages.npy (markers x samples).  Labels and dosages of sealed samples
-    are never read.  Files must have the digests in source_manifest.json, if there is one.
+    are never read.  Files must have the digests in source_manifest.json, if there is one, and it must list those in LISTED.
     """
     manifest = Path(folder) / "source_manifest.json"
     if manifest.exists():
         recorded = {Path(a["path"]).name: a["sha256"] for a in json.loads(manifest.read_text())["artifacts"]}
+        unlisted = [n for n in LISTED if n not in recorded]
+        if unlisted:
+            raise va.ContractError(f"the manifest doesn't list {unlisted[0]}")
         recorded = {n: d for n, d in recorded.items() if (Path(folder) / n).exists()}
-        va.same_digests({n: sinks.digest(f"{folder}/{n}") for n in recorded}, recorded)
+        found = sinks.plain_digests(spark, [f"{folder}/{n}" for n in recorded])
+        va.same_digests({Path(p).name: d for p, d in found.items()}, recorded)
     splits = readers.tsv(spark, f"{folder}/splits.tsv", ["accession_id", "group_id", "partition", "outer_fold"])
     splits = splits.select(F.col("accession_id").alias("sample_id"), "group_id", "partition", F.col("outer_fold").try_cast("int").alias("outer_fold"))
     va.check_samples(splits)
-    va.check_cohort(splits, folds)
+    va.check_cohort(splits, folds, sizes)
     labels = readers.development_labels(_phenotypes(spark, f"{folder}/phenotypes.tsv", trait).filter("value is not null"), splits)
     places = readers.tsv(spark, f"{folder}/samples.tsv", ["normalized_id", "sample_index"]).select(F.col("normalized_id").alias("sample_id"), F.col("sample_index").cast("int").alias("sample_idx"))
     va.none_of(va.repeated(places, "sample_id"), "Repeated ids")
@@ -84,7 +94,7 @@ def load_cohort(spark: SparkSession, folder: str, trait: str, folds: int | None
     return study, {r.sample_id: r.outer_fold for r in rows}
 
 
-def load_wide(spark: SparkSession, genotypes: str, phenotypes: str, folds: str, trait: str) -> tuple[Study, dict[str, int]]:
+def load_wide(spark: SparkSession, genotypes: str, phenotypes: str, folds: str, trait: str, count: int | None = None) -> tuple[Study, dict[str, int]]:
     """Complete samples of a wide genotype table, a phenotype table and folds numbered from 1."""
     samples, vec = readers.wide_parquet(spark, genotypes)
     va.check_samples(samples)
@@ -92,6 +102,7 @@ def load_wide(spark: SparkSession, genotypes: str, phenotypes: str, folds: str,
     va.none_of(va.repeated(labels, "sample_id"), "Repeated phenotype")
     split = readers.csv(spark, folds, ["sample_id", "fold"]).select("sample_id", zero_based(F.col("fold")).alias("outer_fold"))
     va.check_splits(samples, split)
+    va.fold_labels(split, count)
     rows = samples.join(labels, "sample_id", "left").join(split, "sample_id").orderBy("sample_idx").collect()
     if any(r.value is None or not np.isfinite(r.value) for r in rows):
         raise va.ContractError("every sample needs a finite value")
@@ -125,28 +136,45 @@ def _save(frames: dict[str, DataFrame | None], out: Path) -> None:
             df.write.mode("overwrite").parquet(str(out / name))
 
 
-def _cost(began: float, **more) -> dict:
-    """Seconds since ``began`` and the driver's greatest memory."""
-    return {**more, "seconds": time.perf_counter() - began, "driver_peak_rss_bytes": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024}
+def executors(spark: SparkSession) -> list[dict]:
+    """Id, task seconds and peak JVM heap of each executor so far, from the status store."""
+    store, out = spark.sparkContext._jsc.sc().statusStore(), []
+    listed = store.executorList(False)
+    for i in range(listed.size()):
+        e = listed.apply(i)
+        peaks = e.peakMemoryMetrics()
+        heap = peaks.get().getMetricValue("JVMHeapMemory") if peaks.isDefined() else None
+        out.append({"executor": e.id(), "task_seconds": e.totalDuration() / 1000, "tasks": e.totalTasks(), "shuffle_bytes": e.totalShuffleWrite(), "peak_heap_bytes": heap})
+    return out
+
 
+def _cost(spark: SparkSession, began: float, **more) -> dict:
+    """Seconds since ``began``, the driver's greatest memory, and what executors have used."""
+    return {**more, "seconds": time.perf_counter() - began, "driver_peak_rss_bytes": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024, "executors": executors(spark)}
 
-def by_fold(out: Path, outer: dict[str, int], run: Callable[[list[int]], dict[str, DataFrame]], profile: bool) -> None:
-    """Outer folds one after another, each complete in its folder before the next; those that are complete are left alone."""
-    for f in [0] if profile else sorted(set(outer.values())):
+
+def by_fold(spark: SparkSession, out: Path, outer: dict[str, int], run: Callable[[list[int], Stage], dict[str, DataFrame]], profile: bool) -> None:
+    """Outer folds one after another, each complete in its folder before the next; those that are complete are left alone.
+
+    What a fold stages goes when the fold is written.
+    """
+    folds = sorted(set(outer.values()))
+    for f in folds[:1] if profile else folds:
         own = out / f"fold_{f}"
         if (own / "complete.json").exists():
             sinks.log.info("fold %d is complete", f)
             continue
         began = time.perf_counter()
-        _save(run([f]), own)
+        with Stage(spark) as stage:
+            _save(run([f], stage), own)
         test = sum(v == f for v in outer.values())
-        sinks.write_json(_cost(began, status="complete", fold=f, train_samples=len(outer) - test, test_samples=test), str(own / "complete.json"))
+        sinks.write_json(_cost(spark, began, status="complete", fold=f, train_samples=len(outer) - test, test_samples=test), str(own / "complete.json"))
 
 
 def _gathered(spark: SparkSession, out: Path, name: str, folds: list[int]) -> DataFrame:
     lacking = [f for f in folds if not (out / f"fold_{f}" / "complete.json").exists()]
     if lacking:
-        raise va.ContractError(f"Incomplete outer fold {lacking[0]}")
+        raise va.ContractError(f"fold {lacking[0]} has not been finished")
     return spark.read.parquet(*[str(out / f"fold_{f}" / name) for f in folds])
 
 
@@ -169,7 +197,7 @@ def report(spark: SparkSession, out: str, published: dict[str, str] | None = Non
         wanted = compare.pairs(spark, sorted({b for _, b in rows}), names)
         errors = compare.paired_errors(pred, wanted).cache()
         sums = compare.group_sums(errors).cache()
-        limits = compare.decision(compare.bootstrap(sums, compare.seeded_draws(sums, wanted.count(), replicates, identity["config"]["seed"])))
+        limits = compare.decision(compare.bootstrap(compare.seeded_replicates(sums, wanted.count(), replicates, identity["config"]["seed"])))
         frames["comparisons"] = wanted.join(compare.paired_summary(errors), "pair").join(limits, "pair").orderBy("pair")
     else:
         frames["metrics"] = metrics.pooled_and_by_fold(pred, keys)
@@ -197,11 +225,11 @@ def _density_study(spark: SparkSession, a: argparse.Namespace, given: dict) -> i
     began = time.perf_counter()
     study = load(spark, a.data, a.trait)
     outer, inner = outer_and_inner(spark, study, config, a.protocol, a.splits)
-    frames = run_densities(study, config, outer, inner, [0] if a.profile else None)
+    frames = run_densities(study, config, outer, inner, sorted(set(outer.values()))[:1] if a.profile else None)
     out = sinks.new_folder(a.out)  # after the inputs have passed, so that a bad one doesn't block the next try
     sinks.write_json({"outer": outer, "inner": {str(k): v for k, v in inner.items()}}, str(out / "splits.json"))
     _save(frames, out)
-    sinks.write_json(_cost(began, command="run", trait=a.trait, samples=len(study.ids), status="complete"), str(out / "run.json"))
+    sinks.write_json(_cost(spark, began, command="run", trait=a.trait, samples=len(study.ids), status="complete"), str(out / "run.json"))
     return 0
 
 
@@ -214,7 +242,7 @@ def main(args: list[str] | None = None) -> int:
         p.add_argument("--trait", required=True)
         p.add_argument("--out", required=True, help="ladder and encodings go on in a folder of the same run")
         p.add_argument("--config")
-        p.add_argument("--profile", action="store_true", help="fold 0 alone")
+        p.add_argument("--profile", action="store_true", help="the first fold alone")
         p.add_argument("--data", required=name != "encodings", help="folder of the study; a partitioned cohort if it has dosages.npy")
         if name != "encodings":
             p.add_argument("--protocol", choices=["iid", "group"], default="iid")
@@ -239,28 +267,33 @@ def main(args: list[str] | None = None) -> int:
         return _density_study(spark, a, given)
     if a.command == "ladder":
         config = LadderConfig(**{k: v for k, v in given.items() if k in LadderConfig.__dataclass_fields__})
-        if (Path(a.data) / "dosages.npy").exists():
-            study, outer = load_cohort(spark, a.data, a.trait)
+        cohort = (Path(a.data) / "dosages.npy").exists()
+        files = [f"{a.data}/{n}" for n in FILES[cohort]] + [a.splits] * bool(a.splits)
+        if cohort:
+            study, outer = load_cohort(spark, a.data, a.trait, given.get("outer_folds"), given.get("cohort"))
         else:
             study = load(spark, a.data, a.trait)
             outer, _ = outer_and_inner(spark, study, DensityConfig(seed=config.seed, outer_folds=given.get("outer_folds", 10)), a.protocol, a.splits)
-        settings, run = {**config.__dict__}, lambda only: run_ladder(study, config, outer, only)
+        settings, run = {**config.__dict__}, lambda only, stage: run_ladder(study, config, outer, only, stage)
     else:
         if a.data:
+            files = [f"{a.data}/{n}" for n in FILES[False]]
             study = load(spark, a.data, a.trait)
             outer, _ = outer_and_inner(spark, study, DensityConfig(outer_folds=given.get("outer_folds", 10)), "iid", None)
         else:
-            study, outer = load_wide(spark, a.genotypes, a.phenotypes, a.folds, a.trait)
+            files = [a.genotypes, a.phenotypes, a.folds]
+            study, outer = load_wide(spark, a.genotypes, a.phenotypes, a.folds, a.trait, given.get("outer_folds"))
         settings = {k: given[k] for k in ("inner_folds", "seed", "rhos", "bounds", "residual") if k in given}
-        run = lambda only: run_encodings(study, outer, **settings, only=only)
-    out = sinks.resume(a.out, {"command": a.command, "trait": a.trait, "config": settings, "outer": sinks.text_digest(json.dumps(outer, sort_keys=True))})
+        run = lambda only, stage: run_encodings(study, outer, **settings, only=only, stage=stage)
+    inputs = sinks.input_digests(spark, files, f"{a.out}/inputs.json")
+    out = sinks.resume(a.out, {"command": a.command, "trait": a.trait, "config": settings, "outer": sinks.text_digest(json.dumps(outer, sort_keys=True)), "inputs": inputs})
     if not (out / "splits.json").exists():
         sinks.write_json({"python": sys.version, "numpy": np.__version__, "spark": spark.version, "machine": platform.machine()}, str(out / "environment.json"))
         sinks.write_tsv(study.variants.orderBy("marker_idx"), str(out / "marker_catalog.tsv"), mode="overwrite")
         rows = spark.createDataFrame([(s, f) for s, f in outer.items()], "sample_id string, outer_fold int")
         sinks.write_tsv(rows.orderBy("sample_id"), str(out / "outer_splits.tsv"), mode="overwrite")
         sinks.write_json({"outer": outer}, str(out / "splits.json"))  # last, so that a run that stopped before writes all of them again
-    by_fold(out, outer, run, a.profile)
+    by_fold(spark, out, outer, run, a.profile)
     if not a.profile:
         report(spark, a.out)
     return 0

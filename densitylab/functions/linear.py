@@ -1,4 +1,4 @@
-"""Solvers of ridge systems: dense ones for one task, and conjugate gradients that only ask for products with the kernel."""
+"""Solvers of ridge systems: small dense ones, and conjugate gradients that only ask for products with the kernel."""
 
 from __future__ import annotations
 
@@ -16,9 +16,12 @@ def dual_ridge(kernel: np.ndarray, cross: np.ndarray, y: np.ndarray, alpha: floa
     if not (np.isfinite(alpha) and alpha > 0):
         raise SolverError(f"penalty must be positive and finite, not {alpha}")
     level = y.mean()
-    shifted = kernel.copy()
-    shifted.flat[:: len(y) + 1] += alpha
-    return level + cross @ np.linalg.solve(shifted, y - level)
+    system = kernel.copy()
+    system.flat[:: len(y) + 1] += alpha
+    found = jittered_cholesky(system)
+    if found is None:
+        raise SolverError("the system has no factor")
+    return level + cross @ np.linalg.solve(found[0].T, np.linalg.solve(found[0], y - level))
 
 
 def primal_ridge(z: np.ndarray, z_new: np.ndarray, y: np.ndarray, alpha: float, scale: float) -> np.ndarray:
@@ -32,47 +35,68 @@ def primal_ridge(z: np.ndarray, z_new: np.ndarray, y: np.ndarray, alpha: float,
 Solved = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def conjugate(diagonal: np.ndarray, y: np.ndarray, shift: np.ndarray, residual: float = 1e-8, most: int = 2000) -> Generator[np.ndarray, np.ndarray, Solved]:
-    """Weights, relative residuals and steps for (K + c I) a = y - mean, all shifts c at once.
+def shifted(y: np.ndarray, shift: np.ndarray, residual: float = 1e-8, most: int = 2000) -> Generator[np.ndarray, np.ndarray, Solved]:
+    """Weights, relative residuals and steps for (K + c I) a = y - mean, all shifts c from one Krylov space.
 
-    Yields directions d, one column a system that isn't done, and is sent K d; the kernel may be anywhere.
-    The diagonal is the preconditioner.  A column stops at a tenth of the limit; the true
-    residuals are computed afterwards and judged.
+    Yields columns d and is sent K d; the kernel may be anywhere.  Conjugate gradients run for the least shift, whose
+    directions are asked for, one column a step; the other systems follow by recurrences of the ratios of their residuals,
+    so that more penalties cost no more products.  A system stops at a tenth of the limit.
+    The last question is always K a for all shifts, and the true residuals are judged by its answer; systems
+    that fall short are refined by a few further rounds on what is left.
     """
     n, shift = len(y), np.asarray(shift, float)
-    target = y - y.mean()
-    size = np.linalg.norm(target)
     if np.any(~np.isfinite(shift)) or np.any(shift <= 0):
         raise SolverError("penalties must be positive and finite")
+    target = y - y.mean()
+    size = np.linalg.norm(target)
     if size == 0:
+        yield np.zeros((n, len(shift)))
         return np.zeros((n, len(shift))), np.zeros(len(shift)), np.zeros(len(shift), int)
-    inverse = 1.0 / (diagonal[:, None] + shift)
-    a = np.zeros((n, len(shift)))
-    r = np.repeat(target[:, None], len(shift), axis=1)
-    d = inverse * r
-    rho = (r * d).sum(0)
-    steps, active = np.zeros(len(shift), int), np.ones(len(shift), bool)
+    a, steps = yield from _family(target, shift, 0.1 * residual * size, most)
+    for _ in range(4):
+        left = target[:, None] - (yield a) - shift * a
+        true = np.linalg.norm(left, axis=0) / size
+        short = np.flatnonzero(~(true <= residual))
+        if not len(short):
+            return a, true, steps
+        for k in short:
+            more, further = yield from _family(left[:, k], shift[k : k + 1], 0.1 * residual * size, most)
+            a[:, k] += more[:, 0]
+            steps[k] += further[0]
+    raise SolverError(f"residual {true.max():.3g} is over {residual:.3g}")
+
+
+def _family(b: np.ndarray, shift: np.ndarray, limit: float, most: int) -> Generator[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(K + c I) a = b for all shifts c until the recurrences' residuals are under ``limit``."""
+    base, m = float(shift.min()), len(shift)
+    more = shift - base
+    a, along = np.zeros((len(b), m)), np.repeat(b[:, None], m, axis=1)
+    r, d = b.copy(), b.copy()
+    rho = r @ r
+    now, before = np.ones(m), np.ones(m)  # residual of a shift = its ratio x the base residual
+    stride_before, turn = 1.0, 0.0
+    steps, active = np.zeros(m, int), np.full(m, np.sqrt(rho) > limit)
     for _ in range(most):
         if not active.any():
             break
-        k = np.flatnonzero(active)
-        q = (yield d[:, k]) + shift[k] * d[:, k]
-        bend = (d[:, k] * q).sum(0)
-        if np.any(bend <= 0) or not np.all(np.isfinite(bend)):
+        q = (yield d[:, None])[:, 0] + base * d
+        bend = d @ q
+        if not (np.isfinite(bend) and bend > 0):
             raise SolverError("the system isn't positive definite")
-        stride = rho[k] / bend
-        a[:, k] += stride * d[:, k]
-        r[:, k] -= stride * q
+        stride = rho / bend
+        k = np.flatnonzero(active)
+        later = now[k] * before[k] * stride_before / (stride * turn * (before[k] - now[k]) + before[k] * stride_before * (1 + more[k] * stride))
+        ratio = later / now[k]
+        a[:, k] += stride * ratio * along[:, k]
+        r = r - stride * q
+        fresh = r @ r
+        turn, stride_before = fresh / rho, stride
+        along[:, k] = later * r[:, None] + turn * ratio**2 * along[:, k]
+        d, rho = r + turn * d, fresh
+        before[k], now[k] = now[k], later
         steps[k] += 1
-        s = inverse[:, k] * r[:, k]
-        fresh = (r[:, k] * s).sum(0)
-        d[:, k] = s + fresh / rho[k] * d[:, k]
-        rho[k] = fresh
-        active[k] = np.linalg.norm(r[:, k], axis=0) > 0.1 * residual * size
-    true = np.linalg.norm(target[:, None] - (yield a) - shift * a, axis=0) / size
-    if not np.all(true <= residual):
-        raise SolverError(f"residual {true.max():.3g} is over {residual:.3g}")
-    return a, true, steps
+        active[k] = np.abs(later) * np.sqrt(rho) > limit
+    return a, steps
 
 
 def driven(solver: Generator[np.ndarray, np.ndarray, Solved], multiply: Callable[[np.ndarray], np.ndarray]) -> Solved:
@@ -85,8 +109,8 @@ def driven(solver: Generator[np.ndarray, np.ndarray, Solved], multiply: Callable
 
 
 def conjugate_grid(kernel: np.ndarray, y: np.ndarray, ratios: list[float], residual: float = 1e-8, most: int = 2000) -> Solved:
-    """``conjugate`` for (K + n r I) a = y - mean with a kernel at hand, all penalties r at once."""
-    return driven(conjugate(np.diag(kernel), y, len(y) * np.asarray(ratios, float), residual, most), lambda d: kernel @ d)
+    """``shifted`` for (K + n r I) a = y - mean with a kernel at hand."""
+    return driven(shifted(y, len(y) * np.asarray(ratios, float), residual, most), lambda d: kernel @ d)
 
 
 def jittered_cholesky(kernel: np.ndarray, first: float = 1e-10, last: float = 1e-4) -> tuple[np.ndarray, float] | None:

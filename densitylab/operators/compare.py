@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,42 +50,69 @@ def _intervals(reps: DataFrame) -> DataFrame:
     return reps.groupBy("pair").agg(F.percentile("delta_mse", q).alias("delta_mse_ci95"), F.percentile("gain", q).alias("relative_gain_ci95"))
 
 
-def seeded_draws(groups: DataFrame, n_pairs: int, replicates: int, seed: int) -> DataFrame:
-    """pair, rep, group_id, w: a stream of one generator drawn pair after pair, so each pair has draws of its own.
+def seeded_replicates(sums: DataFrame, n_pairs: int, replicates: int, seed: int, batch: int = 100) -> DataFrame:
+    """Pair, rep, delta_mse, gain of a stream of one generator, drawn pair after pair and replicate after replicate.
 
-    Groups are the bounded unit here; their list goes to the driver, never their members.
+    The driver runs the generator once and keeps nothing but its state before each batch of replicates; a task takes
+    up the state of its batch, draws again and multiplies the groups' multiplicities with their sums.  Group names and their folds, the
+    bounded unit of this form, are the only rows on the driver; ``hashed_replicates`` has no such bound.
     """
-    rows = groups.select("fold", "group_id").distinct().collect()
-    names = np.array(sorted({str(r.group_id) for r in rows}))
+    spark = sums.sparkSession
+    rows = sums.select("fold", F.col("group_id").cast("string").alias("g")).distinct().collect()
+    names = sorted({r.g for r in rows})
     at = {g: i for i, g in enumerate(names)}
-    strata = [np.array(sorted({at[str(r.group_id)] for r in rows if r.fold == f})) for f in sorted({r.fold for r in rows})]
-    rng, out = np.random.default_rng(seed), []
+    strata = [np.array(sorted({at[r.g] for r in rows if r.fold == f})) for f in sorted({r.fold for r in rows})]
+    rng, starts = np.random.default_rng(seed), []
     for p in range(n_pairs):
         for r in range(replicates):
-            drawn = np.concatenate([rng.choice(s, len(s), replace=True) for s in strata])
-            index, w = np.unique(drawn, return_counts=True)
-            out.append((p, r, names[index].tolist(), w.tolist()))
-    df = groups.sparkSession.createDataFrame(out, "pair int, rep int, groups array<string>, ws array<int>")
-    return df.select("pair", "rep", F.inline(F.arrays_zip(F.col("groups").alias("group_id"), F.col("ws").alias("w"))))
-
-
-def bootstrap(sums: DataFrame, draws: DataFrame) -> DataFrame:
-    """95 % intervals of the ratios over the drawn groups."""
-    j = draws.join(sums.withColumn("group_id", F.col("group_id").cast("string")), ["pair", "group_id"])
-    w = F.col("w")
-    reps = j.groupBy("pair", "rep").agg((F.sum(w * F.col("d")) / F.sum(w * F.col("n"))).alias("delta_mse"), F.try_divide(-F.sum(w * F.col("d")), F.nullif(F.sum(w * F.col("b")), F.lit(0.0))).alias("gain"))
-    return _intervals(reps)
+            if r % batch == 0:
+                starts.append((p, r, min(batch, replicates - r), json.dumps(rng.bit_generator.state)))
+            for s in strata:
+                rng.choice(s, len(s), replace=True)
+    work = spark.createDataFrame(starts, "pair int, first int, n int, state string")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = pa.schema([("pair", pa.int32()), ("rep", pa.int32()), ("delta_mse", pa.float64()), ("gain", pa.float64())])
+        table = np.zeros((len(names), 3))
+        for g, *own in zip(*(right.column(c).to_pylist() for c in ("group_id", "d", "b", "n"))):
+            table[at[g]] += own
+        out = []
+        for pair, first, n, state in zip(*(left.column(c).to_pylist() for c in ("pair", "first", "n", "state"))):
+            own = np.random.default_rng()
+            own.bit_generator.state = json.loads(state)
+            for r in range(first, first + n):
+                times = np.zeros(len(names), np.int64)
+                for s in strata:
+                    times += np.bincount(own.choice(s, len(s), replace=True), minlength=len(names))
+                d, b, m = times @ table
+                out.append((pair, r, d / m, -d / b if b else None))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds.types)], schema=kinds)
+
+    named = sums.select("pair", F.col("group_id").cast("string").alias("group_id"), "d", "b", "n")
+    every = named.join(work.select(F.col("pair").alias("p"), F.col("first").alias("f")), F.col("pair") == F.col("p")).select("p", "f", "group_id", "d", "b", "n")
+    return work.groupBy("pair", "first").cogroup(every.groupBy("p", "f")).applyInArrow(run, "pair int, rep int, delta_mse double, gain double")
+
+
+def bootstrap(replicates: DataFrame) -> DataFrame:
+    """95 % intervals of the ratios over the replicates."""
+    return _intervals(replicates)
 
 
 def hashed_replicates(sums: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """I3 without a driver: in each fold, draw i of a replicate takes the group whose number is a digest mod the fold's groups."""
+    """I3 without a driver: in each fold, draw k of a replicate takes the group whose number is a part of a digest mod the fold's groups.
+
+    The counter k // 8 goes into the digest, and its eight words are eight draws.
+    """
     number = sums.withColumn("i", F.row_number().over(Window.partitionBy("pair", "fold").orderBy("group_id")) - 1)
     sizes = sums.groupBy("pair", "fold").agg(F.count("*").alias("m"))
-    draws = sizes.select("pair", "fold", "m", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).select("pair", "fold", "m", "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("k"))
-    h = F.conv(F.substring(F.sha2(F.concat_ws("\t", F.lit(str(seed)), "pair", "fold", "rep", "k"), 256), 1, 12), 16, 10).cast("bigint")
-    drawn = draws.select("pair", "fold", "rep", (h % F.col("m")).cast("int").alias("i"))
-    j = drawn.join(number, ["pair", "fold", "i"])
-    return j.groupBy("pair", "rep").agg((F.sum("d") / F.sum("n")).alias("delta_mse"), F.try_divide(-F.sum("d"), F.nullif(F.sum("b"), F.lit(0.0))).alias("gain"))
+    draws = sizes.select("pair", "fold", "m", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    draws = draws.select("pair", "fold", "m", "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / 8))).alias("k"))
+    digest = draws.withColumn("h", F.sha2(F.concat_ws("\t", F.lit(str(seed)), "pair", "fold", "rep", "k"), 256))
+    words = F.transform(F.sequence(F.lit(0), F.least(F.lit(7), F.col("m") - 1 - 8 * F.col("k")).cast("int")), lambda j: F.conv(F.substring("h", 8 * j + 1, F.lit(8)), 16, 10).cast("bigint") % F.col("m"))
+    drawn = digest.select("pair", "fold", "rep", F.explode(words).alias("i")).groupBy("pair", "fold", "rep", "i").agg(F.count("*").alias("times"))
+    j = drawn.join(number.withColumn("i", F.col("i").cast("bigint")), ["pair", "fold", "i"])
+    d, b, n = (F.sum(F.col("times") * F.col(c)) for c in ("d", "b", "n"))
+    return j.groupBy("pair", "rep").agg((d / n).alias("delta_mse"), F.try_divide(-d, F.nullif(b, F.lit(0.0))).alias("gain"))
 
 
 def decision(intervals: DataFrame, sesoi: float = 0.01) -> DataFrame:

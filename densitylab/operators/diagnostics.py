@@ -1,38 +1,70 @@
-"""Diagnostics of kernels."""
+"""Diagnostics of kernels (A18, A19), reduced from tiles: no kernel is ever whole anywhere."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .kernel import Fit, tiles
+
+_SUMS = ["trace", "squares", "sampled_squares", "sampled_cross", "off", "off_sum", "off_squares", "off_cross"]
 
-from .kernel import with_fit
 
+def sampled(n: int, most: int = 512) -> np.ndarray:
+    """Evenly spaced training samples, at most ``most``."""
+    return np.linspace(0, n - 1, min(most, n)).astype(int)
 
-def participation(blocks: DataFrame, train: dict[str, int]) -> DataFrame:
-    """A18 by fit: n^2 / sum of squares of the kernel with unit mean diagonal."""
 
-    def body(fit_id: str, parts: dict[int, np.ndarray]) -> pd.DataFrame:
-        n = train[fit_id]
-        k = sum(parts.values())[:n]
-        k = k / (np.trace(k) / n)
-        return pd.DataFrame({"fit_id": [fit_id], "trace_participation_ratio": [n * n / float((k * k).sum())]})
+def sums_of_tiles(strips: DataFrame, samples: int, fits: Sequence[tuple[int, Fit]], sums: dict[str, list[int]], full: str, most: int = 512) -> DataFrame:
+    """A row a fit and workflow: sums over the entries of its kernel, and over sampled ones with those of ``full``."""
+    picked = {}
+    for number, f in fits:
+        picked[number] = np.zeros(samples, bool)
+        picked[number][np.asarray(f.train, np.int64)[sampled(len(f.train), most)]] = True
 
-    return with_fit("fit_id", "fit_id string, trace_participation_ratio double", body)(blocks)
+    def body(fit: int, lo: int, at: int, parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        shape = next(iter(parts.values())).shape
+        i, j = lo + np.arange(shape[0])[:, None], at + np.arange(shape[1])[None, :]
+        twice = np.where(i < j, 2.0, np.where(i == j, 1.0, 0.0))
+        pick = picked[fit][lo : lo + shape[0], None] & picked[fit][None, at : at + shape[1]]
+        of = lambda flow: sum((parts[t] for t in sums[flow] if t in parts), np.zeros(shape))
+        whole, out = of(full), []
+        near, off = twice * pick, twice * (pick & (i != j))
+        for flow in sums:
+            k = of(flow)
+            out.append((fit, flow, float((k * (i == j)).sum()), float((twice * k * k).sum()), float((near * k * k).sum()), float((near * k * whole).sum()), float(off.sum()), float((off * k).sum()), float((off * k * k).sum()), float((off * k * whole).sum())))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["fit", "workflow", *_SUMS])
 
+    tiers = sorted({t for ts in sums.values() for t in ts})
+    kinds = "fit bigint, workflow string, " + ", ".join(f"{c} double" for c in _SUMS)
+    return tiles(strips, samples, fits, tiers, kinds, body).groupBy("fit", "workflow").agg(*[F.sum(c).alias(c) for c in _SUMS])
 
-def against_full(blocks: DataFrame, train: dict[str, int], sums: dict[str, list[int]], full: str, most: int = 512) -> DataFrame:
-    """Relative Frobenius distance and off-diagonal correlation to the full panel on at most ``most`` evenly spaced rows."""
 
-    def body(fit_id: str, parts: dict[int, np.ndarray]) -> pd.DataFrame:
-        n = train[fit_id]
-        pick = np.linspace(0, n - 1, min(most, n)).astype(int)
-        cut = {}
-        for flow, tiers in sums.items():
-            k = sum(parts[t] for t in tiers if t in parts)[:n]
-            cut[flow] = (k / (np.trace(k) / n))[np.ix_(pick, pick)]
-        off, whole = ~np.eye(len(pick), dtype=bool), cut[full]
-        rows = [(fit_id, w, len(pick), float(np.linalg.norm(a - whole) / np.linalg.norm(whole)), float(np.corrcoef(a[off], whole[off])[0, 1])) for w, a in cut.items()]
-        return pd.DataFrame(rows, columns=["fit_id", "workflow", "samples", "sampled_relative_frobenius", "sampled_offdiagonal_correlation"])
+def relationship(strips: DataFrame, samples: int, fits: Sequence[tuple[int, Fit]], sums: dict[str, list[int]], full: str, most: int = 512) -> DataFrame:
+    """fit_id, workflow, samples, trace_participation_ratio, sampled_relative_frobenius, sampled_offdiagonal_correlation.
 
-    return with_fit("fit_id", "fit_id string, workflow string, samples int, sampled_relative_frobenius double, sampled_offdiagonal_correlation double", body)(blocks)
+    A18: n^2 over the sum of squares of the kernel with unit mean diagonal, from all its entries.  A19: distance and off-diagonal
+    correlation to the full panel's kernel on evenly spaced training samples, both with unit mean diagonals.
+    """
+    s = sums_of_tiles(strips, samples, fits, sums, full, most)
+    whole = s.filter(F.col("workflow") == full).select("fit", *[F.col(c).alias(f"full_{c}") for c in _SUMS])
+    facts = F.create_map(*[F.lit(x) for i, f in fits for x in (i, len(f.train))])
+    names = F.create_map(*[F.lit(x) for i, f in fits for x in (i, f.fit_id)])
+    j = s.join(whole, "fit").withColumn("n", facts[F.col("fit").cast("int")].cast("double"))
+    a, b = F.col("n") / F.col("trace"), F.col("n") / F.col("full_trace")  # to unit mean diagonals
+    distance = a * a * F.col("sampled_squares") - 2 * a * b * F.col("sampled_cross") + b * b * F.col("full_sampled_squares")
+    m = F.col("off")
+    cover = F.col("off_cross") - F.col("off_sum") * F.col("full_off_sum") / m
+    spread = lambda p: F.col(f"{p}off_squares") - F.col(f"{p}off_sum") * F.col(f"{p}off_sum") / m
+    return j.select(
+        names[F.col("fit").cast("int")].alias("fit_id"),
+        "workflow",
+        F.least(F.col("n"), F.lit(float(most))).cast("int").alias("samples"),
+        (F.col("trace") * F.col("trace") / F.col("squares")).alias("trace_participation_ratio"),
+        (F.sqrt(F.greatest(distance, F.lit(0.0))) / (b * F.sqrt("full_sampled_squares"))).alias("sampled_relative_frobenius"),
+        F.try_divide(cover, F.sqrt(spread("") * spread("full_"))).alias("sampled_offdiagonal_correlation"),
+    )

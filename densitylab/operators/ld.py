@@ -5,67 +5,41 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stage import Stage
 
-def local_pairs(variants: DataFrame, window: int) -> DataFrame:
-    """a, b, chrom with 0 < pos_b - pos_a <= window: an equality join on (chromosome, bin).
 
-    Bins are as wide as the window, so b lies in a's bin or the next one.
+def tile_pairs(variants: DataFrame, window: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(marker_idx, chrom, pos, tile; chrom, i, j): tiles of at most ``depth`` neighbouring markers, and the pairs of tiles with markers in reach.
+
+    Bins are as wide as the window, so what is in reach lies in the same bin or the next; bins with more markers
+    are cut into several tiles, so a dense stretch is many tiles.
     """
     v = variants.select("marker_idx", "chrom", "pos", F.floor(F.col("pos") / window).alias("bin"))
-    left = v.select(F.col("marker_idx").alias("a"), "chrom", F.col("pos").alias("pos_a"), F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"))
-    right = v.select(F.col("marker_idx").alias("b"), "chrom", F.col("pos").alias("pos_b"), "bin")
-    return left.join(right, ["chrom", "bin"]).filter(f"pos_b > pos_a and pos_b - pos_a <= {int(window)}").select("a", "b", "chrom")
-
-
-def unit_vectors(vec: DataFrame, means: DataFrame, train: list[int]) -> DataFrame:
-    """marker_idx, z: training deviations of length one (missing 0), in Arrow batches."""
-    at = np.asarray(train, np.int64)
-
-    def run(batches):
-        for batch in batches:
-            lists, mean = batch.column(1), batch.column(2).to_numpy()
-            g = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(mean), -1)[:, at] if len(mean) else np.zeros((0, len(at)))
-            z = np.nan_to_num(g - mean[:, None])
-            size = np.linalg.norm(z, axis=1, keepdims=True)
-            z = z / np.where(size == 0, 1, size)
-            off = np.arange(0, z.size + 1, max(1, len(at)), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(z.ravel()))], names=["marker_idx", "z"])
-
-    return vec.join(means.select("marker_idx", "mean"), "marker_idx").select("marker_idx", "g", "mean").mapInArrow(run, "marker_idx int, z array<double>")
-
-
-def pair_r2(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """a, b, chrom, r2: clipped squared dot products."""
-    joined = pairs.join(units.select(F.col("marker_idx").alias("a"), F.col("z").alias("za")), "a").join(units.select(F.col("marker_idx").alias("b"), F.col("z").alias("zb")), "b")
+    place = F.row_number().over(Window.partitionBy("chrom", "bin").orderBy("pos", "marker_idx")) - 1
+    placed = v.withColumn("tile", F.shiftleft("bin", 24) + F.floor(place / depth))
+    spans = placed.groupBy("chrom", "bin", "tile").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    left = spans.select("chrom", F.col("tile").alias("i"), (F.col("hi") + window).alias("end"), F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"))
+    right = spans.select("chrom", F.col("tile").alias("j"), "lo", "bin")
+    return placed.drop("bin"), left.join(right, ["chrom", "bin"]).filter("j >= i and lo <= end").select("chrom", "i", "j")
 
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            za, zb = (batch.column(c).flatten().to_numpy().reshape(n, -1) for c in (3, 4))
-            r = np.einsum("ij,ij->i", za, zb)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.clip(r * r, 0, 1))], names=["a", "b", "chrom", "r2"])
-
-    return joined.select("a", "b", "chrom", "za", "zb").mapInArrow(run, "a int, b int, chrom string, r2 double")
 
-
-def window_r2(vec: DataFrame, variants: DataFrame, kept: DataFrame, trains: dict[str, Sequence[int]], window: int, rows: int = 256) -> DataFrame:
+def window_r2(vec: DataFrame, variants: DataFrame, kept: DataFrame, trains: dict[str, Sequence[int]], window: int, depth: int = 256) -> DataFrame:
     """fit_id, a, b, chrom, r2 of all local pairs of the markers that each fit keeps.
 
-    ``kept``: fit_id, marker_idx.  Genotypes are shuffled once, to their bin and the one before, for all fits;
-    a bin's task compares ``rows`` markers with ``rows`` others at a time, and pairs carry no genotypes.
+    ``kept``: fit_id, marker_idx.  Genotypes are shuffled once for all fits, to the pairs of tiles that theirs is
+    part of; a task has two tiles of ``depth`` markers, however dense a stretch is, and pairs carry no genotypes.
     """
     at = {f: np.asarray(t, np.int64) for f, t in trains.items()}
     fits = kept.groupBy("marker_idx").agg(F.collect_list("fit_id").alias("fits"))
-    v = variants.select("marker_idx", "chrom", "pos").join(fits, "marker_idx").join(vec.select("marker_idx", "g"), "marker_idx")
-    own = F.floor(F.col("pos") / window)
-    dealt = v.select("marker_idx", "chrom", "pos", "fits", "g", F.inline(F.array(F.struct(own.alias("bin"), F.lit(True).alias("own")), F.struct((own - 1).alias("bin"), F.lit(False).alias("own")))))
+    placed, pairs = tile_pairs(variants.join(fits.select("marker_idx"), "marker_idx", "left_semi"), window, depth)
+    v = placed.join(fits, "marker_idx").join(vec.select("marker_idx", "g"), "marker_idx")
+    left = pairs.select("chrom", F.col("i").alias("tile"), "i", "j", F.lit(True).alias("own"))
+    right = pairs.filter("j > i").select("chrom", F.col("j").alias("tile"), "i", "j", F.lit(False).alias("own"))
+    dealt = v.join(left.unionAll(right), ["chrom", "tile"]).select("marker_idx", "chrom", "pos", "fits", "g", "own", "i", "j")
 
     def unit(g: pa.ListArray, which: np.ndarray, train: np.ndarray) -> np.ndarray:
         x = g.take(pa.array(which)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(which), -1)[:, train]
@@ -76,29 +50,26 @@ def window_r2(vec: DataFrame, variants: DataFrame, kept: DataFrame, trains: dict
         return z / np.where(size == 0, 1, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).sort_by([("pos", "ascending"), ("marker_idx", "ascending")]).combine_chunks()
+        t = pa.Table.from_batches(list(batches)).combine_chunks()  # two tiles
         marker, pos, first = (t.column(c).to_numpy() for c in ("marker_idx", "pos", "own"))
         g = t.column("g").combine_chunks()
         g = g.chunk(0) if isinstance(g, pa.ChunkedArray) else g
         chrom, holds = t.column("chrom")[0].as_py(), [set(x) for x in t.column("fits").to_pylist()]
+        inside = bool(first.all())  # a tile with itself
         for fit, train in at.items():
-            mine = np.flatnonzero([fit in x for x in holds])
-            left = mine[first[mine]]
-            for i in range(0, len(left), rows):
-                a = left[i : i + rows]
-                za = unit(g, a, train)
-                near = mine[(pos[mine] > pos[a[0]]) & (pos[mine] <= pos[a[-1]] + window)]
-                for j in range(0, len(near), rows):
-                    b = near[j : j + rows]
-                    gap = pos[b][None, :] - pos[a][:, None]
-                    p, q = np.nonzero((gap > 0) & (gap <= window))
-                    r = (za @ unit(g, b, train).T)[p, q]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([fit] * len(p), pa.string()), pa.array(marker[a[p]], pa.int32()), pa.array(marker[b[q]], pa.int32()), pa.array([chrom] * len(p), pa.string()), pa.array(np.clip(r * r, 0, 1))],
-                        names=["fit_id", "a", "b", "chrom", "r2"],
-                    )
-
-    return dealt.groupBy("chrom", "bin").applyInArrow(run, "fit_id string, a int, b int, chrom string, r2 double")
+            mine = np.array([fit in x for x in holds])
+            a, b = np.flatnonzero(mine & first), np.flatnonzero(mine & (first == inside))
+            if not len(a) or not len(b):
+                continue
+            gap = pos[b][None, :] - pos[a][:, None]
+            p, q = np.nonzero((gap > 0) & (gap <= window))
+            r = (unit(g, a, train) @ unit(g, b, train).T)[p, q]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([fit] * len(p), pa.string()), pa.array(marker[a[p]], pa.int32()), pa.array(marker[b[q]], pa.int32()), pa.array([chrom] * len(p), pa.string()), pa.array(np.clip(r * r, 0, 1))],
+                names=["fit_id", "a", "b", "chrom", "r2"],
+            )
+
+    return dealt.groupBy("chrom", "i", "j").applyInArrow(run, "fit_id string, a int, b int, chrom string, r2 double")
 
 
 def _fit(df: DataFrame) -> list[str]:
@@ -112,47 +83,39 @@ def summary(variants: DataFrame, r2: DataFrame, threshold: float) -> DataFrame:
     return variants.select(*by).distinct().join(s, by, "left").na.fill(0, ["local_pairs", "high_ld_pairs"])
 
 
-def cover(ids: np.ndarray, rank: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Representatives by most uncovered neighbours, ties by rank; ``a`` and ``b`` are the ends of the edges.
+def greedy_cover(variants: DataFrame, kept: DataFrame, order: DataFrame, r2: DataFrame, threshold: float, stage: Stage) -> DataFrame:
+    """[fit_id,] marker_idx of the representatives: most uncovered neighbours first, ties by rank.
 
-    Whoever beats all others within two steps is taken: nobody who could cover its neighbours comes
-    before it, as counts only fall.  So all such markers of a round are taken at once, and the
-    result is that of taking one after another.
+    A marker that beats all others within two steps is taken at once: nobody who could cover its neighbours comes before
+    it, as counts only fall.  So all such markers of a round are taken together, and the result is that of
+    taking one after another.  Who beats whom travels along the edges as messages.
+    A round is a few aggregations over the edges between markers that are neither taken nor covered, which it leaves
+    fewer; no chromosome or neighbourhood is in one task.  A marker that is never covered represents itself.
     """
-    by_rank = np.argsort(rank, kind="stable")
-    ids, n = ids[by_rank], len(ids)
-    in_order = np.argsort(ids)
-    at = lambda x: in_order[np.searchsorted(ids, x, sorter=in_order)]
-    left, right = (at(np.r_[a, b]), at(np.r_[b, a])) if len(a) else (np.zeros(0, np.int64),) * 2
-    alive, chosen = np.ones(n, bool), np.zeros(n, bool)
-    while alive.any():
-        live = alive[left] & alive[right]
-        left, right = left[live], right[live]
-        score = np.where(alive, np.bincount(left, minlength=n) * n + np.arange(n, 0, -1), 0)
-        near = score.copy()
-        np.maximum.at(near, left, score[right])
-        best = near.copy()
-        np.maximum.at(best, left, near[right])
-        taken = alive & (best == score)
-        chosen |= taken
-        alive &= ~taken
-        alive[right[taken[left]]] = False
-    return ids[chosen]
-
-
-def greedy_cover(variants: DataFrame, kept: DataFrame, order: DataFrame, r2: DataFrame, threshold: float) -> DataFrame:
-    """[fit_id,] marker_idx of the representatives; fits and chromosomes are independent and run in parallel."""
     by = _fit(kept)
-    nodes = variants.select("marker_idx", "chrom").join(kept.select(*by, "marker_idx"), "marker_idx").join(order.select("marker_idx", "rank"), "marker_idx").select(*by, "chrom", "marker_idx", "rank", F.lit(None).cast("int").alias("b"))
-    edges = r2.filter(F.col("r2") >= threshold).select(*by, "chrom", F.col("a").alias("marker_idx"), F.lit(None).cast("int").alias("rank"), "b")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        node = part[part["b"].isna()]
-        edge = part[part["b"].notna()]
-        out = pd.DataFrame({"marker_idx": cover(node["marker_idx"].to_numpy(np.int64), node["rank"].to_numpy(np.int64), edge["marker_idx"].to_numpy(np.int64), edge["b"].to_numpy(np.int64))}, dtype="int32")
-        return out.assign(**{c: part[c].iloc[0] for c in by})[[*by, "marker_idx"]]
-
-    return nodes.unionByName(edges).groupBy(*by, "chrom").applyInPandas(run, ", ".join([*(f"{c} string" for c in by), "marker_idx int"]))
+    on = lambda name: [*by, F.col("marker_idx").alias(name)]
+    nodes = stage.put(kept.select(*by, "marker_idx").join(order.select("marker_idx", "rank"), "marker_idx").join(variants.select("marker_idx"), "marker_idx", "left_semi"), "nodes")
+    one = r2.filter((F.col("r2") >= threshold) & (F.col("a") != F.col("b"))).select(*by, "a", "b")
+    both = one.unionAll(one.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    ranked = both.join(nodes.select(*on("a"), F.col("rank").alias("ra")), [*by, "a"]).join(nodes.select(*on("b"), F.col("rank").alias("rb")), [*by, "b"])
+    edges = stage.put(ranked.select(*by, "a", "ra", "b", "rb"), "edges")
+    covered = []
+    while not edges.isEmpty():
+        degree = edges.groupBy(*by, "a").agg(F.count("*").alias("n"))
+        own, other = F.struct("n", (-F.col("ra")).alias("r")), F.struct(F.col("m").alias("n"), (-F.col("rb")).alias("r"))
+        named = edges.join(degree, [*by, "a"]).join(degree.select(*by, F.col("a").alias("b"), F.col("n").alias("m")), [*by, "b"])
+        first = named.groupBy(*by, "a").agg(F.max(own).alias("own"), F.max(other).alias("near")).select(*by, "a", "own", F.greatest("own", "near").alias("near"))
+        second = edges.join(first.select(*by, F.col("a").alias("b"), "near"), [*by, "b"]).groupBy(*by, "a").agg(F.max("near").alias("beyond"))
+        taken = first.join(second, [*by, "a"]).filter((F.col("near") == F.col("own")) & (F.col("beyond") <= F.col("own"))).select(*by, "a", F.lit(False).alias("covered"))
+        near = edges.join(taken, [*by, "a"], "left_semi").select(*by, F.col("b").alias("a"), F.lit(True).alias("covered"))
+        gone = stage.put(taken.unionAll(near.distinct()), "gone")
+        left = edges.join(gone, [*by, "a"], "left_anti")
+        edges = stage.put(left.join(gone.withColumnRenamed("a", "b"), [*by, "b"], "left_anti").select(*edges.columns), "edges")
+        covered.append(gone)
+    if not covered:
+        return nodes.select(*by, "marker_idx")
+    out = stage.together(covered).filter("covered").select(*by, F.col("a").alias("marker_idx"))
+    return nodes.join(out, [*by, "marker_idx"], "left_anti").select(*by, "marker_idx")  # who isn't covered represents itself
 
 
 def coverage(variants: DataFrame, chosen: DataFrame, edges: DataFrame, width: int, panels: Sequence[tuple[str, str, int]] = ()) -> DataFrame:

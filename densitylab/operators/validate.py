@@ -70,11 +70,6 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).distinct().join(b.select(key), key, "left_semi")
 
 
-def not_nested(small: DataFrame, large: DataFrame) -> DataFrame:
-    """Markers of a smaller panel that the larger one lacks."""
-    return small.select("marker_idx").join(large.select("marker_idx"), "marker_idx", "left_anti")
-
-
 def uneven_predictions(pred: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Workflows whose predictions don't cover every id once."""
     n = ids.select("sample_id").distinct().agg(F.count("*").alias("want"))
@@ -82,15 +77,28 @@ def uneven_predictions(pred: DataFrame, ids: DataFrame, keys: Sequence[str]) ->
     return got.join(F.broadcast(n)).filter("n <> want or d <> want")
 
 
-def check_predictions(pred: DataFrame, ids: DataFrame, keys: Sequence[str]) -> None:
-    """Finite values, and every id once in each workflow."""
+def finite_rows(df: DataFrame, columns: Sequence[str]) -> None:
+    """What a score is computed from is finite."""
     bad = F.lit(False)
-    for c in ("y", "prediction", "train_mean"):
+    for c in columns:
         bad = bad | F.col(c).isNull() | ~finite(F.col(c))
-    none_of(pred.filter(bad).select("sample_id"), "Predictions must be finite")
+    none_of(df.filter(bad).select("sample_id"), "Predictions must be finite")
+
+
+def nested_panels(chosen: DataFrame) -> None:
+    """A marker of a panel is in every larger one of its fit and strategy; ``chosen``: fit_id, strategy, budget, marker_idx."""
+    own = ["fit_id", "strategy"]
+    sizes = chosen.select(*own, "budget").distinct().withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("budget"))))
+    held = chosen.join(F.broadcast(sizes), [*own, "budget"]).groupBy(*own, "marker_idx").agg(F.max("place").alias("deepest"), F.count("*").alias("n"))
+    none_of(held.filter("n <> deepest").select(*own, "marker_idx"), "Panels aren't nested")
+
+
+def check_predictions(pred: DataFrame, ids: DataFrame, keys: Sequence[str]) -> None:
+    """Finite values, and every id once in each workflow."""
+    finite_rows(pred, ("y", "prediction", "train_mean"))
     if pred.isEmpty():
         raise ContractError("no predictions")
-    none_of(uneven_predictions(pred, ids, keys), "Prediction coverage mismatch")
+    none_of(uneven_predictions(pred, ids, keys), "Workflows don't predict every id once")
 
 
 def disjoint_groups(fold_of: dict[str, int], members: Sequence[tuple[str, int]]) -> None:
@@ -104,15 +112,20 @@ def no_empty_panels(markers: dict[tuple[str, str], int]) -> None:
     """Every panel has a marker."""
     empty = sorted(k for k, n in markers.items() if not n)
     if empty:
-        raise ContractError(f"Empty marker panel: {empty[0]}")
+        raise ContractError(f"No marker is left in panel {empty[0]}")
 
 
-def check_cohort(splits: DataFrame, folds: int | None = None) -> None:
-    """Development and sealed samples share neither an id nor a group; outer folds are 0 .. folds - 1."""
+def check_cohort(splits: DataFrame, folds: int | None = None, sizes: dict[str, int] | None = None) -> None:
+    """Development and sealed samples share neither an id nor a group; outer folds are 0 .. folds - 1; ``sizes`` by partition."""
+    if sizes:
+        found = {r.partition: r.n for r in splits.groupBy("partition").agg(F.count_distinct("sample_id").alias("n")).collect()}
+        wrong = sorted(p for p, n in sizes.items() if found.get(p, 0) != n)
+        if wrong:
+            raise ContractError(f"{found.get(wrong[0], 0)} {wrong[0]} samples, not {sizes[wrong[0]]}")
     none_of(splits.filter("partition not in ('development', 'sealed')"), "Unknown partition")
     dev, sealed = splits.filter("partition = 'development'"), splits.filter("partition = 'sealed'")
-    none_of(overlap(dev, sealed, "sample_id"), "Cohort mismatch")
-    none_of(overlap(dev, sealed, "group_id"), "Sealed group overlap")
+    none_of(overlap(dev, sealed, "sample_id"), "Samples in both partitions")
+    none_of(overlap(dev, sealed, "group_id"), "Groups in both partitions")
     none_of(split_groups(dev), "Groups across folds")
     if folds is not None:
         none_of(dev.filter(~F.coalesce(F.col("outer_fold").between(0, folds - 1), F.lit(False))), f"Folds are 0 to {folds - 1}")
@@ -134,7 +147,7 @@ def same_digests(found: dict[str, str], recorded: dict[str, str]) -> None:
     """Files are those that were recorded."""
     wrong = sorted(n for n, d in recorded.items() if found.get(n) != d)
     if wrong:
-        raise ContractError(f"Input identity mismatch: {', '.join(wrong)}")
+        raise ContractError(f"Files differ from their recorded digests: {', '.join(wrong)}")
 
 
 def positive(values: Sequence[float], what: str) -> None:
@@ -176,6 +189,13 @@ def check_phenotypes(p: DataFrame) -> None:
     none_of(not_finite(p, "value"), "Phenotypes must be finite")
 
 
+def fold_labels(split: DataFrame, folds: int | None = None, fold: str = "outer_fold") -> None:
+    """Labels are 0 .. k - 1, each with a sample; k is ``folds`` if given."""
+    found = sorted(r[0] for r in split.select(fold).distinct().collect())
+    if found != list(range(folds or len(found))):
+        raise ContractError(f"fold labels are {found[:3]} ..., not 0 to {(folds or len(found)) - 1}")
+
+
 def check_splits(ids: DataFrame, split: DataFrame) -> None:
     none_of(repeated(split, "sample_id"), "Repeated ids in splits")
     none_of(uncovered(ids, split), "Splits don't cover the samples")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .study import Study
 
-WIDTH, LOW, HIGH = 64, -0.06, 0.06
+LOW, HIGH = -0.06, 0.06
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,14 +33,27 @@ DOSAGE_SQL = """dosage AS (SELECT vec_id AS sample_idx, label, (m - 1)::INTEGER
  FROM (SELECT vec_id, label, unnest(embedding) AS e, unnest(range(1, len(embedding) + 1)) AS m FROM embeddings))"""
 
 VARIANT_SQL = """variant AS (SELECT m::INTEGER AS marker_idx, (m // 13 + 1)::VARCHAR AS chrom, (m % 13 + 1) * 400000 AS pos,
- concat_ws(':', (m // 13 + 1)::VARCHAR, ((m % 13 + 1) * 400000)::VARCHAR, 'A', 'G') AS marker_id FROM (SELECT unnest(range(0, 64)) AS m))"""
+ concat_ws(':', (m // 13 + 1)::VARCHAR, ((m % 13 + 1) * 400000)::VARCHAR, 'A', 'G') AS marker_id FROM (SELECT DISTINCT unnest(range(0, len(embedding))) AS m FROM embeddings))"""
 
 
-def variants(spark: SparkSession) -> DataFrame:
-    v = spark.range(WIDTH).select(F.col("id").cast("int").alias("marker_idx"), F.expr("cast(id div 13 + 1 as string)").alias("chrom"), ((F.col("id") % 13 + 1) * 400000).alias("pos"))
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A marker a component of the vectors."""
+    every = table(spark, sf_dir, "embeddings").select(F.size("embedding").alias("n")).filter("n > 0").distinct().select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("id")).distinct()
+    v = every.select(F.col("id").alias("marker_idx"), F.expr("cast(id div 13 + 1 as string)").alias("chrom"), ((F.col("id") % 13 + 1) * 400000).cast("bigint").alias("pos"))
     return v.select("*", F.lit("A").alias("ref"), F.lit("G").alias("alt"), F.concat_ws(":", "chrom", F.col("pos").cast("string"), F.lit("A"), F.lit("G")).alias("marker_id"))
 
 
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A marker a part, spread over five chromosomes."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("marker_idx"), F.expr("cast(p_partkey % 5 + 1 as string)").alias("chrom"), ((F.col("p_partkey").cast("bigint") * 7919) % 50_000_000 + 1).alias("pos"))
+    return p.select("*", F.concat_ws(":", "chrom", F.col("pos").cast("string"), F.lit("A"), F.lit("G")).alias("marker_id"))
+
+
+#: The same for DuckDB.
+CATALOGUE_SQL = """catalogue AS (SELECT p_partkey::INTEGER AS marker_idx, (p_partkey % 5 + 1)::VARCHAR AS chrom, (p_partkey::BIGINT * 7919) % 50000000 + 1 AS pos,
+ concat_ws(':', (p_partkey % 5 + 1)::VARCHAR, ((p_partkey::BIGINT * 7919) % 50000000 + 1)::VARCHAR, 'A', 'G') AS marker_id FROM part)"""
+
+
 def phenotype(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("sample_idx"), (10 * (1.4 * e["embedding"][5].cast("double") - 0.9 * e["embedding"][35].cast("double"))).alias("y"))
@@ -58,4 +71,4 @@ def study(spark: SparkSession, sf_dir: str) -> tuple[Study, list[int]]:
     ids = [f"{r.sample_idx:06d}" for r in rows]
     groups = [f"b{r.sample_idx // 5:05d}" for r in rows]
     vec = vectors(dosage(spark, sf_dir).select("sample_idx", "marker_idx", "g")).cache()
-    return Study(ids, np.array([r.y for r in rows]), vec, variants(spark).cache(), groups), [int(r.label) for r in rows]
+    return Study(ids, np.array([r.y for r in rows]), vec, variants(spark, sf_dir).cache(), groups), [int(r.label) for r in rows]

@@ -12,7 +12,8 @@ from ..operators import compare, diagnostics, folds, kernel, ld, metrics, orderi
 from ..sources import readers
 from . import fixtures as fx
 from . import study
-from .study import DensityConfig, LadderConfig, run_densities, run_encodings, run_ladder
+from ..operators.stage import Stage
+from .study import DensityConfig, LadderConfig, plan_ladder, run_densities, run_encodings, run_ladder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,14 +76,14 @@ def kernel_trace(spark, sf_dir):
 _HASH = "hashed AS (SELECT marker_idx, (row_number() OVER (ORDER BY sha256(concat('canonical-v1', chr(0), marker_id)), marker_id) - 1)::INTEGER AS rank FROM variant)"
 
 
-@query("SELECT marker_idx, rank FROM hashed", (_V, _HASH))
+@query("SELECT marker_idx, rank FROM hashed", (fx.CATALOGUE_SQL, _HASH.replace("FROM variant", "FROM catalogue")))
 def marker_hash_order(spark, sf_dir):
-    return ordering.hash_order(fx.variants(spark), "canonical-v1")
+    return ordering.hash_order(fx.catalogue(spark, sf_dir), "canonical-v1")
 
 
 @query("SELECT marker_idx, rank, round(mean, 8) AS mean FROM qc JOIN hashed USING (marker_idx) ORDER BY rank LIMIT 16", (*_BASE, _QC, _V, _HASH))
 def density_prefix(spark, sf_dir):
-    picked = ordering.panel(ordering.hash_order(fx.variants(spark), "canonical-v1"), qc.eligible(_train(spark, sf_dir)), 16)
+    picked = ordering.panel(ordering.hash_order(fx.variants(spark, sf_dir), "canonical-v1"), qc.eligible(_train(spark, sf_dir)), 16)
     return picked.select("marker_idx", "rank", _r("mean", "mean"))
 
 
@@ -90,14 +91,14 @@ _PHYS = """turns AS (SELECT marker_idx, chrom, pos // 1000000 AS bin, row_number
 phys AS (SELECT marker_idx, (row_number() OVER (ORDER BY turn, chrom, bin) - 1)::INTEGER AS rank FROM turns)"""
 
 
-@query("SELECT marker_idx, rank FROM phys", (_V, _PHYS))
+@query("SELECT marker_idx, rank FROM phys", (fx.CATALOGUE_SQL, _PHYS.replace("FROM variant", "FROM catalogue")))
 def physical_round_robin(spark, sf_dir):
-    return ordering.physical_order(fx.variants(spark), 101, 1_000_000)
+    return ordering.physical_order(fx.catalogue(spark, sf_dir), 101, 1_000_000)
 
 
 @query("SELECT marker_idx, rank FROM phys WHERE rank < 20 AND marker_idx IN (SELECT marker_idx FROM qc)", (*_BASE, _QC, _V, _PHYS))
 def prefix_then_qc(spark, sf_dir):
-    return ordering.prefix_then_qc(ordering.physical_order(fx.variants(spark), 101, 1_000_000), qc.eligible(_train(spark, sf_dir)), 20)
+    return ordering.prefix_then_qc(ordering.physical_order(fx.variants(spark, sf_dir), 101, 1_000_000), qc.eligible(_train(spark, sf_dir)), 20)
 
 
 _R2 = """unit AS (SELECT sample_idx, marker_idx, coalesce(g - mean, 0) AS z FROM train JOIN qc USING (marker_idx)),
@@ -117,7 +118,7 @@ def _r2_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     train = _train(spark, sf_dir)
     kept = qc.eligible(train)
     n = train.select("sample_idx").distinct().count()
-    r2 = ld.window_r2(_vec(spark, sf_dir), fx.variants(spark), kept.select(F.lit("all").alias("fit_id"), "marker_idx"), {"all": range(n)}, 1_000_000)
+    r2 = ld.window_r2(_vec(spark, sf_dir), fx.variants(spark, sf_dir), kept.select(F.lit("all").alias("fit_id"), "marker_idx"), {"all": range(n)}, 1_000_000)
     return r2.drop("fit_id"), kept
 
 
@@ -131,7 +132,7 @@ def ld_pairs_r2(spark, sf_dir):
     (*_BASE, _QC, _V, _R2),
 )
 def ld_chrom_summary(spark, sf_dir):
-    s = ld.summary(fx.variants(spark), _r2_frame(spark, sf_dir)[0], 0.001)
+    s = ld.summary(fx.variants(spark, sf_dir), _r2_frame(spark, sf_dir)[0], 0.001)
     return s.select("chrom", "local_pairs", _r("mean_r2", "mean_r2"), "high_ld_pairs")
 
 
@@ -145,7 +146,7 @@ step AS (SELECT NULL::INTEGER AS pick, (SELECT list(m) FROM node) AS left_
 @query("SELECT pick AS marker_idx FROM step WHERE pick IS NOT NULL", (*_BASE, _QC, _V, _PHYS, _R2, _COVER))
 def ld_greedy_cover(spark, sf_dir):
     r2, kept = _r2_frame(spark, sf_dir)
-    return ld.greedy_cover(fx.variants(spark), kept, ordering.physical_order(fx.variants(spark), 101, 1_000_000), r2, 0.001)
+    return ld.greedy_cover(fx.variants(spark, sf_dir), kept, ordering.physical_order(fx.variants(spark, sf_dir), 101, 1_000_000), r2, 0.001, Stage(spark))
 
 
 @query(
@@ -154,8 +155,8 @@ def ld_greedy_cover(spark, sf_dir):
 )
 def ld_order(spark, sf_dir):
     r2, kept = _r2_frame(spark, sf_dir)
-    physical = ordering.physical_order(fx.variants(spark), 101, 1_000_000)
-    return ordering.representatives_first(physical, ld.greedy_cover(fx.variants(spark), kept, physical, r2, 0.001), kept)
+    physical = ordering.physical_order(fx.variants(spark, sf_dir), 101, 1_000_000)
+    return ordering.representatives_first(physical, ld.greedy_cover(fx.variants(spark, sf_dir), kept, physical, r2, 0.001, Stage(spark)), kept)
 
 
 @query(
@@ -167,8 +168,8 @@ LEFT JOIN (SELECT chrom, count(*) AS n FROM r2 WHERE r2 >= 0.001 AND a IN (SELEC
 )
 def panel_coverage(spark, sf_dir):
     r2, _ = _r2_frame(spark, sf_dir)
-    chosen = ordering.physical_order(fx.variants(spark), 101, 1_000_000).filter("rank < 30")
-    return ld.coverage(fx.variants(spark), chosen, r2.filter("r2 >= 0.001"), 1_000_000)
+    chosen = ordering.physical_order(fx.variants(spark, sf_dir), 101, 1_000_000).filter("rank < 30")
+    return ld.coverage(fx.variants(spark, sf_dir), chosen, r2.filter("r2 >= 0.001"), 1_000_000)
 
 
 @query("SELECT vec_id::VARCHAR AS sample_id, label, (dense_rank() OVER (ORDER BY label) - 1)::INTEGER AS fold FROM embeddings")
@@ -212,7 +213,8 @@ def gram_entries(spark, sf_dir):
     names = [r.sample_idx for r in train.select("sample_idx").distinct().orderBy("sample_idx").collect()]
     fit = kernel.Fit("all", tuple(range(len(names))), ())
     stats = qc.eligible(train).select(F.lit("all").alias("fit_id"), "marker_idx", "mean", F.lit(1.0).alias("scale"), F.lit(0).alias("tier"))
-    return kernel.gram_entries(kernel.kernel_blocks(_vec(spark, sf_dir), stats, [fit]), fit, names).select("i", "j", _r("k", "k", 6))
+    strips = Stage(spark).put(kernel.loaded(_vec(spark, sf_dir), stats, [fit]), "strips")
+    return kernel.gram_entries(strips, len(names), fit, names).select("i", "j", _r("k", "k", 6))
 
 
 @query(
@@ -227,14 +229,17 @@ def gram_entries(spark, sf_dir):
     ),
 )
 def krr_density2(spark, sf_dir):
-    """The blocks, the divisor and the solver of the density study on a panel of two markers, which has a closed form."""
+    """The products, the divisor and the solver of the density study on a panel of two markers, which has a closed form."""
     s, labels = fx.study(spark, sf_dir)
     fit = kernel.Fit("outer/0", tuple(i for i, x in enumerate(labels) if x), tuple(i for i, x in enumerate(labels) if not x))
     two = s.vec.filter("marker_idx in (5, 35)")
-    stats = qc.fit_eligible(two, {fit.fit_id: fit.train}, 0, 0).cache()
+    stage = Stage(spark)
+    stats = stage.put(qc.fit_eligible(two, {fit.fit_id: fit.train}, 0, 0), "qc")
     scale = qc.kernel_scale(stats).first().scale
-    blocks = kernel.kernel_blocks(two, stats.select("fit_id", "marker_idx", "mean", F.lit(1.0).alias("scale"), F.lit(0).alias("tier")), [fit])
-    solved = study.solve(s, [fit], blocks, {"2": [0]}, {fit.fit_id: {"2": study.Panel(2, scale)}}, {f"{fit.fit_id}|2": [0.5]}, False)
+    s.vec = two
+    load = study.load_strips(s, stats.select("fit_id", "marker_idx", "mean", F.lit(1.0).alias("scale"), F.lit(0).alias("tier")), [fit], {"2": [0]}, stage)
+    (answer,) = study.solve(s, load, {fit.fit_id: {"2": study.Panel(2, scale)}}, {f"{fit.fit_id}|2": [0.5]})
+    solved = spark.createDataFrame(answer.rows(0.5), study._ROWS)
     people = spark.createDataFrame([(i, int(name), float(v)) for i, (name, v) in enumerate(zip(s.ids, s.y))], "position int, sample_idx bigint, y double")
     return solved.join(people, "position").select("sample_idx", _r("y", "y"), _r("prediction", "prediction", 6))
 
@@ -299,19 +304,20 @@ def paired_delta(spark, sf_dir):
         "g AS (SELECT fold, o_custkey::VARCHAR AS group_id, sum(other - base) AS d, sum(base) AS b, count(*) AS n FROM e GROUP BY ALL)",
         "num AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY group_id) - 1 AS i FROM g)",
         "sizes AS (SELECT fold, count(*) AS m FROM g GROUP BY fold)",
-        "dd AS (SELECT fold, m, rep, unnest(range(0, m)) AS k FROM sizes, (SELECT unnest(range(0, 20)) AS rep))",
-        "drawn AS (SELECT fold, rep::INTEGER AS rep, ('0x' || substr(sha256(concat_ws(chr(9), '7', '0', fold::VARCHAR, rep::VARCHAR, k::VARCHAR)), 1, 12))::BIGINT % m AS i FROM dd)",
+        "dd AS (SELECT fold, m, rep, unnest(range(0, (m - 1) // 8 + 1)) AS k FROM sizes, (SELECT unnest(range(0, 2000)) AS rep))",
+        "hh AS (SELECT fold, rep, m, k, sha256(concat_ws(chr(9), '7', '0', fold::VARCHAR, rep::VARCHAR, k::VARCHAR)) AS h FROM dd)",
+        "drawn AS (SELECT fold, rep::INTEGER AS rep, ('0x' || substr(h, 8 * j + 1, 8))::BIGINT % m AS i FROM (SELECT *, unnest(range(0, least(8, m - 8 * k))) AS j FROM hh))",
     ),
 )
 def bootstrap_hash(spark, sf_dir):
-    r = compare.hashed_replicates(compare.group_sums(_pair_errors(spark, sf_dir)), 20, 7)
+    r = compare.hashed_replicates(compare.group_sums(_pair_errors(spark, sf_dir)), 2000, 7)
     return r.select("pair", "rep", _r("delta_mse", "delta_mse", 6), _r("gain", "gain"))
 
 
 @query()
 def bootstrap_seeded(spark, sf_dir):
-    sums = compare.group_sums(_pair_errors(spark, sf_dir)).cache()
-    return compare.decision(compare.bootstrap(sums, compare.seeded_draws(sums, 1, 100, 11)))
+    sums = Stage(spark).put(compare.group_sums(_pair_errors(spark, sf_dir)), "sums")
+    return compare.decision(compare.bootstrap(compare.seeded_replicates(sums, 1, 2000, 11)))
 
 
 @query("SELECT c_mktsegment AS group_id, count(*) AS n, round(avg(o_totalprice), 6) AS mean_value FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice IS NOT NULL GROUP BY c_mktsegment")
@@ -342,7 +348,7 @@ UNION ALL SELECT 'bad_dosage', count(*) FROM dosage WHERE 2 * g > 2""",
     (_V, _D),
 )
 def validation_report(spark, sf_dir):
-    o, c, v = fx.table(spark, sf_dir, "orders"), fx.table(spark, sf_dir, "customer"), fx.variants(spark)
+    o, c, v = fx.table(spark, sf_dir, "orders"), fx.table(spark, sf_dir, "customer"), fx.variants(spark, sf_dir)
     late = v.withColumn("ref", F.when(F.col("pos") > 5_000_000, "N").otherwise(F.col("ref")))
     found = {
         "repeated_phenotype": validate.repeated(o, "o_custkey"),
@@ -360,14 +366,19 @@ def validation_report(spark, sf_dir):
     return out
 
 
-@query(
-    """SELECT (i - 1)::INTEGER AS fold, round(rm[i] * rm[i], 10) AS mse, rm[i] AS rmse, pc[i] AS pcc, ma[i] AS mae FROM (SELECT unnest(range(1, 11)) AS i,
- [0.71::DOUBLE,0.72,0.73,0.74,0.75,0.76,0.77,0.78,0.79,0.7] AS pc, [2.0::DOUBLE,1.9,1.8,2.1,2.2,2.3,1.7,1.95,2.05,2.15] AS rm, [1.5::DOUBLE,1.4,1.6,1.55,1.45,1.35,1.65,1.52,1.53,1.54] AS ma)"""
-)
+_REPORT = """m AS (SELECT o_orderpriority AS report, (o_orderkey % 10)::INTEGER AS fold, printf('%.4f', avg(o_custkey % 97) / 100)::DOUBLE AS pcc, printf('%.4f', avg(o_totalprice) / 50000)::DOUBLE AS rmse, printf('%.4f', min(o_totalprice) / 50000)::DOUBLE AS mae FROM orders GROUP BY ALL)"""
+
+
+@query("SELECT report, fold, round(rmse * rmse, 8) AS mse, rmse, pcc, mae FROM m WHERE report IN (SELECT report FROM m GROUP BY report HAVING count(*) = 10)", (_REPORT,))
 def parse_fold_metrics(spark, sf_dir):
-    text = "PCC per fold: [0.71, np.float64(0.72), 0.73, 0.74, 0.75, 0.76, 0.77, 0.78, np.float64(0.79), 0.7]\nRMSE per fold: [2.0, 1.9, 1.8, 2.1, np.float64(2.2), 2.3, 1.7, 1.95, 2.05, 2.15]\nMAE per fold: [1.5, 1.4, 1.6, 1.55, 1.45, 1.35, 1.65, 1.52, 1.53, 1.54]"
-    p = readers.published_folds(spark.createDataFrame([(text,)], "value string"))
-    return p.select("fold", _r("mse", "mse", 10), "rmse", "pcc", "mae")
+    """Reports written from the orders of each priority, in ten folds, and read again."""
+    o = fx.table(spark, sf_dir, "orders").select("o_orderpriority", (F.col("o_orderkey") % 10).alias("fold"), "o_custkey", "o_totalprice")
+    by_fold = o.groupBy("o_orderpriority", "fold").agg((F.avg(F.col("o_custkey") % 97) / 100).alias("PCC"), (F.avg("o_totalprice") / 50000).alias("RMSE"), (F.min("o_totalprice") / 50000).alias("MAE"))
+    text = lambda c: F.when(F.col("fold") % 2 == 0, F.format_string("%.4f", F.col(c))).otherwise(F.format_string("np.float64(%.4f)", F.col(c)))
+    listed = lambda c: F.concat(F.lit(f"{c} per fold: ["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fold", text(c).alias("t")))), lambda s: s["t"]), ", "), F.lit("]"))
+    reports = by_fold.groupBy(F.col("o_orderpriority").alias("report")).agg(F.concat_ws("\n", listed("PCC"), listed("RMSE"), listed("MAE")).alias("value"), F.count("*").alias("n")).filter("n = 10")
+    p = readers.published_folds(reports.select("report", "value"))
+    return p.select("report", "fold", _r("mse", "mse"), "rmse", "pcc", "mae")
 
 
 @query("SELECT marker_idx, round(mean, 8) AS mean, n FROM stats", _BASE)
@@ -394,31 +405,45 @@ def krr_metrics(spark, sf_dir):
     return _density_run(spark, sf_dir)["metrics"]
 
 
-def _ladder_run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _ladder(spark: SparkSession, sf_dir: str):
     s, labels = fx.study(spark, sf_dir)
-    outer = {i: int(g[1:]) % 3 for i, g in zip(s.ids, s.groups)}
-    return run_ladder(s, LadderConfig(inner_folds=2, budgets=(16, 40, 64), rhos=(1e-2, 1e-1, 1.0), rho_bounds=(1e-3, 10.0), call_rate_min=0.9, ld_r2=0.01), outer)
+    return s, LadderConfig(inner_folds=2, budgets=(16, 40, 64), rhos=(1e-2, 1e-1, 1.0), rho_bounds=(1e-3, 10.0), call_rate_min=0.9, ld_r2=0.01), {i: int(g[1:]) % 3 for i, g in zip(s.ids, s.groups)}
 
 
 @query()
 def ladder_metrics(spark, sf_dir):
-    return _ladder_run(spark, sf_dir)["metrics"]
+    return run_ladder(*_ladder(spark, sf_dir))["metrics"]
 
 
 @query()
 def ladder_coverage(spark, sf_dir):
-    return _ladder_run(spark, sf_dir)["coverage"]
+    """Panels and their coverage need no solver."""
+    return plan_ladder(*_ladder(spark, sf_dir), None, Stage(spark)).coverage
 
 
-@query()
+_GRAM = """held AS (SELECT marker_idx, mean FROM stats WHERE called > 0 AND called / n >= 0.9 AND least(total, 2 * called - total) > 0 AND least(mean / 2, 1 - mean / 2) >= 0.05),
+z AS (SELECT sample_idx, marker_idx, rank < 20 AS few, coalesce(g - mean, 0) AS z FROM train JOIN held USING (marker_idx) JOIN phys USING (marker_idx)),
+gram AS (SELECT x.sample_idx AS i, y.sample_idx AS j, coalesce(sum(x.z * y.z) FILTER (x.few), 0) AS a, sum(x.z * y.z) AS f FROM z x JOIN z y USING (marker_idx) GROUP BY ALL),
+tr AS (SELECT sum(a) AS ta, sum(f) AS tf, count(*) AS n FROM gram WHERE i = j),
+unit AS (SELECT i, j, a * n / ta AS a, f * n / tf AS f FROM gram, tr)"""
+
+
+@query(
+    """SELECT 'outer/0' AS fit_id, workflow, n::INTEGER AS samples, round(p, 6) AS trace_participation_ratio, round(d, 6) AS sampled_relative_frobenius, round(c, 6) AS sampled_offdiagonal_correlation FROM (
+SELECT 'physical:20' AS workflow, any_value(n) AS n, any_value(n) * any_value(n) / sum(a * a) AS p, sqrt(sum((a - f) * (a - f))) / sqrt(sum(f * f)) AS d, corr(a, f) FILTER (i <> j) AS c FROM unit, tr
+UNION ALL SELECT 'physical:64', any_value(n), any_value(n) * any_value(n) / sum(f * f), 0, corr(f, f) FILTER (i <> j) FROM unit, tr)""",
+    (*_BASE, _V, _PHYS, _GRAM),
+)
 def kernel_diagnostics(spark, sf_dir):
+    """A18 and A19 of two panels, reduced from tiles of the kernel of the training samples."""
     s, labels = fx.study(spark, sf_dir)
     train = tuple(i for i, x in enumerate(labels) if x)
-    rows = qc.vec_eligible(s.vec, train, 0.9).join(ordering.physical_order(s.variants, 101, 1_000_000), "marker_idx")
+    rows = qc.fit_eligible(s.vec, {"outer/0": train}, 0.9).join(ordering.physical_order(s.variants, 101, 1_000_000), "marker_idx")
     stats = rows.select(F.lit("outer/0").alias("fit_id"), "marker_idx", "mean", F.lit(1.0).alias("scale"), F.when(F.col("rank") < 20, 0).otherwise(1).alias("tier"))
-    blocks = kernel.kernel_blocks(s.vec, stats, [kernel.Fit("outer/0", train, ())]).cache()
-    near = diagnostics.against_full(blocks, {"outer/0": len(train)}, {"physical:20": [0], "physical:64": [0, 1]}, "physical:64")
-    return near.join(diagnostics.participation(blocks, {"outer/0": len(train)}), "fit_id")
+    fit = kernel.Fit("outer/0", train, ())
+    strips = Stage(spark).put(kernel.loaded(s.vec, stats, [fit]), "strips")
+    near = diagnostics.relationship(strips, len(s.ids), [(0, fit)], {"physical:20": [0], "physical:64": [0, 1]}, "physical:64")
+    return near.select("fit_id", "workflow", "samples", *[_r(c, c, 6) for c in ("trace_participation_ratio", "sampled_relative_frobenius", "sampled_offdiagonal_correlation")])
 
 
 @query()

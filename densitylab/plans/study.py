@@ -1,9 +1,8 @@
 """The three studies: marker densities, the density ladder, and the two encodings (A, B1, B2).
 
-All fits of a study, outer and inner, every density and penalty, are rows of one
-plan: statistics of each fit, its markers by tier, and kernel blocks summed over
-tiers.  Where the kernels of a fit fit a task, that task solves the whole penalty
-grid; larger ones stay in blocks, and conjugate gradients ask for products with them.
+All fits of a study, outer and inner, are rows of one plan: statistics of each fit and its markers
+by tier.  They are staged, genotypes with them in strips, and so no plan grows with folds or
+rounds.  Systems are solved by products with kernels that are never formed.
 """
 
 from __future__ import annotations
@@ -12,20 +11,22 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.linear import conjugate, conjugate_grid, dual_ridge
+from ..functions.linear import shifted
+from ..operators import diagnostics, ld, metrics, ordering, qc
 from ..operators import folds as fo
 from ..operators import kernel as ke
-from ..operators import diagnostics, ld, metrics, ordering, qc
 from ..operators import validate as va
+from ..operators.stage import Stage
 
 _ERRORS = "fit_id string, workflow string, penalty_idx int, penalty double, n bigint, sse double, markers int, capped boolean"
 _ROWS = "fit_id string, workflow string, penalty double, position int, prediction double, train_mean double, markers int, scale double, residual double, steps int"
-#: Relative residual of direct solutions found by conjugate gradients.
-EXACT = 1e-11
+#: Relative residual where a study asks for none.
+EXACT = 1e-10
+#: Bytes of the vectors of the systems that are solved together, on the driver; a fit at least.
+TOGETHER_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,11 @@ class LadderConfig:
     residual: float = 1e-8
     strategies: Sequence[str] = ("physical", "ld")
 
+    def __post_init__(self):
+        va.positive([*self.rhos, *self.rho_bounds, self.residual, self.ld_r2], "rhos, bounds, residual and ld_r2")
+        va.positive([*self.budgets, self.bin_bp, self.ld_window_bp], "budgets and widths")
+        va.thresholds(self.call_rate_min, self.maf_min, 0)
+
 
 @dataclass
 class Study:
@@ -99,14 +105,29 @@ class Panel:
     capped: bool = False
 
 
-def _rows_of(f: ke.Fit, flow: str, grid: Sequence[float], panel: Panel, scale: float, y: np.ndarray, p: np.ndarray, true: np.ndarray, steps: np.ndarray, inner: bool) -> list[tuple]:
-    train, test = np.array(f.train), np.array(f.test)
-    if not np.isfinite(p).all():
-        raise va.ContractError("predictions aren't finite")
-    if inner:
-        return [(f.fit_id, flow, i, float(c), len(test), float(((y[test] - p[:, i]) ** 2).sum()), panel.markers, panel.capped) for i, c in enumerate(grid)]
-    mean = float(y[train].mean())
-    return [(f.fit_id, flow, float(c), int(s), float(v), mean, panel.markers, scale, float(true[i]), int(steps[i])) for i, c in enumerate(grid) for s, v in zip(test, p[:, i])]
+@dataclass(frozen=True)
+class Answer:
+    """Predictions of a fit's test samples by a workflow, a column a penalty."""
+
+    fit: ke.Fit
+    workflow: str
+    grid: list[float]
+    panel: Panel
+    scale: float
+    mean: float
+    predictions: np.ndarray
+    residuals: np.ndarray
+    steps: np.ndarray
+
+    def errors(self, y: np.ndarray) -> list[tuple]:
+        """Rows of _ERRORS."""
+        missed = ((y[np.array(self.fit.test)][:, None] - self.predictions) ** 2).sum(0)
+        return [(self.fit.fit_id, self.workflow, i, float(c), len(self.fit.test), float(e), self.panel.markers, self.panel.capped) for i, (c, e) in enumerate(zip(self.grid, missed))]
+
+    def rows(self, penalty: float) -> list[tuple]:
+        """Rows of _ROWS for one penalty of the grid."""
+        i = self.grid.index(penalty)
+        return [(self.fit.fit_id, self.workflow, penalty, int(s), float(p), self.mean, self.panel.markers, self.scale, float(self.residuals[i]), int(self.steps[i])) for s, p in zip(self.fit.test, self.predictions[:, i])]
 
 
 def _scale_of(panel: Panel, trace: float, n: int) -> float:
@@ -116,98 +137,81 @@ def _scale_of(panel: Panel, trace: float, n: int) -> float:
     return float(scale)
 
 
-def solve(study: Study, fits: list[ke.Fit], blocks: DataFrame, sums: dict[str, list[int]], panels: dict[str, dict[str, Panel]], penalties: dict[str, list[float]], inner: bool, residual: float | None = None) -> DataFrame:
-    """Errors (inner) or predictions of every fit, workflow and penalty.
+@dataclass
+class Loaded:
+    """Genotypes joined with the statistics of all fits, and the traces of their kernels."""
 
-    ``sums``: workflow -> tiers that make up its kernel.  With a residual, penalties are
-    multiples of the training samples and solved by conjugate gradients; without one they are added as they are.
-    """
-    table, y, schema = {f.fit_id: f for f in fits}, study.y, _ERRORS if inner else _ROWS
-    kind = "inner/" if inner else "outer/"
-    blocks = blocks.filter(F.col("fit_id").startswith(kind))
-    if not ke.dense([f for f in fits if f.fit_id.startswith(kind)], len({t for ts in sums.values() for t in ts})):
-        return _solve_apart(study, table, blocks, sums, panels, penalties, inner, residual, schema)
-
-    def body(fit_id: str, parts: dict[int, np.ndarray]) -> pd.DataFrame:
-        f, rows = table[fit_id], []
-        n, own = len(f.train), y[np.array(f.train)]
-        for flow, tiers in sums.items():
-            grid, panel, have = penalties.get(f"{fit_id}|{flow}", []), panels[fit_id].get(flow), [parts[t] for t in tiers if t in parts]
-            if not grid or panel is None or not have:
-                continue
-            total = sum(have[1:], have[0])
-            scale = _scale_of(panel, np.trace(total[:n]), n)
-            k, cross = total[:n] / scale, total[n:] / scale
-            if residual is None:
-                p, true, steps = np.stack([dual_ridge(k, cross, own, c) for c in grid], 1), np.zeros(len(grid)), np.zeros(len(grid), int)
-            else:
-                a, true, steps = conjugate_grid(k, own, grid, residual)
-                p = own.mean() + cross @ a
-            rows += _rows_of(f, flow, grid, panel, scale, y, p, true, steps, inner)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+    strips: DataFrame
+    fits: list[ke.Fit]
+    sums: dict[str, list[int]]
+    traces: dict[tuple[str, str], float]
 
-    return ke.with_fit("fit_id", schema, body)(blocks)
 
+def load_strips(study: Study, stats: DataFrame, fits: list[ke.Fit], sums: dict[str, list[int]], stage: Stage) -> Loaded:
+    strips = stage.put(ke.loaded(study.vec, stats, fits), "strips", keep=True)
+    return Loaded(strips, fits, sums, ke.traces(strips, fits, sums))
 
-def _solve_apart(study: Study, table: dict[str, ke.Fit], blocks: DataFrame, sums, panels, penalties, inner: bool, residual: float | None, schema: str) -> DataFrame:
-    """``solve`` for kernels that no task can hold: one outer fold's fits at a time, a pass over their blocks a step.
 
-    The driver has the vectors of one fold's systems: training samples x workflows x penalties.
+def solve(study: Study, load: Loaded, panels: dict[str, dict[str, Panel]], penalties: dict[str, list[float]], residual: float | None = None) -> list[Answer]:
+    """Predictions for the penalties wanted of each ``fit|workflow``; all penalties of a system come from one Krylov space.
+
+    With a residual, penalties are multiples of the training samples; without one they are added as they are.
+    A step is one pass over the strips for all systems of a batch; the driver has a batch's vectors.
     """
-    spark, y, rows = blocks.sparkSession, study.y, []
-    folds = sorted({k.split("|")[0].split("/")[1] for k, grid in penalties.items() if grid}, key=int)
-    for fold in folds:
-        own = blocks.filter(F.split("fit_id", "/")[1] == fold)
-        diagonal, live, facts = ke.diagonals(own), {}, {}
-        for fit_id in sorted({f for f, _ in diagonal}):
-            f = table[fit_id]
-            n, level = len(f.train), y[np.array(f.train)]
-            for flow, tiers in sums.items():
-                grid, panel, have = penalties.get(f"{fit_id}|{flow}", []), panels[fit_id].get(flow), [t for t in tiers if (fit_id, t) in diagonal]
-                if not grid or panel is None or not have:
-                    continue
-                d = sum(diagonal[fit_id, t] for t in have)
-                scale = _scale_of(panel, d.sum(), n)
-                shift = np.asarray(grid, float) * (1 if residual is None else n)
-                solver = conjugate(d / scale, level, shift, EXACT if residual is None else residual)
-                facts[fit_id, flow] = f, grid, panel, scale, have
-                live[fit_id, flow] = solver, next(solver, None)
-        done = {}
-        for key, (_, d) in list(live.items()):
-            if d is None:  # a constant phenotype has no system
-                n, k = len(facts[key][0].train), len(facts[key][1])
-                done[key] = np.zeros((n, k)), np.zeros(k), np.zeros(k, int)
-                del live[key]
+    number, samples, out = {f.fit_id: i for i, f in enumerate(load.fits)}, len(study.ids), []
+    wanted = [(f, w, penalties[f"{f.fit_id}|{w}"]) for f in load.fits for w in load.sums if penalties.get(f"{f.fit_id}|{w}") and panels[f.fit_id].get(w) is not None]
+    batches, size = [], 0
+    for f, w, grid in wanted:
+        own = 8 * samples * (2 * len(grid) + 4)
+        if not batches or (size + own > TOGETHER_BYTES and batches[-1][-1][0] is not f):
+            batches.append([])
+            size = 0
+        batches[-1].append((f, w, grid))
+        size += own
+    for batch in batches:
+        live = {}
+        for f, w, grid in batch:
+            scale = _scale_of(panels[f.fit_id][w], load.traces.get((f.fit_id, w), 0.0), len(f.train))
+            train = np.array(f.train)
+            solver = shifted(study.y[train], np.asarray(grid, float) * (1 if residual is None else len(train)), EXACT if residual is None else residual)
+            live[f.fit_id, w] = f, w, grid, scale, train, solver, next(solver)
         while live:
-            got = ke.products(own, {key: (facts[key][4], d) for key, (_, d) in live.items()})
-            for key, (solver, _) in list(live.items()):
-                f, _, _, scale, _ = facts[key]
+            systems = []
+            for f, w, _, _, train, _, d in live.values():
+                spread = np.zeros((samples, d.shape[1]))
+                spread[train] = d
+                systems.append(ke.System(number[f.fit_id], tuple(load.sums[w]), spread))
+            for key, q in zip(list(live), ke.products(load.strips, systems)):
+                f, w, grid, scale, train, solver, _ = live[key]
                 try:
-                    live[key] = solver, solver.send(got[key][: len(f.train)] / scale)
-                except StopIteration as end:
-                    done[key] = end.value
+                    live[key] = f, w, grid, scale, train, solver, solver.send(q[train] / scale)
+                except StopIteration as end:  # the last product was that of the weights, at the test samples too
+                    _, true, steps = end.value
+                    mean = float(study.y[train].mean())
+                    p = mean + q[np.array(f.test)] / scale
+                    if not np.isfinite(p).all():
+                        raise va.ContractError("predictions aren't finite") from None
+                    out.append(Answer(f, w, list(grid), panels[f.fit_id][w], scale, mean, p, true, steps))
                     del live[key]
-        if not done:
-            continue
-        cross = ke.products(own, {key: (facts[key][4], a) for key, (a, _, _) in done.items()})
-        for key, (_, true, steps) in done.items():
-            f, grid, panel, scale, _ = facts[key]
-            p = y[np.array(f.train)].mean() + cross[key][len(f.train) :] / scale
-            rows += _rows_of(f, key[1], grid, panel, scale, y, p, true, steps, inner)
-    return spark.createDataFrame(rows, schema)
-
-
-def run_densities(study: Study, config: DensityConfig, outer: dict[str, int], inner: dict[int, dict[str, int]], only: Sequence[int] | None = None) -> dict[str, DataFrame]:
-    """A: predictions, metrics, tuning, omitted, qc.  Statistics come from each fit's training rows alone."""
+    return out
+
+
+def _people(study: Study) -> DataFrame:
+    rows = [(i, s, float(v), g) for i, (s, v, g) in enumerate(zip(study.ids, study.y, study.groups or [""] * len(study.ids)))]
+    return study.vec.sparkSession.createDataFrame(rows, "position int, sample_id string, y double, group_id string")
+
+
+def run_densities(study: Study, config: DensityConfig, outer: dict[str, int], inner: dict[int, dict[str, int]], only: Sequence[int] | None = None, stage: Stage | None = None) -> dict[str, DataFrame]:
+    """A: predictions, metrics, tuning, omitted, qc, panels.  Statistics come from each fit's training rows alone."""
+    spark = study.vec.sparkSession
+    stage = stage or Stage(spark)
     fits = _fits(study, fo.fit_table(outer, inner, only))
-    stats = qc.fit_eligible(study.vec, {f.fit_id: f.train for f in fits}, config.min_call_rate, config.min_maf, config.min_mac).cache()
+    stats = stage.put(qc.fit_eligible(study.vec, {f.fit_id: f.train for f in fits}, config.min_call_rate, config.min_maf, config.min_mac), "qc")
     order = ordering.hash_order(study.variants, config.hash_salt)
     numbered = sorted([d for d in config.densities if d != "all"]) + (["all"] if "all" in config.densities else [])
-    from pyspark.sql import Window
-
     ranked = stats.join(order, "marker_idx").withColumn("k", F.row_number().over(Window.partitionBy("fit_id").orderBy("rank")))
     tier = F.coalesce(*[F.lit(i) if d == "all" else F.when(F.col("k") <= int(d), F.lit(i)) for i, d in enumerate(numbered)], F.lit(len(numbered)))
-    marked = ranked.withColumn("tier", tier).filter(F.col("tier") < len(numbered)).withColumn("scale", F.lit(1.0)).cache()
+    marked = stage.put(ranked.withColumn("tier", tier).filter(F.col("tier") < len(numbered)).withColumn("scale", F.lit(1.0)), "marked")
     weights = marked.groupBy("fit_id", "tier").agg(F.count("*").alias("n"), F.sum(2 * F.col("p") * (1 - F.col("p"))).alias("c")).collect()
     eligible = {r.fit_id: r.n for r in stats.groupBy("fit_id").agg(F.count("*").alias("n")).collect()}
     for f in fits:
@@ -226,47 +230,50 @@ def run_densities(study: Study, config: DensityConfig, outer: dict[str, int], in
                 omitted.append((f.fit_id, str(d), eligible[f.fit_id]))
             else:
                 panels[f.fit_id][str(d)] = Panel(n, c, capped)
-    blocks = ke.kernel_blocks(study.vec, marked.select("fit_id", "marker_idx", "mean", "scale", "tier"), fits).cache()
-    spark = study.vec.sparkSession
+    load = load_strips(study, marked.select("fit_id", "marker_idx", "mean", "scale", "tier"), fits, sums, stage)
     if config.alpha_log10:
         first, last, step, cap = config.alpha_log10
         exponents = np.arange(round((last - first) / step) + 1) * step + first
         growth = [10 ** (step * i) for i in range(1, 5)]
-        solved, tuning, _ = _nested_search(study, fits, blocks, sums, panels, (10**exponents).tolist(), (10**-cap, 10**cap), None, growth)
+        solved, tuning, _ = _nested_search(study, load, panels, (10**exponents).tolist(), (10**-cap, 10**cap), None, stage, growth)
     else:
-        grid = {f"{f.fit_id}|{w}": list(config.alphas) for f in fits if f.fit_id.startswith("inner") for w in sums}
-        errors = solve(study, fits, blocks, sums, panels, grid, True).withColumn("fold", F.split("fit_id", "/")[1].cast("int"))
-        errors = spark.createDataFrame(errors.collect(), errors.schema)  # a row a fit, density and penalty
-        tuning = metrics.best_penalty(metrics.pooled_sse(errors, "fold", "workflow"), "fold", "workflow")
-        chosen = {f"outer/{r.fold}|{r.workflow}": [r.penalty] for r in tuning.collect()}
-        solved = solve(study, fits, blocks, sums, panels, chosen, False)
-    people = spark.createDataFrame([(i, s, float(v), g) for i, (s, v, g) in enumerate(zip(study.ids, study.y, study.groups or [""] * len(study.ids)))], "position int, sample_id string, y double, group_id string")
-    pred = solved.join(people, "position").select("sample_id", "group_id", F.split("fit_id", "/")[1].cast("int").alias("fold"), F.col("workflow").alias("density"), "markers", "y", "prediction", "train_mean", F.col("penalty").alias("alpha"))
+        solved, tuning, _ = _nested_search(study, load, panels, list(config.alphas), None, None, stage)
+    pred = solved.join(_people(study), "position").select("sample_id", "group_id", F.split("fit_id", "/")[1].cast("int").alias("fold"), F.col("workflow").alias("density"), "markers", "y", "prediction", "train_mean", F.col("penalty").alias("alpha"))
+    pred = stage.put(pred, "predictions")
+    va.finite_rows(pred, ["y", "prediction", "train_mean"])
     both = metrics.with_mean_model(pred)
     table_of = metrics.pooled_and_by_fold(both, ["density", "model"]).drop("mse", "r2").withColumn("complete_oof", F.when(F.col("fold").isNull(), F.col("n") == len(study.ids)))
-    return {"predictions": pred, "metrics": table_of, "tuning": tuning, "omitted": spark.createDataFrame(omitted, "fit_id string, density string, eligible int"), "qc": stats}
+    chosen_of = ranked.select("fit_id", "marker_idx", F.col("k").alias("place"), tier.alias("tier"))
+    own = F.explode(F.array(*[F.when(F.col("tier") <= i, F.lit(str(d))) for i, d in enumerate(numbered)])).alias("density")
+    panel = chosen_of.filter(F.col("fit_id").startswith("outer")).select("fit_id", "marker_idx", "place", own).filter("density is not null")
+    left_out = spark.createDataFrame(omitted, "fit_id string, density string, eligible int")
+    panel = panel.join(left_out.select("fit_id", "density"), ["fit_id", "density"], "left_anti")
+    return {"predictions": pred, "metrics": table_of, "tuning": tuning, "omitted": left_out, "qc": stats, "panels": panel}
 
 
-def _nested_search(study: Study, fits, blocks, sums, panels, rhos: Sequence[float], bounds: tuple[float, float], residual: float | None, growth: Sequence[float] = (10.0,)) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """M2-M4: (predictions, tuning, search).
+def _nested_search(study: Study, load: Loaded, panels, rhos: Sequence[float], bounds: tuple[float, float] | None, residual: float | None, stage: Stage, growth: Sequence[float] = (10.0,)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M1-M4: (predictions, tuning, search).
 
     Each outer fold has a grid of its own, which all its workflows share.  It grows by the
-    factors in ``growth``, and never beyond the bounds, while an optimum stands at an end that
+    factors in ``growth``, and never beyond the bounds (None: not at all), while an optimum stands at an end that
     isn't the bound; kernels don't depend on the penalty, so only new penalties are ever solved.
+    Outer fits are solved along with the inner ones, for the whole grid, as penalties cost no steps; what the search chooses is kept.
     """
-    flows, folds = list(sums), sorted({int(f.fit_id.split("/")[1]) for f in fits if f.fit_id.startswith("inner")})
-    grids = {f: sorted(float(r) for r in rhos) for f in folds}
-    fresh, errors = dict(grids), []
+    spark, fold_of = study.vec.sparkSession, {f.fit_id: int(f.fit_id.split("/")[1]) for f in load.fits}
+    folds = sorted(set(fold_of.values()))
+    grids = {f: sorted(float(r) for r in rhos) if bounds else [float(r) for r in rhos] for f in folds}
+    fresh, errors, outer = dict(grids), [], []
     while True:
-        want = {f.fit_id + "|" + w: fresh[g] for f in fits if f.fit_id.startswith("inner") and (g := int(f.fit_id.split("/")[1])) in fresh for w in flows}
-        new = solve(study, [f for f in fits if int(f.fit_id.split("/")[1]) in fresh], blocks, sums, panels, want, True, residual)
-        errors += new.collect()  # a row a fit, workflow and penalty
-        known = blocks.sparkSession.createDataFrame(errors, _ERRORS)
-        ordered = known.withColumn("fold", F.split("fit_id", "/")[1].cast("int")).withColumn("penalty_idx", F.lit(0))  # on ties the least penalty
-        sse = metrics.pooled_sse(ordered, "fold", "workflow")
-        tuning = metrics.best_penalty(sse, "fold", "workflow")
-        best, fresh = tuning.collect(), {}
-        for f in folds:
+        want = {f"{f.fit_id}|{w}": fresh[fold_of[f.fit_id]] for f in load.fits if fold_of[f.fit_id] in fresh for w in load.sums}
+        answers = solve(study, load, panels, want, residual)
+        outer += [a for a in answers if a.fit.fit_id.startswith("outer")]
+        errors += [r for a in answers if a.fit.fit_id.startswith("inner") for r in a.errors(study.y)]  # a row a fit, workflow and penalty
+        known = spark.createDataFrame(errors, _ERRORS).withColumn("fold", F.split("fit_id", "/")[1].cast("int"))
+        if bounds:
+            known = known.withColumn("penalty_idx", F.lit(0))  # on ties the least penalty; without growth the first of the grid
+        sse = metrics.pooled_sse(known, "fold", "workflow")
+        best, fresh = metrics.best_penalty(sse, "fold", "workflow").collect(), {}
+        for f in folds if bounds else ():
             grid, own = grids[f], {r.penalty for r in best if r.fold == f}
             grown = {max(bounds[0], grid[0] / g) for g in growth} if grid[0] in own and grid[0] > bounds[0] else set()
             grown |= {min(bounds[1], grid[-1] * g) for g in growth} if grid[-1] in own and grid[-1] < bounds[1] else set()
@@ -275,9 +282,10 @@ def _nested_search(study: Study, fits, blocks, sums, panels, rhos: Sequence[floa
                 fresh[f], grids[f] = grown, sorted([*grid, *grown])
         if not fresh:
             break
-    chosen = {f"outer/{r.fold}|{r.workflow}": [r.penalty] for r in best}
+    chosen = {(r.fold, r.workflow): r.penalty for r in best}
+    rows = [row for a in outer if (p := chosen.get((fold_of[a.fit.fit_id], a.workflow))) in a.grid for row in a.rows(p)]
     search = sse.select("fold", "workflow", "penalty", (F.col("sse") / F.col("n")).alias("inner_mse"))
-    return solve(study, fits, blocks, sums, panels, chosen, False, residual), tuning, search
+    return stage.put(spark.createDataFrame(rows, _ROWS), "solved"), stage.put(metrics.best_penalty(sse, "fold", "workflow"), "tuning"), stage.put(search, "search")
 
 
 def _fit_records(solved: DataFrame, tuning: DataFrame) -> DataFrame:
@@ -286,9 +294,22 @@ def _fit_records(solved: DataFrame, tuning: DataFrame) -> DataFrame:
     return tuning.join(own, ["fold", "workflow"])
 
 
-def run_ladder(study: Study, config: LadderConfig, outer: dict[str, int], only: Sequence[int] | None = None) -> dict[str, DataFrame]:
-    """B1: physical and LD-aware panels at rising budgets; the full panel is fitted once for both.  ``only``: outer folds to run."""
-    spark = study.vec.sparkSession
+@dataclass
+class LadderPlan:
+    """What a ladder knows before any system is solved."""
+
+    fits: list[ke.Fit]
+    kept: DataFrame
+    marked: DataFrame
+    sums: dict[str, list[int]]
+    panels: dict[str, dict[str, Panel]]
+    chosen: DataFrame
+    coverage: DataFrame | None
+    ld: DataFrame | None
+
+
+def plan_ladder(study: Study, config: LadderConfig, outer: dict[str, int], only: Sequence[int] | None, stage: Stage) -> LadderPlan:
+    """Markers kept by each fit, orders, nested panels and their coverage; every table is staged."""
     of = dict(zip(study.ids, study.groups))
     inner = {}
     for f in sorted(set(outer.values())) if only is None else only:
@@ -297,59 +318,74 @@ def run_ladder(study: Study, config: LadderConfig, outer: dict[str, int], only:
         va.disjoint_groups({of[s]: i for s, i in inner[f].items()}, [(of[s], i) for s, i in inner[f].items()])
     fits = _fits(study, fo.fit_table(outer, inner, only))
     trains = {f.fit_id: f.train for f in fits}
-    physical = ordering.physical_order(study.variants, config.seed, config.bin_bp).cache()
+    physical = stage.put(ordering.physical_order(study.variants, config.seed, config.bin_bp), "physical")
     budgets = sorted(config.budgets)
     full = budgets[-1]
     mean = F.coalesce("mean", F.lit(0.0))
     keep = (F.col("called") / F.col("rows") >= config.call_rate_min) & (F.least(mean / 2, 1 - mean / 2) >= config.maf_min) & (F.coalesce("variance", F.lit(0.0)) > 0)
-    kept = qc.fit_counts(study.vec, trains).filter(keep).select("fit_id", "marker_idx", mean.alias("mean")).cache()
+    kept = stage.put(qc.fit_counts(study.vec, trains).filter(keep).select("fit_id", "marker_idx", mean.alias("mean")), "kept")
     each = physical.withColumn("fit_id", F.explode(F.array(*map(F.lit, trains))))
-    orders, cover, summary, chosen = {"physical": each}, None, None, None
+    orders, cover, summary, r2 = {"physical": each}, None, None, None
+    outermost = F.col("fit_id").startswith("outer")
     if "ld" in config.strategies:
-        r2 = ld.window_r2(study.vec, study.variants, kept, trains, config.ld_window_bp).cache()
-        reps = ld.greedy_cover(study.variants, kept, physical, r2, config.ld_r2)
-        orders["ld"] = ordering.representatives_first(each, reps, kept).cache()
-        outermost = F.col("fit_id").startswith("outer")
+        r2 = stage.put(ld.window_r2(study.vec, study.variants, kept, trains, config.ld_window_bp), "r2")
+        reps = ld.greedy_cover(study.variants, kept, physical, r2, config.ld_r2, stage)
+        orders["ld"] = stage.put(ordering.representatives_first(each, reps, kept), "ld-order")
         good = study.variants.join(kept.filter(outermost).select("fit_id", "marker_idx"), "marker_idx")
-        summary = ld.summary(good, r2.filter(outermost), config.ld_r2)
-        ranked = None
-        for name in config.strategies:
-            own = orders[name].filter(outermost).select("fit_id", F.lit(name).alias("strategy"), "marker_idx", "rank", F.explode(F.array(*map(F.lit, budgets))).alias("budget"))
-            ranked = own if ranked is None else ranked.unionByName(own)
-        chosen = ranked.filter(F.col("rank") < F.col("budget")).join(kept.select("fit_id", "marker_idx"), ["fit_id", "marker_idx"], "left_semi")
-        panels = [(f.fit_id, name, b) for f in fits if f.fit_id.startswith("outer") for name in config.strategies for b in budgets]
-        cover = ld.coverage(study.variants, chosen, r2.filter(outermost & (F.col("r2") >= config.ld_r2)).select("fit_id", "a", "b", "chrom"), config.bin_bp, panels)
-    marked = None
+        summary = stage.put(ld.summary(good, r2.filter(outermost), config.ld_r2), "ld-summary")
+    ranked, marked = None, None
     for number, name in enumerate(config.strategies):
-        steps = budgets if name == config.strategies[0] else budgets[:-1]
+        own = orders[name].filter(outermost).select("fit_id", F.lit(name).alias("strategy"), "marker_idx", "rank", F.explode(F.array(*map(F.lit, budgets))).alias("budget"))
+        ranked = own if ranked is None else ranked.unionByName(own)
+        steps = budgets if not number else budgets[:-1]
         own = ordering.tiers(orders[name], steps).join(kept, ["fit_id", "marker_idx"])
         place = F.coalesce(*[F.when(F.col("tier") == b, F.lit(number * 100 + i)) for i, b in enumerate(steps)])
         own = own.select("fit_id", "marker_idx", "mean", F.lit(1.0).alias("scale"), place.alias("tier"))
         marked = own if marked is None else marked.unionByName(own)
-    marked = marked.cache()
+    chosen = stage.put(ranked.filter(F.col("rank") < F.col("budget")).join(kept.select("fit_id", "marker_idx"), ["fit_id", "marker_idx"], "left_semi"), "panels")
+    va.nested_panels(chosen)
+    marked = stage.put(marked, "marked")
+    if r2 is not None:
+        panels = [(f.fit_id, name, b) for f in fits if f.fit_id.startswith("outer") for name in config.strategies for b in budgets]
+        high = r2.filter(outermost & (F.col("r2") >= config.ld_r2)).select("fit_id", "a", "b", "chrom")
+        cover = stage.put(ld.coverage(study.variants, chosen, high, config.bin_bp, panels), "coverage")
     counts = {(r.fit_id, r.tier): r.n for r in marked.groupBy("fit_id", "tier").agg(F.count("*").alias("n")).collect()}
     sums = {f"{name}:{b}": [number * 100 + j for j in range(i + 1)] for number, name in enumerate(config.strategies) for i, b in enumerate(budgets) if not (number and b == full)}
-    panels = {f.fit_id: {w: Panel(sum(counts.get((f.fit_id, t), 0) for t in ts)) for w, ts in sums.items()} for f in fits}
-    va.no_empty_panels({(f, w): p.markers for f, own in panels.items() for w, p in own.items()})
-    blocks = ke.kernel_blocks(study.vec, marked, fits).cache()
-    solved, tuning, search = _nested_search(study, fits, blocks, sums, panels, config.rhos, config.rho_bounds, config.residual)
-    solved = solved.cache()
-    people = spark.createDataFrame([(i, s, float(v), g) for i, (s, v, g) in enumerate(zip(study.ids, study.y, study.groups))], "position int, sample_id string, y double, group_id string")
+    panels_of = {f.fit_id: {w: Panel(sum(counts.get((f.fit_id, t), 0) for t in ts)) for w, ts in sums.items()} for f in fits}
+    va.no_empty_panels({(f, w): p.markers for f, own in panels_of.items() for w, p in own.items()})
+    return LadderPlan(fits, kept, marked, sums, panels_of, chosen, cover, summary)
+
+
+def run_ladder(study: Study, config: LadderConfig, outer: dict[str, int], only: Sequence[int] | None = None, stage: Stage | None = None) -> dict[str, DataFrame]:
+    """B1: physical and LD-aware panels at rising budgets; the full panel is fitted once for both.  ``only``: outer folds to run."""
+    stage = stage or Stage(study.vec.sparkSession)
+    plan = plan_ladder(study, config, outer, only, stage)
+    first, full = config.strategies[0], max(config.budgets)
+    load = load_strips(study, plan.marked, plan.fits, plan.sums, stage)
+    solved, tuning, search = _nested_search(study, load, plan.panels, config.rhos, config.rho_bounds, config.residual, stage)
     flow = F.split("workflow", ":")
-    pred = solved.join(people, "position").select("sample_id", "group_id", F.split("fit_id", "/")[1].cast("int").alias("fold"), flow[0].alias("strategy"), flow[1].cast("int").alias("budget"), F.col("markers").alias("actual_markers"), "y", "prediction", "train_mean")
+    pred = solved.join(_people(study), "position").select("sample_id", "group_id", F.split("fit_id", "/")[1].cast("int").alias("fold"), flow[0].alias("strategy"), flow[1].cast("int").alias("budget"), F.col("markers").alias("actual_markers"), "y", "prediction", "train_mean")
     for name in config.strategies[1:]:  # the full panel is the same fit
-        pred = pred.unionByName(pred.filter((F.col("strategy") == config.strategies[0]) & (F.col("budget") == full)).withColumn("strategy", F.lit(name)))
-    outers = [f for f in fits if f.fit_id.startswith("outer")]
-    near = None
-    if ke.dense(outers, len({t for ts in sums.values() for t in ts})):
-        own = blocks.filter(F.col("fit_id").startswith("outer"))
-        near = diagnostics.against_full(own, {f.fit_id: len(f.train) for f in outers}, sums, f"{config.strategies[0]}:{full}")
-    return {"predictions": pred, "metrics": metrics.ladder_metrics(pred), "tuning": tuning, "search": search, "fits": _fit_records(solved, tuning), "coverage": cover, "ld": summary, "panels": chosen, "diagnostics": near}
+        pred = pred.unionByName(pred.filter((F.col("strategy") == first) & (F.col("budget") == full)).withColumn("strategy", F.lit(name)))
+    pred = stage.put(pred, "predictions")
+    outers = [(i, f) for i, f in enumerate(plan.fits) if f.fit_id.startswith("outer")]
+    near = stage.put(outer_diagnostics(study, plan, load.strips, outers, f"{first}:{full}", config.strategies[1:]), "diagnostics")
+    kept = plan.kept.filter(F.col("fit_id").startswith("outer"))
+    return {"predictions": pred, "metrics": metrics.ladder_metrics(pred), "tuning": tuning, "search": search, "fits": _fit_records(solved, tuning), "coverage": plan.coverage, "ld": plan.ld, "panels": plan.chosen, "qc": kept, "diagnostics": near}
+
+
+def outer_diagnostics(study: Study, plan: LadderPlan, strips: DataFrame, outers: list[tuple[int, ke.Fit]], full: str, aliases: Sequence[str]) -> DataFrame:
+    """A18, A19 of every strategy and budget of the outer fits; the full panel is one fit under several names."""
+    near = diagnostics.relationship(strips, len(study.ids), outers, plan.sums, full)
+    for name in aliases:
+        near = near.unionByName(near.filter(F.col("workflow") == full).withColumn("workflow", F.lit(f"{name}:{full.split(':')[1]}")))
+    flow = F.split("workflow", ":")
+    return near.select(F.split("fit_id", "/")[1].cast("int").alias("fold"), flow[0].alias("strategy"), flow[1].cast("int").alias("budget"), F.col("samples").alias("diagnostic_training_samples"), "trace_participation_ratio", "sampled_relative_frobenius", "sampled_offdiagonal_correlation")
 
 
-def run_encodings(study: Study, outer: dict[str, int], inner_folds: int = 4, seed: int = 101, rhos: Sequence[float] = (1e-4, 1e-2, 1.0), bounds: tuple[float, float] = (1e-6, 1e4), residual: float = 1e-8, only: Sequence[int] | None = None) -> dict[str, DataFrame]:
+def run_encodings(study: Study, outer: dict[str, int], inner_folds: int = 4, seed: int = 101, rhos: Sequence[float] = (1e-4, 1e-2, 1.0), bounds: tuple[float, float] = (1e-6, 1e4), residual: float = 1e-8, only: Sequence[int] | None = None, stage: Stage | None = None) -> dict[str, DataFrame]:
     """B2: centred and standardised encodings of all markers, each kernel divided by its mean diagonal."""
-    spark = study.vec.sparkSession
+    stage = stage or Stage(study.vec.sparkSession)
     inner = {}
     for f in sorted(set(outer.values())) if only is None else only:
         train = sorted(s for s in outer if outer[s] != f)
@@ -361,9 +397,8 @@ def run_encodings(study: Study, outer: dict[str, int], inner_folds: int = 4, see
     sums = {"GBLUP-centered": [0], "Ridge-standardized": [1]}
     n = study.variants.count()
     panels = {f.fit_id: dict.fromkeys(sums, Panel(n)) for f in fits}
-    blocks = ke.kernel_blocks(study.vec, parts, fits).cache()
-    solved, tuning, search = _nested_search(study, fits, blocks, sums, panels, rhos, bounds, residual)
-    solved = solved.cache()
-    people = spark.createDataFrame([(i, s, float(v)) for i, (s, v) in enumerate(zip(study.ids, study.y))], "position int, sample_id string, y double")
-    pred = solved.join(people, "position").select("sample_id", F.split("fit_id", "/")[1].cast("int").alias("fold"), F.col("workflow").alias("model"), "y", "prediction", "train_mean", F.col("penalty").alias("rho"))
+    load = load_strips(study, parts, fits, sums, stage)
+    solved, tuning, search = _nested_search(study, load, panels, rhos, bounds, residual, stage)
+    pred = solved.join(_people(study), "position").select("sample_id", F.split("fit_id", "/")[1].cast("int").alias("fold"), F.col("workflow").alias("model"), "y", "prediction", "train_mean", F.col("penalty").alias("rho"))
+    pred = stage.put(pred, "predictions")
     return {"predictions": pred, "metrics": metrics.pooled_and_by_fold(pred, ["model"]), "tuning": tuning, "search": search, "fits": _fit_records(solved, tuning)}

@@ -143,17 +143,18 @@ def config(path: str) -> dict:
 def published_folds(text: DataFrame, folds: int = 10) -> DataFrame:
     """fold, mse, rmse, pcc, mae from lines like ``PCC per fold: [0.7, np.float64(0.71), ...]``.
 
-    ``text`` has one column, value, a whole report a row.
+    ``text`` has a whole report a row in the column value; other columns go along.
     """
+    along = [c for c in text.columns if c != "value"]
 
     def values(name: str):
         inside = F.regexp_extract("value", rf"{name} per fold: \[([^\]]*)\]", 1)
         return F.from_json(F.concat(F.lit("["), F.regexp_replace(inside, r"np\.float64\(([^)]*)\)", "$1"), F.lit("]")), "array<double>")
 
-    rows = text.select(values("PCC").alias("pcc"), values("RMSE").alias("rmse"), values("MAE").alias("mae"))
-    checked = rows.select(*[F.when(F.size(c) == folds, F.col(c)).otherwise(F.raise_error(F.lit(f"{c}: not {folds} folds"))).alias(c) for c in rows.columns])
-    out = checked.select(F.posexplode(F.arrays_zip("pcc", "rmse", "mae")).alias("fold", "m"))
-    return out.select("fold", (F.col("m.rmse") * F.col("m.rmse")).alias("mse"), F.col("m.rmse").alias("rmse"), F.col("m.pcc").alias("pcc"), F.col("m.mae").alias("mae"))
+    rows = text.select(*along, values("PCC").alias("pcc"), values("RMSE").alias("rmse"), values("MAE").alias("mae"))
+    checked = rows.select(*along, *[F.when(F.size(c) == folds, F.col(c)).otherwise(F.raise_error(F.lit(f"{c}: not {folds} folds"))).alias(c) for c in ("pcc", "rmse", "mae")])
+    out = checked.select(*along, F.posexplode(F.arrays_zip("pcc", "rmse", "mae")).alias("fold", "m"))
+    return out.select(*along, "fold", (F.col("m.rmse") * F.col("m.rmse")).alias("mse"), F.col("m.rmse").alias("rmse"), F.col("m.pcc").alias("pcc"), F.col("m.mae").alias("mae"))
 
 
 def vcf(spark: SparkSession, path: str, contigs: Sequence[str] = ("1", "2", "3", "4", "5")) -> DataFrame:

@@ -10,7 +10,6 @@ from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 log = logging.getLogger("densitylab")
 
@@ -61,17 +60,71 @@ def digest(path: str, chunk: int = 1 << 20) -> str:
     return h.hexdigest()
 
 
-def cached_digest(path: str, known: dict | None) -> dict:
-    """Digest, size and time of change; known values are trusted while size and time are the same."""
-    s = os.stat(path)
-    if known and known.get("bytes") == s.st_size and known.get("mtime_ns") == s.st_mtime_ns:
-        return known
-    return {"sha256": digest(path, 8 << 20), "bytes": s.st_size, "mtime_ns": s.st_mtime_ns}
+BLOCK = 8 << 20
+
+
+def file_digests(spark: SparkSession, paths: Sequence[str], known: dict[str, dict] | None = None) -> dict[str, dict]:
+    """{path: sha256, tree, bytes, mtime_ns} of files on shared paths, read in tasks.
+
+    ``tree`` is the digest of the digests of blocks of BLOCK bytes, which tasks make side by side; ``sha256`` is
+    that of a file of one block, else null.  A file in ``known`` with the same size and time isn't read again.
+    """
+    known, out, ranges = known or {}, {}, []
+    for p in paths:
+        s = os.stat(p)
+        old = known.get(p)
+        if old and old.get("bytes") == s.st_size and old.get("mtime_ns") == s.st_mtime_ns:
+            out[p] = old
+            continue
+        out[p] = {"bytes": s.st_size, "mtime_ns": s.st_mtime_ns}
+        ranges += [(p, k, k * BLOCK) for k in range(max(1, -(-s.st_size // BLOCK)))]
+    if ranges:
+        size = BLOCK
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                found = []
+                for path, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                    with open(path, "rb") as f:
+                        f.seek(at)
+                        found.append(hashlib.sha256(f.read(size)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["path", "k", "digest"])
+
+        slices = min(len(ranges), 4 * spark.sparkContext.defaultParallelism)
+        work = spark.createDataFrame(ranges, "path string, k bigint, at bigint").repartition(slices)
+        blocks: dict[str, dict[int, str]] = {}
+        for r in work.mapInArrow(run, "path string, k bigint, digest string").toLocalIterator():
+            blocks.setdefault(r.path, {})[r.k] = r.digest
+        for p, own in blocks.items():
+            listed = [own[k] for k in sorted(own)]
+            out[p] |= {"tree": text_digest("".join(listed)), "sha256": listed[0] if len(listed) == 1 else None}
+    return out
+
+
+def input_digests(spark: SparkSession, paths: Sequence[str], cache: str) -> dict[str, str]:
+    """Name and tree digest of each input, for a run's identity; ``cache``: a JSON file of what was read before."""
+    known = json.loads(Path(cache).read_text(encoding="utf-8")) if Path(cache).exists() else {}
+    found = file_digests(spark, paths, known)
+    Path(cache).parent.mkdir(parents=True, exist_ok=True)
+    write_json(found, cache)
+    return {Path(p).name: d["tree"] for p, d in found.items()}
+
+
+def plain_digests(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """SHA-256 of whole files, a task a file, as manifests record them."""
+
+    def run(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(p, BLOCK) for p in batch.column(0).to_pylist()])], names=["path", "digest"])
 
-def folder_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, sha256 of the files of a folder (each under 2 GiB), in tasks."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    if not paths:
+        return {}
+    work = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
+    return {r.path: r.digest for r in work.mapInArrow(run, "path string, digest string").collect()}
 
 
 def markdown(df: DataFrame, title: str, notes: Sequence[str] = ()) -> str:

@@ -1,11 +1,15 @@
 """Statistics, orders, folds, kernels, solvers and metrics on hand-made inputs."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from densitylab.cli import executors
 from densitylab.functions import linear
-from densitylab.operators import compare, folds, kernel, ld, metrics, ordering, qc, validate
+from densitylab.operators import compare, diagnostics, folds, kernel, ld, metrics, ordering, qc, validate
+from densitylab.operators.stage import Stage
 
 
 def long(spark, x, rows):
@@ -49,7 +53,7 @@ def test_hash_order_is_stable_and_nested(spark):
     order = ordering.hash_order(spark.createDataFrame(rows, "marker_idx int, marker_id string"), "a")
     stats = spark.createDataFrame([(i, 0.5) for i in range(10) if i % 2], "marker_idx int, mean double")
     small, large = ordering.panel(order, stats, 2), ordering.panel(order, stats, 4)
-    assert validate.not_nested(small, large).isEmpty() and small.count() == 2
+    assert small.join(large, "marker_idx", "left_anti").isEmpty() and small.count() == 2
     with pytest.raises(validate.ContractError):
         ordering.panel(order, stats, 0)
 
@@ -60,26 +64,31 @@ def test_availability():
     assert ordering.availability(5, "all", True) == (5, False)
 
 
-def test_ld_edges_cross_bins(spark):
-    v = spark.createDataFrame([(0, "1", 990), (1, "1", 1010), (2, "1", 5000), (3, "1", 6000)], "marker_idx int, chrom string, pos bigint")
-    assert [(r.a, r.b) for r in ld.local_pairs(v, 100).collect()] == [(0, 1)]
-    assert sorted(ld.cover(np.array([0, 1, 2]), np.array([0, 1, 2]), np.array([0]), np.array([1]))) == [0, 2]
-    assert ld.cover(np.arange(5), np.arange(5), np.arange(4), np.arange(1, 5)).tolist() == [1, 3]
-
-
-def test_cover_equals_one_after_another():
+def test_cover_equals_one_after_another(spark):
     r = np.random.default_rng(1)
-    for n, m in ((1, 0), (12, 10), (40, 60), (40, 200), (60, 59)):
+    nodes, edges, want = [], [], set()
+    for fit, (n, m) in enumerate(((1, 0), (12, 10), (40, 60), (40, 200), (60, 59))):
         ids, rank = r.permutation(1000)[:n], r.permutation(n)
         pairs = sorted({tuple(sorted(p)) for p in r.integers(0, n, (m, 2)).tolist() if p[0] != p[1]})
-        left, want = set(range(n)), set()
+        if fit == 4:
+            pairs = [(i, i + 1) for i in range(n - 1)]  # a chain
+        left = set(range(n))
         while left:
             near = {i: {x + y - i for x, y in pairs if i in (x, y) and x + y - i in left} for i in left}
             i = min(left, key=lambda v: (-len(near[v]), rank[v]))
-            want.add(int(ids[i]))
+            want.add((f"f{fit}", int(ids[i])))
             left -= near[i] | {i}
-        a, b = (ids[[p[k] for p in pairs]] if pairs else np.zeros(0, np.int64) for k in (0, 1))
-        assert set(ld.cover(ids, rank, a, b).tolist()) == want
+        nodes += [(f"f{fit}", int(x), int(k)) for x, k in zip(ids, rank)]
+        edges += [(f"f{fit}", int(ids[x]), int(ids[y]), 0.9) for x, y in pairs] + [(f"f{fit}", int(ids[x]), int(ids[y]), 0.1) for x, y in zip(r.integers(0, n, 5), r.integers(0, n, 5))]
+    kept = spark.createDataFrame([(f, x) for f, x, _ in nodes], "fit_id string, marker_idx int")
+    variants = kept.select("marker_idx").distinct()
+    r2 = spark.createDataFrame(edges, "fit_id string, a int, b int, r2 double")
+    got = set()
+    for fit in range(5):
+        order = spark.createDataFrame([(x, k) for f, x, k in nodes if f == f"f{fit}"], "marker_idx int, rank int")
+        own = ld.greedy_cover(variants, kept.filter(F.col("fit_id") == f"f{fit}"), order, r2.filter(F.col("fit_id") == f"f{fit}"), 0.5, Stage(spark))
+        got |= {tuple(x) for x in own.select("fit_id", "marker_idx").collect()}
+    assert got == want
 
 
 def test_folds(spark):
@@ -96,28 +105,106 @@ def test_folds(spark):
         folds.group_out(spark.createDataFrame([("a", "x"), ("b", "x")], "sample_id string, group_id string"))
 
 
-@pytest.mark.parametrize(("rows", "strip"), [(512, 1 << 18), (5, 7)])
-def test_kernel_and_solvers_agree_with_dense(spark, monkeypatch, rows, strip):
-    monkeypatch.setattr(kernel, "ROWS", rows)
-    monkeypatch.setattr(kernel, "STRIP", strip)
+def ridge(spark, missing=True):
+    """Genotypes with missing calls, two fits of two tiers each, and dense kernels to compare with."""
     rng = np.random.default_rng(2)
     x = rng.integers(0, 3, (24, 31)).astype(float)
-    x[0, :3] = np.nan
-    train, test, y = tuple(range(17)), tuple(range(17, 24)), rng.normal(size=24) + 5
-    stats = qc.vec_eligible(vec(spark, x), train, 0.5, 0.0).withColumn("fit_id", F.lit("f")).withColumn("scale", F.lit(1.0)).withColumn("tier", F.col("marker_idx") % 2)
-    blocks = kernel.kernel_blocks(vec(spark, x).repartition(3), stats.select("fit_id", "marker_idx", "mean", "scale", "tier"), [kernel.Fit("f", train, test)]).toPandas()
-    assert max(len(r.rows) for r in blocks.itertuples()) <= 8 * rows * 17
-    k = sum(np.concatenate([np.frombuffer(r.rows).reshape(-1, r.cols) for r in own.sort_values("part").itertuples()]) for _, own in blocks.groupby("tier"))
-    kept = sorted(r.marker_idx for r in stats.collect())
-    z = np.nan_to_num(x[:, kept] - np.nanmean(x[list(train)][:, kept], axis=0))
-    assert np.allclose(k, z @ z[:17].T)
-    a = linear.dual_ridge(k[:17] / 3, k[17:] / 3, y[:17], 0.7)
-    assert np.allclose(a, linear.primal_ridge(z[:17], z[17:], y[:17], 0.7, 3.0))
-    level = np.trace(k[:17]) / 17
-    for rho, w in zip((1e-3, 0.1, 10.0), linear.conjugate_grid(k[:17] / level, y[:17], [1e-3, 0.1, 10.0])[0].T):
-        assert np.allclose(y[:17].mean() + k[17:] / level @ w, linear.dual_ridge(k[:17] / level, k[17:] / level, y[:17], 17 * rho), atol=1e-6)
+    if missing:
+        x[0, :3], x[20, 5] = np.nan, np.nan
+    fits = [kernel.Fit("outer/0", tuple(range(17)), tuple(range(17, 24))), kernel.Fit("outer/1", tuple(range(5, 24)), tuple(range(5)))]
+    stats = qc.fit_eligible(vec(spark, x), {f.fit_id: f.train for f in fits}, 0.5, 0.0)
+    stats = stats.select("fit_id", "marker_idx", "mean", F.when(F.col("marker_idx") % 5 == 0, 2.0).otherwise(1.0).alias("scale"), (F.col("marker_idx") % 2).alias("tier"))
+    rows, dense = stats.collect(), {}
+    for f in fits:
+        for name, tiers in (("half", [0]), ("all", [0, 1])):
+            own = sorted((r for r in rows if r.fit_id == f.fit_id and r.tier in tiers), key=lambda r: r.marker_idx)
+            z = np.nan_to_num((x[:, [r.marker_idx for r in own]] - [r.mean for r in own]) / [r.scale for r in own])
+            dense[f.fit_id, name] = z @ z.T
+    return x, fits, stats, dense
+
+
+SUMS = {"half": [0], "all": [0, 1]}
+
+
+@pytest.mark.parametrize(("strip", "slab"), [(4 << 20, 32 << 20), (24 * 7, 24 * 8 * 3)])
+def test_products_need_no_kernel(spark, monkeypatch, strip, slab):
+    monkeypatch.setattr(kernel, "STRIP_BYTES", strip)
+    monkeypatch.setattr(kernel, "SLAB_BYTES", slab)
+    x, fits, stats, dense = ridge(spark)
+    with Stage(spark) as stage:
+        strips = stage.put(kernel.loaded(vec(spark, x).repartition(3), stats, fits), "strips")
+        d = np.random.default_rng(1).normal(size=(24, 2))
+        for direct in (0, 8):
+            monkeypatch.setattr(kernel, "DIRECT", direct)
+            for (f, name), q in zip(dense, kernel.products(strips, [kernel.System(int(f[-1]), tuple(SUMS[n]), d) for f, n in dense])):
+                assert np.allclose(q, dense[f, name] @ d, atol=1e-9)
+        traces = kernel.traces(strips, fits, SUMS)
+        assert all(traces[f.fit_id, n] == pytest.approx(np.trace(dense[f.fit_id, n][np.ix_(f.train, f.train)])) for f in fits for n in SUMS)
+
+
+def test_diagnostics_from_tiles(spark, monkeypatch):
+    x, fits, stats, dense = ridge(spark)
+    with Stage(spark) as stage:
+        strips = stage.put(kernel.loaded(vec(spark, x), stats, fits), "strips")
+        for rows in (7, 24):
+            monkeypatch.setattr(kernel, "tile_rows", lambda *_: rows)  # noqa: B023
+            got = {(r.fit_id, r.workflow): r for r in diagnostics.relationship(strips, 24, list(enumerate(fits)), SUMS, "all", most=9).collect()}
+            for f in fits:
+                unit = {}
+                for n in SUMS:
+                    k = dense[f.fit_id, n][np.ix_(f.train, f.train)]
+                    unit[n] = k / (np.trace(k) / len(k))
+                pick = np.linspace(0, len(f.train) - 1, 9).astype(int)
+                cut = {n: k[np.ix_(pick, pick)] for n, k in unit.items()}
+                off = ~np.eye(9, dtype=bool)
+                for n in SUMS:
+                    r = got[f.fit_id, n]
+                    assert r.trace_participation_ratio == pytest.approx(len(f.train) ** 2 / (unit[n] ** 2).sum()) and r.samples == 9
+                    assert r.sampled_relative_frobenius == pytest.approx(np.linalg.norm(cut[n] - cut["all"]) / np.linalg.norm(cut["all"]), abs=1e-7)
+                    assert r.sampled_offdiagonal_correlation == pytest.approx(np.corrcoef(cut[n][off], cut["all"][off])[0, 1])
+
+
+def shuffled(spark, df):
+    """Bytes that a query's exchanges write."""
+    before = sum(e["shuffle_bytes"] for e in executors(spark))
+    df.write.format("noop").mode("overwrite").save()
+    return sum(e["shuffle_bytes"] for e in executors(spark)) - before
+
+
+def test_genotypes_are_shuffled_once_for_any_number_of_fits(spark):
+    rng = np.random.default_rng(3)
+    g = vec(spark, rng.integers(0, 3, (2000, 60))).repartition(4)
+    g.cache().count()
+    moved = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # statistics this small would be broadcast
+    for k in (1, 12):
+        fits = [kernel.Fit(f"outer/{i}", tuple(range(i, 1900)), (1999,)) for i in range(k)]
+        stats = spark.createDataFrame([(f.fit_id, m, 1.0, 1.0, 0) for f in fits for m in range(60)], "fit_id string, marker_idx int, mean double, scale double, tier int")
+        moved.append(shuffled(spark, kernel.loaded(g, stats, fits)))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moved[0] > 20_000 and moved[1] < 1.6 * moved[0]  # what grows are statistics, not 2000 dosages a marker
+    g.unpersist()
+
+
+def test_one_krylov_space_serves_all_penalties():
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=(40, 90))
+    k, y = z @ z.T / 90, rng.normal(size=40) + 5
+    counts = []
+    for grid in ([1e-3], [1e-3, 1e-2, 0.1, 1.0, 10.0]):
+        asked = []
+        a, true, steps = linear.driven(linear.shifted(y, 40 * np.array(grid), 1e-11), lambda d: asked.append(d.shape[1]) or k @ d)  # noqa: B023
+        counts.append(len(asked))
+        assert asked[:-1] == [1] * (len(asked) - 1) and asked[-1] == len(grid) and true.max() <= 1e-11 and steps[0] == len(asked) - 1
+        for rho, w in zip(grid, a.T):
+            assert np.allclose(y.mean() + k @ w, linear.dual_ridge(k, k, y, 40 * rho), atol=1e-9)
+    assert counts[0] == counts[1]
+    assert linear.driven(linear.shifted(np.ones(5), np.array([1.0])), lambda d: d)[2].tolist() == [0]
+    with pytest.raises(linear.SolverError):
+        linear.dual_ridge(k, k, y, 0.0)
     with pytest.raises(linear.SolverError):
-        linear.dual_ridge(k[:17], k[17:], y[:17], 0.0)
+        linear.driven(linear.shifted(y, np.array([1e-3]), most=2), lambda d: k @ d)
+    assert np.allclose(linear.dual_ridge(k / 3, k / 3, y, 0.7), linear.primal_ridge(z / np.sqrt(90), z / np.sqrt(90), y, 0.7, 3.0))
     assert linear.jittered_cholesky(np.ones((3, 3)))[1] > 0
 
 
@@ -140,7 +227,7 @@ def test_bootstrap_equals_numpy(spark):
     rng = np.random.default_rng(0)
     rows = [(0, f, f"g{f}{i}", float(d), float(b), int(n)) for f in range(2) for i, (d, b, n) in enumerate(zip(rng.normal(size=4), rng.uniform(1, 2, 4), rng.integers(1, 5, 4)))]
     sums = spark.createDataFrame(rows, "pair int, fold int, group_id string, d double, b double, n bigint")
-    got = compare.bootstrap(sums, compare.seeded_draws(sums, 1, 40, 3)).first()
+    got = compare.bootstrap(compare.seeded_replicates(sums, 1, 40, 3, batch=7)).first()
     names = sorted(r[2] for r in rows)
     by = {r[2]: r for r in rows}
     r2 = np.random.default_rng(3)
@@ -150,6 +237,17 @@ def test_bootstrap_equals_numpy(spark):
         own = [by[names[i]] for s in strata for i in r2.choice(np.sort(s), len(s), replace=True)]
         want.append(sum(x[3] for x in own) / sum(x[5] for x in own))
     assert np.allclose(got.delta_mse_ci95, np.quantile(want, [0.025, 0.975]))
+    hashed = compare.hashed_replicates(sums, 50, 3).collect()
+    for r in hashed:  # eight draws a digest
+        d = m = 0
+        for f in range(2):
+            own = sorted((x for x in rows if x[1] == f), key=lambda x: x[2])
+            h = hashlib.sha256(f"3\t0\t{f}\t{r.rep}\t0".encode()).hexdigest()
+            for k in range(len(own)):
+                x = own[int(h[8 * k : 8 * k + 8], 16) % len(own)]
+                d, m = d + x[3], m + x[5]
+        assert r.delta_mse == pytest.approx(d / m)
+    assert len(hashed) == 50
 
 
 def test_contracts(spark):
@@ -184,9 +282,27 @@ def test_window_r2_equals_the_join(spark):
     v = spark.createDataFrame([(i, "12"[i % 2], int(p)) for i, p in enumerate(rng.integers(1, 400, 30))], "marker_idx int, chrom string, pos bigint")
     train = [0, 3, 4, 8, 9, 12, 17, 19]
     kept = qc.vec_counts(vec(spark, x), train).filter("variance > 0 and marker_idx <> 7")
-    for window in (1, 60, 1000):
-        want = {(r.a, r.b): r.r2 for r in ld.pair_r2(ld.local_pairs(v.join(kept, "marker_idx", "left_semi"), window), ld.unit_vectors(vec(spark, x), kept, train)).collect()}
-        rows = ld.window_r2(vec(spark, x), v, kept.select(F.lit("f").alias("fit_id"), "marker_idx"), {"f": train, "none": [1, 2]}, window, rows=3).collect()
+    at, own = {r.marker_idx: (r.chrom, r.pos) for r in v.collect()}, x[train]
+    z = np.nan_to_num(own - np.nanmean(own, axis=0))
+    z = z / np.maximum(np.linalg.norm(z, axis=0), 1e-300)
+    held = sorted(r.marker_idx for r in kept.collect())
+    for window, depth in ((1, 3), (60, 3), (1000, 4), (1000, 256)):
+        want = {(a, b): (z[:, a] @ z[:, b]) ** 2 for a in held for b in held if at[a][0] == at[b][0] and 0 < at[b][1] - at[a][1] <= window}
+        rows = ld.window_r2(vec(spark, x), v, kept.select(F.lit("f").alias("fit_id"), "marker_idx"), {"f": train, "none": [1, 2]}, window, depth=depth).collect()
         got = {(r.a, r.b): r.r2 for r in rows}
         assert len(rows) == len(got) and got.keys() == want.keys()
-        assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_a_dense_bin_is_cut_into_tiles(spark):
+    rows = [(i, "1", 1000 * i) for i in range(20)] + [(100 + i, "1", 5000 + i) for i in range(1, 500)]
+    v = spark.createDataFrame(rows, "marker_idx int, chrom string, pos bigint")
+    placed, pairs = ld.tile_pairs(v, 1000, 50)
+    sizes = {r.tile: r["count"] for r in placed.groupBy("tile").count().collect()}
+    assert max(sizes.values()) <= 50 and sum(sizes.values()) == len(rows) and len(sizes) >= 29
+    tile, held = {r.marker_idx: r.tile for r in placed.collect()}, {(r.i, r.j) for r in pairs.collect()}
+    assert pairs.count() == len(held)
+    for a, _, p in rows:
+        for b, _, q in rows:
+            if 0 < q - p <= 1000:
+                assert (tile[a], tile[b]) in held

@@ -1,5 +1,6 @@
 """Whole studies: leakage, coverage, sources and sinks."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from densitylab import cli
 from densitylab.operators import validate
 from densitylab.plans import queries as q
-from densitylab.operators import folds, kernel
+from densitylab.operators import folds
+from densitylab.plans import study as plans
 from densitylab.plans.study import DensityConfig, LadderConfig, Study, run_densities, run_encodings, run_ladder
 from densitylab.sources import readers, sinks
 
@@ -116,20 +118,34 @@ def test_held_out_labels_change_no_search(spark, kind):
     assert own(a) == own(b) == own(alone)
 
 
-def test_kernels_in_blocks_give_the_same(spark, monkeypatch):
-    """Products with blocks of 7 rows against whole kernels in a task, for both ways to solve."""
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_plans_do_not_grow_with_folds(spark):
+    study, _ = small(spark)
+    found = []
+    for k in (2, 3):
+        outer = {s: int(g[1:]) % k for s, g in zip(study.ids, study.groups)}
+        r = run_ladder(study, LadderConfig(**{**LADDER, "rho_bounds": (0.1, 1.0)}), outer)
+        found.append({n: exchanges(df) for n, df in r.items()})
+        assert {(x.fold, x.strategy, x.budget) for x in r["diagnostics"].collect()} == {(f, s, b) for f in range(k) for s in ("physical", "ld") for b in (8, 20)}
+    assert found[0] == found[1] and max(found[0].values()) < 10
+
+
+def test_batches_of_systems_give_the_same(spark, monkeypatch):
     study, _ = small(spark)
     outer = {s: int(g[1:]) % 2 for s, g in zip(study.ids, study.groups)}
     inner = {f: {s: (i // 2) % 2 for i, s in enumerate(study.ids) if outer[s] != f} for f in (0, 1)}
-    density = lambda: run_densities(study, DensityConfig(densities=(6, "all"), alphas=(0.1, 1.0), min_call_rate=0.9), outer, inner, only=[0])
-    encode = lambda: run_encodings(study, outer, 2, rhos=(0.1, 1.0), bounds=(0.1, 1.0), only=[1])
-    value = lambda r, k: {(p.sample_id, p[k]): p.prediction for p in r["predictions"].collect()}
-    whole = value(density(), "density"), value(encode(), "model")
-    monkeypatch.setattr(kernel, "DENSE_BYTES", 0)
-    monkeypatch.setattr(kernel, "ROWS", 7)
-    apart = value(density(), "density"), value(encode(), "model")
-    for a, b in zip(whole, apart):
-        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
+    density = lambda: run_densities(study, DensityConfig(densities=(6, "all"), alphas=(0.1, 1.0), min_call_rate=0.9), outer, inner)
+    value = lambda r: {(p.sample_id, p.density): p.prediction for p in r["predictions"].collect()}
+    first = density()
+    panels = {(r.fit_id, r.density): r.n for r in first["panels"].groupBy("fit_id", "density").agg(F.count("*").alias("n")).collect()}
+    assert panels["outer/0", "6"] == 6 and panels["outer/0", "all"] >= 6
+    whole = value(first)
+    monkeypatch.setattr(plans, "TOGETHER_BYTES", 1)
+    apart = value(density())
+    assert whole.keys() == apart.keys() and all(whole[k] == pytest.approx(apart[k], abs=1e-8) for k in whole)
 
 
 def test_command_line(spark, tmp_path):
@@ -162,7 +178,7 @@ def cohort(tmp_path):
     (d / "variants.tsv").write_text("CHROM\tPOS\n" + "".join(f"{j // 10 + 1}\t{(j % 10 + 1) * 1000}\n" for j in range(20)))
     (d / "splits.tsv").write_text("accession_id\tgroup_id\tpartition\touter_fold\n" + "".join(f"s{i:02d}\tg{i % 7}\tdevelopment\t{i % 7 % 2}\n" for i in range(28)) + "".join(f"s{i:02d}\tz{i}\tsealed\t\n" for i in range(28, 34)))
     (d / "phenotypes.tsv").write_text("accession_id\ttrait_id\tvalue\n" + "".join(f"s{i:02d}\tprotein\t{v}\n" for i, v in enumerate(y)))
-    (d / "source_manifest.json").write_text(json.dumps({"artifacts": [{"path": f"a/{n}", "sha256": sinks.digest(str(d / n))} for n in ("splits.tsv", "variants.tsv")]}))
+    (d / "source_manifest.json").write_text(json.dumps({"artifacts": [{"path": f"a/{n}", "sha256": sinks.digest(str(d / n))} for n in cli.LISTED]}))
     (tmp_path / "l.json").write_text(json.dumps({**LADDER, "rho_bounds": [0.1, 1.0], "call_rate_min": 0.9}))
     return d, ["ladder", "--data", str(d), "--trait", "protein", "--config", str(tmp_path / "l.json"), "--out", str(tmp_path / "lo")]
 
@@ -171,10 +187,10 @@ def test_ladder_resumes_and_reports(spark, tmp_path, monkeypatch):
     d, args = cohort(tmp_path)
     out = tmp_path / "lo"
     assert cli.main([*args, "--profile"]) == 0 and not (out / "fold_1").exists() and not (out / "report.md").exists()
-    with pytest.raises(validate.ContractError, match="Incomplete outer fold 1"):
+    with pytest.raises(validate.ContractError, match="fold 1 has not been finished"):
         cli.report(spark, str(out))
     ran, run = [], cli.run_ladder
-    monkeypatch.setattr(cli, "run_ladder", lambda s, c, o, only: ran.append(only) or run(s, c, o, only))
+    monkeypatch.setattr(cli, "run_ladder", lambda s, c, o, only, stage: ran.append(only) or run(s, c, o, only, stage))
     monkeypatch.setattr(cli, "REPLICATES", 30)
     monkeypatch.setattr(cli, "report", lambda s, o, r=cli.report: r(s, o, None, 30))
     assert cli.main(args) == 0 and ran == [[1]]
@@ -191,12 +207,28 @@ def test_ladder_resumes_and_reports(spark, tmp_path, monkeypatch):
     (tmp_path / "l.json").write_text(json.dumps({**changed, "seed": 5}))
     with pytest.raises(ValueError, match="another run"):
         cli.main(args)
+    (tmp_path / "l.json").write_text(json.dumps(changed))
+    (d / "source_manifest.json").rename(d / "kept.json")
+    for name in cli.FILES[True]:  # one byte of any input
+        raw = (d / name).read_bytes()
+        at = len(raw) - 2 if name != "dosages.npy" else raw.rindex(np.float32(9).tobytes()) + 2
+        (d / name).write_bytes(raw[:at] + (b"0" if raw[at : at + 1] != b"0" else b"1") + raw[at + 1 :])
+        with pytest.raises(ValueError):
+            cli.main(args)
+        (d / name).write_bytes(raw)
+    assert cli.main(args) == 0 and ran == [[1]]
+    (d / "kept.json").rename(d / "source_manifest.json")
+    with pytest.raises(validate.ContractError, match="28 development samples, not 27"):
+        cli.load_cohort(spark, str(d), "protein", 2, {"development": 27, "sealed": 6})
     lines = (d / "splits.tsv").read_text()
     (d / "splits.tsv").write_text(lines.replace("\tz28\t", "\tg1\t"))
-    with pytest.raises(validate.ContractError, match="identity mismatch"):
+    with pytest.raises(validate.ContractError, match="recorded digests"):
         cli.load_cohort(spark, str(d), "protein")
     (d / "source_manifest.json").write_text('{"artifacts": []}')
-    with pytest.raises(validate.ContractError, match="Sealed group"):
+    with pytest.raises(validate.ContractError, match="doesn't list splits.tsv"):
+        cli.load_cohort(spark, str(d), "protein")
+    (d / "source_manifest.json").unlink()
+    with pytest.raises(validate.ContractError, match="Groups in both partitions"):
         cli.load_cohort(spark, str(d), "protein")
 
 
@@ -227,6 +259,10 @@ def test_encodings_from_wide_tables(spark, tmp_path):
         own = np.array([((p.y - p.prediction) ** 2, p.fold) for p in pred if p.model == m])
         by = [own[own[:, 1] == f, 0].mean() for f in range(10)]
         assert r.own_mse == pytest.approx(own[:, 0].mean()) and r.published_mse == pytest.approx(0.81) and r.improved_folds == sum(v < 0.81 for v in by)
+    gap = "sample_id,fold\n" + "".join(f"a{i},{1 + 2 * (i % 2)}\n" for i in range(30))
+    (tmp_path / "f.csv").write_text(gap)
+    with pytest.raises(validate.ContractError, match="fold labels"):
+        cli.load_wide(spark, *args[2:7:2], "protein")
     (tmp_path / "f.csv").write_text("sample_id,fold\na0,1\na1,2\n")
     with pytest.raises(validate.ContractError, match="cover"):
         cli.load_wide(spark, *args[2:7:2], "protein")
@@ -237,10 +273,10 @@ def test_predictions_must_be_whole_and_finite(spark):
     ids = spark.createDataFrame([("a",), ("b",)], "sample_id string")
     good = [("a", "m", 1.0, 1.0, 0.0), ("b", "m", 1.0, 1.0, 0.0)]
     validate.check_predictions(spark.createDataFrame(good, kinds), ids, ["model"])
-    for bad, said in ((good[:1], "coverage"), ([good[0], ("b", "m", 1.0, float("nan"), 0.0)], "finite"), ([], "no predictions"), ([*good, good[0]], "coverage")):
+    for bad, said in ((good[:1], "every id once"), ([good[0], ("b", "m", 1.0, float("nan"), 0.0)], "finite"), ([], "no predictions"), ([*good, good[0]], "every id once")):
         with pytest.raises(validate.ContractError, match=said):
             validate.check_predictions(spark.createDataFrame(bad, kinds), ids, ["model"])
-    with pytest.raises(validate.ContractError, match="Empty marker panel"):
+    with pytest.raises(validate.ContractError, match="No marker is left"):
         validate.no_empty_panels({("outer/0", "physical:8"): 0})
     with pytest.raises(validate.ContractError, match="training"):
         folds.fit_table({"a": 0, "b": 1}, {})
@@ -289,16 +325,22 @@ def test_arrays_fit_their_manifests():
             validate.array_contract(array, shape)
 
 
-def test_sinks(spark, tmp_path):
+def test_sinks(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         sinks.write_json({"a": float("nan")}, str(tmp_path / "a.json"))
     sinks.resume(str(tmp_path / "r"), {"seed": 1})
     sinks.resume(str(tmp_path / "r"), {"seed": 1})
     with pytest.raises(ValueError):
         sinks.resume(str(tmp_path / "r"), {"seed": 2})
-    d = sinks.cached_digest(str(tmp_path / "r/identity.json"), None)
-    assert sinks.cached_digest(str(tmp_path / "r/identity.json"), {**d, "sha256": "known"})["sha256"] == "known"
-    assert sinks.folder_digests(spark, str(tmp_path / "r")).first().sha256 == d["sha256"]
+    path = str(tmp_path / "big.bin")
+    (tmp_path / "big.bin").write_bytes(bytes(range(256)) * 5)
+    monkeypatch.setattr(sinks, "BLOCK", 1000)
+    d = sinks.file_digests(spark, [path, str(tmp_path / "r/identity.json")])
+    halves = [hashlib.sha256(p).hexdigest() for p in ((bytes(range(256)) * 5)[:1000], (bytes(range(256)) * 5)[1000:])]
+    assert d[path]["tree"] == sinks.text_digest("".join(halves)) and d[path]["sha256"] is None
+    assert d[str(tmp_path / "r/identity.json")]["sha256"] == sinks.digest(str(tmp_path / "r/identity.json"))
+    assert sinks.file_digests(spark, [path], {path: {**d[path], "tree": "known"}})[path]["tree"] == "known"
+    assert sinks.plain_digests(spark, [path]) == {path: sinks.digest(path)}
     assert "| n |" in sinks.markdown(spark.range(1).select(F.col("id").alias("n")), "t")
     table = spark.createDataFrame([(1, "a b", None)], "n int, s string, x double")
     sinks.write_tsv(table, str(tmp_path / "t"), ["s", "n", "x"])
@@ -314,9 +356,9 @@ def test_queries_have_matching_oracles(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     sf = "/root/testdata/sf0.001"
-    for t in ("embeddings", "lineitem", "orders", "customer", "events"):
+    for t in ("embeddings", "lineitem", "orders", "customer", "events", "part"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for name in ("qc_train_a", "ld_pairs_r2", "panel_coverage", "krr_density2", "bootstrap_hash", "validation_report"):
+    for name in ("qc_train_a", "ld_pairs_r2", "panel_coverage", "krr_density2", "kernel_diagnostics", "parse_fold_metrics", "marker_hash_order", "validation_report"):
         a, b = q.QUERIES[name](spark, sf), con.sql(q.ORACLE[name]).df()
         cols = sorted(a.columns)
         assert cols == sorted(b.columns)
@@ -335,5 +377,6 @@ def test_stream_equals_batch(spark, tmp_path):
     events.write.parquet(str(tmp_path / "in"))
     run = hourly_stream(spark, str(tmp_path / "in"), events.schema, str(tmp_path / "c"), "hours")
     run.awaitTermination(60)
-    closed = spark.table("hours").count()
-    assert 0 < closed <= hourly(events).count()
+    closed = {(r.event_type, r.hour): (r.n, round(r.total, 6)) for r in spark.table("hours").collect()}
+    batch = {(r.event_type, r.hour): (r.n, round(r.total, 6)) for r in hourly(events).collect()}
+    assert closed and all(batch[k] == v for k, v in closed.items())  # hours that the watermark has closed are whole
