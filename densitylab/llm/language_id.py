@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, in_slices
+from .common import documents, in_slices, staged
 
 BUCKETS = 1 << 15
 MAX_TRAIN = 20_000
@@ -116,8 +116,14 @@ class Model:
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     rows = documents(docs, "doc_id", "lang", "text").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = rows.select("lang").count()
-    if n > max_train:  # by hash, so the same rows whatever the partitions
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
+    if n > max_train:
+        share = lambda part, *by: F.pmod(F.xxhash64(*by, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * part)
+        own = staged(rows.filter(share(max_train / n, "doc_id", "text")).select("lang", "text"), "language-sample")  # the same rows whatever the partitions
+        found = own.count()
+        if not found or found > 2 * max_train:  # rows that equal one another go in or out together, so they are told apart by their places
+            place = rows.withColumn("place", F.monotonically_increasing_id())
+            own = staged(place.filter(share(max_train / n, "doc_id", "text", "place")).select("lang", "text"), "language-sample")
+        rows = own
     names = sorted(r.lang for r in rows.select("lang").distinct().collect())  # no more than the sample has rows
     buckets = BUCKETS
     while len(names) * buckets > CELLS:

@@ -160,6 +160,6 @@ def pack_documents(
     cut = texts.mapInArrow(_pieces(path or tk.vocabulary_path(), capacity, part, with_ids, cache), kinds)
     if partitions is None:
         partitions = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(texts.select("doc_id").count() / chunk)))
-    dealt = cut.repartition(partitions, F.xxhash64("doc_id", "start", "ids_crc32", F.pmod(F.col("doc_tokens"), F.lit(64))))
+    dealt = cut.repartition(partitions, F.xxhash64("doc_id", "start", "ids_crc32", F.pmod(F.monotonically_increasing_id(), F.lit(64))))  # rows that equal one another are dealt apart
     ordered = dealt.sortWithinPartitions("doc_id", "start", "length", "ids_crc32")
     return ordered.mapInArrow(_packed(capacity, chunk), f"{kinds}, sequence_id bigint, offset bigint")

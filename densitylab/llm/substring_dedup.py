@@ -166,7 +166,7 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     copies = staged(digests.join(groups, "key").filter("rank > owner").select("rank", "tk").distinct(), "copies")
     anchors = texts.mapInArrow(_anchor_batches(window, seed), "h bigint, rank bigint, tk bigint, at int")
     shared = staged(anchors.groupBy("h").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi")).filter("lo < hi").select("h"), "shared")
-    seeds = staged(anchors.join(shared, "h").groupBy("rank", "tk").agg(F.collect_list("at").alias("seeds")), "seeds")
+    seeds = staged(anchors.join(shared, "h").groupBy("rank", "tk").agg(F.collect_set("at").alias("seeds")), "seeds")  # a set, as equal rows have equal seeds
     # a copy's windows all start in its least document too, so it is no source and needs no windows
     held = texts.join(seeds, ["rank", "tk"]).join(copies, ["rank", "tk"], "left_anti").select("rank", "tk", "text", "seeds")
     windows = staged(held.mapInArrow(_window_batches(window, seed), "w bigint, w2 bigint, rank bigint, tk bigint, at int"), "windows")

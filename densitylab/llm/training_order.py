@@ -17,6 +17,7 @@ writing task holds one record at a time.
 
 Defined results: a null or empty text is the end id alone; repeated rows and
 null ids are kept; an empty table gives no shards.  Extra columns are ignored.
+Records have 16 bits an id: a vocabulary of more than 65,536 ids is a ValueError.
 """
 
 from __future__ import annotations

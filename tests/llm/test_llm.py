@@ -1,5 +1,6 @@
 """The ten operators and the pipeline against brute force, round trips and held-out labels."""
 
+import math
 import hashlib
 import random
 import re
@@ -207,6 +208,61 @@ def test_packing_keeps_every_id(spark, docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def brute_labels(words, counts):
+    """Labels of blocks round prefix tokens, less those that a rival beats."""
+    found = []
+    for i, (label, x) in enumerate(license_scan.TEMPLATES):
+        own, n = set(x.split()), len(x.split())
+        need = len(own) if len(own) < 12 else math.ceil(0.8 * len(own) - 1e-9)
+        prefix = set(sorted(own, key=lambda w: (counts.get(w, 0), w))[: len(own) - need + 1])
+        for p, w in enumerate(words):
+            shared = len(own & set(words[max(0, p - n + 1) : p + n])) if w in prefix else 0
+            if shared >= need:
+                found.append((p, i, label, n, shared / len(own), own))
+    def beaten(m):
+        return any(
+            o[1] != m[1] and len(m[5] & o[5]) >= 0.8 * min(len(m[5]), len(o[5])) - 1e-9 and abs(m[0] - o[0]) < max(m[3], o[3]) and (o[4] > m[4] or (m[5] < o[5] and o[4] == m[4]))
+            for o in found
+        )
+    return {m[2] for m in found if not beaten(m)}
+
+
+def test_notices_get_their_own_label(spark):
+    family = {"agpl-3": "GNU Affero General Public License, version 3", "lgpl-3": "GNU Lesser General Public License version 3", "gpl-2": "GNU General Public License version 2", "gpl-3": "GNU General Public License, Version 3"}
+    header = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    rows = [(k, f"words before. Licensed under the {v}. words after") for k, v in family.items()]
+    rows += [(k, header.format(family[k].split(",")[0].split(" version")[0].split(" Version")[0], k[-1])) for k in family]
+    rows += [("cc-by-sa", "Licensed under CC BY SA 4.0"), ("", "This file is released under the GPL license."), ("", "The album was released under a new label; the driving license of the mit singer was found."), ("cc-by-sa", "licensed under the Creative Commons Attribution-ShareAlike license")]
+    rows += [(label, text) for label, text in license_scan.TEMPLATES] + [("apache-2,gpl-2", f"{rows[2][1]} or licensed under the Apache License, Version 2.0")]
+    rows += [("", "license the software under terms public general of " * 400), ("mit", "\n".join(["pad " * 200, license_scan.TEMPLATES[0][1].replace("sublicense", "x"), "pad " * 200]))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [label for label, _ in rows]
+
+
+def test_equal_rows_have_one_list_of_seeds(spark, monkeypatch):
+    found = {}
+    real = substring_dedup.staged
+    monkeypatch.setattr(substring_dedup, "staged", lambda df, label, **o: found.setdefault(label, []).append(out := real(df, label, **o)) or out)
+    monkeypatch.setattr(substring_dedup, "release", lambda *_: None)
+    text = " ".join(f"w{i}" for i in range(120))
+    for n in (20, 200):
+        docs = spark.createDataFrame([(2, text)] * n + [(1, text + " end")], "doc_id bigint, text string")
+        got = substring_dedup.remove_repeats(docs).collect()
+        assert [r.n_removed for r in got if r.doc_id == 2] == [120] * n and [r.n_removed for r in got if r.doc_id == 1] == [0]
+    sizes = [df.selectExpr("max(size(seeds))").first()[0] for df in found["seeds"]]
+    assert sizes[0] == sizes[1] <= 120 and found["windows"][1].count() <= 10 * found["windows"][0].count()
+
+
+def test_languages_of_repeated_and_null_ids(spark):
+    text = {"en": "the cat sat on the mat and the dog ", "de": "der hund und die katze sind im haus "}
+    for ids in (lambda i: 1, lambda i: None):
+        rows = [(ids(i), text[lang] * 3 + (str(i) if distinct else ""), lang) for distinct in (False, True) for lang in text for i in range(40)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+        got = language_id.predict(docs, language_id.train(docs, max_train=40), ("lang",)).collect()
+        assert len(got) == 160 and sum(r.lang == r.lang_pred for r in got) >= 150
+
+
 def test_licenses(spark, empty):
     texts = [None, "", "Released under the MIT License.\nunder the mit license", "x Apache License, Version 2.0 y", "CC-BY-NC cc by nc", "work is licensed under the GNU general PUBLIC license version 3", "mit apache nc", "admit license", "this wor\u212A is dedicated to the public", "THIS WORK IS DEDICATED\nto the public domain\n" * 3, "x " * 20000]
     d = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(2, texts[2], "clash")], "doc_id bigint, text string, TEXT string")
@@ -214,13 +270,13 @@ def test_licenses(spark, empty):
     assert [(rows[i].n_base, rows[i].first_word, rows[i].last_word, rows[i].base_labels) for i in range(8)] == [
         (0, None, None, ""), (0, None, None, ""), (2, 1, 5, "mit"), (1, 1, 1, "apache-2"), (2, 0, 3, "cc-by-nc"), (0, None, None, ""), (0, None, None, ""), (0, None, None, "")
     ]
+    counts = {}
+    for t in [*texts, texts[2]]:
+        for token in set(ALNUM.findall((t or "").translate(LOW))):
+            counts[token] = counts.get(token, 0) + 1
     for i, t in enumerate(texts):
         want = set(filter(None, rows[i].base_labels.split(",")))
-        lines = [ALNUM.findall(x) for x in (t or "").translate(LOW).split("\n")]
-        for at, line in enumerate(lines):
-            rest = sum(lines[at:], [])
-            want |= {k for k, x in license_scan.TEMPLATES.items() if line and len(set(rest[: len(line) + len(x.split()) - 1]) & set(x.split())) >= 0.8 * len(set(x.split())) - 1e-9}
-        assert rows[i].labels == ",".join(sorted(want))
+        assert rows[i].labels == ",".join(sorted(want | brute_labels(ALNUM.findall((t or "").translate(LOW)), counts)))
     assert license_scan.scan(empty).count() == 0
 
 
