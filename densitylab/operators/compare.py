@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .validate import none_of
@@ -98,20 +98,36 @@ def bootstrap(replicates: DataFrame) -> DataFrame:
     return _intervals(replicates)
 
 
+#: Fixed value: the multiplier of a well-known hash of 32 bits.
+MIX = 0x45D9F3B
+_BITS = 0xFFFFFFFF
+
+
+def mixed(x: Column) -> Column:
+    """A hash of 32 bits of a bigint below 2^32, in plain arithmetic."""
+    for _ in range(2):
+        x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX).cast("bigint")).bitwiseAND(F.lit(_BITS))
+    return F.shiftright(x, 16).bitwiseXOR(x)
+
+
+def mixed_number(x: int) -> int:
+    for _ in range(2):
+        x = ((x >> 16 ^ x) * MIX) & _BITS
+    return x >> 16 ^ x
+
+
 def hashed_replicates(sums: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """I3 without a driver: in each fold, draw k of a replicate takes the group whose number is a part of a digest mod the fold's groups.
+    """I3 without a driver: in each fold, draw k of a replicate takes the group numbered by a hash of the counter mod the fold's groups.
 
-    The counter k // 8 goes into the digest, and its eight words are eight draws.
+    The counter is seed, pair, fold (a number), replicate and k, mixed in one after another; draws and their sums are built-in expressions.
     """
-    number = sums.withColumn("i", F.row_number().over(Window.partitionBy("pair", "fold").orderBy("group_id")) - 1)
-    sizes = sums.groupBy("pair", "fold").agg(F.count("*").alias("m"))
-    draws = sizes.select("pair", "fold", "m", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    draws = draws.select("pair", "fold", "m", "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / 8))).alias("k"))
-    digest = draws.withColumn("h", F.sha2(F.concat_ws("\t", F.lit(str(seed)), "pair", "fold", "rep", "k"), 256))
-    words = F.transform(F.sequence(F.lit(0), F.least(F.lit(7), F.col("m") - 1 - 8 * F.col("k")).cast("int")), lambda j: F.conv(F.substring("h", 8 * j + 1, F.lit(8)), 16, 10).cast("bigint") % F.col("m"))
-    drawn = digest.select("pair", "fold", "rep", F.explode(words).alias("i")).groupBy("pair", "fold", "rep", "i").agg(F.count("*").alias("times"))
-    j = drawn.join(number.withColumn("i", F.col("i").cast("bigint")), ["pair", "fold", "i"])
-    d, b, n = (F.sum(F.col("times") * F.col(c)) for c in ("d", "b", "n"))
+    number = sums.withColumn("i", F.row_number().over(Window.partitionBy("pair", "fold").orderBy("group_id")).cast("bigint") - 1)
+    with_key = lambda df, name: df.withColumn("h", mixed((F.col("h") + F.col(name)).bitwiseAND(F.lit(_BITS))))
+    sizes = with_key(with_key(sums.groupBy("pair", "fold").agg(F.count("*").alias("m")).withColumn("h", F.lit(mixed_number(seed)).cast("bigint")), "pair"), "fold")
+    draws = with_key(sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")), "rep").repartition("pair", "fold", "rep")
+    drawn = with_key(draws.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("k")), "k").select("pair", "fold", "rep", (F.col("h") % F.col("m")).alias("i"))
+    j = drawn.join(number, ["pair", "fold", "i"])
+    d, b, n = (F.sum(c) for c in ("d", "b", "n"))
     return j.groupBy("pair", "rep").agg((d / n).alias("delta_mse"), F.try_divide(-d, F.nullif(b, F.lit(0.0))).alias("gain"))
 
 

@@ -281,6 +281,13 @@ def _pair_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("sample_id", "group_id", "fold", "y", rows)
 
 
+def _mix(x: str) -> str:
+    """``compare.mixed`` in SQL."""
+    for _ in range(2):
+        x = f"(xor({x}, ({x}) >> 16) * {compare.MIX} & 4294967295)"
+    return f"xor({x}, {x} >> 16)"
+
+
 _PAIR = "e AS (SELECT o_orderkey, o_custkey, (o_custkey % 5)::INTEGER AS fold, power(o_totalprice / 1000 - (o_totalprice / 1000 * 0.9 + o_orderkey % 11), 2) AS base, power(o_totalprice / 1000 - (o_totalprice / 1000 * 0.95 + o_orderkey % 7), 2) AS other FROM orders)"
 
 
@@ -304,9 +311,9 @@ def paired_delta(spark, sf_dir):
         "g AS (SELECT fold, o_custkey::VARCHAR AS group_id, sum(other - base) AS d, sum(base) AS b, count(*) AS n FROM e GROUP BY ALL)",
         "num AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY group_id) - 1 AS i FROM g)",
         "sizes AS (SELECT fold, count(*) AS m FROM g GROUP BY fold)",
-        "dd AS (SELECT fold, m, rep, unnest(range(0, (m - 1) // 8 + 1)) AS k FROM sizes, (SELECT unnest(range(0, 2000)) AS rep))",
-        "hh AS (SELECT fold, rep, m, k, sha256(concat_ws(chr(9), '7', '0', fold::VARCHAR, rep::VARCHAR, k::VARCHAR)) AS h FROM dd)",
-        "drawn AS (SELECT fold, rep::INTEGER AS rep, ('0x' || substr(h, 8 * j + 1, 8))::BIGINT % m AS i FROM (SELECT *, unnest(range(0, least(8, m - 8 * k))) AS j FROM hh))",
+        f"hf AS (SELECT fold, m, {_mix(f'({compare.mixed_number(compare.mixed_number(7))} + fold) & 4294967295')} AS h FROM sizes)",
+        f"hr AS (SELECT fold, m, rep, {_mix('x')} AS h FROM (SELECT fold, m, rep, (h + rep) & 4294967295 AS x FROM hf, (SELECT unnest(range(0, 2000)) AS rep)))",
+        f"drawn AS (SELECT fold, rep::INTEGER AS rep, {_mix('x')} % m AS i FROM (SELECT fold, rep, m, (h + unnest(range(0, m))) & 4294967295 AS x FROM hr))",
     ),
 )
 def bootstrap_hash(spark, sf_dir):

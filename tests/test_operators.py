@@ -1,7 +1,5 @@
 """Statistics, orders, folds, kernels, solvers and metrics on hand-made inputs."""
 
-import hashlib
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -238,13 +236,13 @@ def test_bootstrap_equals_numpy(spark):
         want.append(sum(x[3] for x in own) / sum(x[5] for x in own))
     assert np.allclose(got.delta_mse_ci95, np.quantile(want, [0.025, 0.975]))
     hashed = compare.hashed_replicates(sums, 50, 3).collect()
-    for r in hashed:  # eight draws a digest
+    for r in hashed:
         d = m = 0
         for f in range(2):
             own = sorted((x for x in rows if x[1] == f), key=lambda x: x[2])
-            h = hashlib.sha256(f"3\t0\t{f}\t{r.rep}\t0".encode()).hexdigest()
+            h = compare.mixed_number(compare.mixed_number(compare.mixed_number(3)) + f)
             for k in range(len(own)):
-                x = own[int(h[8 * k : 8 * k + 8], 16) % len(own)]
+                x = own[compare.mixed_number(((compare.mixed_number((h + r.rep) & 0xFFFFFFFF)) + k) & 0xFFFFFFFF) % len(own)]
                 d, m = d + x[3], m + x[5]
         assert r.delta_mse == pytest.approx(d / m)
     assert len(hashed) == 50
