@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalars import number_or_null, variant_id, zero_based
-from .operators import compare, metrics
+from .operators import clones, compare, metrics
 from .operators import folds as fo
 from .operators import validate as va
 from .operators.stage import Stage
 from .plans.study import DensityConfig, LadderConfig, Study, align, run_densities, run_encodings, run_ladder
 from .sources import readers, sinks
 
-REPLICATES = 2000
+#: Replicates of the group bootstrap, and of the bootstrap of near-clone blocks.
+REPLICATES, BLOCK_REPLICATES = 2000, 10_000
 
 
 def _phenotypes(spark: SparkSession, path: str, trait: str) -> DataFrame:
@@ -111,22 +112,33 @@ def load_wide(spark: SparkSession, genotypes: str, phenotypes: str, folds: str,
     return Study([r.sample_id for r in rows], np.array([r.value for r in rows]), vec.cache(), variants), {r.sample_id: r.outer_fold for r in rows}
 
 
+def _dealt(samples: DataFrame, k: int, seed: int, protocol: str, context: str) -> DataFrame:
+    """Folds by protocol: at random, one a group, or whole near-clone blocks to k folds of balanced size."""
+    if protocol == "group":
+        return fo.group_out(samples)
+    return fo.balanced_groups(samples, k, seed, context) if protocol == "clone" else fo.random_folds(samples, k, seed)
+
+
 def outer_and_inner(spark: SparkSession, study: Study, config: DensityConfig, protocol: str, splits: str | None) -> tuple[dict, dict]:
     frame = lambda ids, groups: spark.createDataFrame(list(zip(ids, groups)), "sample_id string, group_id string")
     as_dict = lambda df: {r.sample_id: r.fold for r in df.select("sample_id", "fold").collect()}
+    if protocol == "clone":
+        with Stage(spark) as stage:
+            of_place = {r.node: r.block for r in clones.blocks(study.vec, len(study.ids), stage, config.clone_limit).collect()}  # a number a sample
+        study.groups = [f"b{of_place[i]:08d}" for i in range(len(study.ids))]
     everyone = frame(study.ids, study.groups)
     if splits:
         given = readers.tsv(spark, splits, ["accession_id", "fold"]).select(F.col("accession_id").alias("sample_id"), F.col("fold").cast("int").alias("outer_fold"))
-        given = given.join(everyone, "sample_id", "left") if protocol == "group" else given
+        given = given.join(everyone, "sample_id", "left") if protocol != "iid" else given
         va.check_splits(everyone, given)
         outer = as_dict(given.withColumnRenamed("outer_fold", "fold"))
     else:
-        outer = as_dict(fo.group_out(everyone) if protocol == "group" else fo.random_folds(everyone, config.outer_folds, config.seed))
+        outer = as_dict(_dealt(everyone, config.outer_folds, config.seed, protocol, "outer"))
     of, inner = dict(zip(study.ids, study.groups)), {}
     for f in sorted(set(outer.values())):
         train = [s for s in study.ids if outer[s] != f]
         own = frame(train, [of[s] for s in train])
-        inner[f] = as_dict(fo.group_out(own) if protocol == "group" else fo.random_folds(own, config.inner_folds, config.seed + f + 1))
+        inner[f] = as_dict(_dealt(own, config.inner_folds, config.seed + f + 1, protocol, f"inner:{f}"))
     return outer, inner
 
 
@@ -178,11 +190,12 @@ def _gathered(spark: SparkSession, out: Path, name: str, folds: list[int]) -> Da
     return spark.read.parquet(*[str(out / f"fold_{f}" / name) for f in folds])
 
 
-def report(spark: SparkSession, out: str, published: dict[str, str] | None = None, replicates: int = REPLICATES) -> None:
+def report(spark: SparkSession, out: str, published: dict[str, str] | None = None, replicates: int | None = None) -> None:
     """Pooled metrics, comparisons, costs and a page of text from the folds of ``ladder`` or ``encodings``."""
     folder = Path(out)
     identity = json.loads((folder / "identity.json").read_text())
     outer = json.loads((folder / "splits.json").read_text())["outer"]
+    replicates = replicates or identity.get("replicates", REPLICATES)
     folds, ids = sorted(set(outer.values())), spark.createDataFrame([(s,) for s in outer], "sample_id string")
     pred = _gathered(spark, folder, "predictions", folds).cache()
     ladder = identity["command"] == "ladder"
@@ -245,7 +258,7 @@ def main(args: list[str] | None = None) -> int:
         p.add_argument("--profile", action="store_true", help="the first fold alone")
         p.add_argument("--data", required=name != "encodings", help="folder of the study; a partitioned cohort if it has dosages.npy")
         if name != "encodings":
-            p.add_argument("--protocol", choices=["iid", "group"], default="iid")
+            p.add_argument("--protocol", choices=["iid", "group", "clone"], default="iid")
             p.add_argument("--splits")
         else:
             p.add_argument("--genotypes", help="wide Parquet file")
@@ -286,7 +299,7 @@ def main(args: list[str] | None = None) -> int:
         settings = {k: given[k] for k in ("inner_folds", "seed", "rhos", "bounds", "residual") if k in given}
         run = lambda only, stage: run_encodings(study, outer, **settings, only=only, stage=stage)
     inputs = sinks.input_digests(spark, files, f"{a.out}/inputs.json")
-    out = sinks.resume(a.out, {"command": a.command, "trait": a.trait, "config": settings, "outer": sinks.text_digest(json.dumps(outer, sort_keys=True)), "inputs": inputs})
+    out = sinks.resume(a.out, {"command": a.command, "trait": a.trait, "config": settings, "outer": sinks.text_digest(json.dumps(outer, sort_keys=True)), "inputs": inputs, "replicates": BLOCK_REPLICATES if getattr(a, "protocol", "") == "clone" else REPLICATES})
     if not (out / "splits.json").exists():
         sinks.write_json({"python": sys.version, "numpy": np.__version__, "spark": spark.version, "machine": platform.machine()}, str(out / "environment.json"))
         sinks.write_tsv(study.variants.orderBy("marker_idx"), str(out / "marker_catalog.tsv"), mode="overwrite")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..operators import compare, diagnostics, folds, kernel, ld, metrics, ordering, qc, validate
+from ..operators import clones, compare, diagnostics, folds, kernel, ld, metrics, ordering, qc, validate
 from ..sources import readers
 from . import fixtures as fx
 from . import study
@@ -203,6 +203,24 @@ def lpt_group_folds(spark, sf_dir):
     return folds.balanced_groups(e, 4, 101, "full")
 
 
+@query(
+    """SELECT sample_idx, min(o)::BIGINT AS block FROM (SELECT sample_idx, sample_idx AS o FROM who UNION ALL SELECT a, b FROM reach) GROUP BY sample_idx""",
+    (
+        "RECURSIVE " + _D,
+        "who AS (SELECT vec_id AS sample_idx FROM embeddings)",
+        "link AS (SELECT x.sample_idx AS a, y.sample_idx AS b FROM dosage x JOIN dosage y ON x.marker_idx = y.marker_idx AND x.sample_idx <> y.sample_idx WHERE x.g IS NOT NULL AND y.g IS NOT NULL GROUP BY ALL HAVING sum(abs(x.g - y.g)) <= 2 * 0.17 * count(*) + 1e-9)",
+        "reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)",
+    ),
+)
+def near_clone_blocks(spark, sf_dir):
+    """Blocks of samples whose dosages differ little; links in all chromosomes and over all samples."""
+    s, _ = fx.study(spark, sf_dir)
+    names = spark.createDataFrame([(i, int(x)) for i, x in enumerate(s.ids)], "node bigint, sample_idx bigint")
+    b = clones.blocks(s.vec, len(s.ids), Stage(spark), 0.17).join(names, "node")
+    least = b.groupBy("block").agg(F.min("sample_idx").alias("least"))
+    return b.join(least, "block").select("sample_idx", F.col("least").alias("block"))
+
+
 @query(
     """SELECT i, j, round(sum(x.z * y.z), 6) AS k FROM (SELECT sample_idx AS i, marker_idx, z FROM small) x JOIN (SELECT sample_idx AS j, marker_idx, z FROM small) y USING (marker_idx) WHERE i <= j GROUP BY i, j""",
     (*_BASE, _QC, "small AS (SELECT sample_idx, marker_idx, coalesce(g - mean, 0) AS z FROM train JOIN qc USING (marker_idx))"),

@@ -42,6 +42,8 @@ class DensityConfig:
     hash_salt: str = "canonical-v1"
     #: M5: first and last exponent, step and hard cap of a grid that grows instead of ``alphas``.
     alpha_log10: Sequence[float] | None = None
+    #: Samples at this distance or less are near clones, in the protocol that keeps their blocks together.
+    clone_limit: float = 0.001
 
     def __post_init__(self):
         va.positive(list(self.alphas), "alphas")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from densitylab.cli import executors
 from densitylab.functions import linear
-from densitylab.operators import compare, diagnostics, folds, kernel, ld, metrics, ordering, qc, validate
+from densitylab.operators import clones, compare, diagnostics, folds, kernel, ld, metrics, ordering, qc, validate
 from densitylab.operators.stage import Stage
 
 
@@ -304,3 +304,33 @@ def test_a_dense_bin_is_cut_into_tiles(spark):
         for b, _, q in rows:
             if 0 < q - p <= 1000:
                 assert (tile[a], tile[b]) in held
+
+
+def test_near_clone_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 3, (90, 400)).astype(float)
+    x[10:40] = x[10]  # clones: exact ones, a chain of near ones, and some with missing calls
+    for k in range(60, 66):
+        x[k + 1] = x[k]
+        x[k + 1, rng.choice(400, 3, replace=False)] = (x[k + 1, 0] + 1) % 3
+    x[20:25][rng.random((5, 400)) < 0.1] = np.nan
+    x[89] = np.nan
+    limit, up = 0.01, list(range(90))
+    root = lambda i: i if up[i] == i else root(up[i])
+    pairs = set()
+    for i in range(90):
+        for j in range(i + 1, 90):
+            held = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            if held.any() and np.abs(x[i, held] - x[j, held]).sum() <= 2 * limit * held.sum():
+                pairs.add((i, j))
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    for tile in (16, 1024):
+        with Stage(spark) as stage:
+            found = {(r.a, r.b) for r in clones.links(vec(spark, x).repartition(5), 90, limit, tile).collect()}
+            assert found <= pairs and len(found) < len(pairs)
+            got = {r.node: r.block for r in clones.blocks(vec(spark, x).repartition(5), 90, stage, limit, tile).collect()}
+        assert got == {i: root(i) for i in range(90)}  # every block: a recall of 1
+    samples = spark.createDataFrame([(f"i{i}", f"b{got[i]}") for i in range(90)], "sample_id string, group_id string")
+    fold = {r.sample_id: r.fold for r in folds.balanced_groups(samples, 4, 7, "outer").collect()}
+    assert all(fold[f"i{i}"] == fold[f"i{j}"] for i, j in pairs) and len(set(fold.values())) == 4

@@ -160,6 +160,8 @@ def test_command_line(spark, tmp_path):
     assert cli.main([*args[:5], "--config", str(tmp_path / "m.toml"), "--out", str(tmp_path / "m"), "--profile"]) == 0
     tuned = spark.read.parquet(str(tmp_path / "m/tuning")).collect()
     assert [r.fold for r in tuned] == [0] and 0.1 <= tuned[0].penalty <= 10 and spark.read.parquet(str(tmp_path / "m/predictions")).count() == 30
+    (tmp_path / "b.json").write_text(json.dumps({"densities": [16], "alphas": [0.1], "outer_folds": 2, "inner_folds": 2, "min_call_rate": 0.9, "clone_limit": 0.2}))
+    assert cli.main([*args[:5], "--config", str(tmp_path / "b.json"), "--out", str(tmp_path / "b"), "--profile", "--protocol", "clone"]) == 0
     lines = (tmp_path / "d/phenotypes.tsv").read_text().splitlines()
     (tmp_path / "d/phenotypes.tsv").write_text("\n".join([*lines, lines[-1]]) + "\n")
     with pytest.raises(validate.ContractError, match="Repeated phenotype"):
