@@ -102,20 +102,23 @@ def release(*frames: DataFrame) -> None:
             forget(df.sparkSession, df.stage_path)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, mark: str, held: Column, most: int, size: int) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, mark: str, held: Column, most: int, size: int, also: str | None = None) -> DataFrame:
     """doc_id, text, y: one text, the least, of each labelled document that isn't ``held``.
 
     It is a sample by hash of about ``most`` documents and ``size`` bytes of text, if there are more; a text
-    larger than that alone is no part of it.  y is the greatest of a document's labels.
+    larger than that alone is no part of it.  y is the greatest of a document's labels; ``also``: a further
+    mark of the same documents, null where it has none.
     """
-    marks = columns(labels, {"doc_id": T.LongType(), mark: T.IntegerType()}).toDF("doc_id", "y").filter("doc_id is not null and y is not null")
-    marks = marks.filter(~held).groupBy("doc_id").agg(F.max("y").alias("y"))
+    kinds = {"doc_id": T.LongType(), mark: T.IntegerType()} | ({also: T.IntegerType()} if also else {})
+    extra = [also] if also else []
+    marks = columns(labels, kinds).toDF("doc_id", "y", *extra).filter("doc_id is not null and y is not null")
+    marks = marks.filter(~held).groupBy("doc_id").agg(F.max("y").alias("y"), *[F.max(c).alias(c) for c in extra])
     share = lambda name, part: F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(1 << 30)) < int((1 << 30) * part)
     n = marks.count()
     if n > most:
         marks = marks.filter(share("rows", most / n))
     rows = documents(docs, "doc_id", "text").join(F.broadcast(marks), "doc_id")  # about ``most`` pairs of numbers
-    out = staged(rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")), f"labelled-{mark}")
+    out = staged(rows.groupBy("doc_id", "y", *extra).agg(F.min("text").alias("text")), f"labelled-{mark}")
     out = out.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= size)
     total = out.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return out.filter(share("bytes", size / total)) if total > size else out

@@ -3,9 +3,9 @@
 Categories are predicted one after another by logistic models over the hashed
 words, and word beginnings of BEGINNING bytes, that a text holds; a model also takes the probabilities of the categories
 before it.  In training these are out-of-fold predictions, so that a later model
-sees earlier ones as unsure as they are on new texts.  The data mark only whether
-a text is toxic; the earlier categories are weak labels, toxic texts with a word
-of the category's seed list, and the last category is the mark itself.
+sees earlier ones as unsure as they are on new texts.  The first and the last category are
+marks of the data, texts of poor quality and toxic ones; documents without a mark of quality
+teach the other models alone.  Those between are weak labels, toxic texts with a word of the category's seed list.
 
 Training takes a sample by hash of at most about MAX_TRAIN labelled documents and
 MAX_BYTES of text, whose distinct word hashes come to the driver; only those stay
@@ -39,7 +39,7 @@ SEEDS = {
     "contempt": ["pathetic", "worthless", "disgusting"],
     "abuse": ["trash", "scum"],
 }
-CHAIN = [*SEEDS, "toxic"]
+CHAIN = ["poor", *SEEDS, "toxic"]
 
 
 def held_out() -> Column:
@@ -130,8 +130,16 @@ def vocabulary(buckets: np.ndarray, begin: np.ndarray, y: np.ndarray) -> np.ndar
     return words[(count >= MIN_DOCS) & (gap >= Z * error)]
 
 
+def _fit_known(index: np.ndarray, begin: np.ndarray, dense: np.ndarray, y: np.ndarray, size: int) -> Logistic:
+    """A model of the rows that have a mark."""
+    known = np.flatnonzero(~np.isnan(y))
+    if not len(known):
+        return Logistic().fit(index[:0], np.zeros(2, np.int64), np.zeros((1, dense.shape[1])), np.zeros(1), size)
+    return Logistic().fit(*_rows(index, begin, known), dense[known], y[known], size)
+
+
 def fit_chain(buckets: np.ndarray, begin: np.ndarray, marks: np.ndarray, fold: np.ndarray) -> Chain:
-    """marks: documents x categories of 0/1, in the chain's order."""
+    """marks: documents x categories of 0/1 (NaN: not marked), in the chain's order; all have the last."""
     toxic = marks[:, -1]
     chain = Chain(vocabulary(buckets, begin, toxic), [])
     index, at = chain.restrict(buckets, begin)
@@ -144,10 +152,10 @@ def fit_chain(buckets: np.ndarray, begin: np.ndarray, marks: np.ndarray, fold: n
             parts.append((train, test, own.restrict(*seen), own.restrict(*_rows(buckets, begin, test)), len(own.vocabulary)))
     before = np.zeros((len(marks), 0))
     for y in marks.T:
-        chain.models.append(Logistic().fit(index, at, before, y, len(chain.vocabulary)))
+        chain.models.append(_fit_known(index, at, before, y, len(chain.vocabulary)))
         unseen = np.zeros(len(y))
         for train, test, seen, new, size in parts:
-            unseen[test] = Logistic().fit(*seen, before[train], y[train], size).predict(*new, before[test])
+            unseen[test] = _fit_known(*seen, before[train], y[train], size).predict(*new, before[test])
         before = np.column_stack([before, unseen])
     return chain
 
@@ -155,12 +163,12 @@ def fit_chain(buckets: np.ndarray, begin: np.ndarray, marks: np.ndarray, fold: n
 def _bags(batches):
     for batch in in_slices(batches):
         words, begin = word_sets(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(words.astype(np.int32)))], names=["doc_id", "y", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(words.astype(np.int32)))], names=["doc_id", "y", "quality", "words"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Chain | None:
-    rows = labelled(docs, labels, "toxic", held_out(), max_train, max_bytes).select("doc_id", "text", "y")
-    got = rows.mapInArrow(_bags, "doc_id bigint, y int, words array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    rows = labelled(docs, labels, "toxic", held_out(), max_train, max_bytes, also="quality").select("doc_id", "text", "y", "quality")
+    got = rows.mapInArrow(_bags, "doc_id bigint, y int, quality int, words array<int>").toArrow().sort_by("doc_id").combine_chunks()
     if not got.num_rows:
         return None
     lists = got.column("words").combine_chunks()
@@ -170,8 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_by
     y = got.column("y").to_numpy().astype(float)
     owner = np.repeat(np.arange(len(y)), np.diff(begin))
     marks_ = [np.bincount(owner, np.isin(buckets, _bucket(SEEDS[c])), len(y)).astype(bool) & (y > 0) for c in SEEDS]
+    poor = 1.0 - got.column("quality").cast(pa.float64()).fill_null(float("nan")).to_numpy()
     fold = (tv.mix64(got.column("doc_id").to_numpy().astype(np.uint64)) % np.uint64(FOLDS)).astype(int)
-    return fit_chain(buckets, begin, np.column_stack([*marks_, y]).astype(float), fold)
+    return fit_chain(buckets, begin, np.column_stack([poor, *marks_, y]).astype(float), fold)
 
 
 def score(docs: DataFrame, chain: Chain | None, columns: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:

@@ -362,6 +362,60 @@ def test_words_are_chosen_without_the_fold_they_predict(monkeypatch):
     assert seen == [90, 60, 60, 60]
 
 
+def plain_model(x, dense, y, new, new_dense):
+    """Logistic regression by the same falling Adam steps, over whole matrices."""
+    z, m, v = np.column_stack([x, dense, np.ones(len(x))]), 0.0, 1e-12
+    t = np.zeros(z.shape[1])
+    t[-1] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
+    keep = np.r_[np.full(z.shape[1] - 1, 2e-4), 0.0]
+    for k in range(1, 151):
+        g = z.T @ (1 / (1 + np.exp(-np.clip(z @ t, -30, 30))) - y) / len(y) + keep * t
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
+        t = t - 0.15 * (1 - k / 151) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+    return 1 / (1 + np.exp(-np.clip(np.column_stack([new, new_dense, np.ones(len(new))]) @ t, -30, 30)))
+
+
+def test_chain_is_trained_as_by_plain_loops():
+    """Every link, its out-of-fold inputs and the words of every fold against whole matrices."""
+    r = np.random.default_rng(4)
+    n, words = 120, 30
+    toxic = (np.arange(n) % 3 == 0).astype(float)
+    x = r.random((n, words)) < np.where(toxic[:, None] > 0, 0.15 + 0.6 * (np.arange(words) < 6), 0.2)
+    poor = np.where(np.arange(n) % 5 == 0, np.nan, ((np.arange(n) % 4 == 0) | x[:, 20]).astype(float))
+    weak = toxic * x[:, 2]
+    marks, fold = np.column_stack([poor, weak, toxic]), np.arange(n) % 7 % 3
+    rows = [np.flatnonzero(own) for own in x]
+    begin = np.r_[0, np.cumsum([len(own) for own in rows])]
+    chain = toxicity.fit_chain(np.concatenate(rows), begin, marks, fold)
+
+    def chosen(at):
+        own = [np.flatnonzero(x[i]) for i in at]
+        return toxicity.vocabulary(np.concatenate(own), np.r_[0, np.cumsum([len(o) for o in own])], toxic[at])
+
+    every, before, seen = np.arange(n), np.zeros((n, 0)), np.zeros((n, 0))
+    for y in marks.T:
+        known, unseen = ~np.isnan(y), np.zeros(n)
+        for f in range(3):
+            train, test = every[fold != f], every[fold == f]
+            own, fit = chosen(train), train[known[train]]
+            unseen[test] = plain_model(x[np.ix_(fit, own)], before[fit], y[fit], x[np.ix_(test, own)], before[test])
+        own, fit = chosen(every), every[known]
+        seen = np.column_stack([seen, plain_model(x[np.ix_(fit, own)], before[fit], y[fit], x[:, own], seen)])
+        before = np.column_stack([before, unseen])
+    assert np.allclose(chain.predict(np.concatenate(rows), begin), seen, atol=1e-6)
+
+
+def test_the_chain_learns_from_earlier_marks(spark):
+    """Log loss of the toxic link on held-out documents, with the chain's inputs and with the toxic link alone."""
+    docs, labels = queries.read(spark, SF, "documents"), queries.read(spark, SF, "labels")
+    chain = toxicity.train(docs, labels)
+    marks = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    rows = [r for r in toxicity.score(docs, chain).filter(toxicity.held_out()).collect() if r.doc_id in marks]
+    loss = lambda p: -np.mean([np.log(np.clip(q if marks[r.doc_id] else 1 - q, 1e-6, 1)) for r, q in zip(rows, p)])
+    base = np.mean(list(marks.values()))
+    assert rows and loss([r.p_toxic for r in rows]) < 0.5 * loss([base] * len(rows))
+
+
 def test_samples_of_labelled_rows_are_bounded(spark):
     d = spark.createDataFrame([(i % 50, f"text {i} " * (i % 7 + 1), "x") for i in range(400)] + [(3, None, "x"), (None, "null id", "x"), (60, "long " * 5000, "x")], "doc_id bigint, text string, TEXT string")
     labels = spark.createDataFrame([(i, (i or 0) % 2, "y") for i in [*range(50), 60, 7, None]], "doc_id bigint, toxic int, Toxic string")
@@ -533,10 +587,15 @@ def test_clashing_and_missing_columns(spark, docs):
         "language": lambda d: language_id.predict(d, language_id.train(d)),
         "repeats": lambda d: substring_dedup.remove_repeats(d),
         "quality": lambda d: quality_mil.score(d, quality_mil.train(d, labels)),
+        "near": lambda d: near_dedup.near_duplicate_classes(d),
     }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        run[name] = lambda d, stage=stage: stage(spark, d, SF)
     for name, f in run.items():
         assert sorted(map(str, f(clash).collect())) == sorted(map(str, f(docs).collect())), name
-        assert f(docs.select("doc_id").limit(3)).count() >= 3, name  # a missing text is null
+        if name not in dict(corpus_pipeline.STAGES) and name != "near":
+            assert f(docs.select("doc_id").limit(3)).count() >= 3, name  # a missing text is null
+    assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
 
 
 def test_pipeline_stages_take_any_rows(spark, docs, empty, monkeypatch):
