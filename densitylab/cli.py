@@ -21,7 +21,7 @@ from .operators import folds as fo
 from .operators import validate as va
 from .operators.stage import Stage
 from .plans.study import DensityConfig, LadderConfig, Study, align, run_densities, run_encodings, run_ladder
-from .sources import readers, sinks
+from .sources import readers, sinks, vcf
 
 #: Replicates of the group bootstrap, and of the bootstrap of near-clone blocks.
 REPLICATES, BLOCK_REPLICATES = 2000, 10_000
@@ -34,24 +34,44 @@ def _phenotypes(spark: SparkSession, path: str, trait: str) -> DataFrame:
     return pheno
 
 
+def has_vcf(folder: str) -> bool:
+    """Whether genotypes are in VCF files; an array goes before them."""
+    return not (Path(folder) / "genotypes.npy").exists() and (Path(folder) / "vcf").is_dir()
+
+
+def inputs_of(folder: str, cohort: bool = False) -> list[str]:
+    """The files of a study's folder that a run's identity names."""
+    if not cohort and has_vcf(folder):
+        return [f"{folder}/{n}" for n in ("samples.tsv", "phenotypes.tsv")] + sorted(str(p) for p in (Path(folder) / "vcf").rglob("*.vcf*"))
+    return [f"{folder}/{n}" for n in FILES[cohort]]
+
+
 def load(spark: SparkSession, folder: str, trait: str) -> Study:
-    """A study from samples.tsv, variants.tsv, phenotypes.tsv and genotypes.npy (samples x markers), all checked."""
+    """A study from samples.tsv, phenotypes.tsv, and either variants.tsv and genotypes.npy (samples x markers) or VCF files in vcf/, all checked."""
     samples = readers.numbered(readers.tsv(spark, f"{folder}/samples.tsv", ["accession_id", "genetic_group"]), "sample_idx").select(F.col("accession_id").alias("sample_id"), F.col("genetic_group").alias("group_id"), "sample_idx").cache()
     if samples.isEmpty():
         raise va.ContractError("no samples")
     va.check_samples(samples)
-    raw = readers.numbered(readers.tsv(spark, f"{folder}/variants.tsv", ["chromosome", "position", "ref", "alt"]), "marker_idx")
-    variants = raw.select("marker_idx", F.col("chromosome").alias("chrom"), F.col("position").cast("bigint").alias("pos"), "ref", "alt")
-    variants = variants.withColumn("marker_id", variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"))).cache()
+    if has_vcf(folder):
+        stage = Stage(spark)  # to the end of the driver, as the study reads it
+        people, variants, calls = vcf.markers(spark, f"{folder}/vcf", stage)
+        place = {r.sample_id: r.sample_idx for r in people.collect()}  # a number a sample
+        va.none_of(samples.join(people, "sample_id", "left_anti"), "Samples without genotypes")
+    else:
+        raw = readers.numbered(readers.tsv(spark, f"{folder}/variants.tsv", ["chromosome", "position", "ref", "alt"]), "marker_idx")
+        variants = raw.select("marker_idx", F.col("chromosome").alias("chrom"), F.col("position").cast("bigint").alias("pos"), "ref", "alt")
+        variants = variants.withColumn("marker_id", variant_id(F.col("chrom"), F.col("pos"), F.col("ref"), F.col("alt"))).cache()
     va.check_variants(variants)
     matched, unmatched = align(samples, _phenotypes(spark, f"{folder}/phenotypes.tsv", trait), trait)
     rows = matched.orderBy("sample_idx").collect()
     if len(rows) < 12:
         raise va.ContractError(f"{len(rows)} samples have genotypes and values; 12 are needed")
-    raw_genotypes = np.load(f"{folder}/genotypes.npy", mmap_mode="r")
-    va.array_contract(raw_genotypes, (samples.count(), variants.count()))
     sinks.log.info("%d matched, %d unmatched", len(rows), unmatched.count())
-    vec = readers.npy(spark, f"{folder}/genotypes.npy", 1, [r.sample_idx for r in rows]).cache()
+    if has_vcf(folder):
+        vec = vcf.of_samples(calls, [place[r.sample_id] for r in rows]).cache()
+    else:
+        va.array_contract(np.load(f"{folder}/genotypes.npy", mmap_mode="r"), (samples.count(), variants.count()))
+        vec = readers.npy(spark, f"{folder}/genotypes.npy", 1, [r.sample_idx for r in rows]).cache()
     return Study([r.sample_id for r in rows], np.array([r.value for r in rows]), vec, variants, [r.group_id for r in rows])
 
 
@@ -281,7 +301,7 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "ladder":
         config = LadderConfig(**{k: v for k, v in given.items() if k in LadderConfig.__dataclass_fields__})
         cohort = (Path(a.data) / "dosages.npy").exists()
-        files = [f"{a.data}/{n}" for n in FILES[cohort]] + [a.splits] * bool(a.splits)
+        files = inputs_of(a.data, cohort) + [a.splits] * bool(a.splits)
         if cohort:
             study, outer = load_cohort(spark, a.data, a.trait, given.get("outer_folds"), given.get("cohort"))
         else:
@@ -290,7 +310,7 @@ def main(args: list[str] | None = None) -> int:
         settings, run = {**config.__dict__}, lambda only, stage: run_ladder(study, config, outer, only, stage)
     else:
         if a.data:
-            files = [f"{a.data}/{n}" for n in FILES[False]]
+            files = inputs_of(a.data)
             study = load(spark, a.data, a.trait)
             outer, _ = outer_and_inner(spark, study, DensityConfig(outer_folds=given.get("outer_folds", 10)), "iid", None)
         else:

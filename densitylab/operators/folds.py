@@ -26,10 +26,10 @@ def random_folds(samples: DataFrame, k: int, seed: int) -> DataFrame:
 
 def hashed_folds(samples: DataFrame, k: int, seed: int) -> DataFrame:
     """C1 without a driver: ranks of keyed digests, dealt round-robin."""
-    from .ordering import _ranked
+    from .ordering import ranked
 
     h = samples.select("sample_id", tabbed_digest(seed, F.col("sample_id")).alias("h"))
-    return _ranked(h, "h", "sample_id").select("sample_id", (F.col("rank") % k).alias("fold"))
+    return ranked(h, "h", "sample_id").select("sample_id", (F.col("rank") % k).alias("fold"))
 
 
 def group_out(samples: DataFrame, group: str = "group_id") -> DataFrame:

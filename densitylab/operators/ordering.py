@@ -11,7 +11,7 @@ from ..functions.scalars import bin_number, salted_digest, tabbed_digest
 from .validate import density as check_density
 
 
-def _ranked(df: DataFrame, *order, name: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
+def ranked(df: DataFrame, *order, name: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
     """Rank from 0 in the whole table, or in each value of ``keys``, by ranges: positions inside a range plus the sizes of those before it.
 
     No task sees more than a range, so a catalogue of any size is ranked.
@@ -31,7 +31,7 @@ def _ranked(df: DataFrame, *order, name: str = "rank", keys: Sequence[str] = ())
 def hash_order(variants: DataFrame, salt: str) -> DataFrame:
     """marker_idx, rank by (digest of salt and marker_id, marker_id); stable under any order of the rows."""
     h = variants.select("marker_idx", "marker_id", salted_digest(salt, F.col("marker_id")).alias("digest"))
-    return _ranked(h, "digest", "marker_id").select("marker_idx", "rank")
+    return ranked(h, "digest", "marker_id").select("marker_idx", "rank")
 
 
 def panel(order: DataFrame, qc: DataFrame, k: int | str) -> DataFrame:
@@ -57,7 +57,7 @@ def physical_order(variants: DataFrame, seed: int, width: int) -> DataFrame:
     """Round-robin over (chromosome, bin), digest order inside a bin."""
     h = variants.select("marker_idx", "chrom", bin_number(F.col("pos"), width).alias("bin"), tabbed_digest(seed, F.col("chrom"), F.col("pos"), F.col("marker_idx")).alias("h"))
     turn = h.withColumn("turn", F.row_number().over(Window.partitionBy("chrom", "bin").orderBy("h")))
-    return _ranked(turn, "turn", "chrom", "bin").select("marker_idx", "rank")
+    return ranked(turn, "turn", "chrom", "bin").select("marker_idx", "rank")
 
 
 def prefix_then_qc(order: DataFrame, kept: DataFrame, budget: int) -> DataFrame:
@@ -77,4 +77,4 @@ def representatives_first(physical: DataFrame, representatives: DataFrame, kept:
     on = [*keys, "marker_idx"]
     marked = physical.join(representatives.select(*on, F.lit(0).alias("r")), on, "left").join(kept.select(*on, F.lit(1).alias("q")), on, "left")
     marked = marked.select(*on, F.coalesce("r", "q", F.lit(2)).alias("class"), F.col("rank").alias("physical"))
-    return _ranked(marked, "class", "physical", keys=keys).select(*on, "rank")
+    return ranked(marked, "class", "physical", keys=keys).select(*on, "rank")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import clones, compare, diagnostics, folds, kernel, ld, metrics, ordering, qc, validate
-from ..sources import readers
+from ..sources import readers, vcf
 from . import fixtures as fx
 from . import study
 from ..operators.stage import Stage
@@ -413,6 +413,18 @@ def vec_counts(spark, sf_dir):
     return qc.vec_counts(_vec(spark, sf_dir), range(n)).select("marker_idx", _r("mean", "mean"), F.col("rows").alias("n"))
 
 
+@query("SELECT marker_idx, d.chrom, d.pos, count(g) AS called, coalesce(sum(g), 0)::BIGINT AS total FROM dosage JOIN variant d USING (marker_idx) GROUP BY ALL", (_D, _V))
+def vcf_markers(spark, sf_dir):
+    """All dosages written as VCF files and read again, numbered in genome order."""
+    stage = Stage(spark)
+    ids = [f"{r.vec_id:06d}" for r in fx.table(spark, sf_dir, "embeddings").select("vec_id").orderBy("vec_id").collect()]  # one sample a row
+    vcf.write(fx.vectors(fx.dosage(spark, sf_dir).drop("label")), fx.variants(spark, sf_dir), ids, f"{stage.path}/vcf")
+    _, variants, vec = vcf.markers(spark, f"{stage.path}/vcf", stage, pattern="part-*")
+    called = F.filter("g", lambda x: x.isNotNull())
+    sums = vec.select("marker_idx", F.size(called).cast("bigint").alias("called"), F.aggregate(called, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    return variants.select("marker_idx", "chrom", "pos").join(sums, "marker_idx")
+
+
 def _density_run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     s, labels = fx.study(spark, sf_dir)
     outer = {i: min(f, 4) for i, f in zip(s.ids, (x % 5 for x in labels))}

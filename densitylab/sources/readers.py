@@ -157,20 +157,6 @@ def published_folds(text: DataFrame, folds: int = 10) -> DataFrame:
     return out.select(*along, "fold", (F.col("m.rmse") * F.col("m.rmse")).alias("mse"), F.col("m.rmse").alias("rmse"), F.col("m.pcc").alias("pcc"), F.col("m.mae").alias("mae"))
 
 
-def vcf(spark: SparkSession, path: str, contigs: Sequence[str] = ("1", "2", "3", "4", "5")) -> DataFrame:
-    """chrom, pos, ref, alt, g (dosages by sample) of passing biallelic SNPs; records of several alleles are left out whole."""
-    rows = spark.read.text(path).filter(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f"))
-    base = "^[ACGT]$"
-    rows = rows.filter(F.col("f")[0].isin(list(contigs)) & F.col("f")[3].rlike(base) & F.col("f")[4].rlike(base) & (F.col("f")[3] != F.col("f")[4]) & F.col("f")[6].isin("PASS", "."))
-
-    def dosage(call):
-        gt = F.split(F.regexp_replace(F.split(call, ":")[0], r"\|", "/"), "/")
-        return F.when(F.size(gt) == 2, F.try_add(gt[0].try_cast("tinyint"), gt[1].try_cast("tinyint"))).cast("tinyint")
-
-    f = F.col("f")
-    return rows.select(f[0].alias("chrom"), f[1].cast("bigint").alias("pos"), f[3].alias("ref"), f[4].alias("alt"), F.transform(F.slice(f, 10, F.size(f)), dosage).alias("g"))
-
-
 def demo_arrays(seed: int = 20260922, n: int = 60, p: int = 160) -> dict:
     """The synthetic study: homozygous dosages with 2 % missing, three groups, five chromosomes, one trait of two markers."""
     rng = np.random.default_rng(seed)

@@ -104,12 +104,13 @@ def file_digests(spark: SparkSession, paths: Sequence[str], known: dict[str, dic
 
 
 def input_digests(spark: SparkSession, paths: Sequence[str], cache: str) -> dict[str, str]:
-    """Name and tree digest of each input, for a run's identity; ``cache``: a JSON file of what was read before."""
+    """Name (path, where names repeat) and tree digest of each input, for a run's identity; ``cache``: a JSON file of what was read before."""
     known = json.loads(Path(cache).read_text(encoding="utf-8")) if Path(cache).exists() else {}
     found = file_digests(spark, paths, known)
     Path(cache).parent.mkdir(parents=True, exist_ok=True)
     write_json(found, cache)
-    return {Path(p).name: d["tree"] for p, d in found.items()}
+    names = [Path(p).name for p in found]
+    return {n if names.count(n) == 1 else p: d["tree"] for n, (p, d) in zip(names, found.items())}
 
 
 def plain_digests(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:

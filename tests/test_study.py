@@ -294,9 +294,6 @@ def test_sources(spark, tmp_path):
     spark.createDataFrame([("a", 0.0, 2.0), ("b", 1.0, 1.0)], "acid string, m1 double, m2 double").coalesce(1).toPandas().to_parquet(tmp_path / "w.parquet")
     samples, vec = readers.wide_parquet(spark, str(tmp_path / "w.parquet"), block=1)
     assert samples.count() == 2 and {r.marker_idx: r.g for r in vec.collect()} == {0: [0.0, 1.0], 1: [2.0, 1.0]}
-    (tmp_path / "x.vcf").write_text("##x\n#CHROM\n1\t5\t.\tA\tG\t.\tPASS\t.\tGT\t0/1\t./.\n1\t6\t.\tA\tG,T\t.\tPASS\t.\tGT\t0/1\t1/1\n")
-    rows = readers.vcf(spark, str(tmp_path / "x.vcf")).collect()
-    assert len(rows) == 1 and rows[0].g == [1, None]
     (tmp_path / "t.tsv").write_text("a\tb\n1\t\n")
     assert readers.tsv(spark, str(tmp_path / "t.tsv"), ["a"]).first().b == ""
     with pytest.raises(readers.SourceError):
