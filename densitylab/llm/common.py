@@ -73,23 +73,24 @@ def forget(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """``df`` written to the shared folder, with the writer's ``options``, and read back.
+def staged(df: DataFrame, label: str, into: DataFrame | None = None, **options: str) -> DataFrame:
+    """``df`` written to the shared folder, with the writer's ``options``, and read back; behind the rows of ``into``, a staged table, if given.
 
     It cuts lineage with files that outlive executors, and Spark drops the
     shuffle files behind it at once.  The files go when the driver exits.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = into.stage_path if into is not None else new_path(spark, label)
     before = {k: spark.conf.get(k, None) for k in _WHILE_STAGING}
     for k, v in _WHILE_STAGING.items():
         spark.conf.set(k, v)
     try:
-        df.write.options(**options).parquet(path)
+        df.write.mode("errorifexists" if into is None else "append").options(**options).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    atexit.register(forget, spark, path)
+    if into is None:
+        atexit.register(forget, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stage_path = path
     return out

@@ -50,7 +50,7 @@ _GROUPS = {
     **{f"parquet.{unit}.size.row.check.{end}": "1" for unit in ("page", "block") for end in ("min", "max")},
 }
 _INDEX = "docs array<struct<doc_id: bigint, key: bigint, n_words: bigint>>, ptr binary, term binary, begin binary, place binary"
-_HITS = "doc_id bigint, key bigint, items array<int>, spans array<struct<first: bigint, last: bigint>>"
+_HITS = "doc_id bigint, key bigint, items array<struct<item: string>>, spans array<struct<first: bigint, last: bigint>>"
 
 
 def text_key() -> Column:
@@ -221,9 +221,9 @@ def _pass(block: Block):
                 items = np.unique(np.concatenate([block.owner_item[block.owner_begin[q] : block.owner_begin[q + 1]] for q in np.unique(window[own])]))
                 base = int(s.ptr[d])
                 spans = sorted(set(zip((start[own] - base).tolist(), (end[own] - base - 1).tolist())))
-                rows.append((docs[d]["doc_id"], docs[d]["key"], items.tolist(), [{"first": a, "last": b} for a, b in spans]))
+                rows.append((docs[d]["doc_id"], docs[d]["key"], [{"item": block.items[i]} for i in items], [{"first": a, "last": b} for a, b in spans]))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))]
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("item", pa.string())])), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "key", "items", "spans"])
 
     return run
@@ -246,15 +246,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     for items in _blocks(benchmark):
         block = Block(items, window)
         block.by_rarest(frequencies(index, block.tokens))
-        names = F.array(*[F.lit(i) for i in block.items]) if len(block.items) <= 200 else None
-        found = staged(index.mapInArrow(_pass(block), _HITS), "hits")
-        if names is None:  # a block's ids, bounded as its texts are
-            of = docs.sparkSession.createDataFrame(pa.table({"items": pa.array(range(len(block.items)), pa.int32()), "item": pa.array(block.items, pa.string())}))
-            listed = found.select("doc_id", "key", F.explode("items").alias("items")).join(of, "items").groupBy("doc_id", "key").agg(F.collect_set(F.struct("item")).alias("items"))
-            found = found.drop("items").join(listed.withColumnsRenamed({"doc_id": "d", "key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "items", "spans")
-        else:
-            found = found.select("doc_id", "key", F.transform("items", lambda i: F.struct(F.get(names, i).alias("item"))).alias("items"), "spans")
-        hits = found if hits is None else hits.unionByName(found)
+        hits = staged(index.mapInArrow(_pass(block), _HITS), "hits", into=hits)
     every = index.select(F.inline("docs"))
     none = F.array().cast("array<string>"), F.array().cast("array<struct<first: bigint, last: bigint>>")
     if hits is None:

@@ -132,6 +132,26 @@ def test_leaks_equal_brute_force(spark, docs, empty, monkeypatch):
     assert left == leaks.filter("n_hit = 0").count() < docs.count()
 
 
+def test_blocks_of_items_are_one_scan(spark, docs, monkeypatch):
+    """The plan over all hits doesn't grow with the items, nor do their ids stand in it."""
+    texts = [r.text for r in docs.collect() if len(low_words(r.text or "")) > 20]
+    bench = spark.createDataFrame([(f"name-{i}", " ".join(low_words(t)[3:16])) for i, t in enumerate(texts[:6])], "item_id string, text string")
+    plans, plain = [], decontaminate.staged
+
+    def spy(df, label, **more):
+        if label == "leaks":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, label, **more)
+
+    monkeypatch.setattr(decontaminate, "staged", spy)
+    found = []
+    for block in (decontaminate.BLOCK_BYTES, 60):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        found.append(sorted((r.doc_id is None, r.doc_id or 0, r.n_hit, tuple(r.item_ids)) for r in decontaminate.find_leaks(docs, bench).collect()))
+    assert found[0] == found[1] and sum(n > 0 for _, _, n, _ in found[0]) >= 6
+    assert len(plans) == 2 and all(p.count("Relation") == 1 and "Union" not in p and "name-" not in p for p in plans)
+
+
 def test_proximity_equals_brute_force(spark, docs):
     w = low_words(docs.filter("doc_id = 9").first().text)
     phrases = [f"{w[5]} {w[8]} {w[6]}", "go go", f"{w[0]} nowhere", "", f"{w[40]} {w[1]}"]
