@@ -215,7 +215,7 @@ def report(spark: SparkSession, out: str, published: dict[str, str] | None = Non
     folder = Path(out)
     identity = json.loads((folder / "identity.json").read_text())
     outer = json.loads((folder / "splits.json").read_text())["outer"]
-    replicates = replicates or identity.get("replicates", REPLICATES)
+    replicates = replicates or (BLOCK_REPLICATES if identity.get("protocol") == "clone" else REPLICATES)
     folds, ids = sorted(set(outer.values())), spark.createDataFrame([(s,) for s in outer], "sample_id string")
     pred = _gathered(spark, folder, "predictions", folds).cache()
     ladder = identity["command"] == "ladder"
@@ -319,7 +319,7 @@ def main(args: list[str] | None = None) -> int:
         settings = {k: given[k] for k in ("inner_folds", "seed", "rhos", "bounds", "residual") if k in given}
         run = lambda only, stage: run_encodings(study, outer, **settings, only=only, stage=stage)
     inputs = sinks.input_digests(spark, files, f"{a.out}/inputs.json")
-    out = sinks.resume(a.out, {"command": a.command, "trait": a.trait, "config": settings, "outer": sinks.text_digest(json.dumps(outer, sort_keys=True)), "inputs": inputs, "replicates": BLOCK_REPLICATES if getattr(a, "protocol", "") == "clone" else REPLICATES})
+    out = sinks.resume(a.out, {"command": a.command, "trait": a.trait, "config": settings, "outer": sinks.text_digest(json.dumps(outer, sort_keys=True)), "inputs": inputs, "protocol": getattr(a, "protocol", "iid")})
     if not (out / "splits.json").exists():
         sinks.write_json({"python": sys.version, "numpy": np.__version__, "spark": spark.version, "machine": platform.machine()}, str(out / "environment.json"))
         sinks.write_tsv(study.variants.orderBy("marker_idx"), str(out / "marker_catalog.tsv"), mode="overwrite")
