@@ -8,21 +8,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_number, salted_digest, tabbed_digest
+from .stage import Stage
 from .validate import density as check_density
 
 
 def ranked(df: DataFrame, *order, name: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
     """Rank from 0 in the whole table, or in each value of ``keys``, by ranges: positions inside a range plus the sizes of those before it.
 
-    No task sees more than a range, so a catalogue of any size is ranked.
+    No task sees more than a range, so a catalogue of any size is ranked.  The cuts between ranges come from samples, which differ
+    from one scan to the next, so the rows are staged with the range they fell in, and sizes and positions are of that one deal.
     """
-    key = F.struct(*keys, *order)
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed count, so both branches see the same ranges
-    parts = df.withColumn("_key", key).repartitionByRange(ranges, F.col("_key")).withColumn("_part", F.spark_partition_id())
-    inside = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1)
+    order = [*keys, *order]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = Stage(df.sparkSession).put(df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = inside.join(before.select("_part", "_before"), "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("int")).drop("_key", "_part", "_at", "_before")
+    out = inside.join(before.select("_part", "_before"), "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("int")).drop("_part", "_at", "_before")
     if not keys:
         return out
     return out.join(out.groupBy(*keys).agg(F.min(name).alias("_first")), list(keys)).withColumn(name, F.col(name) - F.col("_first")).drop("_first")

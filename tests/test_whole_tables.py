@@ -1,9 +1,11 @@
 """Queries over whole tables against brute force and their SQL."""
 
+import hashlib
 from collections import defaultdict
 
 import pytest
 
+from densitylab.operators import folds, ordering
 from densitylab.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +43,15 @@ def test_gram_and_counts_reach_every_training_row(spark):
     assert all(k == pytest.approx(sum(v * z[j].get(m, 0) for m, v in z[i].items()), abs=1e-5) for (i, j), k in got.items())
     counts = {r.marker_idx: r for r in queries.QUERIES["vec_counts"](spark, SF).collect()}
     assert {m: (r.n, r.mean) for m, r in counts.items()} == {m: (len(ids), pytest.approx(sum(v) / len(v), abs=1e-7)) for m, v in means.items()}
+
+
+def test_ranks_of_a_table_larger_than_a_sample_of_it(spark):
+    ids = [str(i * 7919 % 30011) for i in range(30000)]
+    df = spark.createDataFrame([(x, int(x) % 3) for x in ids], "sample_id string, k int").repartition(7)
+    got = {r.sample_id: r["rank"] for r in ordering.ranked(df, "sample_id").collect()}
+    assert got == {x: i for i, x in enumerate(sorted(ids))}
+    digest = {x: hashlib.sha256(f"7\t{x}".encode()).hexdigest() for x in ids}
+    dealt = {r.sample_id: r.fold for r in folds.hashed_folds(df, 5, 7).collect()}
+    assert dealt == {x: i % 5 for i, x in enumerate(sorted(ids, key=digest.get))}
+    by = {r.sample_id: r["rank"] for r in ordering.ranked(df, "sample_id", keys=("k",)).collect()}
+    assert by == {x: i for k in range(3) for i, x in enumerate(sorted(x for x in ids if int(x) % 3 == k))}
