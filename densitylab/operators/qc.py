@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import minor_count, minor_frequency
@@ -58,17 +58,7 @@ def scaler(long: DataFrame, standardize: bool = True) -> DataFrame:
 
 def vec_counts(vec: DataFrame, train: Sequence[int]) -> DataFrame:
     """The same statistics from marker_vec."""
-    at = F.array(*[F.lit(int(i) + 1) for i in train])
-    g: Column = F.filter(F.transform(at, lambda i: F.element_at("g", i)), lambda x: x.isNotNull())
-    s = vec.select("marker_idx", g.alias("v")).select(
-        "marker_idx",
-        F.size("v").cast("bigint").alias("called"),
-        F.lit(len(train)).cast("bigint").alias("rows"),
-        F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint")).alias("total"),
-        F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + (x * x).cast("bigint")).alias("squares"),
-    )
-    mean = F.try_divide(F.col("total"), F.col("called"))
-    return s.withColumn("mean", mean).withColumn("variance", F.try_divide(F.col("squares"), F.col("called")) - mean * mean)
+    return fit_counts(vec, {"all": train}).drop("fit_id").withColumn("total", F.col("total").cast("bigint"))
 
 
 def vec_eligible(vec: DataFrame, train: Sequence[int], call: float = 0.95, maf: float = 0.05, mac: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from densitylab.operators import folds, ordering
+from densitylab.operators import folds, ordering, qc
 from densitylab.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +55,11 @@ def test_ranks_of_a_table_larger_than_a_sample_of_it(spark):
     assert dealt == {x: i % 5 for i, x in enumerate(sorted(ids, key=digest.get))}
     by = {r.sample_id: r["rank"] for r in ordering.ranked(df, "sample_id", keys=("k",)).collect()}
     assert by == {x: i for k in range(3) for i, x in enumerate(sorted(x for x in ids if int(x) % 3 == k))}
+
+
+def test_plan_of_counts_does_not_grow_with_samples(spark):
+    vec = spark.createDataFrame([(0, [1] * 3000), (1, [0, 2, None] * 1000)], "marker_idx int, g array<tinyint>")
+    few, many = (qc.vec_counts(vec, range(n)) for n in (3, 3000))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert size(many) < size(few) + 100
+    assert [(r.marker_idx, r.called, r["rows"], r.total, r.mean) for r in many.orderBy("marker_idx").collect()] == [(0, 3000, 3000, 3000, 1.0), (1, 2000, 3000, 2000, 1.0)]
