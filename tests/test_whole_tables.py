@@ -63,3 +63,13 @@ def test_plan_of_counts_does_not_grow_with_samples(spark):
     size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
     assert size(many) < size(few) + 100
     assert [(r.marker_idx, r.called, r["rows"], r.total, r.mean) for r in many.orderBy("marker_idx").collect()] == [(0, 3000, 3000, 3000, 1.0), (1, 2000, 3000, 2000, 1.0)]
+
+
+def test_diagnostics_take_all_training_samples(spark):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.1/embeddings.parquet'")
+    want = {r[1]: r[2:] for r in c.execute(queries.ORACLE["kernel_diagnostics"]).fetchall()}
+    got = {r.workflow: tuple(r)[2:] for r in queries.QUERIES["kernel_diagnostics"](spark, "/root/testdata/sf0.1").collect()}
+    assert got.keys() == want.keys() and want["physical:20"][0] > 512
+    assert all(got[w] == pytest.approx(want[w], abs=2e-6) for w in want)
