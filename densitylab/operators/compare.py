@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -116,19 +116,52 @@ def mixed_number(x: int) -> int:
     return x >> 16 ^ x
 
 
-def hashed_replicates(sums: DataFrame, replicates: int, seed: int) -> DataFrame:
+def _mixed_bits(x: np.ndarray) -> np.ndarray:
+    """``mixed`` of 32-bit integers, whose products wrap by themselves."""
+    for _ in range(2):
+        x = (x >> np.uint32(16) ^ x) * np.uint32(MIX)
+    return x >> np.uint32(16) ^ x
+
+
+def hashed_replicates(sums: DataFrame, replicates: int, seed: int, batch: int = 125, segment: int = 1 << 20) -> DataFrame:
     """I3 without a driver: in each fold, draw k of a replicate takes the group numbered by a hash of the counter mod the fold's groups.
 
-    The counter is seed, pair, fold (a number), replicate and k, mixed in one after another; draws and their sums are built-in expressions.
+    The counter is seed, pair, fold (a number), replicate and k, mixed in one after another.  A task has a segment of a fold's groups
+    and a batch of replicates: it counts how often their draws take each group and multiplies the counts with the groups'
+    sums, so no row is made for a draw, and memory is bounded by the segment, whatever the groups.
     """
     number = sums.withColumn("i", F.row_number().over(Window.partitionBy("pair", "fold").orderBy("group_id")).cast("bigint") - 1)
     with_key = lambda df, name: df.withColumn("h", mixed((F.col("h") + F.col(name)).bitwiseAND(F.lit(_BITS))))
     sizes = with_key(with_key(sums.groupBy("pair", "fold").agg(F.count("*").alias("m")).withColumn("h", F.lit(mixed_number(seed)).cast("bigint")), "pair"), "fold")
-    draws = with_key(sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")), "rep").repartition("pair", "fold", "rep")
-    drawn = with_key(draws.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("k")), "k").select("pair", "fold", "rep", (F.col("h") % F.col("m")).alias("i"))
-    j = drawn.join(number, ["pair", "fold", "i"])
+    firsts = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(batch))).alias("first")
+    dealt = number.join(sizes, ["pair", "fold"]).select("pair", "fold", F.floor(F.col("i") / segment).alias("segment"), firsts, "i", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("d", "b")], F.col("n").cast("double").alias("n"), "m", "h")
+    kinds = pa.schema([("pair", pa.int32()), ("rep", pa.int32()), ("d", pa.float64()), ("b", pa.float64()), ("n", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, parts = None, [], []
+        for rows in (x for x in batches if x.num_rows):
+            at = at or [rows.column(c)[0].as_py() for c in ("pair", "segment", "first", "m", "h")]
+            own.append(rows.column("i").to_numpy())
+            parts.append(np.stack([rows.column(c).to_numpy(zero_copy_only=False) for c in ("d", "b", "n")], 1))
+        pair, part, first, m, h = at
+        lo, own = part * segment, np.concatenate(own)
+        here = min(segment, m - lo)
+        table = np.zeros((here, 3))
+        table[own - lo] = np.concatenate(parts)
+        out = []
+        for rep in range(first, min(first + batch, replicates)):
+            start = mixed_number((h + rep) & _BITS)
+            times = np.zeros(here, np.int64)
+            for k in range(0, m, segment):
+                counter = (np.arange(k, min(m, k + segment), dtype=np.uint64) + np.uint64(start)).astype(np.uint32)
+                i = (_mixed_bits(counter) % np.uint32(m)).astype(np.int64)
+                times += np.bincount(i if here == m else i[(i >= lo) & (i < lo + here)] - lo, minlength=here)
+            out.append((pair, rep, *(times.astype(np.float64) @ table).tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds.types)], schema=kinds)
+
+    each = dealt.groupBy("pair", "fold", "segment", "first").applyInArrow(run, "pair int, rep int, d double, b double, n double")
     d, b, n = (F.sum(c) for c in ("d", "b", "n"))
-    return j.groupBy("pair", "rep").agg((d / n).alias("delta_mse"), F.try_divide(-d, F.nullif(b, F.lit(0.0))).alias("gain"))
+    return each.groupBy("pair", "rep").agg((d / n).alias("delta_mse"), F.try_divide(-d, F.nullif(b, F.lit(0.0))).alias("gain"))
 
 
 def decision(intervals: DataFrame, sesoi: float = 0.01) -> DataFrame:

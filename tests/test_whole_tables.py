@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from densitylab.operators import folds, ordering, qc
+from densitylab.operators import compare, folds, ordering, qc
 from densitylab.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +73,22 @@ def test_diagnostics_take_all_training_samples(spark):
     got = {r.workflow: tuple(r)[2:] for r in queries.QUERIES["kernel_diagnostics"](spark, "/root/testdata/sf0.1").collect()}
     assert got.keys() == want.keys() and want["physical:20"][0] > 512
     assert all(got[w] == pytest.approx(want[w], abs=2e-6) for w in want)
+
+
+def test_hashed_replicates_make_no_row_for_a_draw(spark):
+    rows = [(0, f, f"g{i:03d}", float(i + 1) * (f + 1), float(i % 7 + 1), 1 + i % 3) for f in range(2) for i in range(300)]
+    sums = spark.createDataFrame(rows, "pair int, fold int, group_id string, d double, b double, n bigint").repartition(3)
+    want = {}
+    for rep in range(30):
+        d = b = n = 0
+        for f in range(2):
+            own = [r for r in rows if r[1] == f]
+            h = compare.mixed_number((compare.mixed_number((compare.mixed_number(compare.mixed_number(5)) + f) & 0xFFFFFFFF) + rep) & 0xFFFFFFFF)
+            for k in range(300):
+                x = own[compare.mixed_number((h + k) & 0xFFFFFFFF) % 300]
+                d, b, n = d + x[3], b + x[4], n + x[5]
+        want[rep] = (pytest.approx(d / n), pytest.approx(-d / b))
+    for segment in (64, 1 << 20):  # parts of a fold's groups, or all
+        made = compare.hashed_replicates(sums, 30, 5, batch=8, segment=segment)
+        assert {r.rep: (r.delta_mse, r.gain) for r in made.collect()} == want
+        assert "sequence(0, (m" not in made._jdf.queryExecution().optimizedPlan().toString()  # draws aren't exploded
