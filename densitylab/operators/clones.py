@@ -3,8 +3,8 @@
 The distance of two samples is the sum of |dosage differences| over twice the sites that both have called.  Pairs
 at ``limit`` or less are links, and a block is a connected component.
 
-Distances are summed in tiles of samples by samples, exactly: with the planes x1 = [g >= 1] and x2 = [g = 2],
-|g - h| is the number of planes in which two calls differ.  Differences only grow and the sites called by both are at most
+Distances are summed in tiles of samples by samples, exactly: with the planes xk = [g = k],
+|g - h| is the sum of |k - l| xk yl over the planes of both, a product of matrices.  Differences only grow and the sites called by both are at most
 all sites, so a pair whose differences are over the limit of all sites is out for good; once a tile has no
 other pairs, its task passes over the rest of the genotypes, which for unrelated samples is nearly all of them.
 A tile hands on a spanning forest of its links and not all of them, so a block of many clones costs two
@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .kernel import spread
 from .stage import Stage
 
-#: Samples along a tile: a task holds two sums of TILE x TILE doubles.
-TILE, CHUNK = 1024, 512
+#: Samples along a tile: a task holds two sums of TILE x TILE numbers.  Markers of a piece, and bytes of its dosages as doubles.
+TILE, CHUNK, CHUNK_BYTES, ROWS = 1024, 512, 64 << 20, 128
 
 
 def forest(i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
@@ -50,19 +51,23 @@ def forest(i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
 def links(vec: DataFrame, samples: int, limit: float = 0.001, tile: int = TILE) -> DataFrame:
     """a, b: links of positions in marker_vec, a spanning forest of those in each tile.  Samples without a common call aren't linked."""
     count, sites = -(-samples // tile), vec.count()
+    sums = np.float32 if 2 * sites < 1 << 24 else np.float64  # exact: counts are whole
+    most = int(2 * limit * sites + 1e-9)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(lo, CHUNK)
+            step = max(1, min(CHUNK, CHUNK_BYTES // (8 * samples)))
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
                 flat = part.column(1).flatten().cast(pa.float64()).fill_null(-1).to_numpy(zero_copy_only=False)
                 g = np.where(np.isnan(flat), -1, flat).astype(np.int8).reshape(len(part), -1)
                 cut = [np.ascontiguousarray(g[:, k * tile : (k + 1) * tile]) for k in range(count)]
-                rows = [(i, j, len(part), cut[i].tobytes(), cut[j].tobytes() if j > i else b"") for i in range(count) for j in range(i, count)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["i", "j", "n", "left", "right"])
+                for i in range(count):
+                    rows = [(i, j, len(part), cut[i].tobytes(), cut[j].tobytes() if j > i else b"") for j in range(i, count)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["i", "j", "n", "left", "right"])
 
     def planes(g: np.ndarray) -> list[np.ndarray]:
-        return [(g >= 0).astype(np.float32), (g >= 1).astype(np.float32), (g >= 2).astype(np.float32)]
+        return [(g == k).astype(np.float32) for k in range(3)]
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, apart, both, open_ = None, None, None, True
@@ -73,24 +78,31 @@ def links(vec: DataFrame, samples: int, limit: float = 0.001, tile: int = TILE)
             for n, left, right in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
                 a = planes(np.frombuffer(left, np.int8).reshape(n, -1))
                 b = planes(np.frombuffer(right, np.int8).reshape(n, -1)) if right else a
-                called = a[0].T @ b[0]
-                # of sites called by both: one plane's ones on either side, less twice those on both
-                differ = sum(a[k].T @ b[0] + a[0].T @ b[k] - 2 * (a[k].T @ b[k]) for k in (1, 2))
-                apart, both = (differ.astype(np.float64), called.astype(np.float64)) if apart is None else (apart + differ, both + called)
-                inside = apart <= 2 * limit * sites + 1e-9
+                known = a[0] + a[1] + a[2], b[0] + b[1] + b[2]
+                own, other = np.concatenate(a), np.concatenate([b[1] + 2 * b[2], b[0] + b[2], 2 * b[0] + b[1]])
+                if apart is None:
+                    apart, both = (np.zeros((own.shape[1], other.shape[1]), sums) for _ in range(2))
+                    inside = np.zeros(apart.shape, bool)
+                for r in range(0, len(apart), ROWS):  # so few that the sums of a step stay near the processor
+                    rows = slice(r, r + ROWS)
+                    apart[rows] += own[:, rows].T @ other
+                    both[rows] += known[0][:, rows].T @ known[1]
+                    inside[rows] = apart[rows] <= most
                 if at[0] == at[1]:
                     inside = np.triu(inside, 1)
                 if not inside.any():
                     open_ = False
                     break
         if open_ and apart is not None:
-            near = (both > 0) & (apart <= 2 * limit * both + 1e-9)
-            i, j = np.nonzero(np.triu(near, 1) if at[0] == at[1] else near)
+            i, j = np.nonzero(inside)  # what is left to judge by the sites that both have called
+            called, differ = both[i, j].astype(np.float64), apart[i, j].astype(np.float64)
+            near = (called > 0) & (differ <= 2 * limit * called + 1e-9)
+            i, j = i[near], j[near]
             a, b = forest(i + at[0] * tile, j + at[1] * tile)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = vec.select("marker_idx", "g").mapInArrow(deal, "i int, j int, n int, left binary, right binary")
-    return dealt.groupBy("i", "j").applyInArrow(own, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    return spread(dealt, count * (count + 1) // 2).groupBy("i", "j").applyInArrow(own, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
 def components(nodes: DataFrame, edges: DataFrame, stage: Stage) -> DataFrame:

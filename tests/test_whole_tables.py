@@ -3,9 +3,12 @@
 import hashlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from densitylab.operators import compare, folds, ordering, qc
+from densitylab.operators import clones, compare, diagnostics, folds, kernel, ordering, qc
+from densitylab.operators.stage import Stage
 from densitylab.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +95,36 @@ def test_hashed_replicates_make_no_row_for_a_draw(spark):
         made = compare.hashed_replicates(sums, 30, 5, batch=8, segment=segment)
         assert {r.rep: (r.delta_mse, r.gain) for r in made.collect()} == want
         assert "sequence(0, (m" not in made._jdf.queryExecution().optimizedPlan().toString()  # draws aren't exploded
+
+
+def test_tiles_are_dealt_by_number_and_gone_through_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    g = rng.integers(0, 3, (12, 60)).tolist()
+    vec = spark.createDataFrame([(i, row) for i, row in enumerate(g)], "marker_idx int, g array<tinyint>")
+    links = clones.links(vec, 60, 0.3, tile=6)
+    assert links.rdd.getNumPartitions() > 4  # 55 tiles, whose bytes would fit in one partition
+    x = np.array(g)
+    near = {(i, j) for i in range(60) for j in range(i + 1, 60) if abs(x[:, i] - x[:, j]).sum() <= 2 * 0.3 * 12 + 1e-9}
+    whole = least_members(60, near)
+    assert least_members(60, {(r.a, r.b) for r in links.collect()}) == whole
+    fit = kernel.Fit("outer/0", tuple(range(50)), ())
+    stats = qc.fit_eligible(vec, {"outer/0": fit.train}, 0, 0).select("fit_id", "marker_idx", "mean", F.lit(1.0).alias("scale"), (F.col("marker_idx") % 2).alias("tier"))
+    with Stage(spark) as stage:
+        strips = stage.put(kernel.loaded(vec, stats, [fit]), "strips")
+        near = diagnostics.relationship(strips, 60, [(0, fit)], {"half": [0], "all": [0, 1]}, "all")
+        assert near._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+        d = rng.normal(size=(60, 2))
+        systems = [kernel.System(0, t, d) for t in ((0,), (0, 1))]
+        monkeypatch.setattr(kernel, "DIRECT_BYTES", 1 << 30)
+        direct = kernel.products(strips.repartition(3), systems)
+        monkeypatch.setattr(kernel, "DIRECT_BYTES", 0)  # tasks add up what is too large for the driver to add
+        monkeypatch.setattr(kernel, "ROWS_BYTES", 100)
+        assert all(np.allclose(a, b) for a, b in zip(kernel.products(strips.repartition(3), systems), direct))
+
+
+def least_members(n, edges):
+    least = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
