@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import Fit, tiles
@@ -51,10 +51,11 @@ def relationship(strips: DataFrame, samples: int, fits: Sequence[tuple[int, Fit]
     correlation to the full panel's kernel on evenly spaced training samples, both with unit mean diagonals.
     """
     s = sums_of_tiles(strips, samples, fits, sums, full, most)
-    whole = s.filter(F.col("workflow") == full).select("fit", *[F.col(c).alias(f"full_{c}") for c in _SUMS])
+    # the full panel's row beside each of its fit: a join would go through all tiles twice
+    whole = [F.max(F.when(F.col("workflow") == full, F.col(c))).over(Window.partitionBy("fit")).alias(f"full_{c}") for c in _SUMS]
     facts = F.create_map(*[F.lit(x) for i, f in fits for x in (i, len(f.train))])
     names = F.create_map(*[F.lit(x) for i, f in fits for x in (i, f.fit_id)])
-    j = s.join(whole, "fit").withColumn("n", facts[F.col("fit").cast("int")].cast("double"))
+    j = s.select("*", *whole).filter("full_trace is not null").withColumn("n", facts[F.col("fit").cast("int")].cast("double"))
     a, b = F.col("n") / F.col("trace"), F.col("n") / F.col("full_trace")  # to unit mean diagonals
     distance = a * a * F.col("sampled_squares") - 2 * a * b * F.col("sampled_cross") + b * b * F.col("full_sampled_squares")
     m = F.col("off")

@@ -371,7 +371,7 @@ def run_ladder(study: Study, config: LadderConfig, outer: dict[str, int], only:
         pred = pred.unionByName(pred.filter((F.col("strategy") == first) & (F.col("budget") == full)).withColumn("strategy", F.lit(name)))
     pred = stage.put(pred, "predictions")
     outers = [(i, f) for i, f in enumerate(plan.fits) if f.fit_id.startswith("outer")]
-    near = stage.put(outer_diagnostics(study, plan, load.strips, outers, f"{first}:{full}", config.strategies[1:]), "diagnostics")
+    near = outer_diagnostics(study, plan, load.strips, outers, f"{first}:{full}", config.strategies[1:])  # made when it is read: it takes all pairs of samples
     kept = plan.kept.filter(F.col("fit_id").startswith("outer"))
     return {"predictions": pred, "metrics": metrics.ladder_metrics(pred), "tuning": tuning, "search": search, "fits": _fit_records(solved, tuning), "coverage": plan.coverage, "ld": plan.ld, "panels": plan.chosen, "qc": kept, "diagnostics": near}
 
@@ -379,8 +379,8 @@ def run_ladder(study: Study, config: LadderConfig, outer: dict[str, int], only:
 def outer_diagnostics(study: Study, plan: LadderPlan, strips: DataFrame, outers: list[tuple[int, ke.Fit]], full: str, aliases: Sequence[str]) -> DataFrame:
     """A18, A19 of every strategy and budget of the outer fits; the full panel is one fit under several names."""
     near = diagnostics.relationship(strips, len(study.ids), outers, plan.sums, full)
-    for name in aliases:
-        near = near.unionByName(near.filter(F.col("workflow") == full).withColumn("workflow", F.lit(f"{name}:{full.split(':')[1]}")))
+    names = F.array(F.lit(full), *[F.lit(f"{name}:{full.split(':')[1]}") for name in aliases])
+    near = near.withColumn("workflow", F.explode(F.when(F.col("workflow") == full, names).otherwise(F.array("workflow"))))  # a union would go through all tiles again
     flow = F.split("workflow", ":")
     return near.select(F.split("fit_id", "/")[1].cast("int").alias("fold"), flow[0].alias("strategy"), flow[1].cast("int").alias("budget"), F.col("samples").alias("diagnostic_training_samples"), "trace_participation_ratio", "sampled_relative_frobenius", "sampled_offdiagonal_correlation")
 
