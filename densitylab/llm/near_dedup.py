@@ -16,7 +16,10 @@ Banding: ``bands`` hashes of ``rows`` registers.  Texts with equal words are
 one node from the start.
 
 Verification is exact and makes no pairs within a bucket.  All members of a
-bucket are compared with one text, the hub: one row a member.  Let R be the
+bucket are compared with one text, the hub: one row a member, with its differences.
+Two members differ in what only one of their differences holds, so the rows of a hub
+of up to ``WHOLE`` are settled in one task, each row read once, and are never dealt
+out shingle by shingle.  For larger ones, let R be the
 shingles that most of a hub's members (and the hub) hold, D(A) = A ^ R, and
 the slack of A be |D(A)| - c |A| with c = (1 - t) / (1 + t).  Since A and B are
 linked if |A ^ B| <= c (|A| + |B|):
@@ -41,6 +44,8 @@ give one row each, alone, with null class_id.  Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -144,17 +149,17 @@ def _signatures(k: int, bands: int, rows: int):
 
 
 def _compare(k: int, t: float):
-    """(id, hub, n, text_a, text_b) -> size of A, whether linked, and the shingles that only A or only the hub has."""
+    """(id, hub, root, n, text_a, text_b) -> size of A, whether linked, and the shingles that only A or only the hub has."""
 
     def run(batches):
         for batch in in_slices(batches, "text_a"):
             left: list[np.ndarray] = []
-            for w in tv.words(batch.column(3)):
+            for w in tv.words(batch.column(4)):
                 d, h, _ = shingles_of(w, k)
                 cut = np.searchsorted(d, np.arange(w.n_docs + 1))
                 left += [h[cut[i] : cut[i + 1]] for i in range(w.n_docs)]
             rows, before = [], None
-            for n, a, text in zip(batch.column(2).to_pylist(), left, batch.column(4).to_pylist()):
+            for n, a, text in zip(batch.column(3).to_pylist(), left, batch.column(5).to_pylist()):
                 if text != before:  # rows of a hub follow each other
                     (w,) = tv.words(pa.array([text], pa.string()))
                     h, before = shingles_of(w, k)[1], text
@@ -164,29 +169,73 @@ def _compare(k: int, t: float):
                     plus, minus = plus[:0], minus[:0]
                 rows.append((len(a), linked, plus.view(np.int64), minus.view(np.int64)))
             kinds = (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(v, kind) for v, kind in zip(zip(*rows), kinds))], names=["id", "hub", "n", "size", "linked", "plus", "minus"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(v, kind) for v, kind in zip(zip(*rows), kinds))], names=["id", "hub", "root", "n", "size", "linked", "plus", "minus"])
 
     return run
 
 
 #: Members of a hub that one task compares.
 SPREAD = 128
+#: Rows of a hub, and differences in them, of which one task compares all pairs; shared differences that it multiplies at once.
+WHOLE, WHOLE_CELLS, COLUMNS = 128, 1 << 22, 1 << 15
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, k: int, t: float, turn: int) -> DataFrame:
-    """``pairs``: id, hub.  A hub's members, and itself where it has several, are dealt over as many places as they need."""
+    """``pairs``: id, hub.  A hub's members, and itself where it has several, are dealt over as many places as they need.
+
+    A repeated id has several texts; ``root`` names the one that served as the hub, as only differences from one text can be compared.
+    """
     counts = staged(pairs.groupBy("hub").agg(F.count("*").alias("n")), f"hubs-{turn}")
     places = F.expr(f"(n + {SPREAD - 1}) div {SPREAD}")
     hubs = counts.join(texts.select(F.col("id").alias("hub"), F.col("text").alias("text_b")), "hub").select("hub", "text_b", F.explode(F.sequence(F.lit(0).cast("bigint"), places - 1)).alias("place"))
     every = pairs.join(counts, "hub").select("id", "hub", "n").unionAll(counts.filter("n > 1").select(F.col("hub").alias("id"), "hub", "n"))
     left = every.withColumn("place", F.pmod(F.xxhash64("id"), places)).join(texts.select("id", F.col("text").alias("text_a")), "id")
-    both = left.join(hubs, ["hub", "place"]).select("id", "hub", "n", "text_a", "text_b")
-    met = staged(both.mapInArrow(_compare(k, t), "id bigint, hub bigint, n bigint, size bigint, linked boolean, plus array<bigint>, minus array<bigint>"), f"met-{turn}")
+    both = left.join(hubs, ["hub", "place"]).select("id", "hub", F.xxhash64("hub", "text_b").alias("root"), "n", "text_a", "text_b")
+    met = staged(both.mapInArrow(_compare(k, t), "id bigint, hub bigint, root bigint, n bigint, size bigint, linked boolean, plus array<bigint>, minus array<bigint>"), f"met-{turn}")
     release(counts)
     return met
 
 
-_PART = "hub bigint, id bigint, size bigint, own bigint, rest array<bigint>, d bigint, most bigint"
+def _whole(t: float):
+    """All rows of a hub (root, id, size, diff) -> a, b: a tree over each set of texts that links join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        ids, size = table.column("id").to_numpy(), table.column("size").to_numpy()
+        diff = table.column("diff").combine_chunks()
+        own = np.diff(diff.offsets.to_numpy())
+        row = np.repeat(np.arange(len(ids)), own)
+        _, at, df = np.unique(diff.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        some = df > 1  # what one text alone has is in no intersection
+        held, row = (np.cumsum(some) - 1)[at][some[at]], row[some[at]]
+        order = np.argsort(held, kind="stable")
+        held, row = held[order], row[order]
+        both = np.zeros((len(ids), len(ids)))
+        for lo in range(0, int(some.sum()), COLUMNS):
+            cut = slice(*np.searchsorted(held, (lo, lo + COLUMNS)))
+            part = np.zeros((len(ids), COLUMNS), np.float32)
+            part[row[cut], held[cut] - lo] = 1
+            both += part @ part.T
+        apart = own[:, None] + own[None, :] - 2 * both
+        sizes = size[:, None] + size[None, :]
+        linked = (sizes - apart) / 2 >= t * (sizes + apart) / 2 - 1e-9
+        a, b, left = [], [], np.ones(len(ids), bool)
+        while left.any():
+            edge = [int(np.flatnonzero(left)[0])]
+            left[edge] = False
+            while edge:
+                x = edge.pop()
+                new = np.flatnonzero(linked[x] & left)
+                left[new] = False
+                edge += new.tolist()
+                a += [ids[x]] * len(new)
+                b += ids[new].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+_PART = "root bigint, id bigint, size bigint, own bigint, rest array<bigint>, d bigint, most bigint"
 
 
 def _against_most(batches):
@@ -198,35 +247,44 @@ def _against_most(batches):
             flipped = {x["e"]: r["rows"] - x["df"] for x in r["flipped"] or []}
             own = r["n_diff"] - len(shared)
             rest = [(df, e) for e, df in shared.items() if e not in flipped] + [(df, e) for e, df in flipped.items() if e not in shared]
-            rows.append((r["hub"], r["id"], r["size"], own, [e for _, e in sorted(rest)], own + len(rest), r["most"]))
+            rows.append((r["root"], r["id"], r["size"], own, [e for _, e in sorted(rest)], own + len(rest), r["most"]))
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] + [pa.int64()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=["hub", "id", "size", "own", "rest", "d", "most"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=["root", "id", "size", "own", "rest", "d", "most"])
 
 
-def _children(met: DataFrame, within: DataFrame | None, t: float, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(links, members): sure links a, b; and key, id of members of one hub that share a difference in their prefixes, of which a pair could be linked."""
+def _children(met: DataFrame, within: DataFrame | None, t: float, turn: int) -> tuple[DataFrame, DataFrame | None]:
+    """(links, members): sure links a, b; and key, id of members of one hub of more than ``WHOLE`` that share a difference in their prefixes, of which a pair could be linked, if there is such a hub."""
     c = (1 - t) / (1 + t)
-    groups = met.filter("n > 1").groupBy("hub").agg(F.count("*").alias("rows"), F.max("size").alias("most"), F.count_if(~F.col("linked")).alias("u"))
-    groups = staged(groups.filter("u > 0").drop("u"), f"open-{turn}")
+    n_diff = F.size("plus") + F.size("minus")
+    groups = met.filter("n > 1").groupBy("root", "hub").agg(F.count("*").alias("rows"), F.max("size").alias("most"), F.count_if(~F.col("linked")).alias("u"), F.sum(n_diff).alias("cells"))
+    groups = staged(groups.filter("u > 0").select("root", "hub", "rows", "most", (F.greatest(F.col("rows") / WHOLE, F.col("cells") / WHOLE_CELLS) <= 1).alias("whole")), f"open-{turn}")
     # a comparison is named by what was compared, as a repeated id can have several texts
     apart = F.concat("plus", F.transform("minus", lambda x: F.xxhash64(x, F.lit(-1)))).alias("diff")
-    found = staged(met.join(groups, "hub").select("hub", "id", "size", "rows", "most", apart).withColumn("v", F.xxhash64("size", "diff")), f"found-{turn}")
-    each = found.select("hub", "id", "v", "rows", F.explode("diff").alias("e"))
-    shared = staged(each.groupBy("hub", "e").agg(F.count("*").alias("df"), F.max("rows").alias("rows")).filter("df > 1"), f"shared-{turn}")
-    flipped = staged(shared.filter("2 * df > rows").groupBy("hub").agg(F.collect_list(F.struct("df", "e")).alias("flipped")), f"flipped-{turn}")  # at most two texts' shingles
-    lists = each.join(shared.select("hub", "e", "df"), ["hub", "e"]).groupBy("hub", "id", "v").agg(F.collect_list(F.struct("df", "e")).alias("shared"))
-    wide = found.select("hub", "id", "v", "size", "rows", "most", F.size("diff").alias("n_diff")).join(lists, ["hub", "id", "v"], "left").join(flipped, "hub", "left")
+    found = staged(met.join(groups.drop("hub"), "root").select("root", "id", "size", "rows", "most", "whole", apart).withColumn("v", F.xxhash64("size", "diff")), f"found-{turn}")
+    settled = found.filter("whole").select("root", "id", "size", "diff").groupBy("root").applyInArrow(_whole(t), "a bigint, b bigint").filter("a <> b").distinct()
+    if groups.filter("not whole").isEmpty():
+        links = staged(settled, f"sure-{turn}")
+        release(groups, found)
+        return links, None
+    large = found.filter("not whole")
+    each = large.select("root", "id", "v", "rows", F.explode("diff").alias("e"))
+    shared = staged(each.groupBy("root", "e").agg(F.count("*").alias("df"), F.max("rows").alias("rows")).filter("df > 1"), f"shared-{turn}")
+    flipped = staged(shared.filter("2 * df > rows").groupBy("root").agg(F.collect_list(F.struct("df", "e")).alias("flipped")), f"flipped-{turn}")  # at most two texts' shingles
+    lists = each.join(shared.select("root", "e", "df"), ["root", "e"]).groupBy("root", "id", "v").agg(F.collect_list(F.struct("df", "e")).alias("shared"))
+    wide = large.select("root", "id", "v", "size", "rows", "most", F.size("diff").alias("n_diff")).join(lists, ["root", "id", "v"], "left").join(flipped, "root", "left")
     placed = staged(wide.mapInArrow(_against_most, _PART), f"part-{turn}")
     part = placed.withColumn("slack", F.col("d") - c * F.col("size"))
-    least = staged(part.groupBy("hub").agg(F.min(F.struct("slack", "id")).alias("x")).select("hub", (-F.col("x.slack")).alias("room"), F.col("x.id").alias("nearest")), f"least-{turn}")
-    part = part.join(least, "hub").withColumn("u", F.col("slack") > F.col("room") + 1e-9)
-    links = staged(part.filter("not u and id <> nearest").select(F.col("id").alias("a"), F.col("nearest").alias("b")).distinct(), f"sure-{turn}")
+    nearest = part.groupBy("root").agg(F.min(F.struct("slack", "id")).alias("x"))
+    least = staged(nearest.join(groups, "root").select("root", "hub", (-F.col("x.slack")).alias("room"), F.col("x.id").alias("nearest")), f"least-{turn}")
+    part = part.join(least, "root").withColumn("u", F.col("slack") > F.col("room") + 1e-9)
+    sure = part.filter("not u and id <> nearest").select(F.col("id").alias("a"), F.col("nearest").alias("b")).distinct()
+    links = staged(sure.unionAll(settled), f"sure-{turn}")
     prefix = lambda need: F.greatest(F.lit(0), F.col("d") - F.greatest(F.lit(1), need) + 1)
     short = F.when(F.col("u"), prefix(F.ceil(F.col("slack") - 1e-9))).otherwise(prefix(F.floor((F.col("slack") + F.col("room")) / 2 + 1e-9) + 1))
     far = F.when(F.col("u"), prefix(F.ceil(F.col("slack") - c * F.least(F.col("size") / t, F.col("most")) - 1e-9))).otherwise(F.lit(0))
     part = part.filter("id <> hub").withColumn("short", short).withColumn("far", F.greatest("short", far))
-    cells = part.select("hub", "id", "u", "slack", "own", "short", F.posexplode(F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.col("far") - F.col("own")).cast("int"))).alias("i", "e"))
-    cells = cells.select("hub", "id", F.xxhash64("hub", "e").alias("key"), "u", "slack", (F.col("own") + F.col("i") < F.col("short")).alias("near"))
+    cells = part.select("root", "hub", "id", "u", "slack", "own", "short", F.posexplode(F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.col("far") - F.col("own")).cast("int"))).alias("i", "e"))
+    cells = cells.select("hub", "id", F.xxhash64("root", "e").alias("key"), "u", "slack", (F.col("own") + F.col("i") < F.col("short")).alias("near"))
     if within is not None:  # only pairs of one bucket count
         cells = cells.withColumnRenamed("key", "e").join(within, ["hub", "id"]).withColumn("key", F.xxhash64("key", "e"))
     cells = staged(cells.select("key", "id", "u", "slack", "near"), f"cells-{turn}")
@@ -275,6 +333,8 @@ def link_buckets(member: DataFrame, texts: DataFrame, label: DataFrame | None, s
         sure, member = _children(met, None if turn == 1 else pairs, threshold, turn)
         label = merged(label, sure)
         release(met, live, pairs, sure)
+        if member is None:
+            break
     return label
 
 

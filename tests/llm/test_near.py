@@ -82,3 +82,38 @@ def test_weighted_registers_estimate_the_probability_index():
     assert abs((reg[0] == reg[1]).mean() - want) < 0.03
     words = next(textvec.words(pa.array(["a b a b a b"])))
     assert near_dedup.shingles_of(words, 2)[2].tolist() in ([3, 2], [2, 3])
+
+
+def test_hubs_that_fit_a_task_take_one_round(spark, monkeypatch):
+    """Their differences are compared where they are, not dealt out shingle by shingle and bucket by bucket."""
+    turns, real = [], near_dedup._compared
+    monkeypatch.setattr(near_dedup, "_compared", lambda *a: turns.append(a[-1]) or real(*a))
+    texts = dict(enumerate(family(8, 80)))
+    t = staged(spark.createDataFrame(list(texts.items()), "id bigint, text string"), "t")
+    got = {r.node: r.component for r in near_dedup.link_buckets(staged(t.selectExpr("1L as key", "id"), "m"), t, None, 5, 0.8).collect()}
+    assert {i: got.get(i, i) for i in texts} == near_truth(texts) and turns == [1]
+
+
+@pytest.mark.parametrize(("rows", "cells", "columns"), [(8, 1 << 22, 1 << 15), (128, 2000, 1 << 15), (128, 1 << 22, 50)])
+def test_hubs_beyond_a_task_equal_all_pairs(spark, monkeypatch, rows, cells, columns):
+    monkeypatch.setattr(near_dedup, "WHOLE", rows)
+    monkeypatch.setattr(near_dedup, "WHOLE_CELLS", cells)
+    monkeypatch.setattr(near_dedup, "COLUMNS", columns)
+    texts = dict(enumerate(family(2, 60) + family(3, 25, False)))
+    rows = near_dedup.near_duplicate_classes(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == near_truth(texts)
+
+
+@pytest.mark.parametrize("most", [2, 128])
+def test_differences_from_two_texts_of_a_hub_are_not_mixed(spark, monkeypatch, most):
+    """Document 1 has a short and a long text; 2 is too far from the short one (index 0.71), 3 is near to it."""
+    monkeypatch.setattr(near_dedup, "WHOLE", most, raising=False)
+    short, long = [f"a{i}" for i in range(120)], [f"b{i}" for i in range(400)]
+    far, near = list(short), [*short, "end"]
+    for i in (20, 45, 70, 95):
+        far[i] = f"x{i}"
+    rows = [(1, short), (1, long), (2, far), (3, near)]
+    t = staged(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "id bigint, text string"), "t")
+    label = near_dedup.link_buckets(staged(t.selectExpr("1L as key", "id").distinct(), "m"), t, None, 5, 0.8)
+    got = {r.node: r.component for r in label.collect()}
+    assert {i: got.get(i, i) for i in (1, 2, 3)} == {1: 1, 2: 2, 3: 1}
