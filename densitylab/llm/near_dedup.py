@@ -18,8 +18,9 @@ one node from the start.
 Verification is exact and makes no pairs within a bucket.  All members of a
 bucket are compared with one text, the hub: one row a member, with its differences.
 Two members differ in what only one of their differences holds, so the rows of a hub
-of up to ``WHOLE`` are settled in one task, each row read once, and are never dealt
-out shingle by shingle.  For larger ones, let R be the
+of up to ``WHOLE`` are settled in one task, each row read once.  Nor are differences of
+larger ones dealt out shingle by shingle: those of a batch of texts go together, cut by value
+into parts of about ``PART_CELLS`` of a hub, and a task counts a part.  Let R be the
 shingles that most of a hub's members (and the hub) hold, D(A) = A ^ R, and
 the slack of A be |D(A)| - c |A| with c = (1 - t) / (1 + t).  Since A and B are
 linked if |A ^ B| <= c (|A| + |B|):
@@ -178,6 +179,8 @@ def _compare(k: int, t: float):
 SPREAD = 128
 #: Rows of a hub, and differences in them, of which one task compares all pairs; shared differences that it multiplies at once.
 WHOLE, WHOLE_CELLS, COLUMNS = 128, 1 << 22, 1 << 15
+#: Differences of a larger hub that one task counts.
+PART_CELLS = 1 << 20
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, k: int, t: float, turn: int) -> DataFrame:
@@ -235,6 +238,51 @@ def _whole(t: float):
     return run
 
 
+_DEALT = "root bigint, part bigint, rows bigint, id array<bigint>, v array<bigint>, own array<bigint>, e array<bigint>"
+
+
+def _by_parts(batches):
+    """(root, id, v, rows, parts, diff) -> the differences dealt over a hub's parts: a row a batch, hub and part, not one a difference."""
+    for batch in batches:
+        root, ids, v, rows, parts = (c.to_numpy() for c in batch.columns[:5])
+        e = batch.column(5).flatten().to_numpy()
+        text = np.repeat(np.arange(len(ids)), batch.column(5).value_lengths().to_numpy())
+        part = (e.view(np.uint64) % parts[text].astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((text, part, root[text]))
+        e, text, part = e[order], text[order], part[order]
+        group = np.diff(root[text], prepend=0).astype(bool) | np.diff(part, prepend=0).astype(bool)
+        group[:1] = True
+        one = np.flatnonzero(group | np.diff(text, prepend=0).astype(bool))
+        at = np.flatnonzero(group)
+        of, cut = text[one], np.r_[np.searchsorted(one, at), len(one)].astype(np.int32)
+        lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (ids[of], v[of], np.diff(np.r_[one, len(e)]))]
+        lists.append(pa.ListArray.from_arrays(np.r_[at, len(e)].astype(np.int32), pa.array(e)))
+        yield pa.RecordBatch.from_arrays([pa.array(root[text[at]]), pa.array(part[at]), pa.array(rows[text[at]]), *lists], names=["root", "part", "rows", "id", "v", "own", "e"])
+
+
+_SHARED = "root bigint, id bigint, v bigint, shared array<struct<df: bigint, e: bigint>>"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One part of a hub's differences -> those of each text that others have, with the number of texts; under a null id those of more than half."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    root, rows = (table.column(c)[0].as_py() for c in ("root", "rows"))
+    ids, v, own, e = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("id", "v", "own", "e"))
+    value, at, df = np.unique(e, return_inverse=True, return_counts=True)
+    held = np.flatnonzero(df[at] > 1)
+    text = np.repeat(np.arange(len(ids)), own)[held]
+    first = np.flatnonzero(np.diff(text, prepend=-1))
+    most = np.flatnonzero(2 * df > rows)
+
+    def out(ids: pa.Array, v: pa.Array, cut: np.ndarray, df: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+        cells = pa.StructArray.from_arrays([pa.array(df), pa.array(e)], names=["df", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), root)), ids, v, pa.ListArray.from_arrays(cut.astype(np.int32), cells)], names=["root", "id", "v", "shared"])
+
+    yield out(pa.array(ids[text[first]]), pa.array(v[text[first]]), np.r_[first, len(held)], df[at][held], e[held])
+    if len(most):
+        yield out(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), np.array([0, len(most)]), df[most], value[most])
+
+
 _PART = "root bigint, id bigint, size bigint, own bigint, rest array<bigint>, d bigint, most bigint"
 
 
@@ -257,20 +305,21 @@ def _children(met: DataFrame, within: DataFrame | None, t: float, turn: int) ->
     c = (1 - t) / (1 + t)
     n_diff = F.size("plus") + F.size("minus")
     groups = met.filter("n > 1").groupBy("root", "hub").agg(F.count("*").alias("rows"), F.max("size").alias("most"), F.count_if(~F.col("linked")).alias("u"), F.sum(n_diff).alias("cells"))
-    groups = staged(groups.filter("u > 0").select("root", "hub", "rows", "most", (F.greatest(F.col("rows") / WHOLE, F.col("cells") / WHOLE_CELLS) <= 1).alias("whole")), f"open-{turn}")
+    groups = staged(groups.filter("u > 0").select("root", "hub", "rows", "most", F.ceil(F.col("cells") / PART_CELLS).alias("parts"), (F.greatest(F.col("rows") / WHOLE, F.col("cells") / WHOLE_CELLS) <= 1).alias("whole")), f"open-{turn}")
     # a comparison is named by what was compared, as a repeated id can have several texts
     apart = F.concat("plus", F.transform("minus", lambda x: F.xxhash64(x, F.lit(-1)))).alias("diff")
-    found = staged(met.join(groups.drop("hub"), "root").select("root", "id", "size", "rows", "most", "whole", apart).withColumn("v", F.xxhash64("size", "diff")), f"found-{turn}")
+    found = staged(met.join(groups.drop("hub"), "root").select("root", "id", "size", "rows", "most", "parts", "whole", apart).withColumn("v", F.xxhash64("size", "diff")), f"found-{turn}")
     settled = found.filter("whole").select("root", "id", "size", "diff").groupBy("root").applyInArrow(_whole(t), "a bigint, b bigint").filter("a <> b").distinct()
     if groups.filter("not whole").isEmpty():
         links = staged(settled, f"sure-{turn}")
         release(groups, found)
         return links, None
     large = found.filter("not whole")
-    each = large.select("root", "id", "v", "rows", F.explode("diff").alias("e"))
-    shared = staged(each.groupBy("root", "e").agg(F.count("*").alias("df"), F.max("rows").alias("rows")).filter("df > 1"), f"shared-{turn}")
-    flipped = staged(shared.filter("2 * df > rows").groupBy("root").agg(F.collect_list(F.struct("df", "e")).alias("flipped")), f"flipped-{turn}")  # at most two texts' shingles
-    lists = each.join(shared.select("root", "e", "df"), ["root", "e"]).groupBy("root", "id", "v").agg(F.collect_list(F.struct("df", "e")).alias("shared"))
+    dealt = large.select("root", "id", "v", "rows", "parts", "diff").mapInArrow(_by_parts, _DEALT)
+    shared = staged(dealt.groupBy("root", "part").applyInArrow(_counted, _SHARED), f"shared-{turn}")
+    joined = F.flatten(F.collect_list("shared"))
+    flipped = shared.filter("id is null").groupBy("root").agg(joined.alias("flipped"))  # at most two texts' shingles
+    lists = shared.filter("id is not null").groupBy("root", "id", "v").agg(joined.alias("shared"))
     wide = large.select("root", "id", "v", "size", "rows", "most", F.size("diff").alias("n_diff")).join(lists, ["root", "id", "v"], "left").join(flipped, "root", "left")
     placed = staged(wide.mapInArrow(_against_most, _PART), f"part-{turn}")
     part = placed.withColumn("slack", F.col("d") - c * F.col("size"))
@@ -292,7 +341,7 @@ def _children(met: DataFrame, within: DataFrame | None, t: float, turn: int) ->
     fits = cells.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.expr("min(slack) filter (where near) as least"), F.expr("max(slack) filter (where u) as most"))
     fits = staged(fits.filter("lo < hi and least <= most").select("key", "least"), f"fits-{turn}")
     out = staged(cells.join(fits, "key").filter("near or slack >= least").select("key", "id").distinct(), f"members-{turn}")
-    release(groups, found, shared, flipped, placed, least, cells, fits)
+    release(groups, found, shared, placed, least, cells, fits)
     return links, out
 
 
@@ -329,9 +378,8 @@ def link_buckets(member: DataFrame, texts: DataFrame, label: DataFrame | None, s
             break
         pairs = staged(live.join(staged(_stars(live, turn == 1), f"stars-{turn}"), "key").filter("id <> hub").select("key", "id", "hub"), f"pairs-{turn}")
         met = _compared(pairs.select("id", "hub").distinct(), texts, shingle, threshold, turn)
-        label = merged(label, met.filter("linked").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
         sure, member = _children(met, None if turn == 1 else pairs, threshold, turn)
-        label = merged(label, sure)
+        label = merged(label, met.filter("linked").select(F.col("id").alias("a"), F.col("hub").alias("b")).unionAll(sure).distinct())
         release(met, live, pairs, sure)
         if member is None:
             break

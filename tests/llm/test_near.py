@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from densitylab.llm import near_dedup, textvec
+from densitylab.llm import common, near_dedup, textvec
 from densitylab.llm.common import staged
 
 from test_llm import near_truth
@@ -117,3 +117,45 @@ def test_differences_from_two_texts_of_a_hub_are_not_mixed(spark, monkeypatch, m
     label = near_dedup.link_buckets(staged(t.selectExpr("1L as key", "id").distinct(), "m"), t, None, 5, 0.8)
     got = {r.node: r.component for r in label.collect()}
     assert {i: got.get(i, i) for i in (1, 2, 3)} == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_differences_of_a_large_hub_go_together(parts):
+    """A batch gives a row a part of the hub, not one a difference, and a part's counts are those of all its texts."""
+    r = random.Random(parts)
+    diffs = [[*r.sample(range(-40, 40), 12), 1000 + i, 50] for i in range(300)] + [[]]
+    ids = list(range(len(diffs)))
+    same = lambda x: pa.array([x] * len(ids), pa.int64())
+    whole = pa.RecordBatch.from_arrays([same(7), pa.array(ids), pa.array(ids), same(len(ids)), same(parts), pa.array(diffs, pa.list_(pa.int64()))], names=["root", "id", "v", "rows", "parts", "diff"])
+    dealt = list(near_dedup._by_parts(iter([whole.slice(0, 100), whole.slice(100)])))
+    assert [b.num_rows for b in dealt] == [parts, parts]
+    df = {e: sum(e in d for d in diffs) for d in diffs for e in d}
+    got, most = {}, []
+    for p in range(parts):
+        one = [b.filter(pa.array([x == p for x in b.column("part").to_pylist()])) for b in dealt]
+        for x in (x for b in near_dedup._counted(iter(one)) for x in b.to_pylist()):
+            cells = [(c["e"], c["df"]) for c in x["shared"]]
+            most += cells if x["id"] is None else []
+            got.setdefault(x["id"], []).extend(cells)
+    got.pop(None)
+    assert most == [(50, 300)] and {i: sorted(c) for i, c in got.items()} == {i: sorted((e, df[e]) for e in d if df[e] > 1) for i, d in enumerate(diffs) if d}
+
+
+@pytest.mark.parametrize("cells", [200, 1 << 20])
+def test_hubs_counted_in_parts_equal_all_pairs(spark, monkeypatch, cells):
+    monkeypatch.setattr(near_dedup, "WHOLE", 8)
+    monkeypatch.setattr(near_dedup, "PART_CELLS", cells)
+    texts = dict(enumerate(family(9, 60) + family(10, 25, False)))
+    rows = near_dedup.near_duplicate_classes(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == near_truth(texts)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 14])
+def test_few_edges_are_one_step(spark, monkeypatch, few):
+    steps, real = [], common.staged
+    monkeypatch.setattr(common, "FEW_EDGES", few)
+    monkeypatch.setattr(common, "staged", lambda df, label, **k: steps.append(label) or real(df, label, **k))
+    edges = [(i, i + 1) for i in range(1, 40)] + [(90, 70), (70, 80), (95, 95)] + [(-5, 300), (300, -5)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 70: 70, 80: 70, 90: 70, 95: 95, -5: -5, 300: -5}
+    assert (len(steps) == 1) == bool(few)
