@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from densitylab.operators import clones, compare, diagnostics, folds, kernel, ordering, qc
 from densitylab.operators.stage import Stage
-from densitylab.plans import queries
+from densitylab.plans import fixtures, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -122,6 +122,61 @@ def test_tiles_are_dealt_by_number_and_gone_through_once(spark, monkeypatch):
         assert all(np.allclose(a, b) for a, b in zip(kernel.products(strips.repartition(3), systems), direct))
 
 
+def shuffled(spark, run):
+    """Bytes that the stages of ``run`` write to shuffles."""
+    sc = spark.sparkContext
+    store = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    sums = lambda: sum(stages.apply(i).shuffleWriteBytes() for stages in [store()] for i in range(stages.size()))
+    before = sums()
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sums() - before
+
+
+def test_entries_deal_out_no_more_than_the_genotypes(spark):
+    rng, written = np.random.default_rng(5), []
+    with Stage(spark) as stage:
+        for n in (4096, 8192):
+            vec = spark.createDataFrame([(i, row) for i, row in enumerate(rng.integers(0, 3, (6, n)).tolist())], "marker_idx int, g array<tinyint>")
+            fit = kernel.Fit("all", tuple(range(n)), ())
+            stats = qc.fit_eligible(vec, {"all": fit.train}, 0, 0).select("fit_id", "marker_idx", "mean", F.lit(1.0).alias("scale"), F.lit(0).alias("tier"))
+            strips = stage.put(kernel.loaded(vec, stats, [fit]), "strips")
+            made = kernel.gram_entries(strips, n, fit, range(n))
+            written.append(shuffled(spark, lambda: made.write.format("noop").mode("overwrite").save()))  # noqa: B023
+    assert 0 < written[1] < 2.5 * written[0]  # 4 times, if a sample goes to tiles whose number grows with the samples
+
+
+def test_calls_travel_as_one_number(spark):
+    e = spark.range(20000, numPartitions=3).select((F.lit(9999) - F.col("id")).alias("sample_idx"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("marker_idx"))
+    long = e.withColumn("g", F.expr("cast(nullif(xxhash64(sample_idx, marker_idx) & 3, 3) as int)"))
+    got = {}
+    assert shuffled(spark, lambda: got.update((r.marker_idx, list(r.g)) for r in fixtures.vectors(long).collect())) < 6 * 160_000
+    want = defaultdict(list)
+    for r in sorted(long.collect(), key=lambda r: r.sample_idx):
+        want[r.marker_idx].append(r.g)
+    assert got == want
+
+
+def test_entries_of_blocks_and_tiles(spark, monkeypatch):
+    monkeypatch.setattr(kernel, "LEAST_SIDE", 16)
+    rng = np.random.default_rng(6)
+    n, x = 70, rng.integers(-1, 3, (9, 70))
+    vec = spark.createDataFrame([(i, [None if v < 0 else v for v in row]) for i, row in enumerate(x.tolist())], "marker_idx int, g array<tinyint>").repartition(3)
+    fit = kernel.Fit("all", tuple(i for i in range(n) if i % 5), ())
+    stats = qc.fit_eligible(vec, {"all": fit.train}, 0, 0).select("fit_id", "marker_idx", "mean", (F.col("marker_idx") + 1.0).alias("scale"), (F.col("marker_idx") % 2).alias("tier"))
+    at = {r.marker_idx: r for r in stats.collect()}
+    z = np.array([np.where(x[m] < 0, 0, x[m] - at[m].mean) / at[m].scale for m in sorted(at)])
+    k = z.T @ z
+    with Stage(spark) as stage:
+        strips = stage.put(kernel.loaded(vec, stats, [fit]), "strips")
+        for block, side in (((256, 1024), 32 << 20), ((3, 5), 32 << 20), ((5, 3), 120)):  # a tile a block, blocks in a tile, sides of few bytes
+            monkeypatch.setattr(kernel, "BLOCK", block)
+            monkeypatch.setattr(kernel, "SIDE_BYTES", side)
+            got = [tuple(r) for r in kernel.gram_entries(strips, n, fit, [i * 10 for i in range(n)]).collect()]
+            assert sorted((i, j) for i, j, _ in got) == [(i * 10, j * 10) for i in fit.train for j in fit.train if i <= j]
+            assert all(v == pytest.approx(k[i // 10, j // 10], abs=1e-9) for i, j, v in got)
+
+
 def least_members(n, edges):
     least = list(range(n))
     for _ in range(n):
