@@ -66,16 +66,42 @@ def shifted(y: np.ndarray, shift: np.ndarray, residual: float = 1e-8, most: int
     raise SolverError(f"residual {true.max():.3g} is over {residual:.3g}")
 
 
-def _family(b: np.ndarray, shift: np.ndarray, limit: float, most: int) -> Generator[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+def shifted_by_marker(target: np.ndarray, size: float, trace: float, shift: np.ndarray, residual: float = 1e-8, most: int = 2000) -> Generator[np.ndarray, np.ndarray, Solved]:
+    """u = A' a of (A A' + c I) a = t for all shifts c, from (A' A + c I) u = A' t: as many numbers as A has columns.
+
+    ``target`` is A' t, ``size`` the norm of t, ``trace`` that of A' A.  Yields columns d and is sent A' A d.  Residuals are those of a = (t - A u) / c,
+    as in ``shifted``: with r what is left of u's equations, they are A r / c, whose norm the last question gives.
+    """
+    shift = np.asarray(shift, float)
+    if np.any(~np.isfinite(shift)) or np.any(shift <= 0):
+        raise SolverError("penalties must be positive and finite")
+    if size == 0:
+        return np.zeros((len(target), len(shift))), np.zeros(len(shift)), np.zeros(len(shift), int)
+    limit = 0.1 * residual * size * shift / np.sqrt(trace)
+    u, steps = yield from _family(target, shift, limit, most)
+    for _ in range(5):
+        left = target[:, None] - (yield u) - shift * u
+        true = np.sqrt(np.maximum((left * (yield left)).sum(0), 0)) / (shift * size)
+        short = np.flatnonzero(~(true <= residual))
+        if not len(short):
+            return u, true, steps
+        for k in short:
+            more, further = yield from _family(left[:, k], shift[k : k + 1], limit[k], most)
+            u[:, k] += more[:, 0]
+            steps[k] += further[0]
+    raise SolverError(f"residual {true.max():.3g} is over {residual:.3g}")
+
+
+def _family(b: np.ndarray, shift: np.ndarray, limit: float | np.ndarray, most: int) -> Generator[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """(K + c I) a = b for all shifts c until the recurrences' residuals are under ``limit``."""
     base, m = float(shift.min()), len(shift)
-    more = shift - base
+    more, limit = shift - base, np.broadcast_to(limit, m)
     a, along = np.zeros((len(b), m)), np.repeat(b[:, None], m, axis=1)
     r, d = b.copy(), b.copy()
     rho = r @ r
     now, before = np.ones(m), np.ones(m)  # residual of a shift = its ratio x the base residual
     stride_before, turn = 1.0, 0.0
-    steps, active = np.zeros(m, int), np.full(m, np.sqrt(rho) > limit)
+    steps, active = np.zeros(m, int), np.sqrt(rho) > limit
     for _ in range(most):
         if not active.any():
             break
@@ -95,7 +121,7 @@ def _family(b: np.ndarray, shift: np.ndarray, limit: float, most: int) -> Genera
         d, rho = r + turn * d, fresh
         before[k], now[k] = now[k], later
         steps[k] += 1
-        active[k] = np.abs(later) * np.sqrt(rho) > limit
+        active[k] = np.abs(later) * np.sqrt(rho) > limit[k]
     return a, steps
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -63,15 +63,15 @@ def balanced_groups(samples: DataFrame, k: int, seed: int, context: str, group:
     return samples.join(plan, group).select("sample_id", group, "fold")
 
 
-def balanced_groups_local(groups: list[str], k: int, seed: int, context: str) -> np.ndarray:
+def balanced_groups_local(groups: Sequence[str], k: int, seed: int, context: str) -> np.ndarray:
     """C3 for a list on the driver, as inner splits need it."""
-    names, counts = np.unique(np.asarray(groups, dtype=str), return_counts=True)
-    keyed = sorted(zip((-counts).tolist(), (hashlib.sha256(f"{seed}\t{context}\t{g}".encode()).hexdigest() for g in names), names.tolist()))
-    loads, fold = [0] * k, {}
-    for neg, _, g in keyed:
+    names, which, counts = np.unique(np.asarray(groups, dtype=str), return_inverse=True, return_counts=True)
+    digests = np.frombuffer(b"".join(hashlib.sha256(f"{seed}\t{context}\t{g}".encode()).digest() for g in names), ">u8").reshape(-1, 4)
+    loads, fold = [0] * k, np.zeros(len(names), np.int64)
+    for g in np.lexsort((*digests.T[::-1], -counts)):  # names, which are sorted, break ties
         fold[g] = loads.index(min(loads))
-        loads[fold[g]] -= neg
-    return np.array([fold[str(g)] for g in groups])
+        loads[fold[g]] += int(counts[g])
+    return fold[which]
 
 
 def fit_table(outer: dict[str, int], inner: dict[int, dict[str, int]], only: Sequence[int] | None = None) -> list[tuple[str, list[str], list[str]]]:
@@ -87,3 +87,33 @@ def fit_table(outer: dict[str, int], inner: dict[int, dict[str, int]], only: Seq
         if len(train) < 2 or not test:
             raise ContractError(f"{fit} has {len(train)} training and {len(test)} test samples")
     return out
+
+
+#: The fold of a sample that takes no part.
+ABSENT = np.iinfo(np.int32).min
+
+
+def codes(ids: Sequence[str], fold_of: Mapping[str, int] | np.ndarray) -> np.ndarray:
+    """Folds by position, of a mapping or already so."""
+    if isinstance(fold_of, Mapping):
+        if len(fold_of.keys() & set(ids)) < len(fold_of):
+            raise KeyError("folds name samples that aren't in the study")
+        return np.fromiter((fold_of.get(s, ABSENT) for s in ids), np.int32, len(ids))
+    return np.asarray(fold_of, np.int32)
+
+
+def fit_positions(order: np.ndarray, outer: np.ndarray, inner: Mapping[int, np.ndarray], only: Sequence[int] | None = None) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """``fit_table`` by positions: folds are arrays, and ``order`` has the positions by id."""
+    order, out = np.asarray(order, np.int32), []
+    order = order[outer[order] != ABSENT]
+    for f in np.unique(outer[order]).tolist() if only is None else only:
+        train = order[outer[order] != f]
+        out.append((f"outer/{f}", train, order[outer[order] == f]))
+        own = inner[f][train] if f in inner else np.zeros(0, np.int32)
+        if (own == ABSENT).any():
+            raise ContractError(f"a training sample of fold {f} has no inner fold")
+        out += [(f"inner/{f}/{i}", train[own != i], train[own == i]) for i in np.unique(own).tolist()]
+    for fit, train, test in out:
+        if len(train) < 2 or not len(test):
+            raise ContractError(f"{fit} has {len(train)} training and {len(test)} test samples")
+    return out

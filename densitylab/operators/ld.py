@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .qc import packed, unpacked
 from .stage import Stage
 
 
@@ -33,7 +34,7 @@ def window_r2(vec: DataFrame, variants: DataFrame, kept: DataFrame, trains: dict
     ``kept``: fit_id, marker_idx.  Genotypes are shuffled once for all fits, to the pairs of tiles that theirs is
     part of; a task has two tiles of ``depth`` markers, however dense a stretch is, and pairs carry no genotypes.
     """
-    at = {f: np.asarray(t, np.int64) for f, t in trains.items()}
+    at = {f: packed(t) for f, t in trains.items()}
     fits = kept.groupBy("marker_idx").agg(F.collect_list("fit_id").alias("fits"))
     placed, pairs = tile_pairs(variants.join(fits.select("marker_idx"), "marker_idx", "left_semi"), window, depth)
     v = placed.join(fits, "marker_idx").join(vec.select("marker_idx", "g"), "marker_idx")
@@ -56,7 +57,8 @@ def window_r2(vec: DataFrame, variants: DataFrame, kept: DataFrame, trains: dict
         g = g.chunk(0) if isinstance(g, pa.ChunkedArray) else g
         chrom, holds = t.column("chrom")[0].as_py(), [set(x) for x in t.column("fits").to_pylist()]
         inside = bool(first.all())  # a tile with itself
-        for fit, train in at.items():
+        for fit, marks in at.items():
+            train = unpacked(marks)
             mine = np.array([fit in x for x in holds])
             a, b = np.flatnonzero(mine & first), np.flatnonzero(mine & (first == inside))
             if not len(a) or not len(b):

@@ -1,23 +1,26 @@
 """The three studies: marker densities, the density ladder, and the two encodings (A, B1, B2).
 
 All fits of a study, outer and inner, are rows of one plan: statistics of each fit and its markers
-by tier.  They are staged, genotypes with them in strips, and so no plan grows with folds or
-rounds.  Systems are solved by products with kernels that are never formed.
+by tier.  They are staged, genotypes with them, and so no plan grows with folds or rounds.  Systems are
+solved by products that never form a kernel: with kernels, whose vectors have a number a sample (``Loaded``), or, where samples
+are more than markers, with the markers' equations, whose vectors have a number a marker (``ByMarker``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.linear import shifted
+from ..functions.linear import shifted, shifted_by_marker
 from ..operators import diagnostics, ld, metrics, ordering, qc
 from ..operators import folds as fo
 from ..operators import kernel as ke
+from ..operators import primal as pr
 from ..operators import validate as va
 from ..operators.stage import Stage
 
@@ -75,13 +78,13 @@ class LadderConfig:
 
 @dataclass
 class Study:
-    """sample_id by position, y by position, marker_vec, variants."""
+    """sample_id by position, y by position, marker_vec, variants.  Ids and groups may be arrays."""
 
-    ids: list[str]
+    ids: Sequence[str]
     y: np.ndarray
     vec: DataFrame
     variants: DataFrame
-    groups: list[str] = field(default_factory=list)
+    groups: Sequence[str] = field(default_factory=list)
 
     def position(self) -> dict[str, int]:
         return {s: i for i, s in enumerate(self.ids)}
@@ -93,9 +96,25 @@ def align(samples: DataFrame, phenotypes: DataFrame, trait: str) -> tuple[DataFr
     return samples.join(p, "sample_id"), p.join(samples.select("sample_id"), "sample_id", "left_anti").select("sample_id")
 
 
-def _fits(study: Study, table: list[tuple[str, list[str], list[str]]]) -> list[ke.Fit]:
-    at = study.position()
-    return [ke.Fit(f, tuple(at[s] for s in train), tuple(at[s] for s in test)) for f, train, test in table]
+#: Folds of samples: by sample_id, or an array by position.
+Folds = Mapping[str, int] | np.ndarray
+
+
+def _fits(study: Study, outer: Folds, inner: Mapping[int, Folds], only: Sequence[int] | None) -> list[ke.Fit]:
+    table = fo.fit_positions(np.argsort(np.asarray(study.ids, dtype=str), kind="stable"), fo.codes(study.ids, outer), {f: fo.codes(study.ids, own) for f, own in inner.items()}, only)
+    return [ke.Fit(*row) for row in table]
+
+
+def _inner(study: Study, outer: Folds, groups: Sequence[str], k: int, seed: int, context: str, only: Sequence[int] | None) -> dict[int, np.ndarray]:
+    """Balanced inner folds of the training samples of each outer fold, by position; ``context`` names the fold."""
+    of, own = fo.codes(study.ids, outer), {}
+    groups = np.asarray(groups, dtype=str)
+    for f in np.unique(of[of != fo.ABSENT]).tolist() if only is None else only:
+        train = np.flatnonzero((of != f) & (of != fo.ABSENT))
+        own[f] = np.full(len(of), fo.ABSENT, np.int32)
+        own[f][train] = fo.balanced_groups_local(groups[train], k, seed, context.format(f))
+        va.whole_groups(groups[train], own[f][train])
+    return own
 
 
 @dataclass(frozen=True)
@@ -148,6 +167,124 @@ class Loaded:
     sums: dict[str, list[int]]
     traces: dict[tuple[str, str], float]
 
+    def answers(self, study: Study, panels, penalties: dict[str, list[float]], residual: float | None) -> list[Answer]:
+        return solve(study, self, panels, penalties, residual)
+
+    def errors(self, study: Study, answers: Sequence[Answer]) -> list[tuple]:
+        return [r for a in answers for r in a.errors(study.y)]  # a row a fit, workflow and penalty
+
+    def solved(self, chosen: Sequence[tuple[Answer, float]]) -> DataFrame:
+        return self.strips.sparkSession.createDataFrame([row for a, p in chosen for row in a.rows(p)], _ROWS)
+
+    def diagnostics(self, samples: int, fits: list[tuple[int, ke.Fit]], full: str, most: int = 512) -> DataFrame:
+        return diagnostics.relationship(self.strips, samples, fits, self.sums, full, most)
+
+
+@dataclass(frozen=True)
+class MarkerAnswer:
+    """Effects of the markers of a fit's workflow, a column a penalty."""
+
+    number: int
+    fit: ke.Fit
+    workflow: str
+    grid: list[float]
+    panel: Panel
+    scale: float
+    mean: float
+    system: pr.System
+    residuals: np.ndarray
+    steps: np.ndarray
+
+
+@dataclass
+class ByMarker:
+    """Genotypes in blocks of samples, the panels of all fits, and what each fit's training samples sum up to by marker."""
+
+    blocks: DataFrame
+    fits: list[ke.Fit]
+    sums: dict[str, list[int]]
+    columns: pr.Columns
+    levels: np.ndarray
+    moments: np.ndarray
+
+    def answers(self, study: Study, panels, penalties: dict[str, list[float]], residual: float | None) -> list[MarkerAnswer]:
+        """``solve`` by the markers' equations: a step is one pass over the blocks for all systems of a batch; the driver has vectors by marker."""
+        out, m = [], len(self.columns.markers)
+        wanted = [(i, f, w, penalties[f"{f.fit_id}|{w}"]) for i, f in enumerate(self.fits) for w in self.sums if penalties.get(f"{f.fit_id}|{w}") and panels[f.fit_id].get(w) is not None]
+        for batch in _batches(wanted, lambda x: 8 * m * (2 * len(x[3]) + 4), lambda x: x[0]):
+            live = {}
+            for i, f, w, grid in batch:
+                mean, root = self.columns.panel(i, self.sums[w])
+                one, two, called, cross, known = self.moments[:, :, i]
+                n, trace = len(f.train), float((root**2 * (two - 2 * mean * one + mean**2 * called)).sum())
+                scale = _scale_of(panels[f.fit_id][w], trace, n)
+                root = root / np.sqrt(scale)
+                size = float(np.linalg.norm(study.y[f.train] - self.levels[i]))
+                solver = shifted_by_marker(root * (cross - mean * known), size, trace / scale, np.asarray(grid, float) * (1 if residual is None else n), EXACT if residual is None else residual)
+                live[i, w] = f, grid, scale, mean, root, solver
+            at = {}
+            for key, own in list(live.items()):
+                self._step(live, at, out, panels, key, own, None)
+            while live:
+                systems = [pr.System(i, mean, root, at[i, w]) for (i, w), (_, _, _, mean, root, _) in live.items()]
+                for (key, own), q in zip(list(live.items()), pr.products(self.blocks, systems)):
+                    self._step(live, at, out, panels, key, own, q)
+        return out
+
+    def _step(self, live: dict, at: dict, out: list[MarkerAnswer], panels, key: tuple[int, str], own: tuple, q: np.ndarray | None) -> None:
+        (i, w), (f, grid, scale, mean, root, solver) = key, own
+        try:
+            at[key] = solver.send(q)
+        except StopIteration as end:
+            u, true, steps = end.value
+            if not np.isfinite(u).all():
+                raise va.ContractError("predictions aren't finite") from None
+            out.append(MarkerAnswer(i, f, w, list(grid), panels[f.fit_id][w], scale, float(self.levels[i]), pr.System(i, mean, root, u), true, steps))
+            del live[key]
+
+    def errors(self, study: Study, answers: Sequence[MarkerAnswer]) -> list[tuple]:
+        sums = pr.errors(self.blocks, [a.system for a in answers], [a.mean for a in answers]) if answers else []
+        return [(a.fit.fit_id, a.workflow, i, float(c), len(a.fit.test), float(e), a.panel.markers, a.panel.capped) for a, own in zip(answers, sums) for i, (c, e) in enumerate(zip(a.grid, own))]
+
+    def solved(self, chosen: Sequence[tuple[MarkerAnswer, float]]) -> DataFrame:
+        spark, systems, rows = self.blocks.sparkSession, [], []
+        if not chosen:
+            return spark.createDataFrame([], _ROWS)
+        for i, (a, penalty) in enumerate(chosen):
+            k = a.grid.index(penalty)
+            systems.append(pr.System(a.number, a.system.mean, a.system.root, a.system.d[:, k : k + 1]))
+            rows.append((i, a.fit.fit_id, a.workflow, penalty, a.mean, a.panel.markers, a.scale, float(a.residuals[k]), int(a.steps[k])))
+        own = spark.createDataFrame(rows, "system int, fit_id string, workflow string, penalty double, train_mean double, markers int, scale double, residual double, steps int")
+        return pr.predictions(self.blocks, systems, [a.mean for a, _ in chosen]).join(F.broadcast(own), "system").select(*[c.split()[0] for c in _ROWS.split(", ")])
+
+    def diagnostics(self, samples: int, fits: list[tuple[int, ke.Fit]], full: str, most: int = 512) -> DataFrame:
+        return diagnostics.relationship_by_marker(self.blocks, self.columns, fits, self.sums, full, most)
+
+
+def load(study: Study, stats: DataFrame, fits: list[ke.Fit], sums: dict[str, list[int]], stage: Stage) -> Loaded | ByMarker:
+    """Genotypes and statistics of all fits, for vectors on the shorter side."""
+    return load_blocks(study, stats, fits, sums, stage) if len(study.ids) > study.variants.count() else load_strips(study, stats, fits, sums, stage)
+
+
+def load_blocks(study: Study, stats: DataFrame, fits: list[ke.Fit], sums: dict[str, list[int]], stage: Stage) -> ByMarker:
+    columns = pr.Columns(stats, fits)
+    blocks = stage.put(pr.cut(study.vec, columns.markers, fits, study.y), "blocks", keep=True)
+    levels = np.array([study.y[f.train].mean() for f in fits])
+    return ByMarker(blocks, fits, sums, columns, levels, pr.moments(blocks, levels, len(columns.markers)))
+
+
+def _batches(wanted: list, size: Callable[[tuple], int], fit: Callable[[tuple], object]) -> list[list]:
+    """``wanted`` in batches whose vectors have TOGETHER_BYTES; a fit at least."""
+    batches, held = [], 0
+    for one in wanted:
+        own = size(one)
+        if not batches or (held + own > TOGETHER_BYTES and fit(batches[-1][-1]) != fit(one)):
+            batches.append([])
+            held = 0
+        batches[-1].append(one)
+        held += own
+    return batches
+
 
 def load_strips(study: Study, stats: DataFrame, fits: list[ke.Fit], sums: dict[str, list[int]], stage: Stage) -> Loaded:
     strips = stage.put(ke.loaded(study.vec, stats, fits), "strips", keep=True)
@@ -162,15 +299,7 @@ def solve(study: Study, load: Loaded, panels: dict[str, dict[str, Panel]], penal
     """
     number, samples, out = {f.fit_id: i for i, f in enumerate(load.fits)}, len(study.ids), []
     wanted = [(f, w, penalties[f"{f.fit_id}|{w}"]) for f in load.fits for w in load.sums if penalties.get(f"{f.fit_id}|{w}") and panels[f.fit_id].get(w) is not None]
-    batches, size = [], 0
-    for f, w, grid in wanted:
-        own = 8 * samples * (2 * len(grid) + 4)
-        if not batches or (size + own > TOGETHER_BYTES and batches[-1][-1][0] is not f):
-            batches.append([])
-            size = 0
-        batches[-1].append((f, w, grid))
-        size += own
-    for batch in batches:
+    for batch in _batches(wanted, lambda x: 8 * samples * (2 * len(x[2]) + 4), lambda x: x[0].fit_id):
         live = {}
         for f, w, grid in batch:
             scale = _scale_of(panels[f.fit_id][w], load.traces.get((f.fit_id, w), 0.0), len(f.train))
@@ -199,15 +328,16 @@ def solve(study: Study, load: Loaded, panels: dict[str, dict[str, Panel]], penal
 
 
 def _people(study: Study) -> DataFrame:
-    rows = [(i, s, float(v), g) for i, (s, v, g) in enumerate(zip(study.ids, study.y, study.groups or [""] * len(study.ids)))]
-    return study.vec.sparkSession.createDataFrame(rows, "position int, sample_id string, y double, group_id string")
+    groups = study.groups if len(study.groups) else np.full(len(study.ids), "")
+    columns = [pa.array(np.arange(len(study.ids)), pa.int32()), pa.array(study.ids, pa.string()), pa.array(study.y, pa.float64()), pa.array(groups, pa.string())]
+    return study.vec.sparkSession.createDataFrame(pa.table(columns, names=["position", "sample_id", "y", "group_id"]))
 
 
-def run_densities(study: Study, config: DensityConfig, outer: dict[str, int], inner: dict[int, dict[str, int]], only: Sequence[int] | None = None, stage: Stage | None = None) -> dict[str, DataFrame]:
+def run_densities(study: Study, config: DensityConfig, outer: Folds, inner: Mapping[int, Folds], only: Sequence[int] | None = None, stage: Stage | None = None) -> dict[str, DataFrame]:
     """A: predictions, metrics, tuning, omitted, qc, panels.  Statistics come from each fit's training rows alone."""
     spark = study.vec.sparkSession
     stage = stage or Stage(spark)
-    fits = _fits(study, fo.fit_table(outer, inner, only))
+    fits = _fits(study, outer, inner, only)
     stats = stage.put(qc.fit_eligible(study.vec, {f.fit_id: f.train for f in fits}, config.min_call_rate, config.min_maf, config.min_mac), "qc")
     order = ordering.hash_order(study.variants, config.hash_salt)
     numbered = sorted([d for d in config.densities if d != "all"]) + (["all"] if "all" in config.densities else [])
@@ -232,14 +362,14 @@ def run_densities(study: Study, config: DensityConfig, outer: dict[str, int], in
                 omitted.append((f.fit_id, str(d), eligible[f.fit_id]))
             else:
                 panels[f.fit_id][str(d)] = Panel(n, c, capped)
-    load = load_strips(study, marked.select("fit_id", "marker_idx", "mean", "scale", "tier"), fits, sums, stage)
+    held = load(study, marked.select("fit_id", "marker_idx", "mean", "scale", "tier"), fits, sums, stage)
     if config.alpha_log10:
         first, last, step, cap = config.alpha_log10
         exponents = np.arange(round((last - first) / step) + 1) * step + first
         growth = [10 ** (step * i) for i in range(1, 5)]
-        solved, tuning, _ = _nested_search(study, load, panels, (10**exponents).tolist(), (10**-cap, 10**cap), None, stage, growth)
+        solved, tuning, _ = _nested_search(study, held, panels, (10**exponents).tolist(), (10**-cap, 10**cap), None, stage, growth)
     else:
-        solved, tuning, _ = _nested_search(study, load, panels, list(config.alphas), None, None, stage)
+        solved, tuning, _ = _nested_search(study, held, panels, list(config.alphas), None, None, stage)
     pred = solved.join(_people(study), "position").select("sample_id", "group_id", F.split("fit_id", "/")[1].cast("int").alias("fold"), F.col("workflow").alias("density"), "markers", "y", "prediction", "train_mean", F.col("penalty").alias("alpha"))
     pred = stage.put(pred, "predictions")
     va.finite_rows(pred, ["y", "prediction", "train_mean"])
@@ -253,7 +383,7 @@ def run_densities(study: Study, config: DensityConfig, outer: dict[str, int], in
     return {"predictions": pred, "metrics": table_of, "tuning": tuning, "omitted": left_out, "qc": stats, "panels": panel}
 
 
-def _nested_search(study: Study, load: Loaded, panels, rhos: Sequence[float], bounds: tuple[float, float] | None, residual: float | None, stage: Stage, growth: Sequence[float] = (10.0,)) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _nested_search(study: Study, load: Loaded | ByMarker, panels, rhos: Sequence[float], bounds: tuple[float, float] | None, residual: float | None, stage: Stage, growth: Sequence[float] = (10.0,)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """M1-M4: (predictions, tuning, search).
 
     Each outer fold has a grid of its own, which all its workflows share.  It grows by the
@@ -267,9 +397,9 @@ def _nested_search(study: Study, load: Loaded, panels, rhos: Sequence[float], bo
     fresh, errors, outer = dict(grids), [], []
     while True:
         want = {f"{f.fit_id}|{w}": fresh[fold_of[f.fit_id]] for f in load.fits if fold_of[f.fit_id] in fresh for w in load.sums}
-        answers = solve(study, load, panels, want, residual)
+        answers = load.answers(study, panels, want, residual)
         outer += [a for a in answers if a.fit.fit_id.startswith("outer")]
-        errors += [r for a in answers if a.fit.fit_id.startswith("inner") for r in a.errors(study.y)]  # a row a fit, workflow and penalty
+        errors += load.errors(study, [a for a in answers if a.fit.fit_id.startswith("inner")])
         known = spark.createDataFrame(errors, _ERRORS).withColumn("fold", F.split("fit_id", "/")[1].cast("int"))
         if bounds:
             known = known.withColumn("penalty_idx", F.lit(0))  # on ties the least penalty; without growth the first of the grid
@@ -285,9 +415,9 @@ def _nested_search(study: Study, load: Loaded, panels, rhos: Sequence[float], bo
         if not fresh:
             break
     chosen = {(r.fold, r.workflow): r.penalty for r in best}
-    rows = [row for a in outer if (p := chosen.get((fold_of[a.fit.fit_id], a.workflow))) in a.grid for row in a.rows(p)]
+    solved = load.solved([(a, p) for a in outer if (p := chosen.get((fold_of[a.fit.fit_id], a.workflow))) in a.grid])
     search = sse.select("fold", "workflow", "penalty", (F.col("sse") / F.col("n")).alias("inner_mse"))
-    return stage.put(spark.createDataFrame(rows, _ROWS), "solved"), stage.put(metrics.best_penalty(sse, "fold", "workflow"), "tuning"), stage.put(search, "search")
+    return stage.put(solved, "solved"), stage.put(metrics.best_penalty(sse, "fold", "workflow"), "tuning"), stage.put(search, "search")
 
 
 def _fit_records(solved: DataFrame, tuning: DataFrame) -> DataFrame:
@@ -310,15 +440,10 @@ class LadderPlan:
     ld: DataFrame | None
 
 
-def plan_ladder(study: Study, config: LadderConfig, outer: dict[str, int], only: Sequence[int] | None, stage: Stage) -> LadderPlan:
+def plan_ladder(study: Study, config: LadderConfig, outer: Folds, only: Sequence[int] | None, stage: Stage) -> LadderPlan:
     """Markers kept by each fit, orders, nested panels and their coverage; every table is staged."""
-    of = dict(zip(study.ids, study.groups))
-    inner = {}
-    for f in sorted(set(outer.values())) if only is None else only:
-        train = sorted(s for s in outer if outer[s] != f)
-        inner[f] = dict(zip(train, fo.balanced_groups_local([of[s] for s in train], config.inner_folds, config.seed, f"inner:{f}:full").tolist()))
-        va.disjoint_groups({of[s]: i for s, i in inner[f].items()}, [(of[s], i) for s, i in inner[f].items()])
-    fits = _fits(study, fo.fit_table(outer, inner, only))
+    inner = _inner(study, outer, study.groups, config.inner_folds, config.seed, "inner:{}:full", only)
+    fits = _fits(study, outer, inner, only)
     trains = {f.fit_id: f.train for f in fits}
     physical = stage.put(ordering.physical_order(study.variants, config.seed, config.bin_bp), "physical")
     budgets = sorted(config.budgets)
@@ -358,49 +483,46 @@ def plan_ladder(study: Study, config: LadderConfig, outer: dict[str, int], only:
     return LadderPlan(fits, kept, marked, sums, panels_of, chosen, cover, summary)
 
 
-def run_ladder(study: Study, config: LadderConfig, outer: dict[str, int], only: Sequence[int] | None = None, stage: Stage | None = None) -> dict[str, DataFrame]:
+def run_ladder(study: Study, config: LadderConfig, outer: Folds, only: Sequence[int] | None = None, stage: Stage | None = None) -> dict[str, DataFrame]:
     """B1: physical and LD-aware panels at rising budgets; the full panel is fitted once for both.  ``only``: outer folds to run."""
     stage = stage or Stage(study.vec.sparkSession)
     plan = plan_ladder(study, config, outer, only, stage)
     first, full = config.strategies[0], max(config.budgets)
-    load = load_strips(study, plan.marked, plan.fits, plan.sums, stage)
-    solved, tuning, search = _nested_search(study, load, plan.panels, config.rhos, config.rho_bounds, config.residual, stage)
+    held = load(study, plan.marked, plan.fits, plan.sums, stage)
+    solved, tuning, search = _nested_search(study, held, plan.panels, config.rhos, config.rho_bounds, config.residual, stage)
     flow = F.split("workflow", ":")
     pred = solved.join(_people(study), "position").select("sample_id", "group_id", F.split("fit_id", "/")[1].cast("int").alias("fold"), flow[0].alias("strategy"), flow[1].cast("int").alias("budget"), F.col("markers").alias("actual_markers"), "y", "prediction", "train_mean")
     for name in config.strategies[1:]:  # the full panel is the same fit
         pred = pred.unionByName(pred.filter((F.col("strategy") == first) & (F.col("budget") == full)).withColumn("strategy", F.lit(name)))
     pred = stage.put(pred, "predictions")
     outers = [(i, f) for i, f in enumerate(plan.fits) if f.fit_id.startswith("outer")]
-    near = outer_diagnostics(study, plan, load.strips, outers, f"{first}:{full}", config.strategies[1:])  # made when it is read: it takes all pairs of samples
+    near = outer_diagnostics(study, held, outers, f"{first}:{full}", config.strategies[1:])  # made when it is read
     kept = plan.kept.filter(F.col("fit_id").startswith("outer"))
     return {"predictions": pred, "metrics": metrics.ladder_metrics(pred), "tuning": tuning, "search": search, "fits": _fit_records(solved, tuning), "coverage": plan.coverage, "ld": plan.ld, "panels": plan.chosen, "qc": kept, "diagnostics": near}
 
 
-def outer_diagnostics(study: Study, plan: LadderPlan, strips: DataFrame, outers: list[tuple[int, ke.Fit]], full: str, aliases: Sequence[str]) -> DataFrame:
+def outer_diagnostics(study: Study, held: Loaded | ByMarker, outers: list[tuple[int, ke.Fit]], full: str, aliases: Sequence[str]) -> DataFrame:
     """A18, A19 of every strategy and budget of the outer fits; the full panel is one fit under several names."""
-    near = diagnostics.relationship(strips, len(study.ids), outers, plan.sums, full)
+    near = held.diagnostics(len(study.ids), outers, full)
     names = F.array(F.lit(full), *[F.lit(f"{name}:{full.split(':')[1]}") for name in aliases])
     near = near.withColumn("workflow", F.explode(F.when(F.col("workflow") == full, names).otherwise(F.array("workflow"))))  # a union would go through all tiles again
     flow = F.split("workflow", ":")
     return near.select(F.split("fit_id", "/")[1].cast("int").alias("fold"), flow[0].alias("strategy"), flow[1].cast("int").alias("budget"), F.col("samples").alias("diagnostic_training_samples"), "trace_participation_ratio", "sampled_relative_frobenius", "sampled_offdiagonal_correlation")
 
 
-def run_encodings(study: Study, outer: dict[str, int], inner_folds: int = 4, seed: int = 101, rhos: Sequence[float] = (1e-4, 1e-2, 1.0), bounds: tuple[float, float] = (1e-6, 1e4), residual: float = 1e-8, only: Sequence[int] | None = None, stage: Stage | None = None) -> dict[str, DataFrame]:
+def run_encodings(study: Study, outer: Folds, inner_folds: int = 4, seed: int = 101, rhos: Sequence[float] = (1e-4, 1e-2, 1.0), bounds: tuple[float, float] = (1e-6, 1e4), residual: float = 1e-8, only: Sequence[int] | None = None, stage: Stage | None = None) -> dict[str, DataFrame]:
     """B2: centred and standardised encodings of all markers, each kernel divided by its mean diagonal."""
     stage = stage or Stage(study.vec.sparkSession)
-    inner = {}
-    for f in sorted(set(outer.values())) if only is None else only:
-        train = sorted(s for s in outer if outer[s] != f)
-        inner[f] = dict(zip(train, fo.balanced_groups_local(train, inner_folds, seed, f"legacy-inner:{f}").tolist()))
-    fits = _fits(study, fo.fit_table(outer, inner, only))
+    inner = _inner(study, outer, study.ids, inner_folds, seed, "legacy-inner:{}", only)
+    fits = _fits(study, outer, inner, only)
     stats = qc.fit_counts(study.vec, {f.fit_id: f.train for f in fits})
     scale = F.when(F.col("variance") > 0, F.sqrt("variance")).otherwise(1.0)
     parts = stats.select("fit_id", "marker_idx", "mean", F.inline(F.array(F.struct(F.lit(1.0).alias("scale"), F.lit(0).alias("tier")), F.struct(scale.alias("scale"), F.lit(1).alias("tier")))))
     sums = {"GBLUP-centered": [0], "Ridge-standardized": [1]}
     n = study.variants.count()
     panels = {f.fit_id: dict.fromkeys(sums, Panel(n)) for f in fits}
-    load = load_strips(study, parts, fits, sums, stage)
-    solved, tuning, search = _nested_search(study, load, panels, rhos, bounds, residual, stage)
+    held = load(study, parts, fits, sums, stage)
+    solved, tuning, search = _nested_search(study, held, panels, rhos, bounds, residual, stage)
     pred = solved.join(_people(study), "position").select("sample_id", F.split("fit_id", "/")[1].cast("int").alias("fold"), F.col("workflow").alias("model"), "y", "prediction", "train_mean", F.col("penalty").alias("rho"))
     pred = stage.put(pred, "predictions")
     return {"predictions": pred, "metrics": metrics.pooled_and_by_fold(pred, ["model"]), "tuning": tuning, "search": search, "fits": _fit_records(solved, tuning)}
