@@ -3,10 +3,11 @@
 The distance of two samples is the sum of |dosage differences| over twice the sites that both have called.  Pairs
 at ``limit`` or less are links, and a block is a connected component.
 
-Distances are summed in tiles of samples by samples, exactly: with the planes xk = [g = k],
-|g - h| is the sum of |k - l| xk yl over the planes of both, a product of matrices.  Differences only grow and the sites called by both are at most
-all sites, so a pair whose differences are over the limit of all sites is out for good; once a tile has no
-other pairs, its task passes over the rest of the genotypes, which for unrelated samples is nearly all of them.
+All pairs are judged, in tiles of samples by samples whose number follows the cores, so what is dealt grows with the genotypes; a task goes
+through its tile in short blocks.  With s = g - 1 (missing: 0), |g - h| is at least (g - h)^2 / 2, and the sum of (s - t)^2 over all sites is that
+over the sites called by both and at most 1 for each missing call.  So one product of matrices a block bounds the differences from below, and
+as both only grow with the markers, a block without a pair below the limit of all sites is out for good, which for unrelated samples is soon.
+Pairs that remain, few, are counted exactly, unless what was found before already connects them.
 A tile hands on a spanning forest of its links and not all of them, so a block of many clones costs two
 edges a sample and tile; the components are the same.
 """
@@ -21,38 +22,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import spread
+from .kernel import SIDE_BYTES, TILES_A_CORE
 from .stage import Stage
 
-#: Samples along a tile: a task holds two sums of TILE x TILE numbers.  Markers of a piece, and bytes of its dosages as doubles.
-TILE, CHUNK, CHUNK_BYTES, ROWS = 1024, 512, 64 << 20, 128
+#: Samples along a side of a tile at least; samples by samples of a block; markers of a product, and bytes of dosages as doubles of a piece; pairs counted at once.
+TILE, BLOCK, CHUNK, CHUNK_BYTES, AT_ONCE = 1024, (256, 1024), 512, 64 << 20, 4096
 
 
-def forest(i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges enough to connect what the edges (i, j) connect."""
-    up: dict[int, int] = {}
+class Forest:
+    """Components of numbers, and the edges that made them."""
 
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+    def __init__(self, n: int):
+        self.up, self.a, self.b = np.arange(n), [], []
 
-    a, b = [], []
-    for x, y in zip(i.tolist(), j.tolist()):
-        r, s = root(x), root(y)
-        if r != s:
-            up[max(r, s)] = min(r, s)
-            a.append(x)
-            b.append(y)
-    return a, b
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        at = self.up[x]
+        while not np.array_equal(higher := self.up[at], at):
+            at = higher
+        self.up[x] = at
+        return at
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        for x, y in zip(i.tolist(), j.tolist()):
+            r, s = x, y
+            while (up := int(self.up[r])) != r:
+                r = up
+            while (up := int(self.up[s])) != s:
+                s = up
+            if r != s:
+                self.up[max(r, s)] = min(r, s)
+                self.a.append(x)
+                self.b.append(y)
 
 
 def links(vec: DataFrame, samples: int, limit: float = 0.001, tile: int = TILE) -> DataFrame:
     """a, b: links of positions in marker_vec, a spanning forest of those in each tile.  Samples without a common call aren't linked."""
-    count, sites = -(-samples // tile), vec.count()
-    sums = np.float32 if 2 * sites < 1 << 24 else np.float64  # exact: counts are whole
-    most = int(2 * limit * sites + 1e-9)
+    sites, cores = vec.count(), vec.sparkSession.sparkContext.defaultParallelism
+    count = max(int(np.ceil((np.sqrt(8 * TILES_A_CORE * cores + 1) - 1) / 2)), int(np.ceil(sites * samples / SIDE_BYTES)))
+    rows = max(1, min(samples, tile), -(-samples // count))
+    count = -(-samples // rows)
+    bound = np.float32(2 * limit * sites + 1e-5 * sites + 1e-3)  # with room for the products' numbers of 24 bits
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,48 +70,76 @@ def links(vec: DataFrame, samples: int, limit: float = 0.001, tile: int = TILE)
                 part = batch.slice(lo, step)
                 flat = part.column(1).flatten().cast(pa.float64()).fill_null(-1).to_numpy(zero_copy_only=False)
                 g = np.where(np.isnan(flat), -1, flat).astype(np.int8).reshape(len(part), -1)
-                cut = [np.ascontiguousarray(g[:, k * tile : (k + 1) * tile]) for k in range(count)]
+                cut = [np.ascontiguousarray(g[:, k * rows : (k + 1) * rows]) for k in range(count)]
                 for i in range(count):
-                    rows = [(i, j, len(part), cut[i].tobytes(), cut[j].tobytes() if j > i else b"") for j in range(i, count)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["i", "j", "n", "left", "right"])
-
-    def planes(g: np.ndarray) -> list[np.ndarray]:
-        return [(g == k).astype(np.float32) for k in range(3)]
+                    cells = [(i, j, len(part), cut[i].tobytes(), cut[j].tobytes() if j > i else b"") for j in range(i, count)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cells), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["i", "j", "n", "left", "right"])
+
+    def joined(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Dosages by sample, and missing calls of each."""
+        g = np.concatenate([np.frombuffer(b, np.int8).reshape(n, -1) for n, b in pieces])
+        return np.ascontiguousarray(g.T), (g < 0).sum(0)
+
+    def centred(g: np.ndarray) -> np.ndarray:
+        return np.where(g < 0, 0, g - 1).astype(np.float32)
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of rows are links, exactly."""
+        known = (a >= 0) & (b >= 0)
+        called = known.sum(1)
+        return (called > 0) & (np.where(known, np.abs(a - b), 0).sum(1) <= 2 * limit * called + 1e-9)
+
+    def extended(g: np.ndarray, lost: np.ndarray, left: bool) -> np.ndarray:
+        """The first markers of each sample, so that one product gives half the squared differences less what missing calls allow."""
+        x = centred(g[:, :CHUNK])
+        own = ((x * x).sum(1) / 2 - lost * (0.5 - limit)).astype(np.float32)[:, None]
+        return np.concatenate([-x, own, np.ones_like(own)] if left else [x, np.ones_like(own), own], 1)
+
+    def candidates(apart: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Numbers of the pairs of rows whose differences may be under the limit; from product to product only while there are any."""
+        for lo in range(CHUNK, sites, CHUNK):
+            if not (apart <= bound).any():
+                return np.zeros(0, np.int64)
+            x, y = centred(a[:, lo : lo + CHUNK]), centred(b[:, lo : lo + CHUNK])
+            apart -= x @ y.T
+            apart += ((x * x).sum(1) / 2)[:, None]
+            apart += (y * y).sum(1) / 2
+        return np.flatnonzero((apart <= bound).ravel())
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, apart, both, open_ = None, None, None, True
+        at, left, right = None, [], []
         for batch in batches:
             at = at or (batch.column(0)[0].as_py(), batch.column(1)[0].as_py())
-            if not open_:
-                continue
-            for n, left, right in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                a = planes(np.frombuffer(left, np.int8).reshape(n, -1))
-                b = planes(np.frombuffer(right, np.int8).reshape(n, -1)) if right else a
-                known = a[0] + a[1] + a[2], b[0] + b[1] + b[2]
-                own, other = np.concatenate(a), np.concatenate([b[1] + 2 * b[2], b[0] + b[2], 2 * b[0] + b[1]])
-                if apart is None:
-                    apart, both = (np.zeros((own.shape[1], other.shape[1]), sums) for _ in range(2))
-                    inside = np.zeros(apart.shape, bool)
-                for r in range(0, len(apart), ROWS):  # so few that the sums of a step stay near the processor
-                    rows = slice(r, r + ROWS)
-                    apart[rows] += own[:, rows].T @ other
-                    both[rows] += known[0][:, rows].T @ known[1]
-                    inside[rows] = apart[rows] <= most
-                if at[0] == at[1]:
-                    inside = np.triu(inside, 1)
-                if not inside.any():
-                    open_ = False
-                    break
-        if open_ and apart is not None:
-            i, j = np.nonzero(inside)  # what is left to judge by the sites that both have called
-            called, differ = both[i, j].astype(np.float64), apart[i, j].astype(np.float64)
-            near = (called > 0) & (differ <= 2 * limit * called + 1e-9)
-            i, j = i[near], j[near]
-            a, b = forest(i + at[0] * tile, j + at[1] * tile)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for n, p, q in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                left.append((n, p))
+                right.append((n, q))
+        same = at[0] == at[1]
+        a, gone = joined(left)
+        b, lost = (a, gone) if same else joined(right)
+        shift = 0 if same else len(a)
+        found = Forest(shift + len(b))
+        x, y = extended(a, gone, True), extended(b, lost, False)
+        for r in range(0, len(a), BLOCK[0]):
+            for c in range(r // BLOCK[1] * BLOCK[1] if same else 0, len(b), BLOCK[1]):
+                apart = x[r : r + BLOCK[0]] @ y[c : c + BLOCK[1]].T
+                i, j = np.divmod(candidates(apart, a[r : r + BLOCK[0]], b[c : c + BLOCK[1]]), apart.shape[1])
+                i, j = i + r, j + c
+                if same:
+                    i, j = i[i < j], j[i < j]
+                for k in range(0, len(i), AT_ONCE):
+                    p, q = i[k : k + AT_ONCE], j[k : k + AT_ONCE]
+                    apart = found.roots(p) != found.roots(q + shift)
+                    p, q = p[apart], q[apart]
+                    link = near(a[p], b[q])
+                    found.join(p[link], q[link] + shift)
+        if found.a:
+            p, q = np.array(found.a), np.array(found.b)
+            first, second = (np.where(v < shift, v + at[0] * rows, v - shift + at[1] * rows) for v in (p, q))
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["a", "b"])
 
     dealt = vec.select("marker_idx", "g").mapInArrow(deal, "i int, j int, n int, left binary, right binary")
-    return spread(dealt, count * (count + 1) // 2).groupBy("i", "j").applyInArrow(own, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    number = count * (count + 1) // 2
+    return dealt.repartition(max(1, 4 * number), "i", "j").groupBy("i", "j").applyInArrow(own, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))  # more partitions than tiles, so that few tasks get two
 
 
 def components(nodes: DataFrame, edges: DataFrame, stage: Stage) -> DataFrame:
